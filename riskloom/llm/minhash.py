@@ -18,26 +18,28 @@ from pyspark.sql import functions as F
 from .common import WordHashes, materialise, mix, shingles, whole_groups
 from .graph import components
 
-SAMPLES, ROWS, BANDS, BITS = 256, 4, 20, 512
+ROWS, BANDS = 4, 20
+#: Samples and bits of the sketch that all sets get, and of the finer one for members of buckets that hold several components.
 #: A pair whose sketches estimate a similarity this far below the threshold is not confirmed: over five deviations of the estimate.
-SLACK = 0.17
+COARSE, FINE = (256, 512, 0.17), (2048, 4096, 0.055)
 BLOCK = 256
 SETS = "doc_id long, n long, fp binary, bands array<long>, sketch array<long>"
 
 
 @lru_cache
-def _family(n: int = SAMPLES) -> tuple[np.ndarray, np.ndarray]:
+def _family(n: int) -> tuple[np.ndarray, np.ndarray]:
     r = np.random.default_rng(20240229)
     return r.integers(0, 1 << 31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1), r.integers(0, 1 << 32, n, dtype=np.uint32)
 
 
-def signature(items: np.ndarray) -> np.ndarray:
+def signature(items: np.ndarray, samples: int = COARSE[0]) -> np.ndarray:
     """MinHash samples of a set of 64-bit hashes."""
-    a, b = _family()
+    a, b = _family(samples)
     x = (items >> np.uint64(32)).astype(np.uint32)
-    out = np.full(SAMPLES, 0xFFFFFFFF, np.uint32)
-    for i in range(0, len(x), 1024):
-        np.minimum(out, (x[i : i + 1024, None] * a + b).min(axis=0), out=out)
+    out = np.full(samples, 0xFFFFFFFF, np.uint32)
+    step = (1 << 18) // samples
+    for i in range(0, len(x), step):
+        np.minimum(out, (x[i : i + step, None] * a + b).min(axis=0), out=out)
     return out
 
 
@@ -48,14 +50,15 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def odd_sketch(sig: np.ndarray) -> np.ndarray:
-    slots = mix(sig.astype(np.uint64) | (np.arange(SAMPLES, dtype=np.uint64) << np.uint64(32))) % np.uint64(BITS)
-    return np.packbits((np.bincount(slots.astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).view(np.int64)
+def odd_sketch(sig: np.ndarray, bits: int = COARSE[1]) -> np.ndarray:
+    """Parity bitmap of the samples: each sets or clears the bit that its value and its place choose."""
+    slots = mix(sig.astype(np.uint64) | (np.arange(len(sig), dtype=np.uint64) << np.uint64(32))) % np.uint64(bits)
+    return np.packbits((np.bincount(slots.astype(np.int64), minlength=bits) & 1).astype(np.uint8)).view(np.int64)
 
 
-def most_differing_bits(similarity: float) -> int:
+def most_differing_bits(similarity: float, samples: int, bits: int) -> int:
     """Expected differing bits of sketches of sets this similar."""
-    return int(np.ceil(BITS / 2 * (1 - (1 - 2 / BITS) ** (2 * SAMPLES * (1 - similarity)))))
+    return int(np.ceil(bits / 2 * (1 - (1 - 2 / bits) ** (2 * samples * (1 - similarity)))))
 
 
 def fingerprint(items: np.ndarray) -> bytes:
@@ -79,45 +82,63 @@ def _sets(n: int):
     return run
 
 
+def _own(n: int):
+    """Of rows (doc_id, t, fp), those whose text has the fingerprint; others share only the doc_id."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = WordHashes()
+        for pdf in batches:
+            own = [fingerprint(shingles(words.of(t), n)) == bytes(fp) for t, fp in zip(pdf["t"], pdf["fp"], strict=True)]
+            yield pdf.loc[np.array(own, bool), ["fp", "t"]]
+
+    return run
+
+
+def _finer(n: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = WordHashes()
+        for pdf in batches:
+            yield pd.DataFrame({"fp": pdf["fp"], "fine": [odd_sketch(signature(shingles(words.of(t), n), FINE[0]), FINE[1]) for t in pdf["t"]]})
+
+    return run
+
+
 def _confirm(n: int, percent: int):
-    """Pairs (a, b, ta, tb) of which the full shingle sets are alike enough; texts that are not those of a or b are passed over."""
+    """Pairs (a, b, ta, tb) of which the full shingle sets are alike enough."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, last = WordHashes(), {}
 
-        def of(text: str, fp: bytes) -> np.ndarray | None:
+        def of(text: str, fp: bytes) -> np.ndarray:
             if fp not in last:
                 if len(last) > 64:
                     last.clear()
-                items = shingles(words.of(text), n)
-                if fingerprint(items) != fp:
-                    return None
-                last[fp] = items
+                last[fp] = shingles(words.of(text), n)
             return last[fp]
 
         for pdf in batches:
             keep = []
             for a, b, ta, tb in zip(pdf["a"], pdf["b"], pdf["ta"], pdf["tb"], strict=True):
                 x, y = of(ta, bytes(a)), of(tb, bytes(b))
-                both = len(np.intersect1d(x, y, assume_unique=True)) if x is not None and y is not None else 0
-                keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pdf.loc[np.array(keep, bool), ["a", "b"]]
 
     return run
 
 
 def _differ(a: str, b: str):
-    return sum(F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(BITS // 64))
+    return sum(F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(COARSE[1] // 64))
 
 
 def _across(limit: int, best: bool):
-    """Over (key, minor block, block, side, fp, root, sketch) sorted by the first three: pairs of a minor (side 0) and a
+    """Over (key, minor block, block, side, fp, root, fine) sorted by the first three: pairs of a minor (side 0) and a
     member (side 1) with other roots and sketches within ``limit``; with ``best`` only the nearest for each minor and root."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in whole_groups(batches, ["key", "i", "j"]):
             out = []
-            sk = np.stack([np.asarray(x, np.int64) for x in pdf["sketch"]]).view(np.uint64)
+            sk = np.stack([np.asarray(x, np.int64) for x in pdf["fine"]]).view(np.uint64)
             fp, root, side = pdf["fp"].to_numpy(), pdf["root"].to_numpy(), pdf["side"].to_numpy()
             key = pdf[["key", "i", "j"]].to_numpy()
             edges = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1), [True]]))
@@ -125,9 +146,11 @@ def _across(limit: int, best: bool):
                 minor, other = np.flatnonzero(side[s:e] == 0) + s, np.flatnonzero(side[s:e] == 1) + s
                 for m in minor:
                     apart = np.bitwise_count(sk[other] ^ sk[m]).sum(axis=1)
-                    near = other[(apart <= limit) & (root[other] != root[m])]
+                    ok = (apart <= limit) & (root[other] != root[m])
+                    near = other[ok]
                     if best and len(near):
-                        near = pd.DataFrame({"at": near, "root": root[near], "d": apart[(apart <= limit) & (root[other] != root[m])]}).sort_values("d", kind="stable").drop_duplicates("root")["at"].to_numpy()
+                        near = near[np.argsort(apart[ok], kind="stable")]
+                        near = near[~pd.Series(root[near]).duplicated().to_numpy()]
                     out += [(fp[m], fp[o]) for o in near]
             if out:
                 yield pd.DataFrame(out, columns=["a", "b"])
@@ -150,42 +173,47 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80) ->
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("t"))
     sets = materialise(rows.mapInPandas(_sets(shingle), SETS), "sets")
-    classes = sets.where("doc_id is not null and n > 0").groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes = sets.where("doc_id is not null and n > 0").groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     classes = materialise(classes, "classes")
-    bands = classes.select("fp", F.explode("bands").alias("key"))
-    hubs = bands.groupBy("key").agg(F.min("fp").alias("hub"), F.count("*").alias("members")).where("members > 1")
-    shared = materialise(bands.join(hubs, "key"), "shared")  # members of buckets with company
-    limit = most_differing_bits(percent / 100 - SLACK)
+    bands = classes.select("fp", "copies", F.explode("bands").alias("key"))
+    hubs = bands.groupBy("key").agg(F.max(F.struct("copies", "fp"))["fp"].alias("hub"), F.count("*").alias("members")).where("members > 1")
+    shared = materialise(bands.join(hubs, "key").drop("copies"), "shared")  # members of buckets with company
+    asked = shared.select("fp").distinct().join(classes.select("fp", "least"), "fp")
+    texts = sets.select("doc_id", "fp").join(asked, "fp").where("doc_id = least").select("doc_id", "fp").distinct()
+    texts = materialise(rows.join(texts, "doc_id").mapInPandas(_own(shingle), "fp binary, t string").dropDuplicates(["fp"]), "texts")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) with texts, confirmed on full sets. Only texts that some pair asks for are moved twice."""
-        pairs = materialise(pairs.distinct(), "pairs")
-        asked = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct().join(classes.select("fp", "least"), "fp")
-        texts = materialise(rows.join(asked, rows["doc_id"] == asked["least"]).select("fp", "t"), "texts")
+        """The pairs (a, b) that hold on full sets."""
         one, two = texts.select(F.col("fp").alias("a"), F.col("t").alias("ta")), texts.select(F.col("fp").alias("b"), F.col("t").alias("tb"))
-        return materialise(pairs.join(one, "a").join(two, "b").mapInPandas(_confirm(shingle, percent), "a binary, b binary").distinct(), "links")
+        return materialise(pairs.join(one, "a").join(two, "b").mapInPandas(_confirm(shingle, percent), "a binary, b binary"), "links")
+
+    def limit(samples: int, bits: int, slack: float) -> int:
+        return most_differing_bits(percent / 100 - slack, samples, bits)
 
     sk = classes.select("fp", "sketch")
     first = shared.where("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct()
     first = first.join(sk.select(F.col("fp").alias("a"), F.col("sketch").alias("sa")), "a").join(sk.select(F.col("fp").alias("b"), F.col("sketch").alias("sb")), "b")
-    roots = materialise(components(confirmed(first.where(_differ("sa", "sb") <= limit).select("a", "b"))), "roots")
+    roots, fine = materialise(components(confirmed(first.where(_differ("sa", "sb") <= limit(*COARSE)).select("a", "b"))), "roots"), None
     for best in (True, False):
-        member = shared.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", "members", F.coalesce("root", "fp").alias("root"))
+        member = shared.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
         by_root = member.groupBy("key", "root").agg(F.count("*").alias("n"))
         mixed = by_root.groupBy("key").agg(F.max_by("root", "n").alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all"), F.count("*").alias("roots")).where("roots > 1").select("key", "main", "n_main", "n_all")
-        held = member.join(mixed, "key").join(sk, "fp")
+        member = materialise(member.join(mixed, "key"), "mixed")
+        if fine is None:
+            fine = materialise(texts.join(member.select("fp").distinct(), "fp").mapInPandas(_finer(shingle), "fp binary, fine array<long>"), "fine")
+        held = member.join(fine, "fp")
         minors, blocks = F.ceil((F.col("n_all") - F.col("n_main")) / BLOCK), F.ceil(F.col("n_all") / BLOCK)
         spot = F.abs(F.hash("fp"))
-        zero = held.where("root <> main").select("key", (spot % minors).cast("long").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("j"), F.lit(0).alias("side"), "fp", "root", "sketch")
-        one = held.select("key", F.explode(F.sequence(F.lit(0).cast("long"), minors - 1)).alias("i"), (spot % blocks).cast("long").alias("j"), F.lit(1).alias("side"), "fp", "root", "sketch")
-        pairs = zero.unionByName(one).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(_across(limit, best), "a binary, b binary")
+        zero = held.where("root <> main").select("key", (spot % minors).cast("long").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("j"), F.lit(0).alias("side"), "fp", "root", "fine")
+        one = held.select("key", F.explode(F.sequence(F.lit(0).cast("long"), minors - 1)).alias("i"), (spot % blocks).cast("long").alias("j"), F.lit(1).alias("side"), "fp", "root", "fine")
+        pairs = zero.unionByName(one).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(_across(limit(*FINE), best), "a binary, b binary")
         pairs = materialise(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "across")
-        if pairs.isEmpty():
-            break
-        links = confirmed(pairs)
-        if not links.isEmpty():
-            edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links)
-            roots = materialise(components(edges), "roots")
+        links = None if pairs.isEmpty() else confirmed(pairs)
+        if links is None or links.isEmpty():  # the second time round would find nothing new either
+            if links is None or not best:
+                break
+            continue
+        roots = materialise(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links)), "roots")
     named = classes.select("fp", "least").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     lowest = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(lowest, "root").select("fp", "component_id")
