@@ -3,8 +3,15 @@
 from __future__ import annotations
 
 from .bpe import op1_byte_bpe
+from . import warc
+from .chat import op5_chat_format
+from .decontam import op6_decontaminate
+from .mih import op8_multi_index_hashing
 from .minhash import op2_minhash
+from .pst import op4_suffix_tree_score
+from .quality import op7_quality
 from .suffix import op10_suffix_dedup
+from .toxicity import op9_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_minhash, op10_suffix_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_minhash, warc.op3_warc, op4_suffix_tree_score, op5_chat_format, op6_decontaminate, op7_quality, op8_multi_index_hashing, op9_toxicity, op10_suffix_dedup)}
+ORACLE_SQL: dict[str, str] = {"op3_warc": warc.ORACLE}

@@ -334,33 +334,42 @@ def repeated_spans(docs: DataFrame, width: int = 50) -> DataFrame:
     return spans
 
 
-def _strip(key_first: bool):
+def without(text: bytes, spans) -> tuple[bytes, int]:
+    """What is left of a text, and the number of maximal runs removed."""
+    lo = np.array([x["lo"] for x in spans] if spans is not None else [], np.int64)
+    hi = lo + np.array([x["len"] for x in spans] if spans is not None else [], np.int64)
+    _, lo, hi = _merged(np.zeros(len(lo), np.int64), lo, np.minimum(hi, len(text)))
+    edges = [0, *np.stack([lo, hi], 1).ravel().tolist(), len(text)]
+    return b"".join(text[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)), len(lo)
+
+
+def _strip(texts: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for text, spans in zip(pdf["t"], pdf["spans"], strict=True):
+            for text, spans in zip(pdf["text"], pdf["_spans"], strict=True):
                 b = (text or "").encode("utf-8", "surrogatepass")
-                lo = np.array([x["lo"] for x in spans] if spans is not None else [], np.int64)
-                hi = lo + np.array([x["len"] for x in spans] if spans is not None else [], np.int64)
-                _, lo, hi = _merged(np.zeros(len(lo), np.int64), lo, np.minimum(hi, len(b)))
-                edges = [0, *np.stack([lo, hi], 1).ravel().tolist(), len(b)]
-                kept = b"".join(b[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True))
-                rows.append((len(b), len(b) - len(kept), len(lo), kept if key_first else hashlib.sha256(kept).hexdigest()))
-            yield pdf.drop(columns=["t", "spans"]).assign(**dict(zip(("n_bytes", "n_removed", "n_spans", "kept"), map(list, zip(*rows, strict=True)), strict=True)) if rows else {"n_bytes": [], "n_removed": [], "n_spans": [], "kept": []})
+                kept, n = without(b, spans)
+                rows.append((len(b), len(b) - len(kept), n, kept.decode("utf-8", "ignore") if texts else hashlib.sha256(kept).hexdigest()))
+            cols = ("n_bytes", "n_removed", "n_spans", "kept")
+            yield pdf.drop(columns="_spans").assign(**dict(zip(cols, map(list, zip(*rows, strict=True)), strict=True)) if rows else dict.fromkeys(cols, []))
 
     return run
 
 
-def remove_repeats(docs: DataFrame, width: int = 50, texts: bool = True) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept): what is left of every row's text, as bytes or, without ``texts``, as their SHA-256.
+def remove_repeats(docs: DataFrame, width: int = 50, texts: bool = True, with_columns: bool = False) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept): what is left of every row's text, without bytes of characters cut in two; or, without ``texts``, the SHA-256 of the bytes left.
 
-    doc_id names a text: rows that repeat one are one document, and rows of one doc_id with other texts share its
-    spans. Null text counts as empty; a row with null doc_id is kept whole and repeats nothing. Texts below ``width``
-    bytes stay. Empty tables give empty results.
+    ``with_columns`` keeps the columns of ``docs`` beside these. doc_id names a text: rows that repeat one are one
+    document, and rows of one doc_id with other texts share its spans. Null text counts as empty; a row with null doc_id
+    is kept whole and repeats nothing. Texts below ``width`` bytes stay. Empty tables give empty results.
     """
-    spans = repeated_spans(docs, width).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "len")).alias("spans"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("t")).join(spans, "doc_id", "left")
-    return rows.mapInPandas(_strip(texts), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'binary' if texts else 'string'}")
+    spans = repeated_spans(docs, width).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "len")).alias("_spans"))
+    rows = docs.withColumn("doc_id", F.col("doc_id").cast("long")) if with_columns else docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = rows.join(spans, "doc_id", "left")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_spans") + ", n_bytes long, n_removed long, n_spans long, kept string"
+    out = rows.mapInPandas(_strip(texts), schema)
+    return out if with_columns else out.drop("text")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -274,6 +274,19 @@ def score(docs: DataFrame, net: Network | None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("t")).mapInPandas(run, "doc_id long, score double")
 
 
+def keep_below(docs: DataFrame, net: Network | None, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, as they are, whose text scores below the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(net)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        inputs = Projected(shared.value)
+        for pdf in batches:
+            s = score_batch(inputs, list(pdf["text"])) if shared.value is not None and len(pdf) else np.zeros(len(pdf))
+            yield pdf[s < threshold]
+
+    return docs.mapInPandas(run, docs.schema)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
