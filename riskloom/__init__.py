@@ -1,0 +1 @@
+"""Transaction-risk analytics as Spark DataFrame plans."""
