@@ -29,6 +29,8 @@ from .common import materialise, mix, whole_groups
 GRAM = 16
 #: Longer texts are read in pieces of so many bytes, each with its neighbourhood.
 PIECE = 1 << 20
+#: Places in a buffer take so many bits; anchors are chosen by the other bits of a gram's hash, alike in every buffer.
+PLACE_BITS = 24
 #: Anchors with more segments than this are compared by the hash of each window instead of in one group.
 GROUP = 20_000
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -43,7 +45,7 @@ def _anchors(buf: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.ndarray,
     padded = np.concatenate([buf, np.zeros(16, np.uint8)])
     words = np.ndarray((n + 8,), "<u8", padded, strides=(1,))
     gram = mix(words[: n - GRAM + 1] * BASE ^ mix(words[8 : n - GRAM + 9]))
-    bits = np.uint64(n.bit_length())
+    bits = np.uint64(PLACE_BITS)
     low = (gram >> bits << bits) | np.arange(len(gram), dtype=np.uint64)
     size = 1
     while size * 2 <= span:
@@ -184,18 +186,21 @@ class Prefixes:
         self.power = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, BASE), dtype=np.uint64)])
         self.sums = np.concatenate([[np.uint64(0)], np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * self.power[:n], dtype=np.uint64)])
 
-    def equal(self, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
-        low, high = np.minimum(a, b), np.maximum(a, b)
-        return (self.sums[low + length] - self.sums[low]) * self.power[high - low] == self.sums[high + length] - self.sums[high]
+    def of(self, a: np.ndarray, length: int) -> np.ndarray:
+        """Hash of the substring of this length at each place, wherever it lies in the buffer."""
+        return (self.sums[a + length] - self.sums[a]) * self.power[len(self.power) - 1 - a]
 
     def common(self, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
         """Length of the common extension of the suffixes at a and b, up to ``most``, by binary search."""
-        low, high = np.zeros(len(a), np.int64), np.full(len(a), most, np.int64)
-        while (open_ := low < high).any():
-            mid = np.where(open_, (low + high + 1) >> 1, low)
-            same = self.equal(a, b, mid)
-            low, high = np.where(open_ & same, mid, low), np.where(open_ & ~same, mid - 1, high)
-        return low
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        shift, from_low, from_high = self.power[high - low], self.sums[low], self.sums[high]
+        reach = np.zeros(len(a), np.int64)
+        for bit in range(most.bit_length() - 1, -1, -1):
+            longer = reach + (1 << bit)
+            tried = np.minimum(longer, most)
+            same = (self.sums[low + tried] - from_low) * shift == self.sums[high + tried] - from_high
+            reach = np.where(same, tried, reach)
+        return reach
 
     def before(self, a: np.ndarray, b: np.ndarray, most: int, ties: np.ndarray | bool) -> np.ndarray:
         """Whether the suffix at a comes before that at b by its first ``most`` bytes; ``ties`` where they are equal."""
@@ -209,60 +214,83 @@ def suffix_order(hashes: Prefixes, starts: np.ndarray, group: np.ndarray, width:
     n = len(starts)
     order, index = np.arange(n), np.arange(n)
     bounds = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))[: n or 0]
-    begin = bounds[np.cumsum(np.concatenate([[0], group[1:] != group[:-1]]))] if n else index
-    end = np.concatenate([bounds[1:], [n]])[np.searchsorted(bounds, begin)] if n else index
+    sizes = np.diff(np.concatenate([bounds, [n]]))
+    begin = np.repeat(bounds, sizes)
+    end = begin + np.repeat(sizes, sizes)
     run = 1
-    while n and run < int((end - begin).max()):
+    while True:
+        longer = end - begin > run  # groups of one run are in order
+        index, begin, end = index[longer], begin[longer], end[longer]
+        if not len(index):
+            return order
         rank = index - begin
         left = (rank // run) % 2 == 0
         base = index - rank % (2 * run)  # where the two runs that meet begin
         other_lo = np.minimum(np.where(left, base + run, base), end)
         other_hi = np.minimum(np.where(left, base + 2 * run, base + run), end)
-        lo, hi = other_lo.copy(), other_hi.copy()
+        lo, hi, mine = other_lo.copy(), other_hi.copy(), starts[order[index]]
         while (open_ := np.flatnonzero(lo < hi)).size:
             mid = (lo[open_] + hi[open_]) >> 1
-            goes = hashes.before(starts[order[mid]], starts[order[open_]], width, ~left[open_])
+            goes = hashes.before(starts[order[mid]], mine[open_], width, ~left[open_])
             lo[open_], hi[open_] = np.where(goes, mid + 1, lo[open_]), np.where(goes, hi[open_], mid)
-        place = index + (lo - other_lo) - np.where(left, 0, run)
-        merged = np.empty_like(order)
-        merged[place] = order
+        merged = order.copy()
+        merged[index + (lo - other_lo) - np.where(left, 0, run)] = order[index]
         order, run = merged, run * 2
-    return order
+
+
+def _shared(anchor: np.ndarray, part: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which rows have an anchor and part that another document has too."""
+    out = np.zeros(len(doc), bool)
+    order = np.lexsort((doc, part, anchor))
+    new = np.concatenate([[True], (anchor[order][1:] != anchor[order][:-1]) | (part[order][1:] != part[order][:-1])])[: len(order)]
+    first = np.flatnonzero(new)
+    last = np.concatenate([first[1:] - 1, [len(order) - 1]])[: len(first)]
+    out[order] = np.repeat(doc[order][first] != doc[order][last], last - first + 1)
+    return out
 
 
 def repeated_windows(snippets: list[bytes], anchor: np.ndarray, doc: np.ndarray, width: int) -> np.ndarray:
     """For snippets grouped by anchor (not falling): 1 for each window, in the order of snippets, that a snippet of a smaller document of its group has too.
 
-    Windows of a group are compared where they lie alike around the anchor, given by the snippet's own anchor place.
+    Windows of a group are compared where they lie alike around the anchor, given by the snippet's own anchor place. A
+    window reaches ``near`` bytes or more beyond the anchor's gram to the left, or more than the rest of its width to the
+    right: so only those go into the sort whose snippet shares that side of the anchor with another document.
     """
     buf = np.frombuffer(b"".join(snippets) + bytes(1), np.uint8)
     sizes = np.fromiter(map(len, snippets), np.int64, len(snippets))
     ends = np.cumsum(sizes)
     windows = sizes - width + 1
-    owner = np.repeat(np.arange(len(snippets)), windows)
-    within = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-    starts = (ends - sizes)[owner] + within
+    out = np.zeros(int(windows.sum()), bool)
     _, _, at, _ = _anchors(buf[:-1], ends, width)
     place = at - (ends - sizes)  # one segment each, so one anchor each
-    lie = place[owner] - within
+    hashes = Prefixes(buf)
+    near = (width - GRAM + 1) // 2
+    beyond = width - GRAM - near + 1
+    sides = np.zeros((2, len(sizes)), bool)
+    for side, (fits, start, length) in enumerate(((place >= near, at - near, near + GRAM), (at + GRAM + beyond <= ends, at, GRAM + beyond))):
+        i = np.flatnonzero(fits)
+        sides[side, i] = _shared(anchor[i], hashes.of(start[i], length), doc[i])
+    owner = np.repeat(np.arange(len(snippets)), windows)
+    within = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
+    asked = np.flatnonzero(np.where(place[owner] - within >= near, sides[0, owner], sides[1, owner]))
+    owner, within = owner[asked], within[asked]
+    starts, lie = (ends - sizes)[owner] + within, place[owner] - within
     group = np.lexsort((lie, anchor[owner]))
     a, b = anchor[owner][group], lie[group]
-    ids = np.cumsum(np.concatenate([[0], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-    hashes = Prefixes(buf)
-    order = group[suffix_order(hashes, starts[group], ids, width)]
-    gid = ids  # groups keep their places
+    gid = np.cumsum(np.concatenate([[0], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))[: len(group)]
+    order = group[suffix_order(hashes, starts[group], gid, width)]  # groups keep their places
     one, two = starts[order][:-1], starts[order][1:]
-    same = gid[1:] == gid[:-1]
-    cells = np.arange(width)
-    for i in range(0, len(one), 100_000):  # verified byte by byte: no hash collision gets through
-        cut = slice(i, i + 100_000)
-        same[cut] &= (buf[one[cut, None] + cells] == buf[two[cut, None] + cells]).all(axis=1)
-    klass = np.concatenate([[0], np.cumsum(~same)])
+    same = (gid[1:] == gid[:-1]) & (hashes.of(one, width) == hashes.of(two, width))
+    strings = np.lib.stride_tricks.sliding_window_view(buf, width) if len(buf) >= width else np.empty((0, width), np.uint8)
+    alike = np.flatnonzero(same)
+    for i in range(0, len(alike), 100_000):  # verified byte by byte: no hash collision gets through
+        cut = alike[i : i + 100_000]
+        same[cut] = (strings[one[cut]] == strings[two[cut]]).all(axis=1)
+    klass = np.concatenate([[0], np.cumsum(~same)])[: len(order)]
     d = doc[owner][order]
-    least = np.full(klass[-1] + 1, np.iinfo(np.int64).max)
+    least = np.full(int(klass[-1]) + 1 if len(klass) else 0, np.iinfo(np.int64).max)
     np.minimum.at(least, klass, d)
-    out = np.zeros(len(owner), bool)
-    out[order] = d > least[klass]
+    out[asked[order]] = d > least[klass]
     return out
 
 
