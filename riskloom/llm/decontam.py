@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -22,6 +23,8 @@ RATIO, SHORTEST = 0.1, 20
 GRAM = 8
 #: Embeddings and sampled places of each: a window is a candidate if all sampled places of one embedding agree with the item's.
 REPEATS, PLACES = 40, 4
+#: Coins are drawn for so many places of the walks at a time.
+COINS = 256
 #: Items are broadcast in blocks of so many bytes at most, one pass over the documents for each block.
 BLOCK_BYTES = 8 << 20
 SPACES = re.compile(rb"[\x20\x09-\x0D]+")
@@ -54,37 +57,56 @@ def edit_distance(item: bytes, text: bytes) -> tuple[int, int]:
     return best, at
 
 
+@lru_cache(maxsize=4)
+def _coins(seed: int, block: int) -> np.ndarray:
+    """Coins by (place, repeat, symbol) for a block of COINS places of the walks."""
+    return np.random.default_rng((seed, 0, block)).integers(0, 2, (COINS, REPEATS, 256), dtype=np.uint8)
+
+
+@lru_cache(maxsize=4096)
+def _places(seed: int, length: int) -> np.ndarray:
+    """Sampled places by (repeat, sample), rising, for items of a length: within the walk of about its first 0.8 parts."""
+    r, steps = np.random.default_rng((seed, 1, length)), max(PLACES, int(1.6 * length))
+    return np.sort(np.stack([r.choice(steps, PLACES, replace=False) for _ in range(REPEATS)]), axis=1)
+
+
 class Embedding:
-    """CGK walks, all strings at once: place p of a walk holds the symbol at hand; a coin for (repeat, p, symbol) moves on or stays."""
+    """CGK walks, all strings and repeats at once: place p of a walk holds the symbol at hand; a coin for (repeat, p, symbol) moves on or stays."""
 
     def __init__(self, seed: int = 5):
         self.seed = seed
 
     def keys(self, strings: list[bytes], lengths: np.ndarray) -> np.ndarray:
-        """(string, repeat) keys of the places sampled for an item of the given length; 3 places of walk for each byte, padded by 0."""
+        """(string, repeat) keys of the places sampled for an item of the given length; a string that ends goes on as zeros."""
         out = np.zeros((len(strings), REPEATS), np.uint64)
-        for n in np.unique(lengths):
-            rows = np.flatnonzero(lengths == n)
-            width = max(len(strings[i]) for i in rows) + 1
-            text = np.zeros((len(rows), width), np.uint8)
-            for k, i in enumerate(rows):
-                text[k, : len(strings[i])] = np.frombuffer(strings[i], np.uint8)
-            # the walk of the first n bytes; places are sampled over its first two thirds, where it surely is still within the string
-            r = np.random.default_rng((self.seed, int(n)))
-            steps = int(1.6 * n)
-            for rep in range(REPEATS):
-                coins = r.integers(0, 2, (steps, 256), dtype=np.int64)
-                sampled = np.zeros(steps, bool)
-                sampled[r.choice(steps, PLACES, replace=False)] = True
-                at, key = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.uint64)
-                for p in range(int(np.flatnonzero(sampled)[-1]) + 1):
-                    c = text[np.arange(len(rows)), np.minimum(at, width - 1)]
-                    if sampled[p]:
-                        key = (key << np.uint64(8)) | c.astype(np.uint64)
-                    at += coins[p][c]
-                out[rows, rep] = key
+        order = np.argsort(lengths, kind="stable")
+        start = 0
+        while start < len(order):  # strings of like length together, in bounded space
+            rows = order[start : start + max(1, (1 << 18) // (int(lengths[order[start]]) + 64))]
+            rows = rows[lengths[rows] <= 1.25 * lengths[rows[0]] + 16]
+            out[rows] = self._walk([strings[i] for i in rows], lengths[rows])
+            start += len(rows)
         return out
 
+    def _walk(self, strings: list[bytes], lengths: np.ndarray) -> np.ndarray:
+        width = max(map(len, strings)) + 1
+        text = np.frombuffer(b"".join(t.ljust(width, b"\0") for t in strings), np.uint8)
+        base = np.repeat(np.arange(len(strings)) * width, REPEATS)  # walks by (string, repeat)
+        coin_at = np.tile(np.arange(REPEATS) * 256, len(strings))
+        places = np.stack([_places(self.seed, int(n)) for n in lengths]).ravel()
+        due = np.argsort(places, kind="stable")
+        edges = np.searchsorted(places[due], np.arange(places[due[-1]] + 2))
+        symbols, at = np.zeros(len(places), np.uint64), np.zeros(len(base), np.int64)
+        for p in range(len(edges) - 1):
+            c = text[base + np.minimum(at, width - 1)]
+            here = due[edges[p] : edges[p + 1]]
+            symbols[here] = c[here // PLACES]
+            at += _coins(self.seed, p // COINS)[p % COINS].ravel()[coin_at + c]
+        key = np.zeros(len(base), np.uint64)
+        for k in range(PLACES):
+            key = (key << np.uint64(8)) | symbols[k::PLACES]
+        return key.reshape(len(strings), REPEATS)
+
 
 class Items:
     """What a pass over the documents looks up: grams of all items with their item and offset, and LSH keys."""

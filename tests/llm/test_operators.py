@@ -259,7 +259,7 @@ def test_toxicity_learns_and_keeps_rows(spark, awkward, empty):
 
 def test_leaks(spark, awkward):
     r = random.Random(4)
-    items = [(k, " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) for _ in range(30))) for k in range(6)] + [(90, None), (91, ""), (92, "tiny one")]
+    items = [(k, " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) for _ in range(30))) for k in range(6)] + [(90, None), (91, ""), (92, "tiny one"), (93, "\u6f22")]
     docs, want = [], set()
     for k in range(60):
         filler = " ".join("".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(60))
@@ -272,12 +272,12 @@ def test_leaks(spark, awkward):
             t[r.randrange(len(t))] = r.choice(["", "z", "zz"])
         docs.append((k, f"{filler} {''.join(t).upper()}\n{filler}"))
         want.add((k, i))
-    docs.append((99, "x TINY  one y"))
+    docs += [(99, "x TINY  one y"), (98, "a \u6f22 b")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(x["doc_id"], x["item_id"]) for x in decontam.leaks(df, bench).collect()}
-    assert got == want | {(99, 92)}
-    assert decontam.leaks(awkward, bench).count() == 0 and decontam.leaks(df, bench.limit(0)).count() == 0
+    assert got == want | {(99, 92), (98, 93)}
+    assert [r["item_id"] for r in decontam.leaks(awkward, bench).collect()] == [93] and decontam.leaks(df, bench.limit(0)).count() == 0
 
 
 def test_edit_distance():
