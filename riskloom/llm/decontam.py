@@ -129,8 +129,9 @@ class Items:
         self.grams = np.concatenate(grams) if grams else np.empty(0, np.uint64)
         order = np.argsort(self.grams, kind="stable")
         self.grams, self.item, self.offset = self.grams[order], np.concatenate([*item, np.empty(0, np.int64)]).astype(np.int64)[order], np.concatenate([*offset, np.empty(0, np.int64)]).astype(np.int64)[order]
-        self.bits = np.zeros(1 << 22, bool)
-        self.bits[slot(self.grams)] = True
+        self.log_slots = min(24, max(16, (16 * len(self.grams)).bit_length()))
+        self.bits = np.zeros(1 << self.log_slots, bool)
+        self.bits[slot(self.grams, self.log_slots)] = True
         self.embedding = Embedding()
         self.keys = self.embedding.keys(self.texts, self.sizes) if self.texts else np.zeros((0, REPEATS), np.uint64)
         self.least, self.span = (int(self.shared[~short].min()), int((self.sizes + self.allowed)[~short].max())) if (~short).any() else (0, 0)
@@ -140,12 +141,13 @@ class Items:
         g = gram_values(text)
         if not len(g) or not len(self.grams):
             return []
-        at = np.flatnonzero(self.bits[slot(g)])
+        at = np.flatnonzero(self.bits.take(slot(g, self.log_slots)))
         if len(at) < self.least:
             return []
-        left, right = np.searchsorted(self.grams, g[at]), np.searchsorted(self.grams, g[at], side="right")
-        met = right > left
-        at, left, right = at[met], left[met], right[met]
+        left = np.searchsorted(self.grams, g[at])
+        met = self.grams.take(left, mode="clip") == g[at]
+        at, left = at[met], left[met]
+        right = np.searchsorted(self.grams, g[at], side="right")
         near = np.searchsorted(at, at + self.span) - np.arange(len(at))  # grams met within the longest window from here
         dense = np.zeros(len(at) + 1, np.int64)
         good = np.flatnonzero(near >= self.least)
@@ -162,10 +164,10 @@ class Items:
             order = np.lexsort((start, cell, item))
             i, c, s = item[order], cell[order], start[order]
             edges = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (c[1:] != c[:-1]), [True]])) if len(i) else np.zeros(1, np.int64)
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                if b - a >= self.shared[i[a]]:
-                    values, counts = np.unique(s[a:b], return_counts=True)
-                    out |= {(int(i[a]), int(v)) for v in {values[0], values[np.argmax(counts)], values[-1]}}
+            enough = np.flatnonzero(np.diff(edges) >= self.shared[i[edges[:-1]]])
+            for a, b in zip(edges[enough], edges[enough + 1], strict=True):
+                values, counts = np.unique(s[a:b], return_counts=True)
+                out |= {(int(i[a]), int(v)) for v in {values[0], values[np.argmax(counts)], values[-1]}}
         return sorted(out)
 
 
@@ -173,8 +175,8 @@ def gram_values(text: bytes) -> np.ndarray:
     return np.ndarray((len(text) - GRAM + 1,), "<u8", text, strides=(1,)).copy() if len(text) >= GRAM else np.empty(0, np.uint64)
 
 
-def slot(g: np.ndarray) -> np.ndarray:
-    return ((g * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)).astype(np.int64)
+def slot(g: np.ndarray, log_slots: int) -> np.ndarray:
+    return ((g * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - log_slots)).view(np.int64)
 
 
 def find(items: Items, texts: list[str | None]) -> list[tuple[int, int, int]]:
