@@ -7,42 +7,52 @@ logit is that of its most toxic window.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import mix
 from .pst import held_out
 
 WINDOW, STRIDE = 48, 40
 EMBED, HIDDEN, SLOTS = 16, 8, 1 << 16
 #: At most so many labelled rows of each class are used to fit, the ones with the least hash of text; longer texts than LONGEST bytes are left to scoring.
 SAMPLE, LONGEST = 800, 3000
+NGRAMS = (3, 4, 5)
+#: Runs longer than 64 bytes are taken as words of 64 bytes.
+PIECE = re.compile(rb"[^\x20\x09-\x0D]{1,64}")
 THRESHOLD = 0.7
 
 
-class Features(dict):
-    """word -> slots of the word itself and its character n-grams; ``bound`` words are kept."""
-
-    def __init__(self, bound: int = 50_000):
-        super().__init__()
-        self.bound = bound
-
-    def __missing__(self, word: bytes) -> np.ndarray:
-        if len(self) >= self.bound:
-            self.clear()
-        w = b"<" + word[:64] + b">"
-        parts = [w, *(w[i : i + n] for n in (3, 4, 5) for i in range(len(w) - n + 1))]
-        self[word] = out = np.fromiter((zlib.crc32(p) & (SLOTS - 1) for p in parts), np.int64, len(parts))
-        return out
+def slots_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of each word itself and of its character n-grams, word after word, and how many each word has."""
+    marked = [b"<" + w + b">" for w in words]
+    n = np.fromiter(map(len, marked), np.int64, len(marked))
+    raw, first = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint64), np.cumsum(n) - n
+    within = np.arange(len(raw)) - np.repeat(first, n)
+    sizes = 1 + sum(np.maximum(n - k + 1, 0) for k in NGRAMS)
+    start = np.cumsum(sizes) - sizes
+    out = np.empty(int(sizes.sum()), np.int64)
+    out[start] = np.fromiter(map(zlib.crc32, marked), np.int64, len(marked)) & (SLOTS - 1)
+    to = start + 1
+    for k in NGRAMS:
+        at = np.flatnonzero(within <= np.repeat(n - k, n))
+        gram = np.full(len(at), k, np.uint64)
+        for j in range(k):
+            gram = (gram << np.uint64(8)) | raw[at + j]
+        out[np.repeat(to, n)[at] + within[at]] = (mix(gram) & np.uint64(SLOTS - 1)).astype(np.int64)
+        to = to + np.maximum(n - k + 1, 0)
+    return out, sizes
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
 class Network:
@@ -57,10 +67,9 @@ class Network:
             self.p[f"b{d}"] = np.zeros(3 * HIDDEN, np.float32)
         self.p |= {"A": r.normal(0, 0.3, (2 * HIDDEN, HIDDEN)).astype(np.float32), "v": r.normal(0, 0.3, HIDDEN).astype(np.float32), "o": r.normal(0, 0.3, 2 * HIDDEN).astype(np.float32), "c": np.full(1, -2, np.float32)}
 
-    def words(self, vocabulary: list[np.ndarray]) -> np.ndarray:
-        """Input vector of each word of a batch's vocabulary."""
-        sizes = np.fromiter(map(len, vocabulary), np.int64, len(vocabulary))
-        return np.add.reduceat(self.p["E"][np.concatenate(vocabulary)], np.cumsum(sizes) - sizes, axis=0) / np.sqrt(sizes)[:, None].astype(np.float32)
+    def words(self, slots: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Input vector of each word, given as in slots_of."""
+        return np.add.reduceat(self.p["E"][slots], np.cumsum(sizes) - sizes, axis=0) / np.sqrt(sizes)[:, None].astype(np.float32)
 
     def forward(self, projected: dict[str, np.ndarray], at: np.ndarray, mask: np.ndarray, keep: bool = False):
         """Logit of each window. projected: a direction's input terms by word; at (time, window): word of each place; mask: 1 where there is one."""
@@ -131,32 +140,33 @@ def windows(n: int) -> list[tuple[int, int]]:
     return [(a, min(n, a + WINDOW)) for a in range(0, max(1, n - WINDOW + STRIDE), STRIDE)]
 
 
-def grid(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+def grid(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Word index by (time, window), and 1 where there is a word."""
     sizes = np.fromiter(map(len, rows), np.int64, len(rows))
     at = np.zeros((len(rows), int(sizes.max())), np.int32)
     mask = np.arange(at.shape[1]) < sizes[:, None]
-    at[mask] = np.fromiter((x for r in rows for x in r), np.int32, int(sizes.sum()))
+    at[mask] = np.concatenate(rows)
     return np.ascontiguousarray(at.T), np.ascontiguousarray(mask.T).astype(np.float32)
 
 
-def batch(texts: list[list[bytes]], features: Features):
-    """Vocabulary slots, word index by (time, window), mask and text of each window."""
+def batch(texts: list[list[bytes]], features: dict[bytes, np.ndarray]):
+    """Slots of the vocabulary and their number by word, word index by (time, window), mask and text of each window."""
     index: dict[bytes, int] = {}
     rows, owner = [], []
     for i, words in enumerate(texts):
-        ids = [index.setdefault(w, len(index)) for w in words] or [index.setdefault(b"", len(index))]
+        ids = np.array([index.setdefault(w, len(index)) for w in words or [b""]], np.int32)
         for a, b in windows(len(ids)):
             rows.append(ids[a:b])
             owner.append(i)
-    return [features[w] for w in index], *grid(rows), np.array(owner)
+    slots = [features[w] for w in index]
+    return np.concatenate(slots), np.fromiter(map(len, slots), np.int64, len(slots)), *grid(rows), np.array(owner)
 
 
 def tokens(text: str | None) -> list[bytes]:
-    return WORD.findall((text or "").encode("utf-8", "surrogatepass").lower())
+    return PIECE.findall((text or "").encode("utf-8", "surrogatepass").lower())
 
 
-def evidence(parsed: list[list[bytes]], labels: np.ndarray, features: Features) -> np.ndarray:
+def evidence(parsed: list[list[bytes]], labels: np.ndarray, features: dict[bytes, np.ndarray]) -> np.ndarray:
     """For each slot, how many deviations its share of toxic texts lies above its share of others, kept within 4 and scaled to 1."""
     n = np.zeros((2, SLOTS))
     for words, y in zip(parsed, labels, strict=True):
@@ -169,17 +179,18 @@ def evidence(parsed: list[list[bytes]], labels: np.ndarray, features: Features)
 
 def train(texts: list[str], labels: np.ndarray, steps: int = 120, size: int = 48, rate: float = 0.02, seed: int = 7) -> Network:
     """Adam; embedding rows move only when met, and begin with the evidence of their slot in one place. Batches draw both classes as often."""
-    net, features, r = Network(seed), Features(), np.random.default_rng(seed)
+    net, r = Network(seed), np.random.default_rng(seed)
     parsed = [tokens(t) for t in texts]
+    known = list({w for words in parsed for w in words} | {b""})
+    flat, n = slots_of(known)
+    features = dict(zip(known, np.split(flat, np.cumsum(n)[:-1]), strict=True))
     net.p["E"][:, 0] = evidence(parsed, labels, features)
     classes = [np.flatnonzero(labels == c) for c in (0, 1)]
     first, second = {k: np.zeros_like(v) for k, v in net.p.items()}, {k: np.zeros_like(v) for k, v in net.p.items()}
     for step in range(1, steps + 1):
         pick = np.concatenate([r.choice(c, min(size // 2, len(c)), replace=False) for c in classes])
-        slots, at, mask, owner = batch([parsed[j] for j in pick], features)
-        g, dinputs, _ = net.gradients(net.words(slots), at, mask, owner, labels[pick].astype(np.float32))
-        sizes = np.fromiter(map(len, slots), np.int64, len(slots))
-        slot = np.concatenate(slots)
+        slot, sizes, at, mask, owner = batch([parsed[j] for j in pick], features)
+        g, dinputs, _ = net.gradients(net.words(slot, sizes), at, mask, owner, labels[pick].astype(np.float32))
         order = np.argsort(slot, kind="stable")
         rows, first_at = np.unique(slot[order], return_index=True)
         gE = np.add.reduceat((dinputs / np.sqrt(sizes)[:, None])[np.repeat(np.arange(len(sizes)), sizes)[order]], first_at, axis=0)
@@ -198,18 +209,21 @@ class Projected(dict):
 
     def __init__(self, net: Network, bound: int = 250_000):
         super().__init__()
-        self.net, self.bound, self.features = net, bound, Features(0)
+        self.net, self.bound = net, bound
         self.terms = {d: np.empty((0, 3 * HIDDEN), np.float32) for d in "fb"}
 
-    def ids(self, texts: list[list[bytes]]) -> list[list[int]]:
+    def __missing__(self, word: bytes) -> int:
+        self[word] = i = len(self)
+        return i
+
+    def ids(self, texts: list[list[bytes]]) -> list[np.ndarray]:
         if len(self) > self.bound:
             self.clear()
             self.terms = {d: x[:0] for d, x in self.terms.items()}
         known = len(self)
-        out = [[self.setdefault(w, len(self)) for w in words] or [self.setdefault(b"", len(self))] for words in texts]
+        out = [np.fromiter(map(self.__getitem__, words or [b""]), np.int32, len(words) or 1) for words in texts]
         if len(self) > known:
-            new = [self.features.__missing__(w) for w in list(self)[known:]]
-            for d, x in self.net.project(self.net.words(new)).items():
+            for d, x in self.net.project(self.net.words(*slots_of(list(islice(self, known, None))))).items():
                 if len(self) > len(self.terms[d]):  # grow by doubling
                     grown = np.empty((max(2 * len(self), 50_000), 3 * HIDDEN), np.float32)
                     grown[:known] = self.terms[d][:known]
