@@ -50,5 +50,6 @@ def precision_from_rates(prevalence: Column, recall: Column, fpr: Column) -> Col
 def two_proportion_sample_size(p1: float, p2: float, alpha: float = 0.05, power: float = 0.8) -> int:
     if not (0 < p1 < 1 and 0 < p2 < 1) or p1 == p2:
         raise ValueError("two different proportions between 0 and 1 are needed")
-    z = NormalDist().inv_cdf
-    return math.ceil((z(1 - alpha / 2) + z(power)) ** 2 * (p1 * (1 - p1) + p2 * (1 - p2)) / (p1 - p2) ** 2)
+    z, mid = NormalDist().inv_cdf, (p1 + p2) / 2
+    same, apart = math.sqrt(2 * mid * (1 - mid)), math.sqrt(p1 * (1 - p1) + p2 * (1 - p2))
+    return math.ceil(((z(1 - alpha / 2) * same + z(power) * apart) / (p1 - p2)) ** 2)

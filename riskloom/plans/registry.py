@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scoring
-from ..operators import capacity, metrics, pit, policy, queues
+from ..operators import capacity, isolation, metrics, models, pit, policy, queues
 from ..sources import transactions as src
 
 #: Places of the split of the fixture's 720 steps at 60 and 80 %.
@@ -130,6 +130,56 @@ def _hybrid_queue(spark, d):
     return queues.two_lane(evaluation(spark, d), 100).select("transaction_id", "lane")
 
 
+TAILS = ["sender_tx_24h", "recipient_fanin_24h", "recipient_tx_7d", "sender_unique_recipients_7d", "recipient_unique_senders_7d"]
+FEATURES_ML = ["log_amount", *TAILS, "sender_tx_1h", "sender_tx_7d", "pair_tx_7d", "amount_vs_7d_mean", "type_cash_out", "type_transfer"]
+#: Trees of the fixture's models; the operators' own default is that of the full workflow.
+TREES = 8
+
+
+def labelled(t: DataFrame) -> DataFrame:
+    """The fixture's days and kinds of fraud, fixed functions of step and id."""
+    kind = F.when(F.col("is_fraud") == 0, "none").when((F.col("step") >= TEST) & (F.col("transaction_id") % 2 == 0), models.NOVEL).otherwise(F.element_at(F.array(F.lit("account_takeover"), F.lit("transfer_burst"), F.lit("mule_cashout")), (F.col("transaction_id") % 3 + 1).cast("int")))
+    return t.withColumn("day", F.floor(F.col("step") / 24).cast("int")).withColumn("fraud_type", kind)
+
+
+def _ml(s, d):
+    return labelled(pit.step_features(tx(s, d))).select("transaction_id", "step", "day", "is_fraud", "fraud_type", "amount", "score", *FEATURES_ML)
+
+
+def _tail(s, d):
+    f = _ml(s, d)
+    scales = models.fit_tail(f.where((F.col("step") < VAL) & metrics.legit()), TAILS)
+    return f.where(F.col("step") >= TEST).select("transaction_id", F.round(models.tail_score(scales), 7).alias("tail_score"))
+
+
+def _detectors(s, d):
+    with models.kept(_ml(s, d)) as f:
+        past = f.where((F.col("step") < VAL) & metrics.legit())
+        forest, scales = isolation.fit(past, TAILS, trees=50), models.fit_tail(past, TAILS)
+    both = isolation.score(f.where(F.col("step") >= VAL), forest, TAILS).withColumn("tail", models.tail_score(scales))
+    with models.kept(both) as b:
+        cut = {c: metrics.threshold_at_fpr(b.where(F.col("step") < TEST).withColumn("score", F.col(c)), 0.01) for c in ("score", "isolation", "tail")}
+    known, iso, tail = F.col("score") >= cut["score"], F.col("isolation") >= cut["isolation"], F.col("tail") > cut["tail"]
+    return models.compare_detectors(both.where(F.col("step") >= TEST), {"supervised_1pct_fpr": known, "isolation_forest_1pct_fpr": iso, "tail_velocity_1pct_fpr": tail, "hybrid_supervised_tail": known | tail})
+
+
+def _prior_shift(s, d):
+    raw = models.prior_shift(fut(s, d), 0.03, (0.001, 0.01, 0.02), repeats=3)
+    return models.mean_and_sd(raw, ["target_prevalence", "method"], ["n", "observed_prevalence", "mean_predicted_risk", "brier", "log_loss", "ece_10bin"])
+
+
+def _logistic(s, d):
+    with models.kept(_ml(s, d)) as f:
+        m = models.fit_logistic(f.where(F.col("step") < VAL), FEATURES_ML)
+        c = models.fit_sigmoid(models._scored(m.transform(f.where(F.col("step").between(VAL, TEST - 1))), "raw"))
+    return models.calibrate(c, models._scored(m.transform(f.where(F.col("step") >= TEST).drop("score")), "raw")).select("transaction_id", F.round("score", 6).alias("score"))
+
+
+def _verification(s, d):
+    raw = models.verification_bias(_ml(s, d), FEATURES_ML, F.col("transaction_id") % 50 == 0, (18, 24), audits=(0.1, 1.0), seeds=(11,), types=("account_takeover", "transfer_burst", "mule_cashout"), trees=TREES)
+    return models.mean_and_sd(raw, ["audit_rate"], ["labelled_train_n", "labelled_fraud_rate", "known_test_pr_auc", "legit_flag_rate"])
+
+
 QUERIES = {
     "transaction_velocity": lambda s, d: pit.velocity(tx(s, d)),
     "recipient_fanin": lambda s, d: pit.fan_in(tx(s, d)),
@@ -189,6 +239,19 @@ def week(t: str) -> str:
     return f"CAST(FLOOR((FLOOR({t}/86400000000.0)+3)/7) AS BIGINT)"
 
 
+QUERIES |= {
+    "tail_score": _tail,
+    "detector_comparison": _detectors,
+    "prior_shift": _prior_shift,
+    "logistic_scores": _logistic,
+    "fraud_typology": lambda s, d: models.fraud_typology(labelled(fut(s, d))),
+    "experiment_design": lambda s, d: models.experiment_design(val(s, d), 0.3, 0.5),
+    "rolling_backtest": lambda s, d: models.rolling_backtest(_ml(s, d), FEATURES_ML, 18, 4, 2, TREES),
+    "delayed_label_retraining": lambda s, d: models.delayed_label_retraining(_ml(s, d), FEATURES_ML, (18, 24), 26, 4, TREES),
+    "feedback_curve": lambda s, d: models.feedback_curve(_ml(s, d), FEATURES_ML, TAILS, (18, 24, 27), (0, 50), TREES),
+    "verification_bias": _verification,
+}
+
 ORACLE_SQL = {
     "transaction_velocity": f"SELECT transaction_id, COUNT(*) OVER {frame('sender', 'us', H)} AS sender_tx_1h, COUNT(*) OVER {frame('sender', 'us', 24 * H)} AS sender_tx_24h, ROUND(SUM(amount) OVER {frame('sender', 'us', 24 * H)},4) AS sender_amount_24h FROM tx",
     "recipient_fanin": f"SELECT transaction_id, COUNT(*) OVER {frame('recipient', 'us', 24 * H)} AS recipient_fanin_24h, ROUND(SUM(amount) OVER {frame('recipient', 'us', 24 * H)},4) AS recipient_value_24h FROM tx",
@@ -237,4 +300,12 @@ SELECT signal, ROUND(MAX(t),6) AS threshold, {alerts('v>=t')} FROM l JOIN t USIN
     "hourly_arrivals": ", l AS (SELECT us//3600000000 AS hour, CASE WHEN score>=0.45 AND score<0.65 THEN 1 ELSE 0 END e, CASE WHEN anomaly>400 AND score<0.45 THEN 1 ELSE 0 END x FROM eval), c AS (SELECT * FROM l WHERE e+x>0), h AS (SELECT UNNEST(RANGE((SELECT MIN(hour) FROM c),(SELECT MAX(hour)+1 FROM c))) AS hour) SELECT h.hour, CAST(COALESCE(SUM(e),0) AS BIGINT) AS exploit, CAST(COALESCE(SUM(x),0) AS BIGINT) AS explore FROM h LEFT JOIN c ON h.hour=c.hour GROUP BY h.hour",
     "decision_action": "SELECT transaction_id, CASE WHEN LEAST(GREATEST(score,0.0),1.0)>=0.7 THEN 'block' WHEN LEAST(GREATEST(score,0.0),1.0)>=0.3 THEN 'review' ELSE 'approve' END AS action FROM tx",
 }
+_T = ["sender_tx_24h", "recipient_fanin_24h", "recipient_tx_7d", "sender_unique_recipients_7d", "recipient_unique_senders_7d"]
+_PAST = f"""t AS (SELECT transaction_id, step, is_fraud, COUNT(*) OVER {frame('sender', 'step', 24)} AS sender_tx_24h, COUNT(*) OVER {frame('recipient', 'step', 24)} AS recipient_fanin_24h, COUNT(*) OVER {frame('recipient', 'step', 168)} AS recipient_tx_7d,
+ COUNT(DISTINCT recipient) OVER {frame('sender', 'step', 168)} AS sender_unique_recipients_7d, COUNT(DISTINCT sender) OVER {frame('recipient', 'step', 168)} AS recipient_unique_senders_7d FROM tx)"""
+ORACLE_SQL |= {
+    "tail_score": f", {_PAST}, q AS (SELECT " + ", ".join(f"GREATEST(QUANTILE_CONT(LN(1+{c}),0.99),1e-6) AS q_{c}" for c in _T) + " FROM t WHERE step<433 AND is_fraud=0) SELECT transaction_id, ROUND(GREATEST(" + ", ".join(f"LN(1+{c})/q_{c}" for c in _T) + "),7) AS tail_score FROM t CROSS JOIN q WHERE step>=577",
+    "fraud_typology": ", k AS (SELECT amount, CASE WHEN transaction_id%2=0 THEN 'novel_shared_device_microburst' WHEN transaction_id%3=0 THEN 'account_takeover' WHEN transaction_id%3=1 THEN 'transfer_burst' ELSE 'mule_cashout' END AS fraud_type FROM fut WHERE is_fraud=1) SELECT fraud_type, COUNT(*) AS transactions, ROUND(SUM(amount),4) AS fraud_value, ROUND(AVG(amount),4) AS mean_amount, ROUND(COUNT(*)/SUM(COUNT(*)) OVER (),9) AS transaction_share, ROUND(SUM(amount)/SUM(SUM(amount)) OVER (),9) AS value_share FROM k GROUP BY fraud_type",
+    "experiment_design": ", band AS (SELECT COUNT(*) FILTER (WHERE score>=0.3 AND score<0.5) AS n, COALESCE(AVG(is_fraud) FILTER (WHERE score>=0.3 AND score<0.5), AVG(is_fraud)) AS p FROM val), t AS (SELECT n, p, GREATEST(1e-6, p*0.75::DOUBLE) AS q FROM band) SELECT n AS eligible_n, ROUND(p,9) AS baseline_fraud_rate, ROUND(q,9) AS target_fraud_rate, CAST(CEIL(POWER((1.959963984540054::DOUBLE*SQRT((p+q)*(1-(p+q)/2))+0.8416212335729143::DOUBLE*SQRT(p*(1-p)+q*(1-q)))/(p-q),2)) AS BIGINT) AS required_n_per_arm FROM t",
+}
 ORACLE_SQL = {k: TX + v for k, v in ORACLE_SQL.items()}
