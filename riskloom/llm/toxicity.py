@@ -51,6 +51,13 @@ def slots_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, sizes
 
 
+def features_of(words: set[bytes]) -> dict[bytes, np.ndarray]:
+    """Slots of each of the words, and of the empty one that stands for an empty text."""
+    known = list(words | {b""})
+    flat, n = slots_of(known)
+    return dict(zip(known, np.split(flat, np.cumsum(n)[:-1]), strict=True))
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
@@ -181,9 +188,7 @@ def train(texts: list[str], labels: np.ndarray, steps: int = 120, size: int = 48
     """Adam; embedding rows move only when met, and begin with the evidence of their slot in one place. Batches draw both classes as often."""
     net, r = Network(seed), np.random.default_rng(seed)
     parsed = [tokens(t) for t in texts]
-    known = list({w for words in parsed for w in words} | {b""})
-    flat, n = slots_of(known)
-    features = dict(zip(known, np.split(flat, np.cumsum(n)[:-1]), strict=True))
+    features = features_of({w for words in parsed for w in words})
     net.p["E"][:, 0] = evidence(parsed, labels, features)
     classes = [np.flatnonzero(labels == c) for c in (0, 1)]
     first, second = {k: np.zeros_like(v) for k, v in net.p.items()}, {k: np.zeros_like(v) for k, v in net.p.items()}

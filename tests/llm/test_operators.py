@@ -227,8 +227,8 @@ def test_toxicity_gradients():
     net, r = toxicity.Network(1), np.random.default_rng(0)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
     texts = [[b"aa", b"bb", b"cc"], [b"dd"] * 60]
-    slots, at, mask, owner = toxicity.batch(texts, toxicity.Features())
-    x, y = net.words(slots).astype(np.float64), np.array([1.0, 0.0])
+    slots, sizes, at, mask, owner = toxicity.batch(texts, toxicity.features_of({w for t in texts for w in t}))
+    x, y = net.words(slots, sizes).astype(np.float64), np.array([1.0, 0.0])
 
     def loss():
         logit = net.forward(net.project(x), at, mask)
@@ -247,6 +247,15 @@ def test_toxicity_gradients():
         assert g[k][i] == pytest.approx((up - down) / 2e-3, abs=2e-4)
 
 
+def test_toxicity_slots():
+    words = [b"", b"a", b"abcdef", b"abcdef", b"x" * 64]
+    slots, sizes = toxicity.slots_of(words)
+    assert sizes.tolist() == [1 + sum(max(0, len(w) + 2 - k + 1) for k in toxicity.NGRAMS) for w in words]
+    parts = np.split(slots, np.cumsum(sizes)[:-1])
+    assert (parts[2] == parts[3]).all() and all((p == toxicity.slots_of([w])[0]).all() for p, w in zip(parts, words))
+    assert toxicity.tokens("y" * 200) == [b"y" * 64] * 3 + [b"y" * 8]
+
+
 def test_toxicity_learns_and_keeps_rows(spark, awkward, empty):
     r = random.Random(1)
     texts = [" ".join(r.choice("abcdefgh") * r.randint(1, 4) for _ in range(30)) + (" vilewordx" if k % 2 else "") for k in range(160)]
