@@ -1,9 +1,13 @@
 """Language-model scoring with a probabilistic suffix tree over the bytes of a text's words.
 
 A text is read as its words, lower-cased and joined by one space, then an end mark. States are contexts of up to DEPTH
-bytes; one is retained if it is frequent enough and its next-byte distribution diverges from that of its longest proper
+bytes; one is retained if it occurs LEAST times and its next-byte distribution diverges from that of its longest proper
 suffix. Distributions are smoothed by those of the suffix, down to the uniform one. A byte is scored in the state of
 the longest retained suffix of what precedes it.
+
+The tree grows with the corpus and stays in tables: a gram (context and next byte) is scored by joins to the states of
+each depth, each distinct gram once. The most frequent grams are then broadcast with their scores; the other grams of a
+text are joined to theirs.
 """
 
 from __future__ import annotations
@@ -18,15 +22,18 @@ from pyspark.sql import functions as F
 
 from .common import WORD, WordHashes, materialise
 
-DEPTH = 6
-#: A context must make up this share of the training bytes, so that there are at most 1 / SHARE contexts of each length.
-SHARE = 2e-6
+#: A context and its next byte make one 64-bit integer.
+DEPTH = 7
+#: A context must occur so often, whatever the size of the input.
+LEAST = 2
 #: Least divergence, in nats, between a context's and its suffix's next-byte distributions, times the context's count.
 GAIN = 3.0
 #: Weight of the suffix's distribution, in observations.
 PRIOR = 2.0
 #: So many of the most frequent words are scored from a broadcast table; the rest are joined.
 FREQUENT = 1 << 18
+#: At most so many of the most frequent grams are scored from a broadcast table; the rest are joined.
+FREQUENT_GRAMS = 1 << 20
 END, SPACE = 10, 32
 
 
@@ -83,41 +90,62 @@ def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"w": np.fromiter(map(hashes.__getitem__, seen), np.uint64, len(seen)).view(np.int64), "n": list(seen.values())}).astype("int64")
 
 
-def fit(docs: DataFrame) -> tuple[np.ndarray, list[tuple[np.ndarray, ...]]]:
-    """States of the tree from all texts: for each depth the sorted contexts, the log10 weight of the suffix's distribution in each, the sorted (context, next byte) keys and their log10 probability.
+def _last(n: int, column: str = "g"):
+    """The last n bytes of packed grams."""
+    return F.col(column).bitwiseAND((1 << 8 * n) - 1) if n < 8 else F.col(column)
+
+
+def count_grams(docs: DataFrame) -> DataFrame:
+    return materialise(docs.mapInPandas(_count_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+
 
-    Counts are summed where the data lie; contexts are judged by joins; only retained states reach the driver, at most
-    1 / SHARE for each depth whatever the input.
+def fit(counted: DataFrame) -> tuple[np.ndarray, list[DataFrame]]:
+    """The tree from counts of grams: log10 probabilities of the root, and for each depth a table (c, g, n, of) of the retained contexts, their grams, and how often both occur.
+
+    Contexts are judged by joins and stay in tables; only the root's 256 counts reach the driver.
     """
-    counted = materialise(docs.mapInPandas(_count_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    total = counted.agg(F.sum("n")).first()[0] or 0
-    uniform = np.full(256, 1 / 256)
     tables, up = [], None
     for d in range(DEPTH + 1):
-        g = counted.groupBy((F.col("gram").bitwiseAND((1 << 8 * (d + 1)) - 1) if d < 7 else F.col("gram")).alias("g")).agg(F.sum("n").alias("n"))
-        g = g.withColumn("c", F.shiftrightunsigned("g", 8))
-        sums = g.groupBy("c").agg(F.sum("n").alias("of")).where(F.col("of") >= max(2.0, SHARE * total))
+        g = counted.groupBy(_last(d + 1, "gram").alias("g")).agg(F.sum("n").alias("n")).withColumn("c", F.shiftrightunsigned("g", 8))
+        if not d:
+            n = np.zeros(256)
+            for r in g.collect():
+                n[r["g"]] = r["n"]
+            root = (n + PRIOR / 256) / (n.sum() + PRIOR)
+        sums = g.groupBy("c").agg(F.sum("n").alias("of")).where(F.col("of") >= LEAST)
         level = materialise(g.join(sums, "c"), "level")
-        held = level
         if d:
-            gain = level.withColumn("up", F.col("g").bitwiseAND((1 << 8 * d) - 1)).join(up, "up")
+            gain = level.withColumn("up", _last(d)).join(up, "up")
             gain = gain.groupBy("c").agg(F.sum(F.col("n") * F.log(F.col("n") / F.col("of") / F.col("q"))).alias("gain")).where(F.col("gain") >= GAIN)
-            held = level.join(gain.select("c"), "c", "left_semi")
+            tables.append(materialise(level.join(gain.select("c"), "c", "left_semi").select("c", "g", "n", "of"), "states"))
         up = level.select(F.col("g").alias("up"), (F.col("n") / F.col("of")).alias("q"))  # a context's suffix is at least as frequent
-        tables.append(held.select("g", "n", "of").toArrow().to_pandas().assign(g=lambda x: x["g"].to_numpy(np.int64).view(np.uint64)).sort_values("g"))
-    root = uniform.copy()
-    if len(tables[0]):
-        n = np.zeros(256)
-        n[tables[0]["g"].to_numpy(np.int64)] = tables[0]["n"]
-        root = (n + PRIOR * uniform) / (n.sum() + PRIOR)
-    states = []
-    for d in range(1, DEPTH + 1):
-        key, n, of = (tables[d][x].to_numpy() for x in ("g", "n", "of"))
-        suffix = 10.0 ** _log_probability(key & np.uint64((1 << 8 * d) - 1), np.log10(root), states)
-        log_p = np.log10((n + PRIOR * suffix) / (of + PRIOR))
-        first = np.concatenate([[True], key[1:] >> np.uint64(8) != key[:-1] >> np.uint64(8)])[: len(key)]
-        states.append(((key >> np.uint64(8))[first], np.log10(PRIOR / (of[first] + PRIOR)), key, log_p))
-    return np.log10(root), states
+    return np.log10(root), tables
+
+
+def gram_scores(grams: DataFrame, root: np.ndarray, tables: list[DataFrame]) -> DataFrame:
+    """(gram, lp): log10 probability of the last byte of each of the distinct grams, in the longest retained suffix of the bytes before it.
+
+    A part of d + 1 bytes begins with the probability of its last d bytes, and takes its own if its context is a state.
+    """
+    known = grams.select(_last(1, "gram").alias("g")).distinct().select("g", F.element_at(F.array(*map(F.lit, (10.0**root).tolist())), F.col("g").cast("int") + 1).alias("p"))
+    for d, table in enumerate(tables, 1):
+        part = grams.select(_last(d + 1, "gram").alias("g")).distinct() if d < DEPTH else grams.select(F.col("gram").alias("g"))
+        part = part.withColumn("up", _last(d)).withColumn("c", F.shiftrightunsigned("g", 8)).join(known.withColumnRenamed("g", "up"), "up")
+        part = part.join(table.select("g", "n"), "g", "left").join(table.select("c", "of").distinct(), "c", "left")
+        known = part.select("g", F.when(F.col("of").isNull(), F.col("p")).otherwise((F.coalesce("n", F.lit(0)) + PRIOR * F.col("p")) / (F.col("of") + PRIOR)).alias("p"))
+    return known.select(F.col("g").alias("gram"), F.log10("p").alias("lp"))
+
+
+def frequent_grams(counted: DataFrame) -> DataFrame:
+    """The most frequent grams, FREQUENT_GRAMS at most, cut where counts fall by a sixteenth of a doubling; without a sort."""
+    of = F.floor(16 * F.log2("n")).cast("int")
+    held, cut = 0, 1 << 30
+    for r in counted.groupBy(of.alias("b")).count().orderBy(F.desc("b")).collect():
+        held += r["count"]
+        if held > FREQUENT_GRAMS:
+            break
+        cut = r["b"]
+    return counted.where(of >= cut).select("gram")
 
 
 def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +155,7 @@ def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _log_probability(gram: np.ndarray, root: np.ndarray, states: list) -> np.ndarray:
-    """log10 probability of the last byte of packed grams, in the longest retained suffix of the bytes before it."""
+    """As gram_scores, from arrays: for each depth the sorted contexts, the log10 weight of the suffix's distribution in each, the sorted grams and their log10 probability."""
     out = root[(gram & np.uint64(255)).astype(np.int64)].copy()
     for d, (contexts, backed, keys, log_p) in enumerate(states, 1):  # a longer state's own probability replaces a shorter one's
         part = gram & np.uint64((1 << 8 * (d + 1)) - 1)
@@ -137,24 +165,32 @@ def _log_probability(gram: np.ndarray, root: np.ndarray, states: list) -> np.nda
     return out
 
 
-def _score(model, frequent, n_all: int, distinct: int):
-    """Rows: one for each document (kind 0), and one for each of its words that the broadcast table lacks (kind 1)."""
+def _score(grams_known, frequent, n_all: int, distinct: int):
+    """Rows: one for each document (kind 0), one for each of its words (kind 1) and of its grams (kind 2) that the broadcast tables lack."""
     schema = ["kind", "row", "doc_id", "n_tokens", "n_known", "base", "score", "w", "tf"]
 
+    def lacking(kind: int, row: np.ndarray, w: np.ndarray, tf: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"row": row, "w": w.view(np.int64), "tf": tf}).assign(kind=kind, doc_id=pd.array([None] * len(row), dtype="Int64"), n_tokens=0, n_known=0, base=0.0, score=0.0)[schema]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        root, states = model.value
+        grams_at, grams_lp = grams_known.value
         common, counts, end_count = frequent.value
         hashes = WordHashes()
         log_counts, log_all = np.log10(counts + 0.1), np.log10(n_all + 0.1 * (distinct + 1))
         for pdf in batches:
             parsed = [canonical(t) for t in pdf["t"]]
+            row, doc = pdf["row"].to_numpy(np.int64), pdf["doc_id"]
             scores = np.zeros(len(parsed))
             for a, b in _buffers([p[1] for p in parsed], 1 << 19):
                 texts = [p[1] for p in parsed[a:b]]
                 g, where = np.unique(grams(texts), return_inverse=True)
+                at, met = _find(grams_at, g)
                 sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-                scores[a:b] = np.add.reduceat(_log_probability(g, root, states)[where], np.cumsum(sizes) - sizes)
-            row, doc = pdf["row"].to_numpy(np.int64), pdf["doc_id"]
+                scores[a:b] = np.add.reduceat(np.where(met, grams_lp[at] if len(grams_lp) else 0.0, 0.0)[where], np.cumsum(sizes) - sizes)
+                left = np.flatnonzero(~met[where])
+                if len(left):
+                    k, c = np.unique(np.repeat(np.arange(len(texts)), sizes)[left] * len(g) + where[left], return_counts=True)
+                    yield lacking(2, row[a:b][k // len(g)], g[k % len(g)], c)
             base, known, rare = np.zeros(len(parsed)), np.zeros(len(parsed), np.int64), []
             for i, (words, _) in enumerate(parsed):
                 w = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
@@ -163,12 +199,11 @@ def _score(model, frequent, n_all: int, distinct: int):
                 known[i] = found.sum() + (end_count > 0)
                 if not found.all():
                     k, c = np.unique(w[~found], return_counts=True)
-                    rare.append(pd.DataFrame({"row": row[i], "w": k.view(np.int64), "tf": c}))
+                    rare.append((np.full(len(k), row[i]), k, c))
             out = pd.DataFrame({"kind": 0, "row": row, "doc_id": doc, "n_tokens": [len(p[0]) + 1 for p in parsed], "n_known": known, "base": base, "score": scores, "w": 0, "tf": 0})
             yield out[schema]
             if rare:
-                r = pd.concat(rare, ignore_index=True)
-                yield r.assign(kind=1, doc_id=pd.array([None] * len(r), dtype="Int64"), n_tokens=0, n_known=0, base=0.0, score=0.0)[schema]
+                yield lacking(1, *map(np.concatenate, zip(*rare, strict=True)))
 
     return run
 
@@ -182,7 +217,12 @@ def score_texts(docs: DataFrame, train: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     sc = spark.sparkContext
     picked = train.select(F.col("text").alias("t"))
-    model = sc.broadcast(fit(picked))
+    counted = count_grams(picked)
+    root, tables = fit(counted)
+    top = gram_scores(frequent_grams(counted), root, tables).toArrow().to_pandas()
+    key = top["gram"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(key)
+    grams_known = sc.broadcast((key[order], top["lp"].to_numpy(np.float64)[order]))
     ends = picked.count()
     words = materialise(picked.mapInPandas(_count_words, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")), "words")
     n_words, distinct = words.agg(F.sum("n"), F.count("*")).first()
@@ -192,14 +232,16 @@ def score_texts(docs: DataFrame, train: DataFrame) -> DataFrame:
     order = np.argsort(key)
     frequent = sc.broadcast((key[order], top["n"].to_numpy(np.int64)[order], ends))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("t"))
-    out = materialise(rows.mapInPandas(_score(model, frequent, n_all, distinct), "kind int, row long, doc_id long, n_tokens long, n_known long, base double, score double, w long, tf long"), "scored")
+    out = materialise(rows.mapInPandas(_score(grams_known, frequent, n_all, distinct), "kind int, row long, doc_id long, n_tokens long, n_known long, base double, score double, w long, tf long"), "scored")
     rare = out.where("kind = 1").select("row", "w", "tf").join(words, "w", "left").groupBy("row").agg(
         F.sum(F.col("tf") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.1))).alias("rare_base"), F.sum(F.when(F.col("n") > 0, F.col("tf")).otherwise(0)).alias("rare_known")
     )
-    done = out.where("kind = 0").join(rare, "row", "left")
+    lacked = out.where("kind = 2").select("row", F.col("w").alias("gram"), "tf")
+    lacked = lacked.join(materialise(gram_scores(lacked.select("gram").distinct(), root, tables), "gram_scores"), "gram").groupBy("row").agg(F.sum(F.col("tf") * F.col("lp")).alias("rare_score"))
+    done = out.where("kind = 0").join(rare, "row", "left").join(lacked, "row", "left")
     return done.select(
         "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"), "score",
+        (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("rare_score", F.lit(0.0))).alias("score"),
     )
 
 

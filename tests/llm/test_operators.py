@@ -171,6 +171,36 @@ def test_suffix_tree_is_a_distribution():
     assert p.sum() == pytest.approx(1)
 
 
+def test_suffix_tree_keeps_states_whatever_the_size(spark, monkeypatch):
+    """A context seen 40 times stays a state among 30 MB of others, and all grams score as by the whole tree read byte by byte."""
+    few = [("quixq zebra " * 2,)] * 20
+    big = spark.createDataFrame(few + [(" ".join(f"w{i * 7919 % 5000}" for i in range(k, k + 1000)),) for k in range(60)], "t string")
+    big = big.unionByName(spark.range(500).selectExpr("repeat('lorem ipsum ', 5000) as t"))
+    root, tables = pst.fit(pst.count_grams(big))
+    contexts = {r["c"] for table in tables for r in table.where("n >= 20").select("c").distinct().collect()}
+    assert int.from_bytes(b"qu", "big") in contexts
+    docs = spark.createDataFrame([(1, "quixq zebra w1 unseen"), (2, None), (3, "quixq " * 3)], "doc_id long, text string")
+    train = big.select(pst.F.lit(9).cast("long").alias("doc_id"), pst.F.col("t").alias("text"))
+    held = [{r["c"]: r["of"] for r in x.collect()} for x in tables]
+    n = [{r["g"]: r["n"] for r in x.collect()} for x in tables]
+
+    def score(text):
+        out, b = 0.0, b"\n" * pst.DEPTH + pst.canonical(text)[1]
+        for i in range(pst.DEPTH, len(b)):
+            p = 10 ** root[b[i]]
+            for d in range(1, pst.DEPTH + 1):
+                c, g = (int.from_bytes(b[i - d : i + e], "big") for e in (0, 1))
+                if c in held[d - 1]:
+                    p = (n[d - 1].get(g, 0) + pst.PRIOR * p) / (held[d - 1][c] + pst.PRIOR)
+            out += math.log10(p)
+        return out
+
+    for most in (1 << 20, 40):  # all and some of the grams broadcast
+        monkeypatch.setattr(pst, "FREQUENT_GRAMS", most)
+        got = {r["doc_id"]: r["score"] for r in pst.score_texts(docs, train).collect()}
+        assert got == {r["doc_id"]: pytest.approx(score(r["text"]), rel=1e-9) for r in docs.collect()}
+
+
 def test_chat_round_trip(spark):
     said = ["\\### Assistant: </turn> ok", "", "\\", "### user: x", " </turn>\n", "plain " * 900]
     table = [(c, k, ("system", "user", "assistant", "a: b")[k % 4], said[(c + k) % 6]) for c in range(4) for k in range(40)] + [(9, 0, None, None), (None, 0, "user", "x")]
