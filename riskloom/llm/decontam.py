@@ -5,7 +5,8 @@ is within ``ratio`` times its length of it in edit distance. By the q-gram lemma
 8-grams, at nearly one offset: these offsets say where windows of the item's size are worth embedding. The CGK random
 walk copies each symbol and moves on by a coin that depends on place and symbol, so that strings a few edits apart soon
 walk in step; keys of sampled places of the walk are looked up among the items' keys, over repeated embeddings.
-Candidates are verified by exact edit distance.
+Walks of long strings seldom stay in step, so an item is cut into equal parts of PART bytes at most: if the item is
+within the bound, so is one of its parts at least. Items with a part that agrees are verified by exact edit distance.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ RATIO, SHORTEST = 0.1, 20
 GRAM = 8
 #: Embeddings and sampled places of each: a window is a candidate if all sampled places of one embedding agree with the item's.
 REPEATS, PLACES = 40, 4
+#: Parts so long, embedded REPEATS times, are meant to keep this share of the items edited to the full bound, whatever their length.
+PART, TARGET = 100, 0.99
 #: Coins are drawn for so many places of the walks at a time.
 COINS = 256
 #: Items are broadcast in blocks of so many bytes at most, one pass over the documents for each block.
@@ -113,12 +116,21 @@ class Items:
 
     def __init__(self, ids: list[int], texts: list[bytes], ratio: float):
         keep = [i for i, t in enumerate(texts) if t]
-        self.ids, self.texts = [ids[i] for i in keep], [texts[i] for i in keep]
+        self.ids, self.whole = [ids[i] for i in keep], [texts[i] for i in keep]
+        self.room = [int(ratio * len(t)) if len(t) >= SHORTEST else 0 for t in self.whole]
+        #: Parts, the item of each, and where in it each begins.
+        self.texts, self.of, self.begin = [], [], []
+        for i, t in enumerate(self.whole):
+            n = -(-len(t) // PART)
+            edges = [len(t) * k // n for k in range(n + 1)]
+            self.texts += [t[a:b] for a, b in zip(edges, edges[1:])]
+            self.of += [i] * n
+            self.begin += edges[:-1]
         self.allowed = np.array([int(ratio * len(t)) if len(t) >= SHORTEST else 0 for t in self.texts], np.int64)
         self.sizes = np.array([len(t) for t in self.texts], np.int64)
         short = self.sizes < SHORTEST  # looked for whole
         self.short = [i for i in np.flatnonzero(short)]
-        #: An item of n bytes within k edits shares n - GRAM + 1 - k * GRAM grams at least.
+        #: A part of n bytes within k edits shares n - GRAM + 1 - k * GRAM grams at least.
         self.shared = np.maximum(1, self.sizes - GRAM + 1 - self.allowed * GRAM)
         grams, item, offset = [], [], []
         for i in np.flatnonzero(~short):
@@ -137,7 +149,7 @@ class Items:
         self.least, self.span = (int(self.shared[~short].min()), int((self.sizes + self.allowed)[~short].max())) if (~short).any() else (0, 0)
 
     def windows(self, text: bytes) -> list[tuple[int, int]]:
-        """(item, start): where enough of the item's grams lie on nearly one diagonal."""
+        """(part, start): where enough of the part's grams lie on nearly one diagonal."""
         g = gram_values(text)
         if not len(g) or not len(self.grams):
             return []
@@ -181,21 +193,28 @@ def slot(g: np.ndarray, log_slots: int) -> np.ndarray:
 
 def find(items: Items, texts: list[str | None]) -> list[tuple[int, int, int]]:
     """(text, item, distance) of all leaks."""
-    out = {}
+    out, spans = {}, {}
     plain = [normal(t) for t in texts]
-    spots = [(k, i, max(0, s)) for k, t in enumerate(plain) for i, s in items.windows(t)]
+    spots = [(k, i, s) for k, t in enumerate(plain) for i, s in items.windows(t)]
     if spots:
-        strings = [plain[k][s : s + int(items.sizes[i])] for k, i, s in spots]
+        strings = [plain[k][max(0, s) : max(0, s) + int(items.sizes[i])] for k, i, s in spots]
         keys = items.embedding.keys(strings, items.sizes[[i for _, i, _ in spots]])
         candidate = (keys == items.keys[[i for _, i, _ in spots]]).any(axis=1)
         for (k, i, s), ok in zip(spots, candidate, strict=True):
-            if ok and out.get((k, i), 1) > 0:
-                room = int(items.allowed[i])
-                d, _ = edit_distance(items.texts[i], plain[k][max(0, s - 2 * room) : s + int(items.sizes[i]) + 2 * room])
-                if d <= room:
-                    out[k, i] = min(d, out.get((k, i), d))
+            if ok:
+                spans.setdefault((k, items.of[i]), set()).add(s - items.begin[i])
+    for (k, i), starts in spans.items():
+        room, size, joined = items.room[i], len(items.whole[i]), []
+        for s in sorted(starts):  # windows that overlap are read as one
+            if joined and s - 2 * room <= joined[-1][1]:
+                joined[-1][1] = s + size + 2 * room
+            else:
+                joined.append([s - 2 * room, s + size + 2 * room])
+        d = min(edit_distance(items.whole[i], plain[k][max(0, a) : max(0, b)])[0] for a, b in joined)
+        if d <= room:
+            out[k, i] = d
     for i in items.short:
-        out |= {(k, i): 0 for k, t in enumerate(plain) if items.texts[i] in t}
+        out |= {(k, items.of[i]): 0 for k, t in enumerate(plain) if items.texts[i] in t}
     return [(k, items.ids[i], d) for (k, i), d in sorted(out.items())]
 
 

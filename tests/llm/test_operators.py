@@ -319,6 +319,24 @@ def test_leaks(spark, awkward):
     assert [r["item_id"] for r in decontam.leaks(awkward, bench).collect()] == [93] and decontam.leaks(df, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [100, 150, 300, 600, 1200, 3000])
+def test_leaks_at_the_full_bound(size):
+    """Of items edited at random places by as many edits as the bound allows, the target share is found."""
+    r = random.Random(size)
+    words = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(2, 9))) for _ in range(3000)]
+    text = lambda n: " ".join(r.choices(words, k=n))[:n].strip().encode()
+    bench = [text(size) for _ in range(100)]
+    items, found = decontam.Items(list(range(100)), bench, 0.1), 0
+    for i, item in enumerate(bench):
+        edited = bytearray(item)
+        for _ in range(int(0.1 * len(item))):
+            at, kind = r.randrange(len(edited)), r.randrange(3)
+            edited[at : at + (kind != 1)] = b"" if kind == 0 else r.choice(b"abcdefghijklmnopqrstuvwxyz").to_bytes()
+        assert decontam.edit_distance(item, bytes(edited))[0] <= int(0.1 * len(item))
+        found += i in {x for _, x, _ in decontam.find(items, [(text(400) + b" " + bytes(edited) + b" " + text(400)).decode()])}
+    assert found >= decontam.TARGET * 100
+
+
 def test_edit_distance():
     assert decontam.edit_distance(b"kitten", b"my sitting cat")[0] == 2
     assert decontam.edit_distance(b"abc", b"")[0] == 3
