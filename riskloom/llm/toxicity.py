@@ -265,13 +265,14 @@ def score_batch(inputs: Projected, texts: list[str | None], most: int = 40_000)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, limit: int, longest: int = LONGEST) -> pd.DataFrame:
-    """(text, y) of at most ``limit`` labelled rows of each class, those with the least hash of their text."""
+    """(text, y) of at most ``limit`` labelled texts of each class, those with the least hash; equal texts of a class count once."""
     y = labels.where(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(column).alias("y"))
     rows = docs.where((F.octet_length("text") <= longest) & F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("h"))
     rows = rows.join(y, "doc_id").select("doc_id", "y", "h")
+    rows = rows.groupBy("y", "h").agg(F.min("doc_id").alias("doc_id"))
     keys = [rows.where(F.col("y") == c).orderBy("h", "doc_id").limit(limit) for c in (0, 1)]
     picked = keys[0].unionByName(keys[1])
-    return docs.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y", "h").orderBy("h", "doc_id").toPandas()  # 2 * limit rows of ids are broadcast
+    return docs.withColumn("h", F.xxhash64("text")).join(F.broadcast(picked), ["doc_id", "h"]).select("doc_id", "text", "y", "h").dropDuplicates(["y", "h"]).orderBy("h", "doc_id", "y").toPandas()  # 2 * limit rows of ids are broadcast
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network | None:

@@ -296,6 +296,14 @@ def test_toxicity_learns_and_keeps_rows(spark, awkward, empty):
     assert toxicity.keep_below(empty, net).count() == 0 and toxicity.score(awkward, None).where("score = 0").count() == len(AWKWARD)
 
 
+def test_labelled_sample_takes_equal_texts_once(spark):
+    docs = spark.range(600).selectExpr("id as doc_id", "case when id < 500 then 'copied text' else concat('text ', id) end as text")
+    docs = docs.unionByName(docs.where("doc_id = 0"))
+    labels = spark.range(600).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic")
+    got = toxicity.labelled_sample(docs, labels, "toxic", 51)
+    assert got.groupby("y")["text"].nunique().to_dict() == {0: 51, 1: 51} and len(got) == 102
+
+
 def test_leaks(spark, awkward):
     r = random.Random(4)
     items = [(k, " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) for _ in range(30))) for k in range(6)] + [(90, None), (91, ""), (92, "tiny one"), (93, "\u6f22")]
