@@ -22,7 +22,8 @@ ROWS, BANDS = 4, 20
 #: Samples and bits of the sketch that all sets get, and of the finer one for members of buckets that hold several components.
 #: A pair whose sketches estimate a similarity this far below the threshold is not confirmed: over five deviations of the estimate.
 COARSE, FINE = (256, 512, 0.17), (2048, 4096, 0.055)
-BLOCK = 256
+#: A block of a bucket that holds several components has about so many bytes of sets and sketches on either side.
+BLOCK_BYTES = 8 << 20
 SETS = "doc_id long, n long, fp binary, bands array<long>, sketch array<long>"
 
 
@@ -95,10 +96,13 @@ def _own(n: int):
 
 
 def _finer(n: int):
+    """Finer sketch and full set of each text."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = WordHashes()
         for pdf in batches:
-            yield pd.DataFrame({"fp": pdf["fp"], "fine": [odd_sketch(signature(shingles(words.of(t), n), FINE[0]), FINE[1]) for t in pdf["t"]]})
+            sets = [shingles(words.of(t), n) for t in pdf["t"]]
+            yield pd.DataFrame({"fp": pdf["fp"], "fine": [odd_sketch(signature(x, FINE[0]), FINE[1]).tobytes() for x in sets], "items": [x.tobytes() for x in sets]})
 
     return run
 
@@ -131,27 +135,46 @@ def _differ(a: str, b: str):
     return sum(F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(COARSE[1] // 64))
 
 
-def _across(limit: int, best: bool):
-    """Over (key, minor block, block, side, fp, root, fine) sorted by the first three: pairs of a minor (side 0) and a
-    member (side 1) with other roots and sketches within ``limit``; with ``best`` only the nearest for each minor and root."""
+def joining_links(pdf: pd.DataFrame, limit: int, percent: int) -> list[tuple[bytes, bytes]]:
+    """Confirmed links of a block that join two components, fewer than the block has members.
+
+    Each open member asked (side 0) is held against the others (side 1) of other components whose finer sketch is
+    within ``limit``, nearest first, on full sets; what is linked counts as one component from then on. Two open members
+    meet where the one of the greater fingerprint is asked.
+    """
+    sketch = np.frombuffer(b"".join(pdf["fine"]), np.uint64).reshape(len(pdf), -1)
+    items = [np.frombuffer(x, np.uint64) for x in pdf["items"]]
+    size, fp, open_ = np.fromiter(map(len, items), np.int64, len(items)), pdf["fp"].to_numpy(), pdf["open"].to_numpy(bool)
+    label, order = pd.factorize(pdf["root"])[0], np.array(list(fp), "S16")
+    side = pdf["side"].to_numpy()
+    other, out = np.flatnonzero(side == 1), []
+    theirs = sketch[other]
+    for m in np.flatnonzero(side == 0):
+        apart = np.bitwise_count(theirs ^ sketch[m]).sum(axis=1)
+        asked = (apart <= limit) & (~open_[other] | (order[other] < order[m]))
+        near = other[asked][np.argsort(apart[asked], kind="stable")]
+        for some in (near[:16], near[16:]):
+            some = some[label[some] != label[m]]
+            if not len(some):
+                continue
+            flat = np.concatenate([items[o] for o in some])
+            met = items[m][np.minimum(np.searchsorted(items[m], flat), size[m] - 1)] == flat
+            both = np.add.reduceat(met.astype(np.int64), np.cumsum(size[some]) - size[some])
+            for o in some[100 * both >= percent * (size[m] + size[some] - both)]:
+                if label[o] != label[m]:
+                    out.append((fp[m], fp[o]))
+                    label[label == label[o]] = label[m]
+    return out
+
+
+def _within_blocks(limit: int, percent: int):
+    """Over rows sorted by (key, i, j), the block: its joining links."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in whole_groups(batches, ["key", "i", "j"]):
-            out = []
-            sk = np.stack([np.asarray(x, np.int64) for x in pdf["fine"]]).view(np.uint64)
-            fp, root, side = pdf["fp"].to_numpy(), pdf["root"].to_numpy(), pdf["side"].to_numpy()
             key = pdf[["key", "i", "j"]].to_numpy()
             edges = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1), [True]]))
-            for s, e in zip(edges[:-1], edges[1:], strict=True):
-                minor, other = np.flatnonzero(side[s:e] == 0) + s, np.flatnonzero(side[s:e] == 1) + s
-                for m in minor:
-                    apart = np.bitwise_count(sk[other] ^ sk[m]).sum(axis=1)
-                    ok = (apart <= limit) & (root[other] != root[m])
-                    near = other[ok]
-                    if best and len(near):
-                        near = near[np.argsort(apart[ok], kind="stable")]
-                        near = near[~pd.Series(root[near]).duplicated().to_numpy()]
-                    out += [(fp[m], fp[o]) for o in near]
+            out = [link for s, e in zip(edges[:-1], edges[1:], strict=True) for link in joining_links(pdf.iloc[s:e], limit, percent)]
             if out:
                 yield pd.DataFrame(out, columns=["a", "b"])
 
@@ -162,10 +185,11 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80) ->
     """(doc_id, n_shingles, component_id, kept) for every row: documents linked where 100 * |A & B| >= percent * |A | B|.
 
     Rows with equal sets are one class from the start. Representatives of classes meet in MinHash buckets (20 bands of
-    4 rows: a pair at 0.85 is missed once in a million, at 0.8 once in 30,000). Each is first held against the least
-    member of its buckets; components follow. Where a bucket then still holds several components, members outside its
-    largest one are held against all others, in blocks of at most 256 by 256: first the nearest of each component, then
-    all that are left. So no bucket is expanded into its pairs, and no link that decides a component is lost.
+    4 rows: a pair at 0.85 is missed once in a million, at 0.8 once in 30,000). Each is first held against the hub of
+    its buckets, the member that meets most others in all of its own; components follow. Where a bucket then still
+    holds several components, members outside its largest one are held against all others, in blocks of bounded bytes,
+    and a block gives only links that join components. So no bucket is expanded into its pairs, and no link that decides
+    a component is lost.
 
     Null or empty texts and texts without words have no shingles: n_shingles 0, linked with nothing. A null doc_id is
     linked with nothing either: component_id null, kept true. Rows repeating a doc_id share its component if their
@@ -176,8 +200,11 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80) ->
     classes = sets.where("doc_id is not null and n > 0").groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     classes = materialise(classes, "classes")
     bands = classes.select("fp", "copies", F.explode("bands").alias("key"))
-    hubs = bands.groupBy("key").agg(F.max(F.struct("copies", "fp"))["fp"].alias("hub"), F.count("*").alias("members")).where("members > 1")
-    shared = materialise(bands.join(hubs, "key").drop("copies"), "shared")  # members of buckets with company
+    company = bands.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    met = bands.join(company, "key").groupBy("fp").agg(F.sum("members").alias("met"), F.max("copies").alias("copies"), F.collect_list("key").alias("keys"))  # BANDS keys at most
+    met = materialise(met.select("fp", "met", "copies", F.explode("keys").alias("key")), "met")  # members of buckets with company
+    hubs = met.groupBy("key").agg(F.max(F.struct("met", "copies", "fp"))["fp"].alias("hub"))
+    shared = materialise(met.join(hubs, "key").select("key", "fp", "hub"), "shared")
     asked = shared.select("fp").distinct().join(classes.select("fp", "least"), "fp")
     texts = sets.select("doc_id", "fp").join(asked, "fp").where("doc_id = least").select("doc_id", "fp").distinct()
     texts = materialise(rows.join(texts, "doc_id").mapInPandas(_own(shingle), "fp binary, t string").dropDuplicates(["fp"]), "texts")
@@ -193,26 +220,22 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80) ->
     sk = classes.select("fp", "sketch")
     first = shared.where("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct()
     first = first.join(sk.select(F.col("fp").alias("a"), F.col("sketch").alias("sa")), "a").join(sk.select(F.col("fp").alias("b"), F.col("sketch").alias("sb")), "b")
-    roots, fine = materialise(components(confirmed(first.where(_differ("sa", "sb") <= limit(*COARSE)).select("a", "b"))), "roots"), None
-    for best in (True, False):
-        member = shared.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
-        by_root = member.groupBy("key", "root").agg(F.count("*").alias("n"))
-        mixed = by_root.groupBy("key").agg(F.max_by("root", "n").alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all"), F.count("*").alias("roots")).where("roots > 1").select("key", "main", "n_main", "n_all")
-        member = materialise(member.join(mixed, "key"), "mixed")
-        if fine is None:
-            fine = materialise(texts.join(member.select("fp").distinct(), "fp").mapInPandas(_finer(shingle), "fp binary, fine array<long>"), "fine")
-        held = member.join(fine, "fp")
-        minors, blocks = F.ceil((F.col("n_all") - F.col("n_main")) / BLOCK), F.ceil(F.col("n_all") / BLOCK)
-        spot = F.abs(F.hash("fp"))
-        zero = held.where("root <> main").select("key", (spot % minors).cast("long").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("j"), F.lit(0).alias("side"), "fp", "root", "fine")
-        one = held.select("key", F.explode(F.sequence(F.lit(0).cast("long"), minors - 1)).alias("i"), (spot % blocks).cast("long").alias("j"), F.lit(1).alias("side"), "fp", "root", "fine")
-        pairs = zero.unionByName(one).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(_across(limit(*FINE), best), "a binary, b binary")
-        pairs = materialise(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "across")
-        links = None if pairs.isEmpty() else confirmed(pairs)
-        if links is None or links.isEmpty():  # the second time round would find nothing new either
-            if links is None or not best:
-                break
-            continue
+    roots = materialise(components(confirmed(first.where(_differ("sa", "sb") <= limit(*COARSE)).select("a", "b"))), "roots")
+    member = shared.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
+    by_root = member.groupBy("key", "root").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.sum(F.xxhash64("root", "fp").cast("decimal(38,0)")).alias("y"))
+    mixed = by_root.groupBy("key").agg(F.max_by("root", "n").alias("main"), F.count("*").alias("roots"), F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.sum("y").alias("y")).where("roots > 1")
+    member = materialise(member.join(mixed.dropDuplicates(["n", "x", "y"]).select("key", "main"), "key"), "mixed")  # buckets of the same members count once
+    fine = texts.join(member.select("fp").distinct(), "fp").mapInPandas(_finer(shingle), "fp binary, fine binary, items binary")
+    fine = materialise(fine.withColumn("bytes", F.octet_length("fine") + F.octet_length("items")), "fine")
+    held = member.join(fine, "fp").withColumn("open", F.col("root") != F.col("main"))
+    sizes = held.groupBy("key").agg(F.ceil(F.sum(F.when(F.col("open"), F.col("bytes"))) / BLOCK_BYTES).alias("minors"), F.ceil(F.sum("bytes") / BLOCK_BYTES).alias("blocks"))
+    held, spot, zero = held.join(sizes, "key"), F.abs(F.hash("fp")).cast("long"), F.lit(0).cast("long")
+    row = ["key", "i", "j", "side", "open", "fp", "root", "fine", "items"]
+    asked = held.where("open").withColumn("i", spot % F.col("minors")).withColumn("j", F.explode(F.sequence(zero, F.col("blocks") - 1))).withColumn("side", F.lit(0))
+    others = held.withColumn("i", F.explode(F.sequence(zero, F.col("minors") - 1))).withColumn("j", spot % F.col("blocks")).withColumn("side", F.lit(1))
+    blocks = asked.select(*row).unionByName(others.select(*row)).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    links = materialise(blocks.mapInPandas(_within_blocks(limit(*FINE), percent), "a binary, b binary"), "links")
+    if not links.isEmpty():
         roots = materialise(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links)), "roots")
     named = classes.select("fp", "least").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     lowest = named.groupBy("root").agg(F.min("least").alias("component_id"))
