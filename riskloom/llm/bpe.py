@@ -23,7 +23,7 @@ NEVER = 1 << 40
 class Vocabulary:
     """Ranks of byte strings; which single tokens and which neighbours merging leaves alone is learnt when asked."""
 
-    def __init__(self, lines: bytes, bound: int = 400_000):
+    def __init__(self, lines: bytes, bound: int = 200_000):
         self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines.splitlines() if x)}
         self.bytes = {i: b for b, i in self.ranks.items()}
         self.longest, self.bound = max(map(len, self.ranks)), bound
@@ -119,7 +119,7 @@ class Encoder(dict):
     Pieces share prefixes, so the table of last tokens is kept by prefix across pieces, with a bound of its own.
     """
 
-    def __init__(self, lines: bytes, pattern: str, bound: int = 500_000, prefixes: int = 500_000):
+    def __init__(self, lines: bytes, pattern: str, bound: int = 200_000, prefixes: int = 200_000):
         super().__init__()
         self.vocabulary, self.split, self.bound, self.prefixes = Vocabulary(lines), regex.compile(pattern).findall, bound, prefixes
         self.spelled = {str(i): b for i, b in self.vocabulary.bytes.items()}
@@ -181,14 +181,6 @@ def vocabulary_file(name: str = "byte_bpe_50k.tiktoken") -> tuple[bytes, str]:
         return f.read(), public_tokenizers.PATTERN
 
 
-def _encoder(lines, pattern: str, kept: dict = {}) -> Encoder:  # noqa: B006  one for each Python worker
-    key = (lines.id if hasattr(lines, "id") else 0, pattern)
-    if key not in kept:
-        kept.clear()
-        kept[key] = Encoder(lines.value, pattern)
-    return kept[key]
-
-
 def encode(docs: DataFrame, *, key: str = "doc_id", text: str = "text", vocabulary: tuple[bytes, str] | None = None, ids: bool = True) -> DataFrame:
     """Encode every whole text; no shuffle, memory bounded by a batch of rows and the bounded caches.
 
@@ -200,7 +192,7 @@ def encode(docs: DataFrame, *, key: str = "doc_id", text: str = "text", vocabula
     shared = docs.sparkSession.sparkContext.broadcast(lines)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = _encoder(shared, pattern)
+        encoder = Encoder(shared.value, pattern)  # of this task: its caches go with it
         for pdf in batches:
             rows = []
             for t in pdf["t"]:
