@@ -22,8 +22,10 @@ from .pst import held_out
 
 WINDOW, STRIDE = 48, 40
 EMBED, HIDDEN, SLOTS = 16, 8, 1 << 16
-#: At most so many labelled rows of each class are used to fit, the ones with the least hash of text; longer texts than LONGEST bytes are left to scoring.
-SAMPLE, LONGEST = 800, 3000
+#: At most so many labelled texts of each class are used to fit, the ones with the least hash of text.
+SAMPLE = 800
+#: Of a text of more windows than these, those of most evidence are used to fit; scoring reads them all.
+FITTED = 4
 NGRAMS = (3, 4, 5)
 #: Runs longer than 64 bytes are taken as words of 64 bytes.
 PIECE = re.compile(rb"[^\x20\x09-\x0D]{1,64}")
@@ -156,17 +158,12 @@ def grid(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(at.T), np.ascontiguousarray(mask.T).astype(np.float32)
 
 
-def batch(texts: list[list[bytes]], features: dict[bytes, np.ndarray]):
-    """Slots of the vocabulary and their number by word, word index by (time, window), mask and text of each window."""
+def batch(texts: list[list[list[bytes]]], features: dict[bytes, np.ndarray]):
+    """Of texts given by windows: slots of the vocabulary and their number by word, word index by (time, window), mask and text of each window."""
     index: dict[bytes, int] = {}
-    rows, owner = [], []
-    for i, words in enumerate(texts):
-        ids = np.array([index.setdefault(w, len(index)) for w in words or [b""]], np.int32)
-        for a, b in windows(len(ids)):
-            rows.append(ids[a:b])
-            owner.append(i)
+    rows = [np.array([index.setdefault(w, len(index)) for w in words or [b""]], np.int32) for text in texts for words in text]
     slots = [features[w] for w in index]
-    return np.concatenate(slots), np.fromiter(map(len, slots), np.int64, len(slots)), *grid(rows), np.array(owner)
+    return np.concatenate(slots), np.fromiter(map(len, slots), np.int64, len(slots)), *grid(rows), np.repeat(np.arange(len(texts)), [len(t) for t in texts])
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -184,12 +181,24 @@ def evidence(parsed: list[list[bytes]], labels: np.ndarray, features: dict[bytes
     return (np.clip(odds / np.sqrt(1 / (n[0] + 0.5) + 1 / (n[1] + 0.5)), -4, 4) / 4).astype(np.float32) * (n.sum(axis=0) > 0)
 
 
+def telling(words: list[bytes], worth: dict[bytes, float]) -> list[list[bytes]]:
+    """The FITTED windows of a text whose words have most evidence, in order."""
+    spans = windows(len(words))
+    if len(spans) > FITTED:
+        sums = np.cumsum([0.0, *(worth[w] for w in words)])
+        best = np.argsort([-(sums[b] - sums[a]) / (b - a) for a, b in spans], kind="stable")[:FITTED]
+        spans = [spans[i] for i in np.sort(best)]
+    return [words[a:b] for a, b in spans]
+
+
 def train(texts: list[str], labels: np.ndarray, steps: int = 120, size: int = 48, rate: float = 0.02, seed: int = 7) -> Network:
     """Adam; embedding rows move only when met, and begin with the evidence of their slot in one place. Batches draw both classes as often."""
     net, r = Network(seed), np.random.default_rng(seed)
     parsed = [tokens(t) for t in texts]
     features = features_of({w for words in parsed for w in words})
     net.p["E"][:, 0] = evidence(parsed, labels, features)
+    worth = {w: float(np.maximum(net.p["E"][x, 0], 0).mean()) for w, x in features.items()}
+    parsed = [telling(words, worth) for words in parsed]
     classes = [np.flatnonzero(labels == c) for c in (0, 1)]
     first, second = {k: np.zeros_like(v) for k, v in net.p.items()}, {k: np.zeros_like(v) for k, v in net.p.items()}
     for step in range(1, steps + 1):
@@ -210,12 +219,12 @@ def train(texts: list[str], labels: np.ndarray, steps: int = 120, size: int = 48
 
 
 class Projected(dict):
-    """word -> row of the network's input terms for it; at most ``bound`` words, then it begins anew."""
+    """word -> row of the network's input terms for it; once there are more than ``bound`` words, it begins anew."""
 
-    def __init__(self, net: Network, bound: int = 250_000):
+    def __init__(self, net: Network, bound: int = 100_000):
         super().__init__()
         self.net, self.bound = net, bound
-        self.terms = {d: np.empty((0, 3 * HIDDEN), np.float32) for d in "fb"}
+        self.terms = {d: np.empty((bound + (1 << 16), 3 * HIDDEN), np.float32) for d in "fb"}
 
     def __missing__(self, word: bytes) -> int:
         self[word] = i = len(self)
@@ -224,16 +233,14 @@ class Projected(dict):
     def ids(self, texts: list[list[bytes]]) -> list[np.ndarray]:
         if len(self) > self.bound:
             self.clear()
-            self.terms = {d: x[:0] for d, x in self.terms.items()}
         known = len(self)
         out = [np.fromiter(map(self.__getitem__, words or [b""]), np.int32, len(words) or 1) for words in texts]
-        if len(self) > known:
-            for d, x in self.net.project(self.net.words(*slots_of(list(islice(self, known, None))))).items():
-                if len(self) > len(self.terms[d]):  # grow by doubling
-                    grown = np.empty((max(2 * len(self), 50_000), 3 * HIDDEN), np.float32)
-                    grown[:known] = self.terms[d][:known]
-                    self.terms[d] = grown
-                self.terms[d][known : len(self)] = x
+        new = list(islice(self, known, None))
+        for i in range(0, len(new), 1 << 14):
+            for d, x in self.net.project(self.net.words(*slots_of(new[i : i + (1 << 14)]))).items():
+                if len(self) > len(self.terms[d]):  # a text of very many different words
+                    self.terms[d] = np.concatenate([self.terms[d], np.empty((len(self) - len(self.terms[d]), 3 * HIDDEN), np.float32)])
+                self.terms[d][known + i : known + i + len(x)] = x
         return out
 
 
@@ -264,10 +271,10 @@ def score_batch(inputs: Projected, texts: list[str | None], most: int = 40_000)
     return _sigmoid(out)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, limit: int, longest: int = LONGEST) -> pd.DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, limit: int) -> pd.DataFrame:
     """(text, y) of at most ``limit`` labelled texts of each class, those with the least hash; equal texts of a class count once."""
     y = labels.where(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(column).alias("y"))
-    rows = docs.where((F.octet_length("text") <= longest) & F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("h"))
+    rows = docs.where("text is not null and doc_id is not null").select("doc_id", F.xxhash64("text").alias("h"))
     rows = rows.join(y, "doc_id").select("doc_id", "y", "h")
     rows = rows.groupBy("y", "h").agg(F.min("doc_id").alias("doc_id"))
     keys = [rows.where(F.col("y") == c).orderBy("h", "doc_id").limit(limit) for c in (0, 1)]
@@ -281,30 +288,27 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network | N
     return train(list(pdf["text"]), pdf["y"].to_numpy()) if pdf["y"].nunique() == 2 else None
 
 
-def score(docs: DataFrame, net: Network | None) -> DataFrame:
-    """(doc_id, score) of every row's whole text. Null text counts as empty and scores like it; rows are scored one by one."""
+def scored(docs: DataFrame, net: Network | None):
+    """Column of the score of ``text``: only texts go to Python and only scores come back. Null text counts as empty."""
     shared = docs.sparkSession.sparkContext.broadcast(net)  # 4 MB
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         inputs = Projected(shared.value)
-        for pdf in batches:
-            s = score_batch(inputs, list(pdf["t"])) if shared.value is not None and len(pdf) else np.zeros(len(pdf))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": s})
+        for texts in batches:
+            yield pd.Series(score_batch(inputs, list(texts)) if shared.value is not None and len(texts) else np.zeros(len(texts)))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("t")).mapInPandas(run, "doc_id long, score double")
+    return run.asNondeterministic()(F.col("text").cast("string"))  # so that a filter does not score again
 
 
-def keep_below(docs: DataFrame, net: Network | None, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, as they are, whose text scores below the threshold."""
-    shared = docs.sparkSession.sparkContext.broadcast(net)
+def score(docs: DataFrame, net: Network | None) -> DataFrame:
+    """(doc_id, score) of every row's whole text; rows are scored one by one."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), scored(docs, net).alias("score"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        inputs = Projected(shared.value)
-        for pdf in batches:
-            s = score_batch(inputs, list(pdf["text"])) if shared.value is not None and len(pdf) else np.zeros(len(pdf))
-            yield pdf[s < threshold]
 
-    return docs.mapInPandas(run, docs.schema)
+def keep_below(docs: DataFrame, net: Network | None, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, as they are, whose text scores below the threshold."""
+    return docs.where(scored(docs, net) < threshold)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -257,7 +257,7 @@ def test_toxicity_gradients():
     net, r = toxicity.Network(1), np.random.default_rng(0)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
     texts = [[b"aa", b"bb", b"cc"], [b"dd"] * 60]
-    slots, sizes, at, mask, owner = toxicity.batch(texts, toxicity.features_of({w for t in texts for w in t}))
+    slots, sizes, at, mask, owner = toxicity.batch([[t[a:b] for a, b in toxicity.windows(len(t))] for t in texts], toxicity.features_of({w for t in texts for w in t}))
     x, y = net.words(slots, sizes).astype(np.float64), np.array([1.0, 0.0])
 
     def loss():
