@@ -31,10 +31,12 @@ GRAM = 16
 PIECE = 1 << 20
 #: Places in a buffer take so many bits; anchors are chosen by the other bits of a gram's hash, alike in every buffer.
 PLACE_BITS = 24
-#: Anchors with more segments than this are compared by the hash of each window instead of in one group.
+#: Anchors with more snippets than this are dealt out by their windows, in groups of about so many.
 GROUP = 20_000
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-SEGMENTS = "part long, k long, s long, doc_id long, lo long, len int"
+#: So many bytes of texts are cut into segments together.
+TOGETHER = 6 << 20
+SEGMENTS = "k long, s long, doc_id long, lo long, len int"
 
 
 def _anchors(buf: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -79,7 +81,8 @@ def _pieces(texts: list[bytes], width: int) -> Iterator[tuple[list[tuple[int, in
         yield rows, b"".join(held)
 
 
-def _segments(ids: np.ndarray, texts: list[bytes], width: int) -> pd.DataFrame:
+def _segments(ids: np.ndarray, texts: list[bytes], width: int) -> tuple[pd.DataFrame, np.ndarray]:
+    """Segments of texts, and the text of each."""
     parts = []
     for rows, joined in _pieces(texts, width):
         buf = np.frombuffer(joined, np.uint8)
@@ -94,9 +97,9 @@ def _segments(ids: np.ndarray, texts: list[bytes], width: int) -> pd.DataFrame:
         view = memoryview(joined)
         digest, stop = xxhash.xxh3_64_intdigest, last + width
         s = np.fromiter((digest(view[a:b]) for a, b in zip(first.tolist(), stop.tolist(), strict=True)), np.uint64, len(first))
-        parts.append((key.view(np.int64), s.view(np.int64), ids[which[row]], first + shift, (stop - first).astype(np.int32)))
-    cols = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.empty(0, np.int64)] * 4 + [np.empty(0, np.int32)]
-    return pd.DataFrame(dict(zip(("k", "s", "doc_id", "lo", "len"), cols, strict=True)))
+        parts.append((key.view(np.int64), s.view(np.int64), ids[which[row]], first + shift, (stop - first).astype(np.int32), which[row].astype(np.int32)))
+    cols = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.empty(0, np.int64)] * 4 + [np.empty(0, np.int32)] * 2
+    return pd.DataFrame(dict(zip(("k", "s", "doc_id", "lo", "len"), cols[:5], strict=True))), cols[5]
 
 
 def _merged(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,26 +115,38 @@ def _merged(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray
     return doc[new], lo[new], reach[last]
 
 
+def _together(pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """Ids and texts of a batch, about TOGETHER bytes at a time."""
+    ids, texts, start, size = pdf["doc_id"].to_numpy(np.int64), [], 0, 0
+    for i, t in enumerate(pdf["t"], 1):
+        texts.append(t.encode("utf-8", "surrogatepass"))
+        size += len(texts[-1])
+        if size >= TOGETHER or i == len(ids):
+            yield ids[start:i], texts
+            texts, start, size = [], i, 0
+
+
 def segments(width: int):
-    """mapInPandas function: rows (part, k, s, doc_id, lo, len); k null: the span is already known to be a repeat."""
+    """mapInPandas function: rows (k, s, doc_id, lo, len); k null: the span is already known to be a repeat, and its bytes have been compared."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            texts = [t.encode("utf-8", "surrogatepass") for t in pdf["t"]]
-            seg = _segments(pdf["doc_id"].to_numpy(np.int64), texts, width)
-            order = np.lexsort((seg["doc_id"], seg["s"], seg["k"]))
-            k, s, doc = (seg[c].to_numpy()[order] for c in ("k", "s", "doc_id"))
-            new = np.concatenate([[True], (k[1:] != k[:-1]) | (s[1:] != s[:-1])])[: len(k)]
-            least = doc[np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))]
-            known = np.zeros(len(seg), bool)
-            known[order] = doc > least
-            rest, done = seg[~known], seg[known]
-            yield rest.assign(part=rest["k"])[["part", "k", "s", "doc_id", "lo", "len"]]
-            d, lo, hi = _merged(*(x.to_numpy(np.int64) for x in (done["doc_id"], done["lo"], done["lo"] + done["len"])))
-            for i in range(0, len(d), 100_000):
-                cut = slice(i, i + 100_000)
-                none = pd.array([None] * len(d[cut]), dtype="Int64")
-                yield pd.DataFrame({"part": mix(d[cut].astype(np.uint64)).view(np.int64), "k": none, "s": none, "doc_id": d[cut], "lo": lo[cut], "len": (hi - lo)[cut].astype(np.int32)})
+            for ids, texts in _together(pdf):
+                seg, text = _segments(ids, texts, width)
+                order = np.lexsort((seg["doc_id"], seg["s"], seg["k"]))
+                k, s, doc = (seg[c].to_numpy()[order] for c in ("k", "s", "doc_id"))
+                new = np.concatenate([[True], (k[1:] != k[:-1]) | (s[1:] != s[:-1])])[: len(k)]
+                first = order[np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))]
+                alike = np.flatnonzero(doc > seg["doc_id"].to_numpy()[first])
+                lo, size = seg["lo"].to_numpy(), seg["len"].to_numpy()
+                known = np.zeros(len(seg), bool)
+                for i, j in zip(order[alike].tolist(), first[alike].tolist(), strict=True):
+                    known[i] = texts[text[i]][lo[i] : lo[i] + size[i]] == texts[text[j]][lo[j] : lo[j] + size[j]]
+                for i in range(0, len(seg), 1 << 17):
+                    yield seg[i : i + (1 << 17)][~known[i : i + (1 << 17)]]
+                d, lo, hi = _merged(*(x.to_numpy(np.int64) for x in (seg["doc_id"][known], seg["lo"][known], (seg["lo"] + seg["len"])[known])))
+                none = pd.array([None] * len(d), dtype="Int64")
+                yield pd.DataFrame({"k": none, "s": none, "doc_id": d, "lo": lo, "len": (hi - lo).astype(np.int32)})
 
     return run
 
@@ -335,11 +350,31 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _windows(width: int):
+    """mapInPandas function over (k, n, doc_id, lo, snippet), n windows of the anchor in all: its windows, dealt by their bytes into groups of about GROUP.
+
+    Of equal windows of one snippet batch the least document's goes on, and the others are repeats (k null).
+    """
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for k, doc, lo, b in zip(pdf["k"], pdf["doc_id"], pdf["lo"], pdf["snippet"], strict=True):
-                n = len(b) - width + 1
-                yield pd.DataFrame({"k": k, "doc_id": doc, "lo": lo + np.arange(n), "h": [hashlib.blake2b(b[i : i + width], digest_size=16).digest() for i in range(n)]})
+            least: dict[tuple[int, int, bytes], tuple[int, list[int]]] = {}
+            rows = []
+            for k, n, doc, lo, b in zip(pdf["k"], pdf["n"], pdf["doc_id"], pdf["lo"], pdf["snippet"], strict=True):
+                parts = 1 + int(n) // GROUP
+                for i in range(len(b) - width + 1):
+                    w = b[i : i + width]
+                    first, places = least.setdefault((k, xxhash.xxh3_64_intdigest(w) % parts, w), (doc, []))
+                    if doc == first:
+                        places.append(lo + i)
+                    elif doc > first:
+                        rows.append((None, doc, lo + i, None))
+                    else:
+                        rows += [(None, first, at, None) for at in places]
+                        least[k, xxhash.xxh3_64_intdigest(w) % parts, w] = (doc, [lo + i])
+            for (k, part, w), (doc, places) in least.items():
+                group = int.from_bytes(xxhash.xxh3_64_digest(k.to_bytes(8, "little", signed=True) + part.to_bytes(8, "little")), "little", signed=True)
+                rows += [(group, doc, at, w) for at in places]
+            yield pd.DataFrame(rows, columns=["k", "doc_id", "lo", "snippet"]).astype({"k": "Int64"})
 
     return run
 
@@ -347,19 +382,18 @@ def _windows(width: int):
 def repeated_spans(docs: DataFrame, width: int = 50) -> DataFrame:
     """(doc_id, lo, len): spans whose every byte lies in a ``width``-byte string that also starts in a document with a smaller doc_id. Spans may overlap."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("t")).where("doc_id is not null and octet_length(t) >= %d" % width)
-    settled = rows.mapInPandas(segments(width), SEGMENTS).repartition("part").sortWithinPartitions("k", "s", "doc_id").mapInPandas(settle, "doc_id long, lo long, len int, k long")
+    settled = rows.mapInPandas(segments(width), SEGMENTS).repartition(F.coalesce("k", F.xxhash64("doc_id"))).sortWithinPartitions("k", "s", "doc_id").mapInPandas(settle, "doc_id long, lo long, len int, k long")
     settled = materialise(settled, "settled")
     whole, open_ = settled.where("k is null").drop("k"), settled.where("k is not null")
     spots = open_.groupBy("doc_id").agg(F.collect_list(F.struct("k", "lo", "len")).alias("spots"))  # as many as the document's own bytes allow
     snippets = materialise(rows.join(spots, "doc_id").mapInPandas(_cut, "k long, doc_id long, lo long, snippet binary"), "snippets")
-    heavy = materialise(snippets.groupBy("k").count().where(F.col("count") > GROUP).select("k"), "heavy")
-    light = snippets if heavy.isEmpty() else snippets.join(heavy, "k", "left_anti")
-    spans = whole.unionByName(light.repartition("k").sortWithinPartitions("k").mapInPandas(repeats(width), "doc_id long, lo long, len int"))
-    if not heavy.isEmpty():  # the same comparison by window, so that no group meets in one task
-        w = materialise(snippets.join(heavy, "k").mapInPandas(_windows(width), "k long, doc_id long, lo long, h binary"), "windows")
-        least = w.groupBy("k", "h").agg(F.min("doc_id").alias("least"))
-        spans = spans.unionByName(w.join(least, ["k", "h"]).where("doc_id > least").select("doc_id", "lo", F.lit(width).alias("len")))
-    return spans
+    heavy = snippets.groupBy("k").agg(F.count("*").alias("rows"), F.sum(F.octet_length("snippet") - width + 1).alias("n")).where(F.col("rows") > GROUP)
+    heavy = materialise(heavy.select("k", "n"), "heavy")
+    if not heavy.isEmpty():  # no anchor's snippets meet in one group of any size: its windows are dealt by their bytes
+        windows = materialise(snippets.join(heavy, "k").select("k", "n", "doc_id", "lo", "snippet").mapInPandas(_windows(width), "k long, doc_id long, lo long, snippet binary"), "windows")
+        whole = whole.unionByName(windows.where("k is null").select("doc_id", "lo", F.lit(width).alias("len")))
+        snippets = snippets.join(heavy, "k", "left_anti").unionByName(windows.where("k is not null"))
+    return whole.unionByName(snippets.repartition("k").sortWithinPartitions("k").mapInPandas(repeats(width), "doc_id long, lo long, len int"))
 
 
 def without(text: bytes, spans) -> tuple[bytes, int]:
