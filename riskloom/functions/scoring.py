@@ -40,7 +40,9 @@ def adjust_for_prior(p: Column, source: float, target: float) -> Column:
 
 
 def recipient_intensity() -> Column:
-    return F.log1p("recipient_fanin_24h") + 0.5 * F.log1p("recipient_tx_7d") + 0.25 * F.log1p("recipient_amount_24h") + F.log1p("recipient_unique_senders_7d")
+    """Activity of a recipient before the payment; negative inputs count as 0."""
+    part = lambda c: F.log1p(F.greatest(F.col(c).cast("double"), F.lit(0.0)))
+    return part("recipient_fanin_24h") + 0.5 * part("recipient_tx_7d") + 0.25 * part("recipient_amount_24h") + part("recipient_unique_senders_7d")
 
 
 def precision_from_rates(prevalence: Column, recall: Column, fpr: Column) -> Column:

@@ -4,40 +4,66 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import priority, ratio
-from .metrics import alert_columns, count, fraud, legit, value
+from .metrics import alert_columns, average_ranks_auc, count, fraud, hard_caps, legit, value
+from .ranks import ranked
 
 ALPHAS = (0.0, 0.25, 0.5, 0.75, 1.0)
+BUDGETS = (10, 25, 50, 100)
 
 
 def step_windows(df: DataFrame, n: int = 3) -> DataFrame:
-    """Adds ``window``: contiguous runs of distinct steps, the first ones one step longer if need be."""
+    """Adds ``window``, ``step_min`` and ``step_max``: contiguous runs of distinct steps, the first ones one step longer if need be."""
     steps = df.select("step").distinct().withColumn("window", F.ntile(n).over(Window.orderBy("step")))  # a row for each hour
+    w = Window.partitionBy("window")
+    steps = steps.withColumn("step_min", F.min("step").over(w)).withColumn("step_max", F.max("step").over(w))
     return df.join(F.broadcast(steps), "step")
 
 
+def _r9(c: Column) -> Column:
+    return F.round(c, 9)
+
+
+def frontier(df: DataFrame, budgets=BUDGETS, score: str = "score", keys: tuple[str, ...] = (), tie: str = "transaction_id") -> DataFrame:
+    """Metrics of the floor(budget * n / 10,000) highest rows for each budget and group of ``keys``.
+
+    Rows are ranked once, range by range; all budgets are conditional sums of one pass, and a second one counts the
+    rows tied at each boundary. Negative budgets, empty tables and scores that aren't finite are errors.
+    """
+    if any(b < 0 for b in budgets):
+        raise ValueError("budgets must not be negative")
+    n, bad = df.agg(F.count("*"), count(F.col(score).isNull() | F.isnan(score) | (F.abs(F.col(score)) == math.inf))).first()
+    if not n or bad:
+        raise ValueError("rows with finite scores are needed")
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("n"), count(fraud()).cast("long").alias("fraud_n"), count(legit()).cast("long").alias("legit_n"), value(fraud()).alias("fraud_value"))
+    rows = ranked(df, score, "r", keys, [F.asc(tie)])
+    rows = rows.join(F.broadcast(sizes), list(keys)) if keys else rows.crossJoin(F.broadcast(sizes))  # a row for each group
+    cells = []
+    for b in budgets:
+        k = F.floor(F.lit(float(b)) * F.first("n") / 10_000)
+        kept = F.col("r") <= F.floor(F.lit(float(b)) * F.col("n") / 10_000)
+        cells.append(F.struct(F.lit(float(b)).alias("budget"), k.cast("long").alias("capacity"), count(kept & fraud()).cast("long").alias("fraud_alerts"), count(kept & legit()).cast("long").alias("legit_alerts"), value(kept & fraud()).alias("_v"), F.min(F.when(kept, F.col(score))).alias("_b")))
+    each = rows.groupBy(*keys).agg(F.array(*cells).alias("c")).select(*keys, F.explode("c").alias("c")).select(*keys, "c.*")
+    each = each.join(F.broadcast(sizes), list(keys)) if keys else each.crossJoin(F.broadcast(sizes))
+    edges = F.broadcast(each.select(*keys, "budget", "_b"))  # groups times budgets
+    met = df.join(edges, list(keys)) if keys else df.crossJoin(edges)
+    ties = met.groupBy(*keys, "budget").agg(count(F.col(score) == F.col("_b")).cast("long").alias("boundary_tie_n"), count(F.col(score) > F.col("_b")).cast("long").alias("_above"))
+    alerts = F.col("fraud_alerts") + F.col("legit_alerts")
+    out = each.join(ties, [*keys, "budget"])
+    return out.select(
+        *keys, "budget", "capacity", alerts.alias("alerts"), F.round(ratio(alerts, F.col("n")) * 10_000, 6).alias("actual_alerts_per_10k"), _r9(ratio(F.col("fraud_alerts"), alerts)).alias("precision"), _r9(ratio(F.col("fraud_alerts"), F.col("fraud_n"))).alias("recall"),
+        _r9(ratio(F.col("legit_alerts"), F.col("legit_n"))).alias("legit_flag_rate"), F.round(ratio(F.col("legit_alerts"), F.col("legit_n")) * 10_000, 6).alias("legit_alerts_per_10k"), _r9(ratio(F.col("_v"), F.col("fraud_value"))).alias("fraud_value_recall"), "fraud_alerts", "legit_alerts",
+        _r9(F.col("_b")).alias("boundary_score"), "boundary_tie_n", F.when(F.col("capacity") > 0, F.col("capacity") - F.col("_above")).otherwise(0).cast("long").alias("boundary_tie_selected_n"), F.lit("stable_non_label_key").alias("tie_breaker"), "n", "fraud_n",
+    )
 
 
-def frontier(df: DataFrame, budgets=(10, 25, 50, 100), score: str = "score", keys: tuple[str, ...] = ()) -> DataFrame:
-    """Metrics at each budget and group. Only the largest budget's rows are ranked, and these by a distributed top-k where there are no groups."""
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("n"), count(fraud()).alias("fraud"), count(legit()).alias("legit"), value(fraud()).alias("fraud_value"))
-    if keys:
-        ranked = df.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(score), "transaction_id")))
-    else:
-        k = math.floor(max(budgets) * df.count() / 10_000)
-        ranked = df.orderBy(F.desc(score), "transaction_id").limit(k).withColumn("r", F.row_number().over(Window.orderBy(F.desc(score), "transaction_id")))
-    each = sizes.withColumn("budget", F.explode(F.array(*(F.lit(float(b)) for b in budgets)))).withColumn("k", F.floor(F.col("budget") * F.col("n") / 10_000))  # budgets times groups
-    inside = each.join(ranked.select(*keys, "r", "is_fraud", "amount", F.col(score).alias("_s")), list(keys), "left") if keys else each.join(ranked.select("r", "is_fraud", "amount", F.col(score).alias("_s")), F.col("r") <= F.col("k"), "left")
-    kept = (F.col("r") <= F.col("k")) & F.col("r").isNotNull()
-    r9 = lambda c: F.round(c, 9)
-    tp, fp, v = count(kept & fraud()), count(kept & legit()), value(kept & fraud())
-    return inside.groupBy(*keys, "budget").agg(
-        F.max("k").cast("long").alias("capacity"), r9(ratio(tp, tp + fp)).alias("precision"), r9(ratio(tp, F.max("fraud"))).alias("recall"), r9(ratio(fp, F.max("legit"))).alias("legit_flag_rate"),
-        r9(ratio(v, F.max("fraud_value"))).alias("fraud_value_recall"), r9(F.min(F.when(kept, F.col("_s")))).alias("boundary_score"),
-    )
+def capacity_windows(df: DataFrame, per_10k: float = 50, n: int = 3, keys: tuple[str, ...] = (), score: str = "score") -> DataFrame:
+    """The same capacity in each window of steps."""
+    out = frontier(step_windows(df, n), (per_10k,), score, (*keys, "window", "step_min", "step_max"))
+    return out.select(*keys, F.concat(F.lit("future_window_"), F.col("window").cast("string")).alias("period"), *(c for c in out.columns if c not in (*keys, "window")))
 
 
 def amount_scale(df: DataFrame) -> float:
@@ -45,42 +71,73 @@ def amount_scale(df: DataFrame) -> float:
     return df.agg(F.coalesce(F.median(F.when(F.col("amount") > 0, F.col("amount"))), F.lit(1.0))).first()[0]
 
 
+def with_priority(df: DataFrame) -> DataFrame:
+    """Adds ``priority`` from score, amount, alpha and amount_scale, rounded so that equal priorities tie."""
+    return df.withColumn("priority", F.round(priority(F.col("score"), F.col("amount"), F.col("alpha"), F.col("amount_scale")), 12))
+
+
 def alpha_grid(df: DataFrame, scale: float, per_10k: float = 50, alphas=ALPHAS, keys: tuple[str, ...] = ()) -> DataFrame:
     """Capacity metrics for each weight alpha of the amount, with the harmonic mean of both recalls."""
-    grid = df.withColumn("alpha", F.explode(F.array(*map(F.lit, alphas))))
-    grid = grid.withColumn("priority", F.round(priority(F.col("score"), F.col("amount"), F.col("alpha"), F.lit(scale)), 12))
-    out = frontier(grid, (per_10k,), "priority", ("alpha", *keys))
+    if scale <= 0 or any(a < 0 for a in alphas):
+        raise ValueError("a positive scale and weights of 0 or more are needed")
+    grid = with_priority(df.withColumn("alpha", F.explode(F.array(*map(F.lit, alphas)))).withColumn("amount_scale", F.lit(float(scale))))
+    out = frontier(grid, (per_10k,), "priority", ("alpha", "amount_scale", *keys))
     both = F.col("recall") + F.col("fraud_value_recall")
-    return out.withColumn("balanced_hmean", F.round(F.when(both > 0, 2 * F.col("recall") * F.col("fraud_value_recall") / both).otherwise(0.0), 9))
+    return out.withColumn("balanced_hmean", _r9(F.when(both > 0, 2 * F.col("recall") * F.col("fraud_value_recall") / both).otherwise(0.0)))
+
+
+#: Objectives of each profile in order; on ties the smaller alpha.
+PROFILES = {"case_first": ["recall", "precision", "fraud_value_recall"], "balanced": ["balanced_hmean", "precision", "recall"], "value_first": ["fraud_value_recall", "precision", "recall"]}
+ROBUST_PROFILES = {
+    "case_first": ["min_recall", "mean_recall", "mean_precision", "mean_fraud_value_recall"],
+    "balanced": ["min_balanced_hmean", "mean_balanced_hmean", "mean_precision"],
+    "value_first": ["min_fraud_value_recall", "mean_fraud_value_recall", "mean_precision", "mean_recall"],
+}
+
 
+def select_profiles(grid: DataFrame, specs=PROFILES, split: str = "validation") -> DataFrame:
+    """For each profile the row of the grid, one for each alpha, that is best by its objectives, the smaller alpha on ties."""
+    rows = grid.withColumn("profile", F.explode(F.array(*map(F.lit, specs))))
+    order = [F.desc_nulls_last(F.coalesce(*(F.when(F.col("profile") == p, F.col(cols[i])) for p, cols in specs.items() if i < len(cols)))) for i in range(max(map(len, specs.values())))]
+    first = F.row_number().over(Window.partitionBy("profile").orderBy(*order, "alpha"))
+    return rows.withColumn("_r", first).where("_r = 1").drop("_r").withColumn("selection_split", F.lit(split))
 
-PROFILES = {"case_recall": ["recall", "fraud_value_recall"], "value_recall": ["fraud_value_recall", "recall"], "balanced": ["balanced_hmean", "fraud_value_recall"]}
+
+def robust_profiles(summary: DataFrame) -> DataFrame:
+    return select_profiles(summary, ROBUST_PROFILES, "validation_windows_only")
+
+
+def _with_profiles(df: DataFrame, selected: DataFrame) -> DataFrame:
+    return with_priority(df.crossJoin(F.broadcast(selected.select("profile", "alpha", "amount_scale"))))  # three profiles
 
 
-def select_profiles(grid: DataFrame, specs=PROFILES) -> DataFrame:
-    """For each profile the alpha that is best by its measures, the smaller alpha on ties. The grid has a row for each alpha."""
-    picks = [grid.orderBy(*(F.desc(c) for c in cols), "alpha").limit(1).select(F.lit(name).alias("profile"), "alpha", "recall", "fraud_value_recall") for name, cols in specs.items()]
-    out = picks[0]
-    for p in picks[1:]:
-        out = out.unionByName(p)
-    return out
+def evaluate_selected_profiles(selected: DataFrame, df: DataFrame, budgets=BUDGETS) -> DataFrame:
+    """Profiles chosen before, each at its alpha and scale, on later rows."""
+    return frontier(_with_profiles(df, selected), budgets, "priority", ("profile", "alpha", "amount_scale"))
+
+
+def evaluate_profile_windows(selected: DataFrame, df: DataFrame, per_10k: float = 50, n: int = 3) -> DataFrame:
+    return capacity_windows(_with_profiles(df, selected), per_10k, n, ("profile", "alpha"), "priority")
 
 
 def robustness(grid: DataFrame) -> DataFrame:
     """Worst, mean and range over windows for each alpha."""
-    m = ["recall", "fraud_value_recall", "balanced_hmean"]
-    r9 = lambda c: F.round(c, 9)
-    return grid.groupBy("alpha").agg(*(r9(F.min(c)).alias(f"min_{c}") for c in m), *(r9(F.avg(c)).alias(f"mean_{c}") for c in m), r9(F.max("recall") - F.min("recall")).alias("recall_range"))
+    m = ["recall", "precision", "fraud_value_recall", "balanced_hmean"]
+    spread = lambda c: _r9(F.max(c) - F.min(c))
+    return grid.groupBy("alpha").agg(F.first("amount_scale").alias("amount_scale"), *(_r9(f(c)).alias(f"{p}_{c}") for c in m for p, f in (("min", F.min), ("mean", F.avg))), spread("recall").alias("recall_range"), spread("fraud_value_recall").alias("value_recall_range"))
 
 
-def robust_profiles(summary: DataFrame) -> DataFrame:
-    specs = {"case_recall": ["min_recall", "mean_recall"], "value_recall": ["min_fraud_value_recall", "mean_fraud_value_recall"], "balanced": ["min_balanced_hmean", "mean_balanced_hmean"]}
-    picks = [summary.orderBy(*(F.desc(c) for c in cols), "alpha").limit(1).select(F.lit(name).alias("profile"), "alpha") for name, cols in specs.items()]
-    return picks[0].unionByName(picks[1]).unionByName(picks[2])
+SIGNALS = ["recipient_fanin_24h", "recipient_tx_7d", "recipient_amount_24h", "recipient_unique_senders_7d", "recipient_intensity_score"]
 
 
-def signal_audit(val: DataFrame, test: DataFrame, signals: list[str], target: float = 0.01) -> DataFrame:
-    """Each signal with its validation quantile of legitimate rows as threshold, on the future. One pass over each side."""
+def signal_audit(validation: DataFrame, future: DataFrame, signals: list[str] = SIGNALS, target: float = 0.001) -> DataFrame:
+    """Each signal, its hard cap on validation as threshold, on the future: alerts, area under the curve, and quantiles of both classes."""
     long = lambda df: df.select("is_fraud", "amount", F.explode(F.array(*(F.struct(F.lit(s).alias("signal"), F.col(s).cast("double").alias("v")) for s in signals))).alias("x")).select("is_fraud", "amount", "x.*")
-    cut = long(val).where(legit()).groupBy("signal").agg(F.percentile("v", 1 - target).alias("threshold"))
-    return long(test).join(F.broadcast(cut), "signal").groupBy("signal").agg(F.round(F.max("threshold"), 6).alias("threshold"), *alert_columns(F.col("v") >= F.col("threshold")))
+    caps = hard_caps(long(validation), target, "v", ("signal",))
+    cut = validation.sparkSession.createDataFrame([(s, t) for (s,), t in caps.items()], "signal string, t double")
+    past = long(validation).join(F.broadcast(cut), "signal").groupBy("signal").agg(_r9(ratio(count(legit() & (F.col("v") >= F.col("t"))), count(legit()))).alias("validation_actual_legit_flag_rate"))
+    q = lambda cond, share: F.round(F.percentile(F.when(cond, F.col("v")), share), 6)
+    now = long(future).join(F.broadcast(cut), "signal").groupBy("signal").agg(
+        F.round(F.max("t"), 6).alias("validation_threshold"), F.lit(target).alias("target_validation_legit_flag_rate"), *alert_columns(F.col("v") >= F.col("t")), q(fraud(), 0.5).alias("future_fraud_median"), q(legit(), 0.5).alias("future_legit_median"), q(fraud(), 0.9).alias("future_fraud_p90"), q(legit(), 0.9).alias("future_legit_p90")
+    )
+    return now.join(past, "signal").join(average_ranks_auc(long(future), "v", ("signal",)).withColumnRenamed("roc_auc", "future_auc"), "signal")

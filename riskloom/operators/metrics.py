@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import ratio
+from .ranks import ranked, running
 
 def fraud() -> Column:
     return F.col("is_fraud") == 1
@@ -34,17 +35,20 @@ def alert_columns(alert: Column) -> list[Column]:
     ]
 
 
-def by_score(df: DataFrame) -> DataFrame:
-    """Frauds and others at each score and above it. Rows are summed by score before they are ordered."""
-    g = df.groupBy("score").agg(count(fraud()).alias("p"), count(legit()).alias("n"))
-    w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return g.select("score", "p", "n", F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("fp"))
+def by_score(df: DataFrame, column: str = "score", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Frauds and others at each score and from there up. Rows are summed by score before scores are ordered, range by range."""
+    g = df.groupBy(*keys, column).agg(count(fraud()).alias("p"), count(legit()).alias("n"))
+    return running(g, column, {"tp": "p", "fp": "n"}, keys)
 
 
-def roc_auc(df: DataFrame) -> DataFrame:
-    s = by_score(df)
+def average_ranks_auc(df: DataFrame, column: str = "score", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Area under the curve of each group, ties half."""
     area = F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2))
-    return s.agg(F.round(ratio(area, F.sum("p") * F.sum("n")), 9).alias("roc_auc"))
+    return by_score(df, column, keys).groupBy(*keys).agg(F.round(ratio(area, F.sum("p") * F.sum("n")), 9).alias("roc_auc"))
+
+
+def roc_auc(df: DataFrame) -> DataFrame:
+    return average_ranks_auc(df)
 
 
 def average_precision(df: DataFrame) -> DataFrame:
@@ -84,29 +88,100 @@ def threshold_at_fpr(df: DataFrame, target: float) -> float:
     return df.where(legit()).agg(F.percentile("score", 1 - target)).first()[0]
 
 
-def threshold_at_legit_rate(df: DataFrame, target: float) -> float:
-    """Lowest threshold at which no more than the target share of legitimate rows is flagged, whatever the ties."""
+def hard_caps(df: DataFrame, target: float, column: str = "score", keys: tuple[str, ...] = ()) -> dict[tuple, float]:
+    """For each group the lowest threshold at which no more than the target share of legitimate rows is flagged, whatever the ties.
+
+    With k = floor(target * n) the threshold is the k-th highest legitimate score, or just above it where its ties go
+    beyond k; just above the highest if k is 0, and the lowest score if the target is 1.
+    """
+    if not 0 <= target <= 1:
+        raise ValueError("a target between 0 and 1 is needed")
     rows = df.where(legit())
-    n, low, high = rows.agg(F.count("*"), F.min("score"), F.max("score")).first()
-    if not n or not 0 <= target <= 1:
-        raise ValueError("legitimate rows and a target between 0 and 1 are needed")
+    bad = count(F.col(column).isNull() | F.isnan(column) | (F.abs(F.col(column)) == math.inf))
+    ends = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(column).alias("low"), F.max(column).alias("high"), bad.alias("bad")).collect()  # a row for each group
+    if not ends or any(not r["n"] or r["bad"] for r in ends):
+        raise ValueError("legitimate rows with finite scores are needed")
+    k = {tuple(r[c] for c in keys): math.floor(target * r["n"]) for r in ends}
     if target == 1:
-        return low
-    k = math.floor(target * n + 1e-12)
-    s = by_score(rows).where(F.col("fp") <= k).agg(F.min("score")).first()[0] if k else None
-    return s if s is not None else math.nextafter(high, math.inf)
+        return {tuple(r[c] for c in keys): r["low"] for r in ends}
+    out = {tuple(r[c] for c in keys): math.nextafter(r["high"], math.inf) for r in ends}
+    if not any(k.values()):
+        return out
+    counted = running(rows.groupBy(*keys, column).agg(F.count("*").alias("n")), column, {"upto": "n"}, keys)
+    most = F.lit(list(k.values())[0])
+    for group, many in k.items():
+        most = F.when(F.lit(True) if not keys else F.struct(*keys) == F.struct(*map(F.lit, group)), many).otherwise(most)
+    boundary = F.col("upto") - F.col("n") < F.col("_k")  # the k-th row lies at or above this value
+    at = counted.withColumn("_k", most).where((F.col("_k") > 0) & boundary & (F.col("upto") >= F.col("_k"))).select(*keys, column, "upto", "_k").collect()  # one row for each group
+    for r in at:
+        out[tuple(r[c] for c in keys)] = r[column] if r["upto"] <= r["_k"] else math.nextafter(r[column], math.inf)
+    return out
+
+
+def threshold_at_legit_rate(df: DataFrame, target: float) -> float:
+    """The hard cap of the whole table."""
+    return hard_caps(df, target)[()]
+
+
+def binary_metrics(df: DataFrame, threshold: float) -> DataFrame:
+    """One row of ranking, calibration and threshold metrics; probabilities outside [0, 1] are an error."""
+    bad = df.agg(count(F.col("score").isNull() | F.isnan("score") | ~F.col("score").between(0, 1))).first()[0]
+    if bad:
+        raise ValueError("probabilities in [0, 1] are needed")
+    one = df.agg(F.round(F.avg(F.pow(F.col("score") - F.col("is_fraud"), 2)), 9).alias("brier"), F.lit(threshold).alias("threshold"), *alert_columns(F.col("score") >= threshold))
+    return roc_auc(df).crossJoin(average_precision(df).withColumnRenamed("average_precision", "pr_auc")).crossJoin(one)  # one row each
+
+
+def model_metrics(name: str, df: DataFrame, threshold: float) -> DataFrame:
+    """As binary_metrics by the names of the model table; precision without alerts is 0."""
+    m = binary_metrics(df, threshold)
+    return m.select(
+        F.lit(name).alias("model"), "pr_auc", "roc_auc", "brier", F.col("threshold").alias("threshold_at_1pct_fpr"), F.coalesce("precision", F.lit(0.0)).alias("precision_at_1pct_fpr"), F.coalesce("recall", F.lit(0.0)).alias("recall_at_1pct_fpr"),
+        F.col("fraud_value_recall").alias("fraud_value_recall_at_1pct_fpr"), "legit_flag_rate",
+    )
 
 
 def value_concentration(df: DataFrame, shares=(0.1, 0.25, 0.5)) -> DataFrame:
     """Share of fraud value in the largest fraud cases: of n cases the first ceil(share * n), at least one."""
     cases = df.where(fraud()).select("amount", "transaction_id")
     ks = cases.agg(F.count("*").alias("n"), F.sum("amount").alias("v"))
-    ranked = cases.withColumn("r", F.row_number().over(Window.orderBy(F.desc("amount"), "transaction_id"))).crossJoin(ks)  # fraud rows alone; one row of sums
-    return ranked.agg(*(F.round(F.sum(F.when(F.col("r") <= F.greatest(F.lit(1), F.ceil(F.col("n") * s)), F.col("amount")).otherwise(0.0)) / F.max("v"), 9).alias(f"top_{int(s * 100)}") for s in shares))
+    rows = ranked(cases, "amount", "r", then=[F.asc("transaction_id")]).crossJoin(ks)  # one row of sums
+    return rows.agg(*(F.round(F.sum(F.when(F.col("r") <= F.greatest(F.lit(1), F.ceil(F.col("n") * s)), F.col("amount")).otherwise(0.0)) / F.max("v"), 9).alias(f"top_{int(s * 100)}") for s in shares))
+
+
+def locked_columns(threshold: float, target: float) -> list[Column]:
+    """Aggregates of a threshold fixed beforehand: size, alerts, the multiple of the alert budget, and quantiles of the score."""
+    r9 = lambda c: F.round(c, 9)
+    hit, q = F.col("score") >= threshold, F.percentile("score", [0.5, 0.9, 0.99, 0.999])
+    rate = ratio(count(hit & legit()), count(legit()))
+    return [
+        F.count("*").alias("n"), count(fraud()).cast("long").alias("fraud_n"), r9(F.avg("is_fraud")).alias("fraud_rate"), F.lit(threshold).alias("threshold"), *alert_columns(hit), r9(ratio(count(hit), F.count("*"))).alias("alert_rate"),
+        F.round(rate * 10_000, 6).alias("legit_alerts_per_10k"), F.round(rate / target if target else F.lit(None).cast("double"), 6).alias("budget_multiplier_vs_target"), *(r9(q[i]).alias(x) for i, x in enumerate(("score_p50", "score_p90", "score_p99", "score_p999"))),
+    ]
+
+
+def threshold_drift(df: DataFrame, threshold: float, by: str = "period") -> DataFrame:
+    """Distribution of scores and amounts and performance at a locked threshold for each period."""
+    r9, q = lambda c: F.round(c, 9), F.percentile("score", [0.5, 0.9, 0.99])
+    hit = F.col("score") >= threshold
+    return df.groupBy(by).agg(
+        F.count("*").alias("n"), r9(F.avg("is_fraud")).alias("fraud_rate"), r9(F.avg("score")).alias("mean_score"), *(r9(q[i]).alias(x) for i, x in enumerate(("score_p50", "score_p90", "score_p99"))), F.round(F.percentile("amount", 0.99), 6).alias("amount_p99"),
+        count(hit).cast("long").alias("alerts"), r9(ratio(count(hit & fraud()), count(fraud()))).alias("recall_at_locked_threshold"), r9(ratio(count(hit & legit()), count(legit()))).alias("legit_flag_rate_at_locked_threshold"),
+    )
+
+
+def locked_threshold_drift(df: DataFrame, threshold: float, target: float = 0.001, by: str = "period", base: str = "validation") -> DataFrame:
+    """Each period at the locked threshold, its flag rate also as a multiple of the base period's."""
+    rate = lambda cond: ratio(count((F.col("score") >= threshold) & legit() & cond), count(legit() & cond))
+    of_base = df.agg(rate(F.col(by) == base).alias("_base"))
+    out = df.groupBy(by).agg(*locked_columns(threshold, target), rate(F.lit(True)).alias("_rate")).crossJoin(of_base)  # one row
+    return out.withColumn("budget_multiplier_vs_validation_actual", F.when(F.col(by) == base, 1.0).otherwise(F.round(F.try_divide("_rate", "_base"), 6))).drop("_rate", "_base")
+
+
+def posthoc_threshold_cap(df: DataFrame, target: float = 0.001) -> DataFrame:
+    """The hard cap found on the rows themselves: a diagnostic after the fact."""
+    row = df.agg(*locked_columns(threshold_at_legit_rate(df, target), target))
+    return row.select(F.lit("future_test_posthoc_threshold_cap").alias("period"), "*", F.lit(True).alias("diagnostic_only"), F.lit(True).alias("may_underuse_budget_due_to_ties"))
 
 
-def locked_threshold(df: DataFrame, threshold: float, target: float, by: str = "period") -> DataFrame:
-    """Alerts at a threshold fixed beforehand, for each period, with the score's quantiles and the multiple of the alert budget."""
-    q = F.percentile("score", [0.5, 0.9, 0.99, 0.999])
-    rate = F.round(ratio(count((F.col("score") >= threshold) & legit()), count(legit())) / target, 6)
-    return df.groupBy(by).agg(F.count("*").alias("n"), *alert_columns(F.col("score") >= threshold), rate.alias("budget_multiplier"), *(F.round(q[i], 9).alias(x) for i, x in enumerate(("score_p50", "score_p90", "score_p99", "score_p999"))))
+posthoc_budget_match = posthoc_threshold_cap

@@ -5,111 +5,145 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import ranked
+
 HOUR = 3_600_000_000
 
 
-def _before(key: list[str], at: str, back: int):
-    return Window.partitionBy(*key).orderBy(at).rangeBetween(-back, -1)
+#: Amounts are summed as decimals with so many digits, so that what leaves a frame takes away just what it brought.
+EXACT = "decimal(28,10)"
 
 
-def distinct_before(tx: DataFrame, key: list[str], value: str, at: str, back: int, name: str) -> DataFrame:
-    """Adds the exact number of distinct ``value`` of the key's rows in [at - back, at).
+def _steps_of_distinct(tx: DataFrame, key: list[str], name: str, value: str, back: int) -> DataFrame:
+    """Steps on the time line: a value counts from its sighting until ``back`` later or its next sighting."""
+    seen = tx.select(*key, value, "_at").where(F.col(value).isNotNull() & F.col("_at").isNotNull()).distinct()
+    nxt = F.lead("_at").over(Window.partitionBy(*key, value).orderBy("_at"))
+    until = F.least(F.col("_at") + back, F.coalesce(nxt, F.col("_at") + back))
+    step = lambda at, d: F.struct((at + 1).alias("_at"), F.lit(d).cast("long").alias(name))
+    return seen.withColumn("_until", until).select(*key, F.explode(F.array(step(F.col("_at"), 1), step(F.col("_until"), -1))).alias("_d")).select(*key, "_d.*")
 
-    A value counts from its sighting until ``back`` later or its next sighting: one step up and one down on the time
-    line for each sighting, summed in order of time. Cost doesn't grow with the frame, and no set of values is held.
-    """
-    seen = tx.select(*key, value, at).where(F.col(value).isNotNull()).distinct()
-    nxt = F.lead(at).over(Window.partitionBy(*key, value).orderBy(at))
-    seen = seen.withColumn("_until", F.least(F.col(at) + back, F.coalesce(nxt, F.col(at) + back)) + 1)
-    steps = seen.select(*key, F.explode(F.array(F.struct((F.col(at) + 1).cast("long").alias("_at"), F.lit(1).alias("_d")), F.struct(F.col("_until").cast("long").alias("_at"), F.lit(-1).alias("_d")))).alias("s")).select(*key, "s._at", "s._d")
-    steps = steps.groupBy(*key, "_at").agg(F.sum("_d").alias("_d"))
-    asked = tx.select(*key, F.col(at).cast("long").alias("_at")).distinct().withColumn("_d", F.lit(0).cast("long")).withColumn("_q", F.lit(True))
-    line = steps.withColumn("_q", F.lit(False)).unionByName(asked)
-    running = F.sum("_d").over(Window.partitionBy(*key).orderBy("_at").rangeBetween(Window.unboundedPreceding, 0))
-    counts = line.withColumn(name, running).where("_q").select(*key, F.col("_at").alias(at), F.col(name).cast("long").alias(name))
-    return tx.join(counts.withColumn(at, F.col(at).cast(tx.schema[at].dataType)), [*key, at])
 
+def history(tx: DataFrame, key: list[str], at: str, measures: dict[str, tuple[str, str | None, int]]) -> DataFrame:
+    """Adds measures of the key's rows in [at - back, at): name -> (count, sum, mean or distinct; column; back).
 
-def _zero(c: Column) -> Column:
-    return F.coalesce(c, F.lit(0.0))
+    Each row steps up on the key's time line just after its time and down ``back`` later, and so does each sighting of a
+    distinct value; a row's measures are the sums of the steps before it. One shuffle by key serves all measures (one
+    more for each distinct count), cost doesn't grow with the frames, and no set of values is held. Rows of one time
+    never see each other; null keys are a key like any other and lose no rows. Sums and means are null without values.
+    """
+    tx = tx.withColumn("_at", F.col(at).cast("long"))
+    parts: list[tuple[str, Column, int]] = []
+    for name, (kind, column, back) in measures.items():
+        if kind == "count":
+            parts.append((name, F.lit(1).cast("long"), back))
+        elif kind in ("sum", "mean"):
+            parts.append((f"{name}_s", F.coalesce(F.col(column).cast(EXACT), F.lit(0).cast(EXACT)), back))
+            parts.append((f"{name}_n", F.col(column).isNotNull().cast("long"), back))
+    lines = [tx.withColumn("_asks", F.lit(True))]
+    if parts:
+        steps = [F.struct((F.col("_at") + 1).alias("_at"), *(x.alias(n) for n, x, _ in parts))]
+        for b in sorted({b for *_, b in parts}):
+            steps.append(F.struct((F.col("_at") + b + 1).alias("_at"), *(F.when(F.lit(b == of), -x).otherwise(x * 0).cast("long" if not n.endswith("_s") else EXACT).alias(n) for n, x, of in parts)))
+        lines.append(tx.where("_at is not null").select(*key, F.explode(F.array(*steps)).alias("_d")).select(*key, "_d.*"))
+    lines += [_steps_of_distinct(tx, key, name, column, back) for name, (kind, column, back) in measures.items() if kind == "distinct"]
+    line = lines[0]
+    for more in lines[1:]:
+        line = line.unionByName(more, allowMissingColumns=True)
+    before = Window.partitionBy(*key).orderBy("_at", F.col("_asks").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    running = lambda n: F.sum(n).over(before)
+    out = {}
+    for name, (kind, _, _) in measures.items():
+        if kind in ("count", "distinct"):
+            out[name] = F.coalesce(running(name), F.lit(0))
+        else:
+            n = running(f"{name}_n")
+            total = F.when(n > 0, running(f"{name}_s")).cast("double")
+            out[name] = total if kind == "sum" else total / n
+    return line.withColumns(out).where("_asks").select(*(c for c in tx.columns if c != "_at"), *out)
+
+
+def _zero(c) -> Column:
+    return F.coalesce(c if isinstance(c, Column) else F.col(c), F.lit(0.0))
+
+
+DAY, WEEK = 24, 168
 
 
 def velocity(tx: DataFrame) -> DataFrame:
-    day = _before(["sender"], "us", 24 * HOUR)
-    return tx.select("transaction_id", F.count("*").over(_before(["sender"], "us", HOUR)).alias("sender_tx_1h"), F.count("*").over(day).alias("sender_tx_24h"), F.round(F.sum("amount").over(day), 4).alias("sender_amount_24h"))
+    f = history(tx, ["sender"], "us", {"sender_tx_1h": ("count", None, HOUR), "sender_tx_24h": ("count", None, DAY * HOUR), "sender_amount_24h": ("sum", "amount", DAY * HOUR)})
+    return f.select("transaction_id", "sender_tx_1h", "sender_tx_24h", F.round("sender_amount_24h", 4).alias("sender_amount_24h"))
 
 
 def fan_in(tx: DataFrame) -> DataFrame:
-    day = _before(["recipient"], "us", 24 * HOUR)
-    return tx.select("transaction_id", F.count("*").over(day).alias("recipient_fanin_24h"), F.round(F.sum("amount").over(day), 4).alias("recipient_value_24h"))
+    f = history(tx, ["recipient"], "us", {"recipient_fanin_24h": ("count", None, DAY * HOUR), "recipient_value_24h": ("sum", "amount", DAY * HOUR)})
+    return f.select("transaction_id", "recipient_fanin_24h", F.round("recipient_value_24h", 4).alias("recipient_value_24h"))
 
 
 def device_activity(tx: DataFrame) -> DataFrame:
-    return tx.select("transaction_id", F.count("*").over(_before(["device_id"], "us", 24 * HOUR)).alias("device_activity_24h"))
+    return history(tx, ["device_id"], "us", {"device_activity_24h": ("count", None, DAY * HOUR)}).select("transaction_id", "device_activity_24h")
+
+
+PAYMENT_FEATURES = ["sender_tx_1h", "sender_tx_24h", "sender_amount_24h", "sender_mean_amount_7d", "recipient_fanin_24h", "device_activity_24h", "pair_tx_24h", "sender_unique_recipients_24h", "recipient_unique_senders_24h", "device_unique_senders_24h"]
 
 
 def payment_features(tx: DataFrame, resolution: str = "s") -> DataFrame:
-    """Rolling features of payments by seconds (or microseconds), with exact distinct counterparties, senders and devices."""
+    """Rolling features of payments by seconds (or microseconds), with exact distinct counterparties, senders and devices; hour of the day and night beside them."""
     unit = 1_000_000 if resolution == "s" else 1
-    tx = tx.withColumn("at", F.floor(F.col("us") / unit).cast("long"))
     h = HOUR // unit
-    s1, s24, s7 = (_before(["sender"], "at", k * h) for k in (1, 24, 168))
-    r24, d24, p24 = _before(["recipient"], "at", 24 * h), _before(["device_id"], "at", 24 * h), _before(["sender", "recipient"], "at", 24 * h)
-    out = tx.select(
-        "transaction_id", "at", "sender", "recipient", "device_id", F.count("*").over(s1).alias("sender_tx_1h"), F.count("*").over(s24).alias("sender_tx_24h"), F.round(_zero(F.sum("amount").over(s24)), 4).alias("sender_amount_24h"),
-        F.round(F.coalesce(F.avg("amount").over(s7), "amount"), 7).alias("sender_mean_amount_7d"), F.count("*").over(r24).alias("recipient_fanin_24h"), F.count("*").over(d24).alias("device_activity_24h"), F.count("*").over(p24).alias("pair_tx_24h"),
-    )
-    out = distinct_before(out, ["sender"], "recipient", "at", 24 * h, "sender_unique_recipients_24h")
-    out = distinct_before(out, ["recipient"], "sender", "at", 24 * h, "recipient_unique_senders_24h")
-    return distinct_before(out, ["device_id"], "sender", "at", 24 * h, "device_unique_senders_24h").drop("at", "sender", "recipient", "device_id")
+    out = tx.select("transaction_id", "us", "sender", "recipient", "device_id", "amount", F.floor(F.col("us") / unit).cast("long").alias("at"))
+    out = history(out, ["sender"], "at", {"sender_tx_1h": ("count", None, h), "sender_tx_24h": ("count", None, DAY * h), "sender_amount_24h": ("sum", "amount", DAY * h), "sender_mean_amount_7d": ("mean", "amount", WEEK * h), "sender_unique_recipients_24h": ("distinct", "recipient", DAY * h)})
+    out = history(out, ["sender", "recipient"], "at", {"pair_tx_24h": ("count", None, DAY * h)})
+    out = history(out, ["recipient"], "at", {"recipient_fanin_24h": ("count", None, DAY * h), "recipient_unique_senders_24h": ("distinct", "sender", DAY * h)})
+    out = history(out, ["device_id"], "at", {"device_activity_24h": ("count", None, DAY * h), "device_unique_senders_24h": ("distinct", "sender", DAY * h)})
+    out = out.withColumn("sender_amount_24h", F.round(_zero("sender_amount_24h"), 4)).withColumn("sender_mean_amount_7d", F.round(F.coalesce("sender_mean_amount_7d", "amount"), 7))
+    hour = F.expr("CAST(pmod(us DIV 3600000000, 24) AS INT)")
+    return out.select("transaction_id", *PAYMENT_FEATURES, hour.alias("hour"), (hour <= 5).cast("int").alias("is_night"))
+
+
+def _clip(c: Column, high: float) -> Column:
+    return F.least(F.greatest(c, F.lit(0.0)), F.lit(high))
 
 
 def step_features(tx: DataFrame) -> DataFrame:
-    """Features by hourly step: three keys, each frame on its key's one shuffle; scalar features beside them."""
-    w = lambda key, k: _before(key, "step", k)
-    s, r, p = ["sender"], ["recipient"], ["sender", "recipient"]
-    n = lambda x: F.count("*").over(x)
-    a = lambda x: _zero(F.sum("amount").over(x))
-    out = tx.select(
-        "*", n(w(s, 1)).alias("sender_tx_1h"), n(w(s, 24)).alias("sender_tx_24h"), n(w(s, 168)).alias("sender_tx_7d"), a(w(s, 24)).alias("sender_amount_24h"), a(w(s, 168)).alias("sender_amount_7d"), F.coalesce(F.avg("amount").over(w(s, 168)), "amount").alias("sender_mean_amount_7d"),
-        n(w(r, 24)).alias("recipient_fanin_24h"), n(w(r, 168)).alias("recipient_tx_7d"), a(w(r, 24)).alias("recipient_amount_24h"), n(w(p, 168)).alias("pair_tx_7d"), a(w(p, 168)).alias("pair_amount_7d"),
-    )
-    out = distinct_before(out, s, "recipient", "step", 168, "sender_unique_recipients_7d")
-    out = distinct_before(out, r, "sender", "step", 168, "recipient_unique_senders_7d")
-    clip = lambda c, hi: F.least(F.greatest(c, F.lit(0.0)), F.lit(hi))
+    """Features by hourly step: three keys, a time line each; scalar features beside them."""
+    s, r, n = ["sender"], ["recipient"], ("count", None)
+    out = history(tx, s, "step", {
+        "sender_tx_1h": (*n, 1), "sender_tx_24h": (*n, DAY), "sender_tx_7d": (*n, WEEK), "sender_amount_24h": ("sum", "amount", DAY), "sender_amount_7d": ("sum", "amount", WEEK), "sender_mean_amount_7d": ("mean", "amount", WEEK),
+        "sender_unique_recipients_7d": ("distinct", "recipient", WEEK),
+    })
+    out = history(out, [*s, *r], "step", {"pair_tx_7d": (*n, WEEK), "pair_amount_7d": ("sum", "amount", WEEK)})
+    out = history(out, r, "step", {"recipient_fanin_24h": (*n, DAY), "recipient_tx_7d": (*n, WEEK), "recipient_amount_24h": ("sum", "amount", DAY), "recipient_unique_senders_7d": ("distinct", "sender", WEEK)})
+    out = out.withColumns({c: _zero(c) for c in ("sender_amount_24h", "sender_amount_7d", "pair_amount_7d", "recipient_amount_24h")}).withColumn("sender_mean_amount_7d", F.coalesce("sender_mean_amount_7d", "amount"))
     return out.select(
         "*", F.log1p(F.greatest("amount", F.lit(0.0))).alias("log_amount"), (F.col("amount") / F.greatest("sender_mean_amount_7d", F.lit(1.0))).alias("amount_vs_7d_mean"),
-        clip(F.col("pair_tx_7d") / F.greatest("sender_tx_7d", F.lit(1)), 1.0).alias("sender_recipient_share_7d"), *((F.col("type") == t).cast("int").alias(f"type_{t.lower()}") for t in ("CASH_IN", "CASH_OUT", "DEBIT", "PAYMENT", "TRANSFER")),
+        _clip(F.col("pair_amount_7d") / F.greatest("sender_amount_7d", F.lit(1.0)), 1.0).alias("sender_recipient_share_7d"), *((F.col("type") == t).cast("int").alias(f"type_{t.lower()}") for t in ("CASH_IN", "CASH_OUT", "DEBIT", "PAYMENT", "TRANSFER")),
     )
 
 
-def balance_features(old: str, new: str, amount: str = "amount") -> list[Column]:
-    """Share of the balance that moves, within 0 and 20, and the change of the balance."""
-    return [F.least(F.greatest(F.col(amount) / F.greatest(F.col(old), F.lit(1.0)), F.lit(0.0)), F.lit(20.0)).alias("balance_fraction"), (F.col(old) - F.col(new)).alias("balance_delta")]
+def balance_features() -> list[Column]:
+    """Share of the sender's balance that moves, within 0 and 20, and the changes of both balances."""
+    share = _clip(F.col("amount") / F.greatest("old_balance_sender", F.lit(1.0)), 20.0)
+    return [share.alias("balance_fraction"), (F.col("old_balance_sender") - F.col("new_balance_sender")).alias("orig_balance_delta"), (F.col("new_balance_recipient") - F.col("old_balance_recipient")).alias("dest_balance_delta")]
+
+
+def _recipients(tx: DataFrame) -> DataFrame:
+    f = history(tx, ["recipient"], "step", {"recipient_tx_24h": ("count", None, DAY), "recipient_amount_24h": ("sum", "amount", DAY), "recipient_tx_7d": ("count", None, WEEK), "unique_senders_7d": ("distinct", "sender", WEEK)})
+    f = history(f, ["recipient", "sender"], "step", {"pair_tx_7d": ("count", None, WEEK)})
+    return f.withColumn("recipient_amount_24h", _zero("recipient_amount_24h"))
 
 
 def recipient_investigation(tx: DataFrame) -> DataFrame:
     """What an investigator asks of a recipient before each payment."""
-    f = distinct_before(tx, ["recipient"], "sender", "step", 168, "unique_senders_7d")
-    day = _before(["recipient"], "step", 24)
-    return f.select("*", F.count("*").over(day).alias("recipient_tx_24h"), _zero(F.sum("amount").over(day)).alias("recipient_amount_24h"), F.count("*").over(_before(["recipient", "sender"], "step", 168)).alias("pair_tx_7d"))
+    return _recipients(tx).drop("recipient_tx_7d")
 
 
 def recipient_concentration(tx: DataFrame, n: int = 100, shown: int = 10) -> DataFrame:
-    """Retrospective fraud in the first percentiles of the investigation order.
-
-    The percentile is from a rank: rows are ranked within range partitions of the order, whose sizes, one row each, give the offsets.
-    """
-    f = recipient_investigation(tx)
-    order = [F.desc("recipient_amount_24h"), F.desc("unique_senders_7d"), F.desc("recipient_tx_24h"), F.asc("transaction_id")]
-    placed = f.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()).withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
-    sizes = placed.groupBy("_p").agg(F.count("*").alias("_n"))
-    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).crossJoin(sizes.agg(F.sum("_n").alias("_all")))  # a row for each partition
-    rank = F.col("_r") + F.col("_before")
-    big, small = F.col("_all") % n, F.floor(F.col("_all") / n)
-    pct = F.when(rank <= big * (small + 1), F.ceil(rank / (small + 1))).otherwise(big + F.ceil((rank - big * (small + 1)) / small))
-    out = placed.join(F.broadcast(offsets), "_p").withColumn("investigation_percentile", pct.cast("long")).where(F.col("investigation_percentile") <= shown)
-    return out.groupBy("investigation_percentile").agg(
+    """Retrospective fraud in the first percentiles of the investigation order."""
+    f = _recipients(tx)
+    f = ranked(f, "recipient_amount_24h", "investigation_rank", then=[F.desc("unique_senders_7d"), F.desc("recipient_tx_24h"), F.asc("transaction_id")]).crossJoin(tx.agg(F.count("*").alias("_all")))  # one row
+    big, small, rank = F.col("_all") % n, F.floor(F.col("_all") / n), F.col("investigation_rank")
+    pct = F.when(rank <= big * (small + 1), F.ceil(rank / (small + 1))).otherwise(big + F.ceil((rank - big * (small + 1)) / F.greatest(small, F.lit(1))))
+    return f.withColumn("investigation_percentile", pct.cast("long")).where(F.col("investigation_percentile") <= shown).groupBy("investigation_percentile").agg(
         F.count("*").alias("transactions"), F.round(F.avg("is_fraud"), 9).alias("fraud_rate"), F.round(F.sum(F.when(F.col("is_fraud") == 1, F.col("amount")).otherwise(0.0)), 4).alias("fraud_value"),
         F.round(F.avg("recipient_tx_24h"), 6).alias("avg_recipient_tx_24h"), F.round(F.avg("unique_senders_7d"), 6).alias("avg_unique_senders_7d"), F.round(F.avg("pair_tx_7d"), 6).alias("avg_pair_tx_7d"),
     )
@@ -117,11 +151,9 @@ def recipient_concentration(tx: DataFrame, n: int = 100, shown: int = 10) -> Dat
 
 def candidate_queue(tx: DataFrame, high: float = 0.99) -> DataFrame:
     """Recipients scored by their percent ranks within the step, with reasons."""
-    f = distinct_before(tx, ["recipient"], "sender", "step", 168, "recipient_unique_senders_7d")
-    day, week = _before(["recipient"], "step", 24), _before(["recipient"], "step", 168)
-    f = f.select("*", F.count("*").over(day).alias("recipient_fanin_24h"), F.round(_zero(F.sum("amount").over(day)), 4).alias("recipient_amount_24h"), F.count("*").over(week).alias("recipient_tx_7d"), F.count("*").over(_before(["recipient", "sender"], "step", 168)).alias("pair_tx_7d"))
+    f = _recipients(tx).withColumnsRenamed({"recipient_tx_24h": "recipient_fanin_24h", "unique_senders_7d": "recipient_unique_senders_7d"}).withColumn("recipient_amount_24h", F.round("recipient_amount_24h", 4))
     pct = lambda c: F.percent_rank().over(Window.partitionBy("step").orderBy(c))
     f = f.withColumns({"fanin_pct": pct("recipient_fanin_24h"), "amount_pct": pct("recipient_amount_24h"), "tx_pct": pct("recipient_tx_7d"), "senders_pct": pct("recipient_unique_senders_7d")})
     reason = F.concat_ws("|", F.when(F.col("senders_pct") >= high, "MANY_PRIOR_SENDERS"), F.when(F.col("fanin_pct") >= high, "HIGH_PRIOR_FAN_IN"), F.when(F.col("amount_pct") >= high, "HIGH_PRIOR_RECIPIENT_VALUE"), F.when(F.col("pair_tx_7d") == 0, "NEW_SENDER_RECIPIENT_PAIR"))
     score = 0.25 * F.col("fanin_pct") + 0.25 * F.col("amount_pct") + 0.15 * F.col("tx_pct") + 0.35 * F.col("senders_pct")
-    return f.select("transaction_id", "recipient_fanin_24h", "recipient_amount_24h", "recipient_tx_7d", "recipient_unique_senders_7d", "pair_tx_7d", F.round(score, 6).alias("investigation_score"), reason.alias("reasons"))
+    return f.select("transaction_id", "step", "sender", "recipient", "type", "amount", "recipient_fanin_24h", "recipient_amount_24h", "recipient_tx_7d", "recipient_unique_senders_7d", "pair_tx_7d", F.round(score, 6).alias("investigation_score"), reason.alias("reasons"))

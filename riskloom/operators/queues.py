@@ -5,70 +5,100 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import ratio
-from .metrics import count, fraud, value
+from .metrics import count, fraud, legit, value
+from .ranks import ranked
+
+NOVEL = "novel_shared_device_microburst"
+
+
+def novel() -> Column:
+    return F.col("fraud_type") == NOVEL
 
 
 def percentile_rank(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Average rank over n. Rows are summed by value before values are ordered."""
-    g = df.groupBy(column).agg(F.count("*").alias("_c"))
-    w = Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
-    g = g.withColumn("_r", F.coalesce(F.sum("_c").over(w), F.lit(0)) + (F.col("_c") + 1) / 2).crossJoin(df.agg(F.count("*").alias("_n")))  # one row
-    return df.join(g.select(column, (F.col("_r") / F.col("_n")).alias(name)), column)
+    """Adds the average rank over the number of rows."""
+    return ranked(df, column, name, descending=False, average=True).withColumn(name, F.col(name) / df.count())
+
+
+def with_ranks(df: DataFrame) -> DataFrame:
+    """Adds the places of rows by model, anomaly and hybrid priority, ties by id. Hybrid: the larger percentile rank of score and anomaly, then amount."""
+    n, tie = df.count(), [F.asc("transaction_id")]
+    for c in ("score", "anomaly", "amount"):
+        df = ranked(df, c, f"{c}_rank", descending=False, average=True)
+    df = ranked(ranked(df, "score", "r_model", then=tie), "anomaly", "r_anomaly", then=tie)
+    df = df.withColumn("hybrid", F.greatest("score_rank", "anomaly_rank") / n + 1e-4 * F.col("amount_rank") / n)
+    return ranked(df, "hybrid", "r_hybrid", then=tie)
+
+
+def lanes_of(k: int, share: float) -> tuple[int, int]:
+    """Places of both lanes: exploration gets its share by half-even rounding, one at least where there are two places; none at share 0."""
+    explore = max(1, round(k * share)) if share > 0 and k > 1 else 0
+    return k - explore, explore
 
 
 def two_lane(df: DataFrame, k: int, share: float = 0.2, model: str = "score", anomaly: str = "anomaly") -> DataFrame:
-    """The k rows of review: most by model score, a fixed share (half-even rounding, one at least) of the others by anomaly. Ties by id."""
-    explore = max(1, round(k * share)) if k > 1 else 0
-    first = df.orderBy(F.desc(model), "transaction_id").limit(max(0, k - explore)).withColumn("lane", F.lit("exploit"))
-    rest = df.join(first.select("transaction_id"), "transaction_id", "left_anti")
-    return first.unionByName(rest.orderBy(F.desc(anomaly), "transaction_id").limit(explore).withColumn("lane", F.lit("explore")))
+    """The k rows of review: most by model score, a fixed share of the others by anomaly. Ties by id."""
+    exploit, explore = lanes_of(k, share)
+    df = ranked(df, model, "_m", then=[F.asc("transaction_id")])
+    rest = ranked(df.where(F.col("_m") > exploit), anomaly, "_x", then=[F.asc("transaction_id")]).where(F.col("_x") <= explore)
+    return df.where(F.col("_m") <= exploit).withColumn("lane", F.lit("exploit")).unionByName(rest.drop("_x").withColumn("lane", F.lit("explore"))).drop("_m")
+
+
+def _selections(df: DataFrame, plans: list[tuple[str, int, float, int, int]]) -> DataFrame:
+    """Metrics of each plan (queue, capacity, share, places by the queue's priority, places of exploration); rows need their ranks.
 
+    A row explores if it is among the first by anomaly once those that the model takes are left out; only rows within
+    the whole capacity by anomaly can be.
+    """
+    p = F.explode(F.array(*(F.struct(F.lit(q).alias("queue"), F.lit(c).alias("capacity_per_10k"), F.lit(s).alias("exploration_share"), F.lit(e).alias("_e"), F.lit(x).alias("_x")) for q, c, s, e, x in plans)))
+    most = max(e + x for *_, e, x in plans)
+    near = df.where(F.least("r_model", "r_anomaly", "r_hybrid") <= most).select("*", p.alias("p")).select("*", "p.*").drop("p")
+    place = F.when(F.col("queue") == "hybrid", F.col("r_hybrid")).otherwise(F.col("r_model"))
+    taken = place <= F.col("_e")
+    asks = ~taken & (F.col("_x") > 0) & (F.col("r_anomaly") <= F.col("_e") + F.col("_x"))
+    order = F.row_number().over(Window.partitionBy("queue", "capacity_per_10k", "exploration_share", asks).orderBy("r_anomaly"))
+    near = near.withColumn("_in", taken | (asks & (order <= F.col("_x"))))
+    totals = df.agg(count(fraud()).alias("_f"), value(fraud()).alias("_v"), count(novel()).alias("_n"))
+    of = near.where("_in").groupBy("queue", "capacity_per_10k", "exploration_share").agg(F.count("*").alias("review_n"), count(fraud()).alias("_tf"), value(fraud()).alias("_tv"), count(novel()).alias("_tn")).crossJoin(totals)  # one row
+    r9 = lambda a, b: F.round(ratio(F.col(a), F.col(b)), 9)
+    return of.select("queue", "capacity_per_10k", "exploration_share", "review_n", r9("_tf", "review_n").alias("precision"), r9("_tf", "_f").alias("fraud_recall"), r9("_tv", "_v").alias("fraud_value_recall"), r9("_tn", "_n").alias("novel_fraud_recall"))
 
-def selected_metrics(selected: DataFrame, everything: DataFrame) -> DataFrame:
-    total = everything.agg(count(fraud()).alias("_f"), value(fraud()).alias("_v"))
-    s = selected.agg(F.count("*").alias("review_n"), count(fraud()).alias("_tp"), value(fraud()).alias("_tv")).crossJoin(total)  # one row each
-    return s.select("review_n", F.round(ratio(F.col("_tp"), F.col("review_n")), 9).alias("precision"), F.round(ratio(F.coalesce("_tp", F.lit(0)), F.col("_f")), 9).alias("fraud_recall"), F.round(ratio(F.coalesce("_tv", F.lit(0.0)), F.col("_v")), 9).alias("fraud_value_recall"))
+
+def _capacity(n: int, per_10k: float) -> int:
+    return max(1, math.ceil(n * per_10k / 10_000))
 
 
 def queue_metrics(df: DataFrame, capacities=(25, 50, 100, 200)) -> DataFrame:
-    """Model, hybrid and two-lane queues at each capacity, ceil(n * per10k / 10000)."""
-    for c in ("score", "anomaly", "amount"):
-        df = percentile_rank(df, c, f"{c}_rank")
-    df = df.withColumn("hybrid", F.greatest("score_rank", "anomaly_rank") + 1e-4 * F.col("amount_rank"))
-    n, out = df.count(), None
-    for cap in capacities:
-        k = max(1, math.ceil(n * cap / 10_000))
-        picks = {"model": df.orderBy(F.desc("score_rank"), "transaction_id").limit(k), "hybrid": df.orderBy(F.desc("hybrid"), "transaction_id").limit(k), "two_lane_80_20": two_lane(df, k, 0.2, "score_rank", "anomaly_rank")}
-        for name, s in picks.items():
-            row = selected_metrics(s, df).select(F.lit(name).alias("queue"), F.lit(cap).alias("capacity_per_10k"), "*")
-            out = row if out is None else out.unionByName(row)
-    return out
+    """Model, hybrid and two-lane queues at each capacity, ceil(n * per10k / 10000): rows are ranked once for all."""
+    n, plans = df.count(), []
+    for c in capacities:
+        k = _capacity(n, c)
+        plans += [("model", c, 0.0, k, 0), ("hybrid", c, 0.0, k, 0), ("two_lane_80_20", c, 0.2, *lanes_of(k, 0.2))]
+    return _selections(with_ranks(df), plans).drop("exploration_share")
 
 
-def exploration_sensitivity(df: DataFrame, per_10k: int = 100, shares=(0.0, 0.1, 0.2, 0.3, 0.5)) -> DataFrame:
-    n, out = df.count(), None
-    k = max(1, math.ceil(n * per_10k / 10_000))
-    for s in shares:
-        row = selected_metrics(two_lane(df, k, s), df).select(F.lit(s).alias("exploration_share"), "*")
-        out = row if out is None else out.unionByName(row)
-    return out
+def exploration_sensitivity(df: DataFrame, capacities=(100, 200), shares=(0.0, 0.1, 0.2, 0.3, 0.4)) -> DataFrame:
+    """Two-lane queues for each capacity and share of exploration; share 0 is the model's queue."""
+    n = df.count()
+    plans = [("two_lane", c, float(s), *lanes_of(_capacity(n, c), s)) for c in capacities for s in shares]
+    return _selections(with_ranks(df), plans).select("capacity_per_10k", "exploration_share", "fraud_value_recall", "novel_fraud_recall", "precision")
 
 
 def lanes(df: DataFrame, review: float, block: float, anomaly: float) -> DataFrame:
-    """Candidates of both lanes with their hour since the epoch."""
+    """All rows with their lane (null: no candidate), whether they are blocked, and their hour since the epoch."""
     p = F.col("score")
     exploit = (p >= review) & (p < block)
     explore = (F.col("anomaly") > anomaly) & (p < block) & ~exploit
-    return df.withColumn("lane", F.when(exploit, "exploit").when(explore, "explore")).where("lane is not null").withColumn("hour", F.floor(F.col("us") / 3_600_000_000).cast("long"))
+    return df.withColumn("lane", F.when(exploit, "exploit").when(explore, "explore")).withColumn("blocked", p >= block).withColumn("hour", F.floor(F.col("us") / 3_600_000_000).cast("long"))
 
 
-def hourly_arrivals(candidates: DataFrame) -> DataFrame:
-    """Arrivals of each lane for every hour between the first and the last."""
-    g = candidates.groupBy("hour").agg(F.sum((F.col("lane") == "exploit").cast("long")).alias("exploit"), F.sum((F.col("lane") == "explore").cast("long")).alias("explore"))
+def hourly_arrivals(rows: DataFrame) -> DataFrame:
+    """Arrivals of each lane for every hour between the first and the last row, candidates or not."""
+    g = rows.groupBy("hour").agg(count(F.col("lane") == "exploit").cast("long").alias("exploit"), count(F.col("lane") == "explore").cast("long").alias("explore"))
     span = g.agg(F.min("hour").alias("a"), F.max("hour").alias("b")).where("a is not null").select(F.explode(F.sequence("a", "b")).alias("hour"))
     return span.join(g, "hour", "left").select("hour", F.coalesce("exploit", F.lit(0)).alias("exploit"), F.coalesce("explore", F.lit(0)).alias("explore"))
 
@@ -89,49 +119,104 @@ def slots_by_hour(hours: int, capacity: float, share: float) -> list[tuple[int,
     return out
 
 
-def adaptive_routing(candidates: DataFrame, capacity: float = 6.0, share: float = 0.2) -> DataFrame:
-    """Admitted candidates: each hour its slots, some kept for exploration, unused ones spilling to the other lane. Slots depend on the hour alone."""
-    a, b = candidates.agg(F.min("hour"), F.max("hour")).first()
-    spark = candidates.sparkSession
-    plan = [(a + i, s, x) for i, (s, x) in enumerate(slots_by_hour(b - a + 1, capacity, share))] if a is not None else []
-    slots = spark.createDataFrame(plan, "hour long, slots int, x_slots int")
-    g = candidates.groupBy("hour").agg(F.sum((F.col("lane") == "exploit").cast("int")).alias("E"), F.sum((F.col("lane") == "explore").cast("int")).alias("X"))
-    e0, x0 = F.least("E", F.col("slots") - F.col("x_slots")), F.least("X", "x_slots")
-    g = g.join(slots, "hour").withColumn("e0", e0).withColumn("x0", x0).withColumn("spare", F.col("slots") - F.col("e0") - F.col("x0"))
+def admitted(rows: DataFrame, capacity: float = 6.0, multipliers=(1.0,), share: float = 0.2) -> DataFrame:
+    """Candidates admitted for each traffic multiplier: each hour its slots, some kept for exploration, unused ones spilling to the other lane.
+
+    Slots depend on the hour's place alone, counted from the first row's hour; more traffic means fewer slots for the same rows.
+    """
+    if capacity <= 0 or not 0 <= share <= 1 or any(m <= 0 for m in multipliers):
+        raise ValueError("a positive capacity, positive multipliers and a share within 0 and 1 are needed")
+    a, b = rows.agg(F.min("hour"), F.max("hour")).first()
+    plan = [(m, a + i, s, x) for m in multipliers for i, (s, x) in enumerate(slots_by_hour(b - a + 1, capacity / m, share))] if a is not None else []
+    slots = F.broadcast(rows.sparkSession.createDataFrame(plan, "traffic_multiplier double, hour long, slots int, x_slots int"))  # hours times multipliers
+    candidates = rows.where("lane is not null")
+    g = candidates.groupBy("hour").agg(count(F.col("lane") == "exploit").alias("E"), count(F.col("lane") == "explore").alias("X")).join(slots, "hour")
+    g = g.withColumn("e0", F.least("E", F.col("slots") - F.col("x_slots"))).withColumn("x0", F.least("X", "x_slots")).withColumn("spare", F.col("slots") - F.col("e0") - F.col("x0"))
     g = g.withColumn("take_e", F.col("e0") + F.least(F.col("E") - F.col("e0"), F.col("spare")))
     g = g.withColumn("take_x", F.col("x0") + F.least(F.col("X") - F.col("x0"), F.col("spare") - (F.col("take_e") - F.col("e0"))))
     order = F.when(F.col("lane") == "exploit", F.col("score")).otherwise(F.col("anomaly"))
     r = candidates.withColumn("r", F.row_number().over(Window.partitionBy("hour", "lane").orderBy(order.desc(), "transaction_id")))
-    return r.join(g.select("hour", "take_e", "take_x"), "hour").where(F.col("r") <= F.when(F.col("lane") == "exploit", F.col("take_e")).otherwise(F.col("take_x"))).drop("r", "take_e", "take_x")
-
-
-def sla_stress(candidates: DataFrame, capacities=(4.0, 6.0, 8.0), multipliers=(0.5, 1.0, 1.5, 2.0, 4.0), share: float = 0.2) -> DataFrame:
-    """Backlogs of both lanes hour by hour for each capacity and traffic multiple: a recurrence over hours, each scenario in one group of one row an hour."""
-    grid = candidates.sparkSession.createDataFrame([(c, m) for c in capacities for m in multipliers], "capacity double, multiplier double")
-    hours = hourly_arrivals(candidates).crossJoin(F.broadcast(grid))  # 15 scenarios
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    taken = F.col("r") <= F.when(F.col("lane") == "exploit", F.col("take_e")).otherwise(F.col("take_x"))
+    return r.join(g.select("traffic_multiplier", "hour", "take_e", "take_x"), "hour").where(taken).drop("r", "take_e", "take_x")
+
+
+def adaptive_routing(rows: DataFrame, capacity: float = 6.0, multipliers=(1.0, 1.5, 2.0, 4.0), share: float = 0.2) -> DataFrame:
+    """What admission under capacity does at each traffic multiplier."""
+    chosen = admitted(rows, capacity, multipliers, share)
+    hours = rows.groupBy("hour").agg(count(F.col("lane").isNotNull()).alias("n"))
+    span = hours.agg((F.max("hour") - F.min("hour") + 1).alias("hours"), F.max("n").cast("long").alias("max_hourly_candidates_source_stream"))
+    lane, blocked = F.col("lane").isNotNull(), F.col("blocked")
+    total = rows.agg(
+        count(lane).cast("long").alias("candidate_n"), value(fraud()).alias("v"), value(fraud() & lane).alias("cv"), count(novel()).alias("nv"), count(novel() & lane).alias("cnv"), count(legit()).alias("l"), value(fraud() & blocked).alias("bv"), count(novel() & blocked).alias("bn"),
+    ).crossJoin(span)
+    every = rows.sparkSession.createDataFrame([(float(m),) for m in multipliers], "traffic_multiplier double")
+    by_hour = chosen.groupBy("traffic_multiplier", "hour").agg(
+        F.count("*").alias("n"), value(fraud()).alias("sv"), count(novel()).alias("sn"), count(legit()).alias("sl"), F.min(F.when(F.col("lane") == "exploit", F.col("score"))).alias("ce"), F.min(F.when(F.col("lane") == "explore", F.col("anomaly"))).alias("cx")
+    )
+    got = by_hour.groupBy("traffic_multiplier").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.sum("sv").alias("sv"), F.sum("sn").alias("sn"), F.sum("sl").alias("sl"), F.median("ce").alias("ce"), F.median("cx").alias("cx"))
+    x = every.join(got, "traffic_multiplier", "left").crossJoin(total).withColumn("n", F.coalesce("n", F.lit(0))).na.fill(0, ["sv", "sn", "sl", "most"])  # one row a multiplier
+    r9, least = lambda c: F.round(c, 9), lambda c: F.greatest(F.col(c).cast("double"), F.lit(1e-12))
+    one = lambda c: F.greatest(F.col(c).cast("double"), F.lit(1.0))
+    scaled = F.col("n") * F.col("traffic_multiplier") / one("hours")
+    return x.select(
+        "traffic_multiplier", F.lit(float(capacity)).alias("analyst_capacity_per_hour"), F.lit(float(share)).alias("exploration_share"), "candidate_n", F.col("n").cast("long").alias("admitted_n_source_stream"), r9(F.col("n") / one("candidate_n")).alias("candidate_acceptance_rate"),
+        r9(scaled).alias("scaled_reviews_per_hour"), r9(scaled / capacity).alias("capacity_utilisation_after_admission"), r9(F.col("sv") / least("v")).alias("analyst_reviewed_fraud_value_share"), r9(F.col("sv") / least("cv")).alias("candidate_fraud_value_retention"),
+        r9((F.col("sv") + F.col("bv")) / least("v")).alias("system_fraud_value_coverage_with_blocks"), r9(F.col("sn") / one("nv")).alias("analyst_reviewed_novel_recall"), r9(F.col("sn") / one("cnv")).alias("candidate_novel_retention"),
+        r9(F.try_divide(F.col("sn") + F.col("bn"), F.col("nv"))).alias("system_novel_recall_with_blocks"), r9(F.try_divide(F.col("sl"), F.col("l"))).alias("legitimate_review_rate"), r9(F.col("candidate_n") / one("hours")).alias("mean_hourly_candidates_source_stream"),
+        "max_hourly_candidates_source_stream", F.col("most").cast("long").alias("max_hourly_admitted_source_stream"), r9("ce").alias("median_dynamic_exploit_cutoff"), r9("cx").alias("median_dynamic_explore_cutoff"),
+    )
+
+
+SLA = "traffic_multiplier double, analyst_capacity_per_hour double, exploration_share double, hours long, observed_candidate_arrival_rate_per_hour double, scaled_arrival_rate_per_hour double, arrivals double, served double, capacity_utilisation double, max_backlog_cases double, final_backlog_cases double, hours_with_backlog_rate double, max_wait_proxy_hours double, stable_by_end boolean, meets_4h_sla_proxy boolean"
+
+
+def sla_stress(rows: DataFrame, capacities=(4.0, 6.0, 8.0), multipliers=(0.5, 1.0, 1.5, 2.0, 4.0), share: float = 0.2) -> DataFrame:
+    """Backlogs of both lanes hour by hour for each capacity and traffic multiple: a recurrence over hours, each scenario in one group of one row an hour.
+
+    Capacity that a lane leaves goes to the longer backlog first, exploitation on a tie.
+    """
+    grid = rows.sparkSession.createDataFrame([(c, m) for c in capacities for m in multipliers], "capacity double, multiplier double")
+    hours = hourly_arrivals(rows).crossJoin(F.broadcast(grid))  # 15 scenarios
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         capacity, multiple = key
-        ex_cap = capacity * share
-        e = x = most = served = arrived = 0.0
-        behind = 0
-        for a, b in pdf.sort_values("hour")[["exploit", "explore"]].itertuples(index=False):
-            e, x, arrived = e + a * multiple, x + b * multiple, arrived + (a + b) * multiple
-            se, sx = min(e, capacity - ex_cap), min(x, ex_cap)
-            spare = capacity - se - sx
-            more = min(e - se, spare)
-            se, spare = se + more, spare - more
-            sx += min(x - sx, spare)
-            e, x, served = e - se, x - sx, served + se + sx
-            most, behind = max(most, e + x), behind + (e + x > 1e-9)
-        n = max(1, len(pdf))
-        return pd.DataFrame([(capacity, multiple, e + x, most, behind / n, served / arrived if arrived else 1.0)], columns=["capacity", "multiplier", "final_backlog", "max_backlog", "backlog_hours_share", "served_share"])
-
-    return hours.groupBy("capacity", "multiplier").applyInPandas(run, "capacity double, multiplier double, final_backlog double, max_backlog double, backlog_hours_share double, served_share double")
-
-
-def investigation_queue(df: DataFrame, n: int = 200) -> DataFrame:
-    """The n highest scores with reasons by the whole table's quantiles."""
-    q = df.agg(F.percentile("score", 0.99), F.percentile("amount", 0.99)).first()
-    reason = F.concat_ws("|", F.when(F.col("score") >= q[0], "HIGH_MODEL_SCORE"), F.when(F.col("amount") >= q[1], "HIGH_AMOUNT"))
-    return df.orderBy(F.desc("score"), "transaction_id").limit(n).select("transaction_id", F.round("score", 9).alias("score"), F.when(reason == "", "RISK_RANK").otherwise(reason).alias("reasons"))
+        reserved = capacity * share
+        backlog, most, served, arrived, behind = [0.0, 0.0], 0.0, 0.0, 0.0, 0
+        for new in pdf.sort_values("hour")[["exploit", "explore"]].itertuples(index=False):
+            arrived += (new[0] + new[1]) * multiple
+            backlog = [b + n * multiple for b, n in zip(backlog, new, strict=True)]
+            spare = capacity
+            for lane, room in ((0, capacity - reserved), (1, reserved)):
+                done = min(backlog[lane], room)
+                backlog[lane] -= done
+                spare -= done
+            for lane in (0, 1) if backlog[0] >= backlog[1] else (1, 0):
+                done = min(backlog[lane], spare)
+                backlog[lane] -= done
+                spare -= done
+            served += capacity - spare
+            most, behind = max(most, sum(backlog)), behind + (sum(backlog) > 1e-9)
+        n, last = len(pdf), sum(backlog)
+        rate, used, wait = arrived / multiple / n, arrived / max(capacity * n, 1e-9), most / max(capacity, 1e-9)
+        row = (multiple, capacity, share, n, rate, rate * multiple, arrived, served, used, most, last, behind / n, wait, last < 1e-9, used < 1.0 and wait <= 4.0)
+        return pd.DataFrame([row], columns=[c.split()[0] for c in SLA.split(", ")])
+
+    return hours.groupBy("capacity", "multiplier").applyInPandas(run, SLA)
+
+
+def investigation_queue(df: DataFrame, n: int = 100) -> DataFrame:
+    """The n rows of highest priority, the larger of the percentile ranks of score and anomaly, with reasons; highest first, then larger amounts.
+
+    Rows need the payment features that reasons name.
+    """
+    q = df.agg(F.percentile("score", 0.99).alias("_qs"), F.percentile("anomaly", 0.99).alias("_qa"))
+    for c in ("score", "anomaly"):
+        df = percentile_rank(df, c, f"{c}_rank")
+    top = df.withColumn("priority_percentile", F.greatest("score_rank", "anomaly_rank")).orderBy(F.desc("priority_percentile"), "transaction_id").limit(n).crossJoin(q)  # one row
+    reasons = F.concat_ws(
+        "|", F.when(F.col("score") >= F.col("_qs"), "HIGH_MODEL_RISK"), F.when(F.col("anomaly") >= F.col("_qa"), "BEHAVIOURAL_TAIL"), F.when(F.col("device_unique_senders_24h") >= 3, "SHARED_DEVICE"),
+        F.when(F.col("sender_tx_1h") >= 3, "RAPID_SENDER_VELOCITY"), F.when(F.col("recipient_fanin_24h") >= 5, "RECIPIENT_CONCENTRATION"),
+    )
+    shown = ["transaction_id", "us", "sender", "recipient", "type", "amount", "sender_tx_1h", "sender_tx_24h", "recipient_fanin_24h", "device_activity_24h", "device_unique_senders_24h", "is_fraud", "fraud_type"]
+    out = top.select(*shown, F.col("score").alias("model_score"), F.col("anomaly").alias("anomaly_score"), F.round("priority_percentile", 9).alias("priority_percentile"), F.when(reasons == "", "RISK_RANK").otherwise(reasons).alias("reason_codes"))
+    return out.orderBy(F.desc("priority_percentile"), F.desc("amount"), "transaction_id")

@@ -1,0 +1,67 @@
+"""Ranks and running totals over a whole table without a task that orders all of it.
+
+Cuts, approximate quantiles of the ordering column, place each value in one of PARTS ranges; any cuts give the same
+result. Totals of ranges are a few rows and give the offsets; order within a range is a window over that range alone.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+PARTS = 64
+
+
+def cuts(df: DataFrame, column: str) -> list[float]:
+    """Rising cuts of a numeric column: one pass, PARTS numbers reach the driver."""
+    found = df.agg(F.percentile_approx(F.col(column).cast("double"), [i / PARTS for i in range(1, PARTS)], 1000)).first()[0]
+    return sorted(set(found or []))
+
+
+def place(column: str, at: list[float]) -> Column:
+    """Number of cuts at or below the value, by halving; nulls and NaN have ranges of their own."""
+
+    def half(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(F.col(column) >= F.lit(at[mid]), half(mid + 1, hi)).otherwise(half(lo, mid))
+
+    return F.when(F.col(column).isNull(), -1).when(F.isnan(F.col(column).cast("double")), len(at) + 1).otherwise(half(0, len(at)))
+
+
+def _offsets(b: DataFrame, totals: dict[str, Column], keys: tuple[str, ...], descending: bool) -> DataFrame:
+    """Rows of ``b`` (with range ``_b``) with the totals of the ranges before theirs. Without keys the totals, PARTS numbers each, are read at once."""
+    sums = b.groupBy(*keys, "_b").agg(*(x.alias(n) for n, x in totals.items()))
+    by = F.desc("_b") if descending else F.asc("_b")
+    if keys:
+        earlier = Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)  # PARTS rows for each group
+        return b.join(F.broadcast(sums.select(*keys, "_b", *(F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(n) for n in totals))), [*keys, "_b"])
+    found = {r["_b"]: r for r in sums.collect()}
+    for n in totals:
+        so_far, cases = 0, F.lit(0)
+        for place_ in sorted(found, reverse=descending):
+            cases = F.when(F.col("_b") == place_, F.lit(so_far)).otherwise(cases)
+            so_far += found[place_][n] or 0
+        b = b.withColumn(n, cases)
+    return b
+
+
+def running(df: DataFrame, column: str, totals: dict[str, str], keys: tuple[str, ...] = (), descending: bool = True) -> DataFrame:
+    """Adds, for each ``new: summed`` of totals, the sum over rows of the keys with values from the first to this one. A row for each value."""
+    b = df.withColumn("_b", place(column, cuts(df, column)))
+    out = _offsets(b, {f"_{n}": F.sum(s) for n, s in totals.items()}, keys, descending)
+    within = Window.partitionBy(*keys, "_b").orderBy(F.desc(column) if descending else F.asc(column)).rowsBetween(Window.unboundedPreceding, 0)
+    return out.withColumns({n: F.sum(s).over(within) + F.col(f"_{n}") for n, s in totals.items()}).drop("_b", *(f"_{n}" for n in totals))
+
+
+def ranked(df: DataFrame, column: str, name: str, keys: tuple[str, ...] = (), then: list[Column] | None = None, descending: bool = True, average: bool = False) -> DataFrame:
+    """Adds the place of each row within its keys by ``column``, ties by ``then``; with ``average``, tied rows share their mean place."""
+    b = df.withColumn("_b", place(column, cuts(df, column)))
+    out = _offsets(b, {"_o": F.count("*")}, keys, descending)
+    spec = Window.partitionBy(*keys, "_b").orderBy(F.desc(column) if descending else F.asc(column), *(then or []))
+    if average:
+        within = F.rank().over(spec) + (F.count("*").over(Window.partitionBy(*keys, "_b", column)) - 1) / 2
+    else:
+        within = F.row_number().over(spec)
+    return out.withColumn(name, within + F.col("_o")).drop("_b", "_o")
