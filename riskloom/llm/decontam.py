@@ -11,7 +11,6 @@ within the bound, so is one of its parts at least. Items with a part that agrees
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,11 +29,10 @@ PART, TARGET = 100, 0.99
 COINS = 256
 #: Items are broadcast in blocks of so many bytes at most, one pass over the documents for each block.
 BLOCK_BYTES = 8 << 20
-SPACES = re.compile(rb"[\x20\x09-\x0D]+")
 
 
 def normal(text: str | None) -> bytes:
-    return SPACES.sub(b" ", (text or "").encode("utf-8", "surrogatepass").lower()).strip(b" ")
+    return b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split())
 
 
 def edit_distance(item: bytes, text: bytes) -> tuple[int, int]:
@@ -148,6 +146,14 @@ class Items:
         self.keys = self.embedding.keys(self.texts, self.sizes) if self.texts else np.zeros((0, REPEATS), np.uint64)
         self.least, self.span = (int(self.shared[~short].min()), int((self.sizes + self.allowed)[~short].max())) if (~short).any() else (0, 0)
 
+    def dense(self, at: np.ndarray) -> np.ndarray:
+        """Which of the rising places lie in a stretch of the longest window's size that has ``least`` of them."""
+        out, k = np.zeros(len(at) + 1, np.int64), self.least - 1
+        good = np.flatnonzero(at[k:] - at[: len(at) - k] < self.span) if len(at) > k else np.empty(0, np.int64)
+        out[good] += 1
+        out[good + k + 1] -= 1
+        return np.cumsum(out[:-1]) > 0
+
     def windows(self, text: bytes) -> list[tuple[int, int]]:
         """(part, start): where enough of the part's grams lie on nearly one diagonal."""
         g = gram_values(text)
@@ -156,17 +162,15 @@ class Items:
         at = np.flatnonzero(self.bits.take(slot(g, self.log_slots)))
         if len(at) < self.least:
             return []
+        at = at[self.dense(at)]
         left = np.searchsorted(self.grams, g[at])
         met = self.grams.take(left, mode="clip") == g[at]
         at, left = at[met], left[met]
-        right = np.searchsorted(self.grams, g[at], side="right")
-        near = np.searchsorted(at, at + self.span) - np.arange(len(at))  # grams met within the longest window from here
-        dense = np.zeros(len(at) + 1, np.int64)
-        good = np.flatnonzero(near >= self.least)
-        np.add.at(dense, good, 1)
-        np.add.at(dense, good + near[good], -1)
-        dense = np.cumsum(dense[:-1]) > 0
-        at, left, n = at[dense], left[dense], (right - left)[dense]
+        dense = self.dense(at)
+        at, left = at[dense], left[dense]
+        if not len(at):
+            return []
+        n = np.searchsorted(self.grams, g[at], side="right") - left
         row = np.repeat(left, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         item, start = self.item[row], np.repeat(at, n) - self.offset[row]
         out = set()
@@ -218,6 +222,45 @@ def find(items: Items, texts: list[str | None]) -> list[tuple[int, int, int]]:
     return [(k, items.ids[i], d) for (k, i), d in sorted(out.items())]
 
 
+def _blocks(benchmark: DataFrame, ratio: float) -> Iterator:
+    """Broadcast items, BLOCK_BYTES of them at a time."""
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("t")).where("item_id is not null and t is not null")
+    blocks = -(-(items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // BLOCK_BYTES) or 1
+    for b in range(blocks):
+        pdf = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).toPandas()
+        yield spark.sparkContext.broadcast(Items(list(pdf["item_id"]), [normal(t) for t in pdf["t"]], ratio))
+
+
+def _parts(texts: list[str | None], most: int = 4 << 20) -> Iterator[tuple[int, list[str | None]]]:
+    """Texts of about ``most`` characters at a time, and where each lot begins."""
+    start = size = 0
+    for i, t in enumerate(texts, 1):
+        size += len(t or "")
+        if size >= most or i == len(texts):
+            yield start, texts[start:i]
+            start, size = i, 0
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, ratio: float = RATIO) -> DataFrame:
+    """The rows of ``docs``, as they are, whose text holds no item; rows are judged one by one, whatever their doc_id."""
+    for shared in _blocks(benchmark, ratio):
+        docs = docs.where(_clean(shared)(F.col("text").cast("string")))
+    return docs
+
+
+def _clean(shared):
+    @F.pandas_udf("boolean")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            ok = np.ones(len(texts), bool)
+            for start, some in _parts(list(texts)):
+                ok[[start + k for k, _, _ in find(shared.value, some)]] = False
+            yield pd.Series(ok)
+
+    return clean
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, ratio: float = RATIO) -> DataFrame:
     """(doc_id, item_id, distance): every item that a row's text holds within ``ratio`` of the item's length in edits.
 
@@ -225,18 +268,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, ratio: float = RATIO) -> DataFr
     held exactly; empty or null items and null ids are passed over. Null text counts as empty. Repeated rows give
     repeated results.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("t"))
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("t")).where("item_id is not null and t is not null")
-    blocks = -(-(items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // BLOCK_BYTES) or 1
     schema, out = "doc_id long, item_id long, distance int", None
-    for b in range(blocks):
-        pdf = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).toPandas()
-        shared = spark.sparkContext.broadcast(Items(list(pdf["item_id"]), [normal(t) for t in pdf["t"]], ratio))
+    for shared in _blocks(benchmark, ratio):
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                found, ids = find(shared.value, list(pdf["t"])), pdf["doc_id"]
+                ids, texts = pdf["doc_id"], list(pdf["t"])
+                found = [(start + k, i, d) for start, some in _parts(texts) for k, i, d in find(shared.value, some)]
                 yield pd.DataFrame({"doc_id": ids.iloc[[k for k, _, _ in found]].to_numpy(), "item_id": [i for _, i, _ in found], "distance": [d for _, _, d in found]}).astype({"item_id": "int64", "distance": "int32"})
 
         part = rows.mapInPandas(run, schema)
