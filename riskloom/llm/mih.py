@@ -21,7 +21,8 @@ from .common import materialise
 ROTATIONS = 4
 #: The rotations and the radius are learned from at most so many vectors, those of least hash.
 SAMPLE = 8192
-RECALL = 0.985
+#: The radius holds all k true neighbours of this share of the sample's queries, each different vector counted once.
+ALL_FOUND = 0.9
 #: Vectors indexed at a time, and queries broadcast at a time.
 CHUNK, BLOCK = 8192, 4096
 
@@ -40,10 +41,12 @@ class Codes:
                 u, _, w = np.linalg.svd(v.T @ np.where(v @ rot >= 0, 1.0, -1.0))
                 rot = u @ w
             self.rotations.append(p @ rot)
-        codes, q = self.of(x), np.flatnonzero(np.arange(len(x)) % max(1, len(x) // 400) == 0)
-        near = np.sort(x[q] @ x.T, axis=1)[:, ::-1][:, min(k, len(x) - 1)]
-        found = [int(np.bitwise_count(codes[a] ^ codes[b]).sum()) for a, bar in zip(q, near, strict=True) for b in np.flatnonzero(x @ x[a] >= bar) if a != b]
-        self.radius = int(np.quantile(found, RECALL)) if found else 64 * ROTATIONS
+        x = np.unique(x, axis=0)  # copies of one vector must not stand for many queries
+        codes, need = self.of(x), []
+        for a in range(0, len(x), max(1, len(x) // 400)):
+            near = _top(np.delete(x @ x[a], a), np.delete(np.arange(len(x)), a), k)
+            need.append(int(np.bitwise_count(codes[near] ^ codes[a]).sum(axis=1).max(initial=0)))
+        self.radius = int(np.quantile(need, ALL_FOUND)) if len(x) > 1 else 64 * ROTATIONS
 
     def lifted(self, v: np.ndarray, query: bool = False) -> np.ndarray:
         norm = np.linalg.norm(v, axis=1, keepdims=True)
@@ -117,8 +120,8 @@ def _search(shared, k: int, dims: int, exact: bool):
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of ``vectors`` (vec_id, embedding) for each of ``queries``, without rows of the query's own id.
 
-    Every vector is indexed; rotations and radius are learned from at most SAMPLE vectors and the radius keeps RECALL of
-    the sample's true neighbours. Queries are taken in blocks of BLOCK, each broadcast (a few MB) for one pass over the
+    Every vector is indexed; rotations and radius are learned from at most SAMPLE vectors, and the radius holds all true
+    neighbours of ALL_FOUND of them. Queries are taken in blocks of BLOCK, each broadcast (a few MB) for one pass over the
     vectors. A query that finds fewer than k within the radius is searched again against all vectors. Null ids and
     vectors that are null, empty, zero, or hold null or non-finite components, and those of another length than the
     first by id, take no part. Rows repeating a vec_id count once each among the neighbours of others.

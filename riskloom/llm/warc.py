@@ -1,7 +1,8 @@
 """WARC archives as a Python data source: batch reader with pushed filters, and writer.
 
 Every record is a gzip member of its own whose header states the sizes of the member (the standard's ``sl`` extra
-field), so a reader inflates the record's headers only and steps over a payload it doesn't want.
+field), so a reader inflates the record's headers only and steps over a payload it doesn't want. Archives of other
+writers, whose members lack the sizes, are inflated as a stream.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from datetime import UTC, datetime
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -35,10 +37,30 @@ def member(header: bytes, block: bytes) -> bytes:
     return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H2sHII", 12, b"sl", 8, size & 0xFFFFFFFF, len(raw) & 0xFFFFFFFF) + body + struct.pack("<II", zlib.crc32(raw), len(raw) & 0xFFFFFFFF)
 
 
+#: Ids are page ids in a name space of ours; a null one gets a name of its own and is read back as null.
+NAME, NO_NAME = "urn:x-page:", "urn:x-no-page:"
+IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+
+
+def _header(name: str, value: str | None) -> str | None:
+    if name in ("record_id", "refers_to"):
+        value = f"<{NO_NAME}{uuid.uuid4()}>" if value is None and name == "record_id" else value if value is None else f"<{NAME}{_escaped(value)}>"
+    elif value is not None:
+        value = f"sha256:{value}" if name == "payload_digest" else _escaped(str(value))
+    return None if value is None else f"{HEADERS[name]}: {value}"
+
+
+def _escaped(value: str) -> str:
+    return value.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
+
+
 def record(row: dict) -> bytes:
     """A WARC/1.1 record; line breaks in header values become percent codes. Null payload: none."""
     block = bytes(row["payload"]) if row["payload"] is not None else b""
-    lines = [f"{HEADERS[k]}: {str(row[k]).replace('%', '%25').replace(chr(13), '%0D').replace(chr(10), '%0A')}" for k in HEADERS if row[k] is not None]
+    lines = [h for k in HEADERS if (h := _header(k, row[k])) is not None]
+    if row["record_type"] == "revisit":
+        lines.append(f"WARC-Profile: {IDENTICAL}")
+    lines.append(f"WARC-Date: {datetime.now(UTC):%Y-%m-%dT%H:%M:%SZ}")
     head = "\r\n".join(["WARC/1.1", *lines, "Content-Type: application/octet-stream", f"Content-Length: {len(block)}"]) + "\r\n\r\n"
     return member(head.encode("utf-8", "surrogatepass"), block)
 
@@ -50,30 +72,81 @@ def parse_header(head: bytes) -> dict[str, str]:
     return dict(line.split(": ", 1) for line in lines[1:] if ": " in line)
 
 
-def _plain(value: str | None) -> str | None:
-    return None if value is None else value.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
+def _value(name: str, value: str | None) -> str | None:
+    if value is None:
+        return None
+    if name in ("record_id", "refers_to"):
+        value = value.removeprefix("<").removesuffix(">").removeprefix(NAME)
+        if value.startswith(NO_NAME):
+            return None
+    return value.removeprefix("sha256:").replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
+
+
+def _row(head: bytes) -> tuple[dict, int]:
+    """Columns of a record's headers, and the size of its block."""
+    h = parse_header(head)
+    row = {k: _value(k, h.get(v)) for k, v in HEADERS.items()}
+    size = int(h["Content-Length"])
+    row["payload_length"] = size if row["payload_length"] is None else int(row["payload_length"])
+    return row, size
+
+
+def stream_records(data, start: bytes, wanted, payloads: bool) -> Iterator[tuple]:
+    """Records of members without sizes, inflated as one stream; of a payload that isn't wanted nothing is kept."""
+    z, raw, held = zlib.decompressobj(31), start, b""
+
+    def more() -> bytes:
+        nonlocal z, raw
+        while True:
+            out = z.decompress(raw, 1 << 20)
+            raw = z.unused_data if z.eof else z.unconsumed_tail
+            if z.eof:
+                z = zlib.decompressobj(31)
+            if out:
+                return out
+            if not raw and not (raw := data.read(1 << 20)):
+                return b""
+
+    while True:
+        held = held.lstrip(b"\r\n")
+        while b"\r\n\r\n" not in held:
+            if not (part := more()):
+                if held.strip(b"\r\n"):
+                    raise ValueError("a record that is cut off")
+                return
+            held = (held + part).lstrip(b"\r\n")
+        head, held = held.split(b"\r\n\r\n", 1)
+        row, size = _row(head)
+        keep = wanted(row)
+        parts, left = [], size
+        while left:
+            if not held and not (held := more()):
+                raise ValueError("a record that is cut off")
+            if keep and payloads:
+                parts.append(held[:left])
+            left, held = left - min(left, len(held)), held[left:]
+        if keep:
+            yield (*(row[k] for k in HEADERS), b"".join(parts) if payloads and row["record_type"] == "response" else None)
 
 
 def records(data, wanted, payloads: bool) -> Iterator[tuple]:
     """Rows of an open archive. ``wanted`` judges the parsed headers; payloads of other records, or all without ``payloads``, are not inflated."""
     while fixed := data.read(24):
-        extra, name, _, size, _ = struct.unpack("<H2sHII", fixed[10:24])
-        if fixed[:4] != b"\x1f\x8b\x08\x04" or extra != 12 or name != b"sl":
-            raise ValueError("a member without its sizes")
+        if len(fixed) < 24 or fixed[:4] != b"\x1f\x8b\x08\x04" or struct.unpack("<H2s", fixed[10:14]) != (12, b"sl"):
+            yield from stream_records(data, fixed, wanted, payloads)
+            return
+        _, _, _, size, _ = struct.unpack("<H2sHII", fixed[10:24])
         body, z = data.read(size - 24), zlib.decompressobj(-15)
         head, rest = b"", body
         while b"\r\n\r\n" not in head:
             head += z.decompress(rest, 1024)
             rest = z.unconsumed_tail
         at = head.index(b"\r\n\r\n")
-        h = parse_header(head[:at])
-        row = {k: _plain(h.get(v)) for k, v in HEADERS.items()}
-        row["payload_length"] = int(row["payload_length"]) if row["payload_length"] is not None else None
+        row, length = _row(head[:at])
         if wanted(row):
             payload = None
             if payloads and row["record_type"] == "response":
-                block = head[at + 4 :] + z.decompress(rest)
-                payload = block[: int(h["Content-Length"])]
+                payload = (head[at + 4 :] + z.decompress(rest))[:length]
             yield (*(row[k] for k in HEADERS), payload)
 
 
@@ -131,8 +204,8 @@ class Written(WriterCommitMessage):
 class WarcWriter(DataSourceWriter):
     """Each task attempt writes under a name of its own in ``_attempts``; only what a successful attempt wrote is moved beside it."""
 
-    def __init__(self, options: dict):
-        self.path = options["path"]
+    def __init__(self, options: dict, overwrite: bool = False):
+        self.path, self.overwrite = options["path"], overwrite
 
     def write(self, rows: Iterator) -> Written:
         store, root = fs.FileSystem.from_uri(self.path)
@@ -155,8 +228,14 @@ class WarcWriter(DataSourceWriter):
 
     def commit(self, messages: list) -> None:
         store, root = fs.FileSystem.from_uri(self.path)
+        if self.overwrite:
+            for f in store.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+                if f.path.endswith(".warc.gz"):
+                    store.delete_file(f.path)
         for p in (p for m in messages if m for p in m.paths):
             store.move(p, f"{root}/{p.rsplit('/', 1)[1].removesuffix('.part')}.warc.gz")
+        if store.get_file_info(f"{root}/_attempts").type != fs.FileType.NotFound:
+            store.delete_dir(f"{root}/_attempts")  # what failed attempts left
 
     def abort(self, messages: list) -> None:
         store, _ = fs.FileSystem.from_uri(self.path)
@@ -165,7 +244,10 @@ class WarcWriter(DataSourceWriter):
 
 
 class Warc(DataSource):
-    """``spark.read.format("warc").load(uri)`` and ``df.write.format("warc").mode("append").save(uri)``; option ``payloads=false`` leaves payloads null."""
+    """``spark.read.format("warc").load(uri)`` and ``df.write.format("warc").mode("append").save(uri)``; option ``payloads=false`` leaves payloads null.
+
+    Load anew for each query: Spark keeps the reader of a loaded table, with the filters that its first query pushed down.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -178,7 +260,7 @@ class Warc(DataSource):
         return WarcReader(dict(self.options))
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
-        return WarcWriter(dict(self.options))
+        return WarcWriter(dict(self.options), overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -189,7 +271,8 @@ def register(spark: SparkSession) -> None:
 def archive(pages: DataFrame, path: str, least: int = 100) -> None:
     """Write a record for each page: of equal payloads of ``least`` bytes or more, that of the smallest page_id is a response and the others revisit it.
 
-    Null html is empty. Rows repeating the smallest page_id are responses all. A null page_id is never revisited and
+    Null html is empty, a null url is left out; columns beside page_id, url and html are ignored, and an empty table
+    makes an archive without records. Rows repeating the smallest page_id are responses all. A null page_id is never revisited and
     its row is a response without an id. Equal payloads are found by aggregation before the shuffle, and the join
     that follows is one whose hot keys Spark can split.
     """

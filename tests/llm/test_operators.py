@@ -231,6 +231,46 @@ def test_warc(spark, tmp_path):
     assert spark.read.format("warc").option("payloads", "false").load(path).where("payload is not null").count() == 0
 
 
+def test_warc_of_other_writers(spark, tmp_path):
+    """Members without sizes, several records in one member, and overwriting."""
+    import gzip
+
+    text = lambda i, kind, block: f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:{i}>\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+    big = bytes(range(256)) * 20_000
+    (tmp_path / "x.warc.gz").write_bytes(gzip.compress(text("a", "warcinfo", b"") + text("b", "response", b"two\r\n\r\nlines")) + gzip.compress(text("c", "response", big)))
+    warc.register(spark)
+    read = lambda: spark.read.format("warc").load(f"file://{tmp_path}")  # noqa: E731  anew for each query
+    got = {r["record_id"]: (r["record_type"], r["payload_length"], r["payload"] and bytes(r["payload"])) for r in read().collect()}
+    assert got == {"urn:uuid:a": ("warcinfo", 0, None), "urn:uuid:b": ("response", 12, b"two\r\n\r\nlines"), "urn:uuid:c": ("response", len(big), big)}
+    assert [r["record_id"] for r in read().where("record_id = 'urn:uuid:b'").collect()] == ["urn:uuid:b"]
+    pages = spark.createDataFrame([(1, "u", "x", 0), (1, "u", "x", 0)], "page_id long, url string, html string, payload int")
+    warc.archive(pages, f"file://{tmp_path}")
+    assert read().count() == 5
+    spark.read.format("warc").load(f"file://{tmp_path}").where("record_type = 'response' and record_id = '1'").write.format("warc").mode("overwrite").save(f"file://{tmp_path}/copy")
+    read().limit(1).write.format("warc").mode("overwrite").save(f"file://{tmp_path}/copy")
+    assert spark.read.format("warc").load(f"file://{tmp_path}/copy").count() == 1
+    warc.archive(pages.limit(0), f"file://{tmp_path}/none")
+    assert spark.read.format("warc").load(f"file://{tmp_path}/none").count() == 0
+
+
+def test_nearest_among_many_copies(spark):
+    """A third of the rows repeat one vector; the others' neighbours are found all the same, and extra columns do no harm."""
+    r = np.random.default_rng(4)
+    v = r.normal(size=(900, 16))
+    v[::3] = v[0]
+    df = spark.createDataFrame([(i, x.tolist(), "e") for i, x in enumerate(v)], "vec_id long, embedding array<double>, rank string")
+    asked = [i for i in range(900) if i % 50 == 0 and i % 3]
+    got = {}
+    for x in mih.nearest(df, df.where("vec_id % 50 = 0"), 20).collect():
+        got.setdefault(x["query_id"], []).append(x["vec_id"])
+    hits = 0
+    for q in asked:
+        s = v @ v[q]
+        s[q] = -np.inf
+        hits += len(set(np.lexsort((np.arange(900), -s))[:20].tolist()) & set(got[q]))
+    assert hits >= 0.9 * 20 * len(asked)
+
+
 def test_nearest(spark):
     r = np.random.default_rng(2)
     v = r.normal(size=(600, 16)) * r.uniform(0.5, 2, (600, 1))
