@@ -38,12 +38,13 @@ def _offsets(b: DataFrame, totals: dict[str, Column], keys: tuple[str, ...], des
         earlier = Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)  # PARTS rows for each group
         return b.join(F.broadcast(sums.select(*keys, "_b", *(F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(n) for n in totals))), [*keys, "_b"])
     found = {r["_b"]: r for r in sums.collect()}
+    places = range(-1, max(found, default=-1) + 1)
     for n in totals:
-        so_far, cases = 0, F.lit(0)
-        for place_ in sorted(found, reverse=descending):
-            cases = F.when(F.col("_b") == place_, F.lit(so_far)).otherwise(cases)
-            so_far += found[place_][n] or 0
-        b = b.withColumn(n, cases)
+        before, so_far = {}, 0
+        for p in reversed(places) if descending else places:
+            before[p] = so_far
+            so_far += found[p][n] or 0 if p in found else 0
+        b = b.withColumn(n, F.element_at(F.array(*(F.lit(before[p]).cast("long") for p in places)), F.col("_b") + 2))  # ranges begin at -1
     return b
 
 
