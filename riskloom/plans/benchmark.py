@@ -18,6 +18,8 @@ BALANCES = ["balance_fraction", "orig_balance_delta", "dest_balance_delta"]
 FEATURE_SETS = {"transaction_only": TRANSACTION_ONLY, "transaction_plus_history": HISTORY, "transaction_plus_relational": RELATIONAL, "full_with_simulator_balances": [*RELATIONAL, *BALANCES]}
 #: Sets a champion may come from: balances show the simulator's mechanics.
 BALANCE_FREE = ["transaction_only", "transaction_plus_history", "transaction_plus_relational"]
+POINTS = "roc_auc double, pr_auc double, brier double, threshold double, alerts long, precision double, recall double, legit_flag_rate double, fraud_value_recall double, target_validation_legit_flag_rate double, validation_actual_legit_flag_rate double"
+ABLATION = f"model string, n_features int, validation_pr_auc double, {POINTS}"
 TARGETS = (0.0002, 0.0005, 0.001, 0.002, 0.005)
 
 
@@ -71,7 +73,8 @@ def run(spark: SparkSession, tx: DataFrame, out_dir: str | None = None, trees: i
             "model_ablation": ablation, "balance_free_reference_model": champion, "operating_points": points, "split_summary": [r.asDict() for r in src.split_summary(tx, split).collect()],
         }
     if out_dir:
-        for name in ("model_ablation", "operating_points", "split_summary"):
-            sinks.write_csv(spark.createDataFrame(out[name]), f"{out_dir}/{name}")
+        for name, columns in (("model_ablation", ABLATION), ("operating_points", POINTS)):
+            sinks.write_csv(models._table(tx, out[name], columns), f"{out_dir}/{name}")
+        sinks.write_csv(src.split_summary(tx, split), f"{out_dir}/split_summary")
         sinks.write_summary(out, f"{out_dir}/summary.json")
     return out

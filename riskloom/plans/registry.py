@@ -221,7 +221,7 @@ def _ablation(s, d):
 
 def _benchmark(s, d):
     out = benchmark.run(s, tx(s, d).drop("score", "anomaly"), trees=TREES, target=0.01)
-    return s.createDataFrame(out["model_ablation"]).withColumn("champion", F.col("model") == out["balance_free_reference_model"])
+    return models._table(tx(s, d), out["model_ablation"], benchmark.ABLATION).withColumn("champion", F.col("model") == out["balance_free_reference_model"])
 
 
 def _importances(s, d):
