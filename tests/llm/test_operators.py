@@ -399,3 +399,25 @@ def test_quality(spark, awkward):
     assert np.mean([got[i] == (y == 1) for i, y in truth]) > 0.9
     assert quality.score(awkward, model).count() == len(AWKWARD)
     assert quality.score(awkward, None).where("score = 0.5").count() == len(AWKWARD)
+
+
+def test_quality_learns_from_every_unlabelled_row(spark, awkward, empty):
+    """Gradients of pseudo-labels are those of all rows; long and null texts and repeated rows are among them, and copies count once among the labelled."""
+    words = [("good plain words of prose ", 1), ("BAD!!! 111 $$$ ", 0)]
+    docs = spark.createDataFrame([(i, words[i % 2][0] * (1 + i % 7 + 2000 * (i == 4)) + str(i // 60), "en", "web") for i in range(200)] + [(None, None, None, None), (300, None, "en", "web"), (301, "same", "en", "web"), (301, "same", "en", "web")], "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, words[i % 2][1]) for i in range(60)], "doc_id long, quality int")
+    table = quality.features(docs, labels)
+    assert (table.count(), table.where("y is null").count()) == (204, 144)
+    views = quality.co_train(table)[:2]
+    x = quality.unpacked(table.where("y is null").toPandas()["x"])
+    for k, by_label in enumerate(quality.gradients(table.where("y is null"), views, views)):
+        said, z = views[1 - k].raw(x[1 - k]), views[k].standard(x[k])
+        p = 1 / (1 + np.exp(-np.clip(z @ views[k].w, -30, 30)))
+        for label, (n, g) in enumerate(by_label):
+            met = (said > quality.SURE) if label else (said < -quality.SURE)
+            assert n == met.sum() and g == pytest.approx((p[met] - label) @ z[met], abs=1e-6)
+    assert sum(n for n, _ in by_label) > 0
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs, quality.co_train(table)).collect()}
+    assert np.mean([(got[i] >= 0.5) == words[i % 2][1] for i in range(60, 200)]) > 0.95
+    assert quality.fit(empty, labels) is None
+    assert quality.fit(awkward, labels.limit(0)) is None
