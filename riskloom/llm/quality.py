@@ -160,7 +160,7 @@ def gradients(unlabelled: DataFrame, views: list[View], teachers: list[View]) ->
 def co_train(table: DataFrame, sample: int = SAMPLE):
     """Calibrated views and the log-odds of the classes, which the sum of two views counts twice; None if a class has no labelled row.
 
-    Equal labelled texts count once, texts of any length take part, and so does every unlabelled row in every round.
+    A view that is sure of rows of one class only teaches nothing in that step. Equal labelled texts count once, texts of any length take part, and so does every unlabelled row in every round.
     """
     known = table.where("y is not null").groupBy("y", "h").agg(F.min("doc_id").alias("doc_id"))
     keys = known.where("y = 0").orderBy("h").limit(sample).unionByName(known.where("y = 1").orderBy("h").limit(sample))
@@ -169,10 +169,12 @@ def co_train(table: DataFrame, sample: int = SAMPLE):
         return None
     got = got.sort_values(["h", "y"], kind="stable")
     y, x = got["y"].to_numpy(int), unpacked(got["x"])
-    held = got["h"].to_numpy(np.int64) % 5 == 0
-    if len(np.unique(y[held])) < 2 or len(np.unique(y[~held])) < 2:
-        held = np.arange(len(y)) % 5 == 0
-    fit_x, fit_y = [v[~held] for v in x], y[~held]
+    held, used = np.zeros(len(y), bool), np.ones(len(y), bool)
+    for label in (0, 1):  # a fifth of each class, by hash of text, calibrates; a class's only row does both
+        rows = np.flatnonzero(y == label)
+        held[rows[::5]] = True
+        used[rows[::5]] = len(rows) == 1
+    fit_x, fit_y = [v[used] for v in x], y[used]
     views = [View().fit(v, fit_y) for v in fit_x]
     unlabelled, share = table.where("y is null"), (1 - fit_y.mean(), fit_y.mean())
     for _ in range(ROUNDS):
@@ -181,7 +183,9 @@ def co_train(table: DataFrame, sample: int = SAMPLE):
             t.__dict__ = dict(v.__dict__)
         for _ in range(STEPS):
             for k, by_label in enumerate(gradients(unlabelled, views, teachers)):
-                weights = [PSEUDO * len(fit_y) * share[label] / n if n else 0.0 for label, (n, _) in enumerate(by_label)]
+                if not all(n for n, _ in by_label):  # rows of one class alone would only move the balance
+                    continue
+                weights = [PSEUDO * len(fit_y) * share[label] / n for label, (n, _) in enumerate(by_label)]
                 taught = sum(w * g for w, (_, g) in zip(weights, by_label, strict=True))
                 views[k].step(fit_x[k], fit_y, taught, sum(w * n for w, (n, _) in zip(weights, by_label, strict=True)) / len(fit_y))
     a, b = (v.calibrate(x[k][held], y[held].astype(float)) for k, v in enumerate(views))
