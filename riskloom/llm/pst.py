@@ -1,18 +1,19 @@
-"""Language-model scoring with a probabilistic suffix tree over the bytes of a text's words.
-
-A text is read as its words, lower-cased and joined by one space, then an end mark. States are contexts of up to DEPTH
-bytes; one is retained if it occurs LEAST times and its next-byte distribution diverges from that of its longest proper
-suffix. Distributions are smoothed by those of the suffix, down to the uniform one. A byte is scored in the state of
-the longest retained suffix of what precedes it.
-
-The tree grows with the corpus and stays in tables: a gram (context and next byte) is scored by joins to the states of
-each depth, each distinct gram once. The most frequent grams are then broadcast with their scores; the other grams of a
-text are joined to theirs.
+"""Language-model scoring with a probabilistic suffix tree over the words of a text.
+
+A text is read as its lower-cased words and an end mark. The root is the smoothed word count; a state is the word, or the
+two words, before. Counts come from all training texts; a next word seen once after a context isn't kept, its count goes
+to the words that the suffix foretells. A context is retained if its distribution diverges from that of its longest
+retained suffix, and each distribution is smoothed by the suffix's. A word is scored in the longest retained suffix of
+what precedes it.
+
+Since back-off multiplies, the log probability of a text is a sum of values looked up one by one: of its words, its pairs
+and its triples of words. The tree grows with the corpus and stays in tables. Values of the most frequent words and grams
+are broadcast; the other words and grams of a text are joined to theirs. A bitmap of hash prefixes, of one size whatever
+the input, spares the join most grams that aren't in the tree; it never hides one that is.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,130 +23,167 @@ from pyspark.sql import functions as F
 
 from .common import WORD, WordHashes, materialise
 
-#: A context and its next byte make one 64-bit integer.
-DEPTH = 7
-#: A context must occur so often, whatever the size of the input.
+#: A next word must follow a context so often, whatever the size of the input, to be kept there.
 LEAST = 2
-#: Least divergence, in nats, between a context's and its suffix's next-byte distributions, times the context's count.
+#: Least divergence, in nats, between a context's and its suffix's next-word distributions, times the context's count.
 GAIN = 3.0
 #: Weight of the suffix's distribution, in observations.
-PRIOR = 2.0
+PRIOR = 0.5
 #: So many of the most frequent words are scored from a broadcast table; the rest are joined.
 FREQUENT = 1 << 18
 #: At most so many of the most frequent grams are scored from a broadcast table; the rest are joined.
 FREQUENT_GRAMS = 1 << 20
-END, SPACE = 10, 32
+#: Bits of a hash that place a gram in the bitmap (16 MB).
+PREFIX = 27
+#: Words are 64-bit hashes; these stand for the root, and for what is before and after a text.
+ROOT, START, END = 0, 1, 2
+#: Tokens handled at once; a text is never split.
+BATCH = 1 << 19
+GRAM = "c long, w long, n long"
 
 
-def canonical(text: str | None) -> tuple[list[bytes], bytes]:
-    words = WORD.findall((text or "").encode("utf-8", "surrogatepass").lower())
-    return words, b" ".join(words) + b"\n"
+def canonical(text: str | None) -> list[bytes]:
+    return WORD.findall((text or "").encode("utf-8", "surrogatepass").lower())
 
 
-def grams(texts: list[bytes]) -> np.ndarray:
-    """For each byte of each text, the DEPTH bytes before it (end marks before the start) and itself, packed."""
-    buf = np.frombuffer(b"\n" * DEPTH + (b"\n" * DEPTH).join(texts), np.uint8).astype(np.uint64)
-    out = np.zeros(len(buf) - DEPTH, np.uint64)
-    for i in range(DEPTH + 1):
-        out = (out << np.uint64(8)) | buf[i : i + len(out)]
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    at = np.repeat(np.cumsum(sizes + DEPTH) - sizes - DEPTH, sizes) + (np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes))
-    return out[at]
+def _rotated(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
 
 
-def _buffers(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= most:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def _rotate(column: str, by: int):
+    return F.shiftleft(column, by).bitwiseOR(F.shiftrightunsigned(column, 64 - by))
 
 
-def _count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts of packed grams, merged within the partition up to a bound."""
-    keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
-    for pdf in batches:
-        texts = [canonical(t)[1] for t in pdf["t"]]
-        for a, b in _buffers(texts):
-            k, c = np.unique(grams(texts[a:b]), return_counts=True)
-            keys, where = np.unique(np.concatenate([keys, k]), return_inverse=True)
-            counts = np.bincount(where, np.concatenate([counts, c])).astype(np.int64)
-            if len(keys) > 2_000_000:
-                yield pd.DataFrame({"gram": keys.view(np.int64), "n": counts})
-                keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
-    yield pd.DataFrame({"gram": keys.view(np.int64), "n": counts})
+def pairs(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The word before each token, and the hash of both."""
+    before = np.roll(words, 1)
+    before[first] = START
+    return before, _rotated(before, 17) ^ words
 
 
-def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    seen, hashes = Counter(), WordHashes()
-    for pdf in batches:
-        for t in pdf["t"]:
-            seen.update(canonical(t)[0])
-            if len(seen) > 400_000:
-                yield pd.DataFrame({"w": np.fromiter(map(hashes.__getitem__, seen), np.uint64, len(seen)).view(np.int64), "n": list(seen.values())})
-                seen.clear()
-    yield pd.DataFrame({"w": np.fromiter(map(hashes.__getitem__, seen), np.uint64, len(seen)).view(np.int64), "n": list(seen.values())}).astype("int64")
+def triples(pair: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of all tokens but the first of a text, the pair that ends before each, and the hash of it and the pair that ends there."""
+    at = np.setdiff1d(np.arange(len(pair)), first, assume_unique=True)
+    return at, pair[at - 1], _rotated(pair[at - 1], 41) ^ pair[at]
 
 
-def _last(n: int, column: str = "g"):
-    """The last n bytes of packed grams."""
-    return F.col(column).bitwiseAND((1 << 8 * n) - 1) if n < 8 else F.col(column)
+def _batches(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+    """Rows of whole texts with their words, ends included, and where each text starts; BATCH tokens or one more text at a time."""
+    hashes = WordHashes()
+    for pdf in frames:
+        held, size, start = [], 0, 0
+        for i, t in enumerate(pdf["t"]):
+            words = canonical(t)
+            held.append(np.append(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)), np.uint64(END)))
+            size += len(words) + 1
+            if size >= BATCH or i == len(pdf) - 1:
+                sizes = np.fromiter(map(len, held), np.int64, len(held))
+                yield pdf.iloc[start : i + 1], np.concatenate(held), np.cumsum(sizes) - sizes
+                held, size, start = [], 0, i + 1
 
 
-def count_grams(docs: DataFrame) -> DataFrame:
-    return materialise(docs.mapInPandas(_count_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+def _counted(c: np.ndarray, w: np.ndarray, key: np.ndarray) -> pd.DataFrame:
+    _, at, n = np.unique(key, return_index=True, return_counts=True)
+    return pd.DataFrame({"c": c[at].view(np.int64), "w": w[at].view(np.int64), "n": n})
 
 
-def fit(counted: DataFrame) -> tuple[np.ndarray, list[DataFrame]]:
-    """The tree from counts of grams: log10 probabilities of the root, and for each depth a table (c, g, n, of) of the retained contexts, their grams, and how often both occur.
+def _count_pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for _, w, first in _batches(frames):
+        yield _counted(np.full(len(w), ROOT, np.uint64), w, w)
+        before, pair = pairs(w, first)
+        yield _counted(before, w, pair)
 
-    Contexts are judged by joins and stay in tables; only the root's 256 counts reach the driver.
-    """
-    tables, up = [], None
-    for d in range(DEPTH + 1):
-        g = counted.groupBy(_last(d + 1, "gram").alias("g")).agg(F.sum("n").alias("n")).withColumn("c", F.shiftrightunsigned("g", 8))
-        if not d:
-            n = np.zeros(256)
-            for r in g.collect():
-                n[r["g"]] = r["n"]
-            root = (n + PRIOR / 256) / (n.sum() + PRIOR)
-        sums = g.groupBy("c").agg(F.sum("n").alias("of")).where(F.col("of") >= LEAST)
-        level = materialise(g.join(sums, "c"), "level")
-        if d:
-            gain = level.withColumn("up", _last(d)).join(up, "up")
-            gain = gain.groupBy("c").agg(F.sum(F.col("n") * F.log(F.col("n") / F.col("of") / F.col("q"))).alias("gain")).where(F.col("gain") >= GAIN)
-            tables.append(materialise(level.join(gain.select("c"), "c", "left_semi").select("c", "g", "n", "of"), "states"))
-        up = level.select(F.col("g").alias("up"), (F.col("n") / F.col("of")).alias("q"))  # a context's suffix is at least as frequent
-    return np.log10(root), tables
-
-
-def gram_scores(grams: DataFrame, root: np.ndarray, tables: list[DataFrame]) -> DataFrame:
-    """(gram, lp): log10 probability of the last byte of each of the distinct grams, in the longest retained suffix of the bytes before it.
-
-    A part of d + 1 bytes begins with the probability of its last d bytes, and takes its own if its context is a state.
+
+def _count_triples(kept):
+    """Counts of (pair before, pair) where both pairs may be kept: a triple is never more frequent than its pairs."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, w, first in _batches(frames):
+            pair = pairs(w, first)[1]
+            at, before, triple = triples(pair, first)
+            met = may_hold(kept.value, pair)
+            both = np.flatnonzero(met[at] & met[at - 1])
+            yield _counted(before[both], pair[at[both]], triple[both])
+
+    return run
+
+
+def bitmap(ids: DataFrame) -> np.ndarray:
+    """Bits of the hash prefixes that occur in column ``id``: 2^PREFIX bits, made by Spark word by word."""
+    place = F.shiftrightunsigned("id", 64 - PREFIX)
+    bits = ids.select(F.shiftrightunsigned(place, 6).cast("int").alias("k"), place.bitwiseAND(63).cast("int").alias("at")).selectExpr("k", "shiftleft(1L, at) as b")
+    got = bits.groupBy("k").agg(F.bit_or("b").alias("b")).toArrow().to_pandas()
+    out = np.zeros(1 << (PREFIX - 6), np.uint64)
+    out[got["k"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def may_hold(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """False only for ids that the bitmap's table lacks."""
+    at = ids >> np.uint64(64 - PREFIX)
+    return ((bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
+def count(train: DataFrame, mapper, name: str) -> DataFrame:
+    """(c, w, n): how often w follows c, where it does so LEAST times; all words after the root."""
+    found = train.mapInPandas(mapper, GRAM).groupBy("c", "w").agg(F.sum("n").alias("n"))
+    return materialise(found.where((F.col("n") >= LEAST) | (F.col("c") == ROOT)), name)
+
+
+def level(grams: DataFrame, contexts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From grams (c, id, n, q), q the suffix's probability, and contexts (c, of): retained contexts (c, backed), and all grams (id, n, p, e).
+
+    ``backed``: log10 weight of the suffix's distribution. ``p``: probability in the longest retained suffix. ``e``: log10
+    of what a gram's probability is beyond backed * q; 0 in contexts that aren't retained.
     """
-    known = grams.select(_last(1, "gram").alias("g")).distinct().select("g", F.element_at(F.array(*map(F.lit, (10.0**root).tolist())), F.col("g").cast("int") + 1).alias("p"))
-    for d, table in enumerate(tables, 1):
-        part = grams.select(_last(d + 1, "gram").alias("g")).distinct() if d < DEPTH else grams.select(F.col("gram").alias("g"))
-        part = part.withColumn("up", _last(d)).withColumn("c", F.shiftrightunsigned("g", 8)).join(known.withColumnRenamed("g", "up"), "up")
-        part = part.join(table.select("g", "n"), "g", "left").join(table.select("c", "of").distinct(), "c", "left")
-        known = part.select("g", F.when(F.col("of").isNull(), F.col("p")).otherwise((F.coalesce("n", F.lit(0)) + PRIOR * F.col("p")) / (F.col("of") + PRIOR)).alias("p"))
-    return known.select(F.col("g").alias("gram"), F.log10("p").alias("lp"))
+    held = grams.groupBy("c").agg(F.sum("n").alias("kept")).join(contexts, "c").withColumn("back", (F.col("of") - F.col("kept") + PRIOR) / (F.col("of") + PRIOR))
+    known = grams.join(held, "c").withColumn("own", F.col("n") / (F.col("of") + PRIOR) + F.col("back") * F.col("q"))
+    gain = F.sum(F.col("n") * F.log(F.col("own") / F.col("q"))) + F.first((F.col("of") - F.col("kept")) * F.log("back"))
+    states = materialise(known.groupBy("c").agg(gain.alias("gain"), F.log10(F.first("back")).alias("backed")).where(F.col("gain") >= GAIN).select("c", "backed"), "states")
+    known = known.join(states, "c", "left")
+    of_state = F.col("backed").isNotNull()
+    return states, materialise(known.select("id", "n", F.when(of_state, F.col("own")).otherwise(F.col("q")).alias("p"), F.when(of_state, F.log10(F.col("own") / F.col("q")) - F.col("backed")).otherwise(0.0).alias("e")), "grams")
+
 
+def fit(train: DataFrame) -> tuple[DataFrame, DataFrame, int, int, float]:
+    """The tree of the texts in column ``t``: words (w, n, backed), grams (id, n, v), tokens, distinct tokens, and the value of a text's start.
 
-def frequent_grams(counted: DataFrame) -> DataFrame:
-    """The most frequent grams, FREQUENT_GRAMS at most, cut where counts fall by a sixteenth of a doubling; without a sort."""
+    ``backed`` of a word and what a gram's ``v`` holds for it as a context are 0 where that context isn't retained.
+    """
+    sc = train.sparkSession.sparkContext
+    counted = count(train, _count_pairs, "pairs")
+    words = counted.where(F.col("c") == ROOT).select("w", "n")
+    n_all, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    root = words.select("w", ((F.col("n") + 0.1) / (n_all + 0.1 * (distinct + 1))).alias("q"))
+    two = counted.where(F.col("c") != ROOT).withColumn("id", _rotate("c", 17).bitwiseXOR(F.col("w")))
+    # nothing follows an end, and each text has a start and an end
+    before = words.select(F.when(F.col("w") == END, F.lit(START).cast("long")).otherwise(F.col("w")).alias("c"), F.col("n").alias("of"))
+    first_states, first = level(two.join(root, "w"), before)
+    three = count(train, _count_triples(sc.broadcast(bitmap(two))), "triples").withColumn("id", _rotate("c", 41).bitwiseXOR(F.col("w")))
+    three = three.join(first.select(F.col("id").alias("w"), F.col("p").alias("q")), "w")
+    second_states, second = level(three, first.select(F.col("id").alias("c"), F.col("n").alias("of")))
+    values = first.join(second_states.withColumnRenamed("c", "id"), "id", "left").select("id", "n", (F.col("e") + F.coalesce("backed", F.lit(0.0))).alias("v")).unionByName(second.select("id", "n", F.col("e").alias("v")))
+    start = first_states.where(F.col("c") == START).first()
+    words = words.join(first_states.withColumnRenamed("c", "w"), "w", "left").select("w", "n", F.coalesce("backed", F.lit(0.0)).alias("backed"))
+    return materialise(words, "words"), materialise(values.where("v != 0"), "values"), n_all, distinct, start["backed"] if start else 0.0
+
+
+def most_frequent(table: DataFrame, most: int) -> pd.DataFrame:
+    """The most frequent rows, ``most`` of them at most, cut where counts fall by a sixteenth of a doubling; without a sort."""
     of = F.floor(16 * F.log2("n")).cast("int")
     held, cut = 0, 1 << 30
-    for r in counted.groupBy(of.alias("b")).count().orderBy(F.desc("b")).collect():
+    for r in table.groupBy(of.alias("b")).count().orderBy(F.desc("b")).collect():
         held += r["count"]
-        if held > FREQUENT_GRAMS:
+        if held > most:
             break
         cut = r["b"]
-    return counted.where(of >= cut).select("gram")
+    return table.where(of >= cut).toArrow().to_pandas()
+
+
+def _sorted(table: pd.DataFrame, key: str, *columns: str) -> tuple[np.ndarray, ...]:
+    ids = table[key].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(ids)
+    return ids[order], *(table[c].to_numpy(np.float64)[order] for c in columns)
 
 
 def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,56 +192,36 @@ def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == keys if len(table) else np.zeros(len(keys), bool)
 
 
-def _log_probability(gram: np.ndarray, root: np.ndarray, states: list) -> np.ndarray:
-    """As gram_scores, from arrays: for each depth the sorted contexts, the log10 weight of the suffix's distribution in each, the sorted grams and their log10 probability."""
-    out = root[(gram & np.uint64(255)).astype(np.int64)].copy()
-    for d, (contexts, backed, keys, log_p) in enumerate(states, 1):  # a longer state's own probability replaces a shorter one's
-        part = gram & np.uint64((1 << 8 * (d + 1)) - 1)
-        at, known = _find(keys, part)
-        here, state = _find(contexts, part >> np.uint64(8))
-        out = np.where(known, log_p[at] if len(log_p) else out, np.where(state, (backed[here] if len(backed) else 0) + out, out))
-    return out
-
-
-def _score(grams_known, frequent, n_all: int, distinct: int):
+def _score(frequent, n_all: int, distinct: int, start: float):
     """Rows: one for each document (kind 0), one for each of its words (kind 1) and of its grams (kind 2) that the broadcast tables lack."""
     schema = ["kind", "row", "doc_id", "n_tokens", "n_known", "base", "score", "w", "tf"]
 
-    def lacking(kind: int, row: np.ndarray, w: np.ndarray, tf: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame({"row": row, "w": w.view(np.int64), "tf": tf}).assign(kind=kind, doc_id=pd.array([None] * len(row), dtype="Int64"), n_tokens=0, n_known=0, base=0.0, score=0.0)[schema]
+    def lacking(kind: int, rows: np.ndarray, owner: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
+        kinds, which = np.unique(ids, return_inverse=True)
+        k, n = np.unique(owner * max(1, len(kinds)) + which, return_counts=True)
+        out = pd.DataFrame({"row": rows[k // max(1, len(kinds))], "w": kinds[k % max(1, len(kinds))].view(np.int64), "tf": n})
+        return out.assign(kind=kind, doc_id=pd.array([None] * len(k), dtype="Int64"), n_tokens=0, n_known=0, base=0.0, score=0.0)[schema]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        grams_at, grams_lp = grams_known.value
-        common, counts, end_count = frequent.value
-        hashes = WordHashes()
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        (common, counts, backed), (held, values), bits = frequent.value
         log_counts, log_all = np.log10(counts + 0.1), np.log10(n_all + 0.1 * (distinct + 1))
-        for pdf in batches:
-            parsed = [canonical(t) for t in pdf["t"]]
-            row, doc = pdf["row"].to_numpy(np.int64), pdf["doc_id"]
-            scores = np.zeros(len(parsed))
-            for a, b in _buffers([p[1] for p in parsed], 1 << 19):
-                texts = [p[1] for p in parsed[a:b]]
-                g, where = np.unique(grams(texts), return_inverse=True)
-                at, met = _find(grams_at, g)
-                sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-                scores[a:b] = np.add.reduceat(np.where(met, grams_lp[at] if len(grams_lp) else 0.0, 0.0)[where], np.cumsum(sizes) - sizes)
-                left = np.flatnonzero(~met[where])
-                if len(left):
-                    k, c = np.unique(np.repeat(np.arange(len(texts)), sizes)[left] * len(g) + where[left], return_counts=True)
-                    yield lacking(2, row[a:b][k // len(g)], g[k % len(g)], c)
-            base, known, rare = np.zeros(len(parsed)), np.zeros(len(parsed), np.int64), []
-            for i, (words, _) in enumerate(parsed):
-                w = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-                at, found = _find(common, w)
-                base[i] = log_counts[at[found]].sum() + np.log10(end_count + 0.1) - (len(w) + 1) * log_all
-                known[i] = found.sum() + (end_count > 0)
-                if not found.all():
-                    k, c = np.unique(w[~found], return_counts=True)
-                    rare.append((np.full(len(k), row[i]), k, c))
-            out = pd.DataFrame({"kind": 0, "row": row, "doc_id": doc, "n_tokens": [len(p[0]) + 1 for p in parsed], "n_known": known, "base": base, "score": scores, "w": 0, "tf": 0})
-            yield out[schema]
-            if rare:
-                yield lacking(1, *map(np.concatenate, zip(*rare, strict=True)))
+        for pdf, w, first in _batches(frames):
+            rows, sizes = pdf["row"].to_numpy(np.int64), np.diff(np.append(first, len(w)))
+            owner = np.repeat(np.arange(len(rows)), sizes)
+            at, found = _find(common, w)
+            base = np.bincount(owner[found], log_counts[at[found]], len(rows)) - sizes * log_all
+            known = np.bincount(owner[found], minlength=len(rows))
+            score = base + np.bincount(owner[found], backed[at[found]], len(rows)) + start
+            yield lacking(1, rows, owner[~found], w[~found])
+            pair = pairs(w, first)[1]
+            later, _, triple = triples(pair, first)
+            for ids, of in ((pair, owner), (triple, owner[later])):
+                met = np.flatnonzero(may_hold(bits, ids))
+                ids, of = ids[met], of[met]
+                at, found = _find(held, ids)
+                score += np.bincount(of[found], values[at[found]], len(rows))
+                yield lacking(2, rows, of[~found], ids[~found])
+            yield pd.DataFrame({"kind": 0, "row": rows, "doc_id": pdf["doc_id"].to_numpy(), "n_tokens": sizes, "n_known": known, "base": base, "score": score, "w": 0, "tf": 0})[schema].astype({"doc_id": "Int64"})
 
     return run
 
@@ -212,36 +230,23 @@ def score_texts(docs: DataFrame, train: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs`` under a tree fitted to all of ``train``.
 
     Null text counts as empty and is scored as its end alone; repeated rows and null keys are scored row by row. With
-    no training rows all counts are 0 and both scores rest on their priors.
+    no training rows all counts are 0, no context is retained and both scores rest on the prior of the words.
     """
-    spark = docs.sparkSession
-    sc = spark.sparkContext
-    picked = train.select(F.col("text").alias("t"))
-    counted = count_grams(picked)
-    root, tables = fit(counted)
-    top = gram_scores(frequent_grams(counted), root, tables).toArrow().to_pandas()
-    key = top["gram"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(key)
-    grams_known = sc.broadcast((key[order], top["lp"].to_numpy(np.float64)[order]))
-    ends = picked.count()
-    words = materialise(picked.mapInPandas(_count_words, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")), "words")
-    n_words, distinct = words.agg(F.sum("n"), F.count("*")).first()
-    n_all, distinct = (n_words or 0) + ends, distinct + (ends > 0)
-    top = words.orderBy(F.desc("n"), "w").limit(FREQUENT).toArrow().to_pandas()
-    key = top["w"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(key)
-    frequent = sc.broadcast((key[order], top["n"].to_numpy(np.int64)[order], ends))
+    sc = docs.sparkSession.sparkContext
+    words, values, n_all, distinct, start = fit(train.select(F.col("text").alias("t")))
+    frequent = sc.broadcast((_sorted(most_frequent(words, FREQUENT), "w", "n", "backed"), _sorted(most_frequent(values, FREQUENT_GRAMS), "id", "v"), bitmap(values)))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("t"))
-    out = materialise(rows.mapInPandas(_score(grams_known, frequent, n_all, distinct), "kind int, row long, doc_id long, n_tokens long, n_known long, base double, score double, w long, tf long"), "scored")
+    out = materialise(rows.mapInPandas(_score(frequent, n_all, distinct, start), "kind int, row long, doc_id long, n_tokens long, n_known long, base double, score double, w long, tf long"), "scored")
     rare = out.where("kind = 1").select("row", "w", "tf").join(words, "w", "left").groupBy("row").agg(
-        F.sum(F.col("tf") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.1))).alias("rare_base"), F.sum(F.when(F.col("n") > 0, F.col("tf")).otherwise(0)).alias("rare_known")
-    )
-    lacked = out.where("kind = 2").select("row", F.col("w").alias("gram"), "tf")
-    lacked = lacked.join(materialise(gram_scores(lacked.select("gram").distinct(), root, tables), "gram_scores"), "gram").groupBy("row").agg(F.sum(F.col("tf") * F.col("lp")).alias("rare_score"))
+        F.sum(F.col("tf") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.1))).alias("rare_base"), F.sum(F.when(F.col("n") > 0, F.col("tf")).otherwise(0)).alias("rare_known"),
+        F.sum(F.col("tf") * F.coalesce("backed", F.lit(0.0))).alias("rare_backed"),
+    )
+    lacked = out.where("kind = 2").select("row", F.col("w").alias("id"), "tf").join(values.select("id", "v"), "id").groupBy("row").agg(F.sum(F.col("tf") * F.col("v")).alias("rare_score"))
     done = out.where("kind = 0").join(rare, "row", "left").join(lacked, "row", "left")
+    rare_base, zero = F.coalesce("rare_base", F.lit(0.0)), F.lit(0.0)
     return done.select(
         "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("rare_score", F.lit(0.0))).alias("score"),
+        (F.col("base") + rare_base).alias("base_score"), (F.col("score") + rare_base + F.coalesce("rare_backed", zero) + F.coalesce("rare_score", zero)).alias("score"),
     )
 
 

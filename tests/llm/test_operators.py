@@ -165,40 +165,62 @@ def test_suffix_tree_scores(spark, awkward, empty):
     assert pst.score_texts(empty, empty).count() == 0
 
 
-def test_suffix_tree_is_a_distribution():
-    root, states = np.log10(np.full(256, 1 / 256)), [(np.array([97], np.uint64), np.array([np.log10(0.5)]), np.array([97 << 8 | 98], np.uint64), np.array([np.log10(0.5 + 0.5 / 256)]))]
-    p = 10 ** pst._log_probability(np.arange(256, dtype=np.uint64) | np.uint64(97 << 8), root, states)
-    assert p.sum() == pytest.approx(1)
-
-
-def test_suffix_tree_keeps_states_whatever_the_size(spark, monkeypatch):
-    """A context seen 40 times stays a state among 30 MB of others, and all grams score as by the whole tree read byte by byte."""
-    few = [("quixq zebra " * 2,)] * 20
-    big = spark.createDataFrame(few + [(" ".join(f"w{i * 7919 % 5000}" for i in range(k, k + 1000)),) for k in range(60)], "t string")
-    big = big.unionByName(spark.range(500).selectExpr("repeat('lorem ipsum ', 5000) as t"))
-    root, tables = pst.fit(pst.count_grams(big))
-    contexts = {r["c"] for table in tables for r in table.where("n >= 20").select("c").distinct().collect()}
-    assert int.from_bytes(b"qu", "big") in contexts
-    docs = spark.createDataFrame([(1, "quixq zebra w1 unseen"), (2, None), (3, "quixq " * 3)], "doc_id long, text string")
-    train = big.select(pst.F.lit(9).cast("long").alias("doc_id"), pst.F.col("t").alias("text"))
-    held = [{r["c"]: r["of"] for r in x.collect()} for x in tables]
-    n = [{r["g"]: r["n"] for r in x.collect()} for x in tables]
-
-    def score(text):
-        out, b = 0.0, b"\n" * pst.DEPTH + pst.canonical(text)[1]
-        for i in range(pst.DEPTH, len(b)):
-            p = 10 ** root[b[i]]
-            for d in range(1, pst.DEPTH + 1):
-                c, g = (int.from_bytes(b[i - d : i + e], "big") for e in (0, 1))
-                if c in held[d - 1]:
-                    p = (n[d - 1].get(g, 0) + pst.PRIOR * p) / (held[d - 1][c] + pst.PRIOR)
-            out += math.log10(p)
-        return out
-
-    for most in (1 << 20, 40):  # all and some of the grams broadcast
-        monkeypatch.setattr(pst, "FREQUENT_GRAMS", most)
-        got = {r["doc_id"]: r["score"] for r in pst.score_texts(docs, train).collect()}
-        assert got == {r["doc_id"]: pytest.approx(score(r["text"]), rel=1e-9) for r in docs.collect()}
+def suffix_tree(texts):
+    """The tree as dictionaries: log10 probability of a word after the words before it, and the retained contexts."""
+    read = [[None, *WORDS.findall((t or "").encode().lower()), "end"] for t in texts]
+    root = Counter(w for ws in read for w in ws[1:])
+    n, v = sum(root.values()), len(root)
+    counts, states = {}, {}
+    for ws in read:
+        for d in (1, 2):
+            for i in range(max(1, d), len(ws)):
+                counts.setdefault(tuple(ws[i - d : i]), Counter())[ws[i]] += 1
+
+    def p(before, w):
+        for d in (2, 1):
+            c = tuple(before[-d:])
+            if len(c) == d and c in states:
+                kept, of = states[c]
+                return (kept.get(w, 0) + (of - sum(kept.values()) + pst.PRIOR) * p(c[1:], w)) / (of + pst.PRIOR)
+        return (root[w] + 0.1) / (n + 0.1 * (v + 1))
+
+    for c in sorted(counts, key=len):
+        kept, of = {w: k for w, k in counts[c].items() if k >= pst.LEAST}, sum(counts[c].values())
+        if not kept:
+            continue
+        left = of - sum(kept.values())
+        back = (left + pst.PRIOR) / (of + pst.PRIOR)
+        gain = sum(k * math.log((k / (of + pst.PRIOR) + back * p(c[1:], w)) / p(c[1:], w)) for w, k in kept.items()) + left * math.log(back)
+        if gain >= pst.GAIN:
+            states[c] = (kept, of)
+    return p, states, root
+
+
+@pytest.mark.parametrize("most", [1 << 18, 20])  # all and some of the words and grams broadcast
+def test_suffix_tree_scores_as_brute_force(spark, monkeypatch, most):
+    """Scores are those of the tree held in dictionaries, in which every state is a distribution, and states of one and of two words are retained."""
+    monkeypatch.setattr(pst, "FREQUENT", most)
+    monkeypatch.setattr(pst, "FREQUENT_GRAMS", most)
+    some = [t for _, t in sorted(rows(spark.read.parquet(f"{DATA}/documents.parquet")))[:40]]
+    texts = [*some, *some[:5], *["quixq zebra quixq lorem"] * 9, "quixq", None, "", " \n", LONG]
+    p, states, root = suffix_tree(texts)
+    assert {len(c) for c in states} == {1, 2} and (b"zebra", b"quixq") in states
+    for c in random.Random(0).sample(sorted(states, key=str), 20):
+        unseen = (1 - sum((root[w] + 0.1) / (sum(root.values()) + 0.1 * (len(root) + 1)) for w in root)) / p((), b"unseen anywhere")
+        assert sum(p(c, w) for w in root) + unseen * p(c, b"unseen anywhere") == pytest.approx(1)
+    train = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    docs = train.unionByName(spark.createDataFrame([(1000, "quixq zebra w1 Unseen"), (1001, None), (1002, "lorem " * 30), (1003, "zebra quixq lorem")], "doc_id long, text string"))
+    got = {r["doc_id"]: r["score"] for r in pst.score_texts(docs, train).collect()}
+    for i, t in rows(docs):
+        ws = [None, *WORDS.findall((t or "").encode().lower()), "end"]
+        assert got[i] == pytest.approx(sum(math.log10(p(ws[max(0, k - 2) : k], ws[k])) for k in range(1, len(ws))), rel=1e-9)
+
+
+def test_suffix_tree_gains_on_held_out_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    test = pst.held_out(10, 0)
+    base, score = pst.score_texts(docs.where(test), docs.where(~test)).agg(pst.F.sum("base_score"), pst.F.sum("score")).first()
+    assert score > base
 
 
 def test_chat_round_trip(spark):
