@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -33,21 +34,37 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the actions within are dropped as soon as each is over."""
+    before = spark.conf.get(FREE_SHUFFLE, None)
+    spark.conf.set(FREE_SHUFFLE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(FREE_SHUFFLE) if before is None else spark.conf.set(FREE_SHUFFLE, before)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here and a lost executor costs nothing before it.
 
     Shuffle files of the write are dropped as soon as it is over.
     """
     spark = df.sparkSession
-    path, before = scratch_path(spark, name), spark.conf.get(FREE_SHUFFLE, None)
-    spark.conf.set(FREE_SHUFFLE, "true")
-    try:
+    path = scratch_path(spark, name)
+    with freed_shuffles(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.unset(FREE_SHUFFLE) if before is None else spark.conf.set(FREE_SHUFFLE, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Delete tables made by ``materialise`` that nothing reads any more."""
+    for table in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash, kept for at most ``bound`` words at a time."""
 

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, WordHashes, materialise
+from .common import WORD, WordHashes, drop, freed_shuffles, materialise
 
 #: A next word must follow a context so often, whatever the size of the input, to be kept there.
 LEAST = 2
@@ -67,8 +67,8 @@ def triples(pair: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, pair[at - 1], _rotated(pair[at - 1], 41) ^ pair[at]
 
 
-def _batches(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
-    """Rows of whole texts with their words, ends included, and where each text starts; BATCH tokens or one more text at a time."""
+def _batches(frames: Iterator[pd.DataFrame], most: int = BATCH) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+    """Rows of whole texts with their words, ends included, and where each text starts; ``most`` tokens or one more text at a time."""
     hashes = WordHashes()
     for pdf in frames:
         held, size, start = [], 0, 0
@@ -76,7 +76,7 @@ def _batches(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.
             words = canonical(t)
             held.append(np.append(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)), np.uint64(END)))
             size += len(words) + 1
-            if size >= BATCH or i == len(pdf) - 1:
+            if size >= most or i == len(pdf) - 1:
                 sizes = np.fromiter(map(len, held), np.int64, len(held))
                 yield pdf.iloc[start : i + 1], np.concatenate(held), np.cumsum(sizes) - sizes
                 held, size, start = [], 0, i + 1
@@ -88,7 +88,7 @@ def _counted(c: np.ndarray, w: np.ndarray, key: np.ndarray) -> pd.DataFrame:
 
 
 def _count_pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for _, w, first in _batches(frames):
+    for _, w, first in _batches(frames, 2 * BATCH):
         yield _counted(np.full(len(w), ROOT, np.uint64), w, w)
         before, pair = pairs(w, first)
         yield _counted(before, w, pair)
@@ -98,7 +98,7 @@ def _count_triples(kept):
     """Counts of (pair before, pair) where both pairs may be kept: a triple is never more frequent than its pairs."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, w, first in _batches(frames):
+        for _, w, first in _batches(frames, 2 * BATCH):
             pair = pairs(w, first)[1]
             at, before, triple = triples(pair, first)
             met = may_hold(kept.value, pair)
@@ -112,7 +112,8 @@ def bitmap(ids: DataFrame) -> np.ndarray:
     """Bits of the hash prefixes that occur in column ``id``: 2^PREFIX bits, made by Spark word by word."""
     place = F.shiftrightunsigned("id", 64 - PREFIX)
     bits = ids.select(F.shiftrightunsigned(place, 6).cast("int").alias("k"), place.bitwiseAND(63).cast("int").alias("at")).selectExpr("k", "shiftleft(1L, at) as b")
-    got = bits.groupBy("k").agg(F.bit_or("b").alias("b")).toArrow().to_pandas()
+    with freed_shuffles(ids.sparkSession):
+        got = bits.groupBy("k").agg(F.bit_or("b").alias("b")).toArrow().to_pandas()
     out = np.zeros(1 << (PREFIX - 6), np.uint64)
     out[got["k"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64).view(np.uint64)
     return out
@@ -130,19 +131,23 @@ def count(train: DataFrame, mapper, name: str) -> DataFrame:
     return materialise(found.where((F.col("n") >= LEAST) | (F.col("c") == ROOT)), name)
 
 
-def level(grams: DataFrame, contexts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From grams (c, id, n, q), q the suffix's probability, and contexts (c, of): retained contexts (c, backed), and all grams (id, n, p, e).
+def level(grams: DataFrame, suffix: DataFrame, contexts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From grams (c, w, id, n), suffix (w, q) with q the suffix's probability, and contexts (c, of): retained contexts (c, backed), and all grams (id, n, p, e).
 
     ``backed``: log10 weight of the suffix's distribution. ``p``: probability in the longest retained suffix. ``e``: log10
     of what a gram's probability is beyond backed * q; 0 in contexts that aren't retained.
     """
-    held = grams.groupBy("c").agg(F.sum("n").alias("kept")).join(contexts, "c").withColumn("back", (F.col("of") - F.col("kept") + PRIOR) / (F.col("of") + PRIOR))
-    known = grams.join(held, "c").withColumn("own", F.col("n") / (F.col("of") + PRIOR) + F.col("back") * F.col("q"))
-    gain = F.sum(F.col("n") * F.log(F.col("own") / F.col("q"))) + F.first((F.col("of") - F.col("kept")) * F.log("back"))
-    states = materialise(known.groupBy("c").agg(gain.alias("gain"), F.log10(F.first("back")).alias("backed")).where(F.col("gain") >= GAIN).select("c", "backed"), "states")
-    known = known.join(states, "c", "left")
+    left = grams.groupBy("c").agg(F.sum("n").alias("kept")).join(contexts, "c").select("c", "of", (F.col("of") - F.col("kept")).alias("left"))
+    known = materialise(grams.join(suffix, "w").select("c", "id", "n", "q").join(left, "c"), "known")
+    back = (F.col("left") + PRIOR) / (F.col("of") + PRIOR)
+    own = F.col("n") / (F.col("of") + PRIOR) + back * F.col("q")
+    gain = F.sum(F.col("n") * F.log(own / F.col("q"))) + F.first(F.col("left") * F.log(back))
+    states = materialise(known.groupBy("c").agg(gain.alias("gain"), F.first(F.log10(back)).alias("backed")).where(F.col("gain") >= GAIN).select("c", "backed"), "states")
     of_state = F.col("backed").isNotNull()
-    return states, materialise(known.select("id", "n", F.when(of_state, F.col("own")).otherwise(F.col("q")).alias("p"), F.when(of_state, F.log10(F.col("own") / F.col("q")) - F.col("backed")).otherwise(0.0).alias("e")), "grams")
+    p, e = F.when(of_state, own).otherwise(F.col("q")), F.when(of_state, F.log10(own / F.col("q")) - F.col("backed")).otherwise(0.0)
+    out = materialise(known.join(states, "c", "left").select("id", "n", p.alias("p"), e.alias("e")), "grams")
+    drop(known)
+    return states, out
 
 
 def fit(train: DataFrame) -> tuple[DataFrame, DataFrame, int, int, float]:
@@ -158,14 +163,18 @@ def fit(train: DataFrame) -> tuple[DataFrame, DataFrame, int, int, float]:
     two = counted.where(F.col("c") != ROOT).withColumn("id", _rotate("c", 17).bitwiseXOR(F.col("w")))
     # nothing follows an end, and each text has a start and an end
     before = words.select(F.when(F.col("w") == END, F.lit(START).cast("long")).otherwise(F.col("w")).alias("c"), F.col("n").alias("of"))
-    first_states, first = level(two.join(root, "w"), before)
-    three = count(train, _count_triples(sc.broadcast(bitmap(two))), "triples").withColumn("id", _rotate("c", 41).bitwiseXOR(F.col("w")))
-    three = three.join(first.select(F.col("id").alias("w"), F.col("p").alias("q")), "w")
-    second_states, second = level(three, first.select(F.col("id").alias("c"), F.col("n").alias("of")))
-    values = first.join(second_states.withColumnRenamed("c", "id"), "id", "left").select("id", "n", (F.col("e") + F.coalesce("backed", F.lit(0.0))).alias("v")).unionByName(second.select("id", "n", F.col("e").alias("v")))
+    first_states, first = level(two, root, before)
     start = first_states.where(F.col("c") == START).first()
-    words = words.join(first_states.withColumnRenamed("c", "w"), "w", "left").select("w", "n", F.coalesce("backed", F.lit(0.0)).alias("backed"))
-    return materialise(words, "words"), materialise(values.where("v != 0"), "values"), n_all, distinct, start["backed"] if start else 0.0
+    words = materialise(words.join(first_states.withColumnRenamed("c", "w"), "w", "left").select("w", "n", F.coalesce("backed", F.lit(0.0)).alias("backed")), "words")
+    drop(counted, first_states)
+    counted = count(train, _count_triples(sc.broadcast(bitmap(first))), "triples")
+    three = counted.withColumn("id", _rotate("c", 41).bitwiseXOR(F.col("w")))
+    second_states, second = level(three, first.select(F.col("id").alias("w"), F.col("p").alias("q")), first.select(F.col("id").alias("c"), F.col("n").alias("of")))
+    drop(counted)
+    values = first.join(second_states.withColumnRenamed("c", "id"), "id", "left").select("id", "n", (F.col("e") + F.coalesce("backed", F.lit(0.0))).alias("v")).unionByName(second.select("id", "n", F.col("e").alias("v")))
+    values = materialise(values.where("v != 0"), "values")
+    drop(first, second_states, second)
+    return words, values, n_all, distinct, start["backed"] if start else 0.0
 
 
 def most_frequent(table: DataFrame, most: int) -> pd.DataFrame:
