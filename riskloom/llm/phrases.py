@@ -7,7 +7,8 @@ crosses a piece; its population count is the shard's number of occurrences. Spar
 
 A phrase is at most as frequent as its parts, so each length is counted after the one before: only phrases whose first
 and last parts reached the least count in the whole corpus are extended. What shards know of that is a bitmap of hash
-prefixes of one size whatever the input. It never hides a frequent part; sums are exact.
+prefixes of one size whatever the input. It never hides a frequent part; sums are exact. Words are 64-bit hashes between
+the passes; the first one compares all words of a hash, and begins anew with another if two differ.
 """
 
 from __future__ import annotations
@@ -21,69 +22,64 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, mix
+from .common import drop, materialise, mix
 from .pst import bitmap, may_hold
 
 LEAST, LONGEST, SHOWN = 30, 4, 2000
 #: A longer candidate with so many of 100 occurrences of a phrase within it stands for the phrase.
 COVERED = 80
-#: Words, and marks that end a piece.
-TOKEN = re.compile(rb"[^\x20\x09.,;:!?\x0A-\x0D]+|[.,;:!?\x0A-\x0D]")
-BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
-#: Tokens of a shard, or one text more; bytes of a text that are read into words at once; entries of bitmaps extended at once.
-SHARD, READ, CHUNK = 1 << 20, 1 << 20, 1 << 17
+#: What ends a word, and what ends a piece too.
+SPACES, BREAKS = b"\x20\x09", b".,;:!?\x0a\x0b\x0c\x0d"
+SEPARATOR = re.compile(rb"[\x20\x09.,;:!?\x0A-\x0D]")
+KIND = np.zeros(256, np.uint8)
+KIND[list(SPACES)], KIND[list(BREAKS)] = 1, 2
+#: Bytes of text of a shard; a longer text is read in windows. Entries of bitmaps extended at once.
+SHARD, CHUNK = 3 << 20, 1 << 17
 #: Bits of a machine word of a bitmap. A block of so many positions is met by so many words at most.
 BITS = 16
-COUNTED = "lang string, phrase string, id long, n long"
 
 
-class Words(dict):
-    """Word -> number within the shard, from 1; 0 are the ends of pieces."""
+class Reader:
+    """Texts to tokens: a 64-bit hash for each word, 0 for the end of a piece."""
 
-    def __init__(self):
-        super().__init__((bytes([b]), 0) for b in BREAKS)
+    def __init__(self, seed: int):
+        self.base = (xxhash.xxh3_64_intdigest(b"base", seed) | 5) & ~2  # 1 modulo 4, so that powers are of full period
+        self.powers, self.inverses = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self) - len(BREAKS) + 1
-        return n
+    def _grow(self, n: int) -> None:
+        if len(self.powers) < n:
+            n = max(n, SHARD + SHARD // 8)
+            steps = lambda b: np.multiply.accumulate(np.append(np.uint64(1), np.full(n - 1, b, np.uint64)))
+            self.powers, self.inverses = steps(self.base), steps(pow(self.base, -1, 1 << 64))
 
-    def names(self) -> list[bytes]:
-        return [b"", *(w for w, n in self.items() if n)]
+    def tokens(self, data: bytes, lang: np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens of lower-cased ``data``, and where its words start and end. A word's hash is that of its bytes and the language alone."""
+        x = np.frombuffer(data, np.uint8)
+        self._grow(len(x))
+        kind = KIND[x]
+        word = kind == 0
+        edges = np.flatnonzero(np.diff(word, prepend=False, append=False))
+        start, end, breaks = edges[::2], edges[1::2], np.flatnonzero(kind == 2)
+        value = (x + np.uint64(1)) * self.powers[: len(x)]
+        value[~word] = 0
+        hashes = mix(np.add.reduceat(value, start) * self.inverses[start] ^ lang) if len(start) else np.zeros(0, np.uint64)
+        hashes[hashes == 0] = 1
+        order = np.argsort(np.concatenate([start, breaks]), kind="stable")
+        return np.concatenate([hashes, np.zeros(len(breaks), np.uint64)])[order], start, end
 
 
-def _read(text: str | None) -> Iterator[list[bytes]]:
-    """Tokens of a text, A-Z lower-cased, some at a time; a part ends where a word does."""
-    b, at = (text or "").encode("utf-8", "surrogatepass").lower(), 0
-    while at < len(b):
-        stop = at + READ
-        if stop < len(b):
-            m = re.compile(rb"[\x20\x09.,;:!?\x0A-\x0D]").search(b, stop)
-            stop = m.end() if m else len(b)
-        yield TOKEN.findall(b[at:stop])
-        at = stop
+def language(lang: str) -> np.uint64:
+    return np.uint64(xxhash.xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass")))
 
 
-class Shard:
-    def __init__(self):
-        self.words, self.tokens, self.size = Words(), [], 0
-
-    def add(self, text: str | None) -> None:
-        for part in _read(text):
-            self.tokens.append(np.fromiter(map(self.words.__getitem__, part), np.int32, len(part)))
-            self.size += len(part)
-        self.tokens.append(np.zeros(1, np.int32))
-        self.size += 1
-
-
-def position_bitmaps(tokens: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, block, bits) of the words that ``kept`` marks, by block: bit i of block b is position BITS * b + i."""
-    at = np.flatnonzero(kept[tokens])
-    key = (at // BITS) * np.int64(len(kept)) + tokens[at]
+def position_bitmaps(at: np.ndarray, word: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, block, bits) of words, numbers below ``words``, at rising positions; by block. Bit i of block b is position BITS * b + i."""
+    key = (at // BITS) * np.int64(words) + word
     order = np.argsort(key, kind="stable")
     key, bit = key[order], np.uint16(1) << (at[order] % BITS).astype(np.uint16)
     first = np.flatnonzero(np.diff(key, prepend=-1))
     bits = np.bitwise_or.reduceat(bit, first) if len(first) else bit
-    return (key[first] % len(kept)).astype(np.int32), key[first] // len(kept), bits
+    return (key[first] % words).astype(np.int32), key[first] // words, bits
 
 
 def shifted(block: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,47 +89,49 @@ def shifted(block: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.concatenate([a, b]), np.concatenate([block[a], block[b] + 1]), np.concatenate([on[a], over[b]])
 
 
-def _hash(names: np.ndarray, phrases: np.ndarray) -> np.ndarray:
-    """Hashes of phrases, rows of word numbers."""
-    out = np.full(len(phrases), phrases.shape[1], np.uint64)
-    for k in range(phrases.shape[1]):
-        out = mix(out ^ names[phrases[:, k]]) + np.uint64(k)
+def phrase_hash(words: list[np.ndarray]) -> np.ndarray:
+    """Hashes of phrases from the columns of their words' hashes; of one word its own."""
+    if len(words) == 1:
+        return words[0]
+    out = np.full(len(words[0]), len(words), np.uint64)
+    for k, w in enumerate(words):
+        out = mix(out ^ w) + np.uint64(k)
     return out
 
 
 class Miner:
-    """Counts of phrases of one length in a shard; ``frequent`` holds a bitmap of hash prefixes for each shorter length."""
-
-    def __init__(self, lang: str, shard: Shard, frequent: list[np.ndarray]):
-        self.names, self.length, self.frequent = shard.words.names(), len(frequent) + 1, frequent
-        seed = xxhash.xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass"))
-        self.hashes = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in self.names), np.uint64, len(self.names))
-        tokens = np.concatenate(shard.tokens)
-        kept = np.ones(len(self.names), bool)
-        if frequent:
-            kept = self._may(np.arange(len(self.names), dtype=np.int32)[:, None])
-        kept[0] = False
-        self.word, self.block, self.bits = position_bitmaps(tokens, kept)
+    """Counts of phrases of one length in a shard; ``frequent`` holds a bitmap of hash prefixes for each shorter length. Phrases that end within the first ``seen`` tokens were counted before."""
+
+    def __init__(self, tokens: np.ndarray, frequent: list[np.ndarray], seen: int = 0):
+        self.length, self.frequent, self.seen = len(frequent) + 1, frequent, seen
+        at = np.flatnonzero(tokens)
+        at = at[may_hold(frequent[0], tokens[at])]
+        self.words, number = np.unique(tokens[at], return_inverse=True)
+        self.word, self.block, self.bits = position_bitmaps(at, number, max(1, len(self.words)))
         self.start = np.searchsorted(self.block, np.arange(len(tokens) // BITS + 3))
         self.phrases: list[np.ndarray] = []
         self.counts: list[np.ndarray] = []
 
     def _may(self, phrases: np.ndarray) -> np.ndarray:
-        return may_hold(self.frequent[phrases.shape[1] - 1], _hash(self.hashes, phrases))
+        return may_hold(self.frequent[phrases.shape[1] - 1], phrase_hash([self.words[phrases[:, k]] for k in range(phrases.shape[1])]))
 
     def run(self) -> tuple[np.ndarray, np.ndarray]:
-        """Phrases as rows of word numbers, and how often each occurs."""
+        """Phrases as rows of word hashes, and how often each occurs."""
         order = np.argsort(self.word, kind="stable")
         word, block, bits = self.word[order], self.block[order], self.bits[order]
         new = np.diff(word, prepend=-1) != 0
         self._deeper(word[new][:, None], np.cumsum(new) - 1, block, bits)
-        return np.concatenate([np.zeros((0, self.length), np.int32), *self.phrases]), np.concatenate([np.zeros(0, np.int64), *self.counts])
+        phrases, n = np.concatenate([np.zeros((0, self.length), np.int32), *self.phrases]), np.concatenate([np.zeros(0, np.int64), *self.counts])
+        return self.words[phrases], n
 
     def _deeper(self, phrases: np.ndarray, of: np.ndarray, block: np.ndarray, bits: np.ndarray) -> None:
         """Extend phrases whose bitmaps are the entries (of, block, bits), in order of ``of``, depth first, some phrases at a time."""
         if phrases.shape[1] == self.length:
-            self.phrases.append(phrases)
-            self.counts.append(np.bincount(of, np.bitwise_count(bits), len(phrases)).astype(np.int64))
+            if self.seen:
+                bits = np.where(block == 0, bits & ~np.uint16((1 << self.seen) - 1), bits)
+            n = np.bincount(of, np.bitwise_count(bits), len(phrases)).astype(np.int64)
+            self.phrases.append(phrases[n > 0])
+            self.counts.append(n[n > 0])
             return
         at = 0
         while at < len(of):
@@ -150,64 +148,99 @@ class Miner:
             entry, b, moved = shifted(block[a : a + CHUNK], bits[a : a + CHUNK])
             many = self.start[b + 1] - self.start[b]
             left = np.repeat(np.arange(len(b)), many)
-            right = np.arange(len(left)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(self.start[b], many)
+            right = np.arange(len(left)) - np.repeat(np.cumsum(many) - many - self.start[b], many)
             both = moved[left] & self.bits[right]
             hit = np.flatnonzero(both)
             left, right = left[hit], right[hit]
-            found.append((of[a + entry[left]].astype(np.int64) * len(self.names) + self.word[right], b[left], both[hit]))
+            found.append((of[a + entry[left]].astype(np.int64) * len(self.words) + self.word[right], b[left], both[hit]))
         key, block, bits = (np.concatenate(x) for x in zip(*found, strict=True))
         if not len(key):
             return
-        distinct, of = np.unique(key, return_inverse=True)
-        longer = np.column_stack([phrases[distinct // len(self.names)], (distinct % len(self.names)).astype(np.int32)])
-        width = longer.shape[1]
-        good = self._may(longer) if width < self.length else self._may(longer[:, 1:])
+        order = np.argsort(key, kind="stable")
+        key, block, bits = key[order], block[order], bits[order]
+        new = np.diff(key, prepend=-1) != 0
+        distinct, of = key[new], np.cumsum(new) - 1
+        longer = np.column_stack([phrases[distinct // len(self.words)], (distinct % len(self.words)).astype(np.int32)])
+        good = self._may(longer) if longer.shape[1] < self.length else self._may(longer[:, 1:])
         kept = np.flatnonzero(good[of])
-        if not len(kept):
-            return
-        kept = kept[np.argsort(of[kept], kind="stable")]
-        number = np.cumsum(good) - 1
-        self._deeper(longer[good], number[of[kept]], block[kept], bits[kept])
+        if len(kept):
+            self._deeper(longer[good], (np.cumsum(good) - 1)[of[kept]], block[kept], bits[kept])
+
+
+def shards(frames: Iterator[pd.DataFrame], seed: int, overlap: int) -> Iterator[tuple[str, bytes, np.ndarray, np.ndarray, np.ndarray, int]]:
+    """(language, text, tokens, starts and ends of words, tokens seen before) of whole texts, SHARD bytes together; of a longer text in windows that begin with the last ``overlap`` tokens of the one before."""
+    reader, held, sizes = Reader(seed), {}, {}
+
+    def read(lang: str, data: bytes, before: np.ndarray) -> tuple:
+        tokens, start, end = reader.tokens(data, language(lang))
+        return lang, data, np.concatenate([before, tokens]), start, end, len(before)
+
+    none = np.zeros(0, np.uint64)
+    for pdf in frames:
+        for lang, text in zip(pdf["lang"], pdf["text"], strict=True):
+            data, before, at = text.encode("utf-8", "surrogatepass").lower(), none, 0
+            while len(data) - at > SHARD:
+                m = SEPARATOR.search(data, at + SHARD)
+                stop = m.end() if m else len(data)
+                out = read(lang, data[at:stop], before)
+                yield out
+                before, at = out[2][max(0, len(out[2]) - overlap) :], stop
+            if at:
+                yield read(lang, data[at:] + b"\n", before)
+                continue
+            held.setdefault(lang, []).append(data)
+            sizes[lang] = sizes.get(lang, 0) + len(data) + 1
+            if sizes[lang] >= SHARD or sum(sizes.values()) >= 4 * SHARD:
+                most = max(sizes, key=sizes.get)
+                yield read(most, b"\n".join(held.pop(most)) + b"\n", none)
+                del sizes[most]
+    for lang, texts in held.items():
+        yield read(lang, b"\n".join(texts) + b"\n", none)
+
+
+def count_words(seed: int):
+    """mapInPandas function over (lang, text): (id, lang, word, n), the shards' counts of words; n of the empty word is the number of all."""
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for lang, data, tokens, start, end, _ in shards(frames, seed, 0):
+            words, first, n = np.unique(tokens[tokens != 0], return_index=True, return_counts=True)
+            text = [data[a:b].decode("utf-8", "surrogatepass") for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
+            empty = mix(np.array([language(lang)]))
+            yield pd.DataFrame({"id": np.append(words, empty).view(np.int64), "lang": np.full(len(n) + 1, lang, object), "word": np.array([*text, ""], object), "n": np.append(n, n.sum())})
 
-def count_phrases(frequent):
-    """mapInPandas function over (lang, text): (lang, phrase, id, n), the shards' counts of phrases one word longer than the last of ``frequent``; n of the empty phrase is the number of words.
+    return run
 
-    ``frequent``: a broadcast list of bitmaps, one for each shorter length.
-    """
 
-    def counted(lang: str, shard: Shard) -> pd.DataFrame:
-        m = Miner(lang, shard, frequent.value)
-        phrases, n = m.run()
-        ids = _hash(m.hashes, phrases).view(np.int64)
-        names = [w.decode("utf-8", "surrogatepass") for w in m.names]
-        text = [" ".join(map(names.__getitem__, p)) for p in phrases.tolist()]
-        if m.length == 1:
-            text, ids, n = [*text, ""], np.append(ids, np.int64(0)), np.append(n, n.sum())
-        return pd.DataFrame({"lang": np.full(len(text), lang, object), "phrase": np.array([*text, None], object)[:-1], "id": ids, "n": n})
+def count_phrases(seed: int, frequent):
+    """mapInPandas function over (lang, text): (w1, w2, .. and n), the shards' counts of phrases one word longer than the last of ``frequent``, a broadcast list of bitmaps for each shorter length."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shards: dict[str, Shard] = {}
-        held = 0
-        for pdf in frames:
-            for lang, text in zip(pdf["lang"], pdf["text"], strict=True):
-                shard = shards.setdefault(lang, Shard())
-                held -= shard.size
-                shard.add(text)
-                held += shard.size
-                while held >= 2 * SHARD or shard.size >= SHARD:
-                    most = lang if shard.size >= SHARD else max(shards, key=lambda x: shards[x].size)
-                    full = shards.pop(most)
-                    held -= full.size
-                    yield counted(most, full)
-                    if most == lang:
-                        break
-        for lang, shard in shards.items():
-            yield counted(lang, shard)
+        bits = frequent.value
+        for _, _, tokens, _, _, seen in shards(frames, seed, len(bits)):
+            phrases, n = Miner(tokens, bits, seen).run()
+            yield pd.DataFrame({f"w{k + 1}": phrases[:, k].view(np.int64) for k in range(phrases.shape[1])} | {"n": n})
 
     return run
 
 
+def _hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in frames:
+        yield pd.DataFrame({"id": phrase_hash([pdf[c].to_numpy(np.int64).view(np.uint64) for c in pdf]).view(np.int64)})
+
+
+def _words(texts: DataFrame, least: int) -> tuple[int, DataFrame]:
+    """A seed under which no two words share a hash, and (id, lang, word, n) of the frequent words and of the languages' totals."""
+    seed = 0
+    while True:
+        sums = texts.mapInPandas(count_words(seed), "id long, lang string, word string, n long").groupBy("id").agg(F.sum("n").alias("n"), *(f(c).alias(f"{c}{i}") for c in ("lang", "word") for i, f in enumerate((F.min, F.max))))
+        clash = (F.col("lang0") != F.col("lang1")) | (F.col("word0") != F.col("word1"))
+        found = materialise(sums.where((F.col("n") >= least) | (F.col("word0") == "") | clash), "words")
+        if not found.where(clash).limit(1).count():
+            return seed, found.select("id", F.col("lang0").alias("lang"), F.col("word0").alias("word"), "n")
+        drop(found)
+        seed += 1
+
+
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, length, f) of all phrases of up to ``longest`` words that occur ``least`` times, and (lang, n), the number of words of each language.
 
@@ -216,19 +249,21 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     """
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")).where("text is not null")
-    out, sizes, bits = None, None, []
-    for length in range(1, longest + 1):
-        known = spark.sparkContext.broadcast(bits)
-        sums = texts.mapInPandas(count_phrases(known), COUNTED).groupBy("lang", "phrase").agg(F.sum("n").alias("f"), F.max("id").alias("id"))
-        found = materialise(sums.where((F.col("f") >= least) | (F.col("phrase") == "")), f"phrases{length}")
+    seed, words = _words(texts, least)
+    sizes, words = words.where("word = ''").select("lang", "n"), words.where("word <> ''")
+    bits = [bitmap(words.select("id"))]
+    level = words.select(F.col("id").alias("w1"), "lang", F.col("word").alias("phrase"), F.col("n").alias("f"))
+    out = level.select("lang", "phrase", F.lit(1).alias("length"), "f")
+    for length in range(2, longest + 1):
+        keys, known = [f"w{k + 1}" for k in range(length)], spark.sparkContext.broadcast(bits)
+        counted = texts.mapInPandas(count_phrases(seed, known), ", ".join(f"{k} long" for k in [*keys, "n"])).groupBy(*keys).agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+        last = words.select(F.col("id").alias(keys[-1]), "word")
+        named = counted.join(level.drop("f"), keys[:-1]).join(last, keys[-1]).select(*keys, "lang", F.concat("phrase", F.lit(" "), "word").alias("phrase"), "f")
+        level = materialise(named, f"phrases{length}")
         known.unpersist()
-        if length == 1:
-            sizes = found.where("phrase = ''").select("lang", F.col("f").alias("n"))
-            found = found.where("phrase <> ''")
-        level = found.select("lang", "phrase", F.lit(length).alias("length"), "f")
-        out = level if out is None else out.unionByName(level)
+        out = out.unionByName(level.select("lang", "phrase", F.lit(length).alias("length"), "f"))
         if length < longest:
-            bits = [*bits, bitmap(found.select("id"))]
+            bits = [*bits, bitmap(level.select(*keys).mapInPandas(_hashed, "id long"))]
     return out, sizes
 
 

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 
 from riskloom.llm import phrases
 
@@ -50,8 +51,8 @@ def test_same_as_dictionaries(spark):
     assert mined(docs) == expected(rows) and mined(docs, 5, least=4, covered=50) == expected(rows, 4, 50, 5)
 
 
-def test_awkward(spark, monkeypatch):
-    """Null columns, empty and very long texts and pieces, overlaps, ties, repeated rows, names of the result as columns; small shards and chunks."""
+def test_awkward(spark):
+    """Null columns, empty and very long texts and pieces, overlaps, ties, repeated rows, names of the result as columns."""
     r = random.Random(3)
     words = ["a", "B", "ß", "漢字", "Ä", "x'y", "-", "\xa0", "😀"]
     texts = [None, "", " \t ", ".,;", "a " * 5000, "na na na na. " * 40, "one two three four five\r" * 35, "Q\x0bW e " * 31] + ["".join(r.choice(words) + r.choice([" ", " ", "\t ", ". ", ",", "\n"]) for _ in range(r.randint(1, 300))) for _ in range(60)]
@@ -59,33 +60,46 @@ def test_awkward(spark, monkeypatch):
     docs = spark.createDataFrame([(None if i % 3 else i, t, lang, "p", 1) for i, (lang, t) in enumerate(rows)], SCHEMA)
     want = expected(rows)
     assert want and mined(docs) == want
-    small = spark.createDataFrame(docs.collect(), SCHEMA).coalesce(1)
-    monkeypatch.setattr(phrases, "SHARD", 500)
-    monkeypatch.setattr(phrases, "CHUNK", 16)
-    monkeypatch.setattr(phrases, "READ", 64)
+
+
+def test_shards_and_windows(monkeypatch):
+    """Small shards, windows of a long text and chunks give the counts of a plain search, none twice."""
+    r, every = random.Random(5), np.full(1 << 21, ~np.uint64(0))
+    texts = ["".join(r.choice(["a", "B", "ß", "cc"]) + r.choice([" ", " ", " ", "\t", ". "]) for _ in range(n)) for n in (3, 40, 700, 0, 1, 5, 90)]
+    frame = pd.DataFrame({"lang": ["x", "y", "x", "x", "y", "z", "x"], "text": texts})
+    monkeypatch.setattr(phrases, "SHARD", 64)
+    monkeypatch.setattr(phrases, "CHUNK", 7)
+    reader = phrases.Reader(0)
+    for length in (2, 3, 4):
+        want, got = Counter(), Counter()
+        for lang, text in zip(frame["lang"], frame["text"], strict=True):
+            for piece in text.lower().split("."):
+                w = [int(reader.tokens(x.encode(), phrases.language(lang))[0][0]) for x in piece.split()]
+                want.update(tuple(w[i : i + length]) for i in range(len(w) - length + 1))
+        for pdf in phrases.count_phrases(0, type("B", (), {"value": [every] * (length - 1)}))(iter([frame])):
+            for *w, n in pdf.itertuples(index=False):
+                got[tuple(x % 2**64 for x in w)] += n
+        assert got == want
+    plain = Counter((lang, w) for lang, t in zip(frame["lang"], frame["text"], strict=True) for w in re.findall(r"[^ \t.]+", t.lower()))
     got = Counter()
-    for pdf in phrases.count_phrases(type("B", (), {"value": []})())(iter([small.na.fill("und", ["lang"]).where("text is not null").toPandas()])):
-        got.update(dict(zip(zip(pdf["lang"], pdf["phrase"]), pdf["n"])))
-    plain = Counter(w for lang, t in rows for w in [(lang if lang is not None else "und", x) for x in re.findall(r"[^\x20\x09.,;:!?\x0A-\x0D]+", (t or "").translate(LOWER))])
-    assert {k: v for k, v in got.items() if k[1]} == plain
-
-
-def test_chunks_and_blocks():
-    """Bitmaps that cross blocks and chunks count as a plain search does."""
-    r = np.random.default_rng(5)
-    tokens = r.integers(0, 4, 3000).astype(np.int32)
-    shard = phrases.Shard()
-    for w in (b"p", b"q", b"r"):
-        shard.words[w]
-    shard.tokens, every = [tokens], np.full(1 << 21, ~np.uint64(0))
-    for chunk in (7, 1 << 17):
-        phrases.CHUNK, kept = chunk, phrases.CHUNK
-        try:
-            found, n = phrases.Miner("x", shard, [every, every, every]).run()
-        finally:
-            phrases.CHUNK = kept
-        want = Counter(tuple(tokens[i : i + 4].tolist()) for i in range(len(tokens) - 3) if tokens[i : i + 4].all())
-        assert dict(zip(map(tuple, found.tolist()), n.tolist())) == want
+    for pdf in phrases.count_words(0)(iter([frame])):
+        for lang, word, n in zip(pdf["lang"], pdf["word"], pdf["n"], strict=True):
+            got[lang, word] += n
+    assert {k: n for k, n in got.items() if k[1]} == plain and got["x", ""] == sum(n for (lang, _), n in plain.items() if lang == "x")
+
+
+def test_hash_clash_begins_anew(spark, monkeypatch):
+    docs = spark.createDataFrame([("en", "one two " * 40), ("en", "three four. " * 40)], "lang string, text string")
+    sums = phrases.count_words
+
+    def clashing(seed):
+        def run(frames):
+            for pdf in sums(seed)(frames):
+                yield pdf.assign(id=1) if seed == 0 else pdf
+        return run
+
+    monkeypatch.setattr(phrases, "count_words", clashing)
+    assert phrases._words(docs, 30)[0] == 1
 
 
 def test_large_counts_and_empty(spark):
