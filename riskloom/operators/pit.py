@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,56 +13,130 @@ from .ranks import ranked
 HOUR = 3_600_000_000
 
 
-#: Amounts are summed as decimals with so many digits, so that what leaves a frame takes away just what it brought.
-EXACT = "decimal(28,10)"
+#: A key with more distinct times than PIECE has its time line cut into PARTS ranges of like numbers of them.
+PIECE, PARTS, COARSE = 1 << 16, 256, 16
+#: Lines are cut where more bytes of rows than this are expected.
+SMALL = 64 << 20
+#: Amounts are summed as whole numbers and two rests of so many bits each, so that what leaves a frame takes away just what it brought.
+REST = 1 << 26
+BEGIN = -(1 << 62)
+
+
+def _joined(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join on equal columns where null equals null; the columns stay once."""
+    other = right.withColumnsRenamed({c: f"_on_{c}" for c in on})
+    return left.join(other, reduce(and_, (F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on)), how).drop(*(f"_on_{c}" for c in on))
+
+
+def _exact(column: str) -> list[Column]:
+    """A finite amount as presence, whole number and two rests: long numbers whose sums are exact. Below 2^-52 it is cut; from 2^63 on it is an error."""
+    x = F.col(column).cast("double")
+    x = F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
+    whole = F.floor(x)
+    rest = (x - whole) * REST
+    return [x.isNotNull().cast("long"), whole.cast("long"), F.floor(rest).cast("long"), F.floor((rest - F.floor(rest)) * REST).cast("long")]
+
+
+def _cut_points(times: DataFrame, key: list[str]) -> DataFrame:
+    """(key, _cuts, _coarse) of the keys with more than PIECE distinct times: times that part them evenly, all of them and every COARSE-th."""
+    hot = times.groupBy(*key).agg(F.count("*").alias("_k")).where(F.col("_k") > PIECE).select(*key)
+    at = F.percentile_approx("_at", [i / PARTS for i in range(1, PARTS)], 20 * PARTS)
+    return _joined(times.select(*key, "_at"), hot, key).groupBy(*key).agg(at.alias("_cuts")).withColumn("_coarse", F.expr(f"filter(_cuts, (x, i) -> (i + 1) % {COARSE} = 0)"))
+
+
+def _piece(at: Column) -> Column:
+    """Number of cuts at or before a time; 0 for keys without cuts."""
+    k = F.size(F.filter("_coarse", lambda c: c <= at)) * COARSE
+    return F.when(F.col("_cuts").isNull(), 0).otherwise(k + F.size(F.filter(F.slice("_cuts", k + 1, COARSE - 1), lambda c: c <= at)))
 
 
-def _steps_of_distinct(tx: DataFrame, key: list[str], name: str, value: str, back: int) -> DataFrame:
-    """Steps on the time line: a value counts from its sighting until ``back`` later or its next sighting."""
-    seen = tx.select(*key, value, "_at").where(F.col(value).isNotNull() & F.col("_at").isNotNull()).distinct()
-    nxt = F.lead("_at").over(Window.partitionBy(*key, value).orderBy("_at"))
-    until = F.least(F.col("_at") + back, F.coalesce(nxt, F.col("_at") + back))
-    step = lambda at, d: F.struct((at + 1).alias("_at"), F.lit(d).cast("long").alias(name))
-    return seen.withColumn("_until", until).select(*key, F.explode(F.array(step(F.col("_at"), 1), step(F.col("_until"), -1))).alias("_d")).select(*key, "_d.*")
+def may_crowd(rows: DataFrame) -> bool:
+    """Whether the optimizer expects more than SMALL bytes of rows. Below, the line of any key is a small task's work and isn't cut; no job is run to tell."""
+    return int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SMALL
 
 
-def history(tx: DataFrame, key: list[str], at: str, measures: dict[str, tuple[str, str | None, int]]) -> DataFrame:
+def _ranged(rows: DataFrame, cuts: DataFrame | None, key: list[str]) -> DataFrame:
+    return rows if cuts is None else _joined(rows, cuts, key, "left")
+
+
+def _sightings(base: DataFrame, cuts: DataFrame | None, key: list[str], value: str, back: int, name: str) -> DataFrame:
+    """Steps of a distinct count on the time line: up after a value's first sighting, down when none was within ``back``.
+
+    Sightings are followed within ranges of time; where a value's last one in a range reaches its first one in the next
+    range that has any, two more steps take back the gap between them.
+    """
+    seen = base.where(F.col(value).isNotNull()).select(*key, F.col(value).alias("_val"), "_at").distinct()
+    seen, part = _ranged(seen, cuts, key), [] if cuts is None else ["_p"]
+    if cuts is not None:
+        seen = seen.withColumn("_p", _piece(F.col("_at")))
+    line = Window.partitionBy(*key, "_val", *part).orderBy("_at")
+    before, after = F.lag("_at").over(line), F.lead("_at").over(line)
+    step = lambda at, d: F.struct(at.alias("_at"), F.lit(d).cast("long").alias(name))
+    seen = seen.withColumn("_up", before.isNull() | (before + back < F.col("_at"))).withColumn("_down", after.isNull() | (after > F.col("_at") + back))
+    held = [] if cuts is None else ["_cuts", "_coarse"]
+    steps = seen.select(*key, *held, F.explode(F.array_compact(F.array(F.when(F.col("_up"), step(F.col("_at") + 1, 1)), F.when(F.col("_down"), step(F.col("_at") + back + 1, -1))))).alias("_s"))
+    if cuts is None:
+        return steps.select(*key, "_s._at", F.lit(False).alias("_asks"), f"_s.{name}")
+    ends = seen.where("_cuts is not null").groupBy(*key, "_val", "_p").agg(F.min("_at").alias("_first"), F.max("_at").alias("_last"), F.first("_cuts").alias("_cuts"), F.first("_coarse").alias("_coarse"))
+    ends = ends.withColumn("_next", F.lead("_first").over(Window.partitionBy(*key, "_val").orderBy("_p"))).where(F.col("_next") <= F.col("_last") + back)  # a row for each range
+    bridges = ends.select(*key, *held, F.explode(F.array(step(F.col("_last") + back + 1, 1), step(F.col("_next") + 1, -1))).alias("_s"))
+    return steps.unionByName(bridges).select(*key, F.col("_cuts").isNotNull().alias("_hot"), _piece(F.col("_s._at")).alias("_p"), "_s._at", F.lit(False).alias("_asks"), f"_s.{name}")
+
+
+def history(tx: DataFrame, key: list[str], at: str, measures: dict[str, tuple[str, str | None, int]], of: DataFrame | None = None, split: bool | None = None) -> DataFrame:
     """Adds measures of the key's rows in [at - back, at): name -> (count, sum, mean or distinct; column; back).
 
-    Each row steps up on the key's time line just after its time and down ``back`` later, and so does each sighting of a
-    distinct value; a row's measures are the sums of the steps before it. One shuffle by key serves all measures (one
-    more for each distinct count), cost doesn't grow with the frames, and no set of values is held. Rows of one time
-    never see each other; null keys are a key like any other and lose no rows. Sums and means are null without values.
+    ``of``: the rows that are measured, where ``tx`` has other features by now. ``split``: whether lines of crowded keys
+    are cut; without it the expected size of the rows says so.
+
+    Rows are summed by key and time. Each time steps up on the key's line just after it and down ``back`` later, and so
+    does each sighting of a distinct value; a row's measures are the sums of the steps before it, so cost doesn't grow with
+    the frames and no set of values is held. The line of a key of very many times is cut into ranges of time: totals of
+    the ranges, few rows, give what each one starts with, and every range is a task's work of its own. Rows get their
+    measures by a join on key and time.
+
+    Rows of one time never see each other; null keys are a key like any other and lose no rows, rows without a time see
+    nothing. Sums and means are null without values; amounts that aren't finite count as missing. Sums are exact as long
+    as the whole numbers of a frame stay below 2^63, beyond which they are an error.
     """
-    tx = tx.withColumn("_at", F.col(at).cast("long"))
-    parts: list[tuple[str, Column, int]] = []
+    backs = sorted({b for kind, _, b in measures.values() if kind != "distinct"})
+    amounts = sorted({c for kind, c, _ in measures.values() if kind in ("sum", "mean")})
+    distinct = {name: f"_d{i}" for i, (name, m) in enumerate(measures.items()) if m[0] == "distinct"}
+    of = tx if of is None else of
+    split = may_crowd(of) if split is None else split
+    tx, base = (df.withColumn("_at", F.col(at).cast("long")) for df in (tx, of))
+    base = base.where("_at is not null")
+    parts = [f"_{p}{i}" for i in range(len(amounts)) for p in "vwml"]
+    times = base.groupBy(*key, "_at").agg(F.count("*").alias("_n"), *(F.coalesce(F.sum(x), F.lit(0)).alias(p) for p, x in zip(parts, (x for c in amounts for x in _exact(c)), strict=True)))
+    cuts, part = (_cut_points(times, key), ["_p"]) if split else (None, [])
+    steps = F.array(F.struct(F.col("_at"), F.lit(0).alias("_b"), F.lit(True).alias("_asks")), *(F.struct((F.col("_at") + b + 1).alias("_at"), F.lit(i + 1).alias("_b"), F.lit(False).alias("_asks")) for i, b in enumerate(backs)))
+    ranges = [F.col("_cuts").isNotNull().alias("_hot"), _piece(F.col("_s._at")).alias("_p")] if split else []
+    line = _ranged(times, cuts, key).withColumn("_s", F.explode(steps)).select(*key, *ranges, "_s.*", "_n", *parts)
+    for name, d in distinct.items():
+        line = line.unionByName(_sightings(base, cuts, key, measures[name][1], measures[name][2], d), allowMissingColumns=True)
+    if split:
+        sums = lambda p, b: F.sum(F.when(F.col("_b") == b, F.col(p)))
+        values, every = ["_n", *parts], range(len(backs) + 1)
+        totals = line.where("_hot").groupBy(*key, "_p").agg(*(sums(p, b).alias(f"{p}_{b}") for p in values for b in every), *(F.sum(d).alias(d) for d in distinct.values()))
+        earlier = Window.partitionBy(*key).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # PARTS rows a key
+        starts = [F.struct(F.lit(b).alias("_b"), *(F.sum(f"{p}_{b}").over(earlier).alias(p) for p in values), *((F.sum(d).over(earlier) if b == 0 else F.lit(None).cast("long")).alias(d) for d in distinct.values())) for b in every]
+        starts = totals.withColumn("_s", F.array(*starts)).select(*key, "_p", F.explode("_s").alias("_s")).select(*key, F.lit(True).alias("_hot"), "_p", F.lit(BEGIN).cast("long").alias("_at"), F.lit(False).alias("_asks"), "_s.*")
+        line = line.unionByName(starts)
+    before = Window.partitionBy(*key, *part).orderBy("_at", "_asks").rowsBetween(Window.unboundedPreceding, 0)
+    frame = lambda p, b: F.sum(F.when(F.col("_b") == 0, F.col(p)).when(F.col("_b") == backs.index(b) + 1, -F.col(p))).over(before) - F.col(p)
+    out = {}
     for name, (kind, column, back) in measures.items():
         if kind == "count":
-            parts.append((name, F.lit(1).cast("long"), back))
-        elif kind in ("sum", "mean"):
-            parts.append((f"{name}_s", F.coalesce(F.col(column).cast(EXACT), F.lit(0).cast(EXACT)), back))
-            parts.append((f"{name}_n", F.col(column).isNotNull().cast("long"), back))
-    lines = [tx.withColumn("_asks", F.lit(True))]
-    if parts:
-        steps = [F.struct((F.col("_at") + 1).alias("_at"), *(x.alias(n) for n, x, _ in parts))]
-        for b in sorted({b for *_, b in parts}):
-            steps.append(F.struct((F.col("_at") + b + 1).alias("_at"), *(F.when(F.lit(b == of), -x).otherwise(x * 0).cast("long" if not n.endswith("_s") else EXACT).alias(n) for n, x, of in parts)))
-        lines.append(tx.where("_at is not null").select(*key, F.explode(F.array(*steps)).alias("_d")).select(*key, "_d.*"))
-    lines += [_steps_of_distinct(tx, key, name, column, back) for name, (kind, column, back) in measures.items() if kind == "distinct"]
-    line = lines[0]
-    for more in lines[1:]:
-        line = line.unionByName(more, allowMissingColumns=True)
-    before = Window.partitionBy(*key).orderBy("_at", F.col("_asks").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    running = lambda n: F.sum(n).over(before)
-    out = {}
-    for name, (kind, _, _) in measures.items():
-        if kind in ("count", "distinct"):
-            out[name] = F.coalesce(running(name), F.lit(0))
+            out[name] = frame("_n", back)
+        elif kind == "distinct":
+            out[name] = F.coalesce(F.sum(distinct[name]).over(before), F.lit(0))
         else:
-            n = running(f"{name}_n")
-            total = F.when(n > 0, running(f"{name}_s")).cast("double")
+            n, whole, high, low = (frame(f"_{p}{amounts.index(column)}", back) for p in "vwml")
+            total = F.when(n > 0, whole + (high + low / float(REST)) / float(REST))
             out[name] = total if kind == "sum" else total / n
-    return line.withColumns(out).where("_asks").select(*(c for c in tx.columns if c != "_at"), *out)
+    found = line.select(*key, "_at", "_asks", *(x.alias(n) for n, x in out.items())).where("_asks").drop("_asks")
+    rows = _joined(tx, found, [*key, "_at"], "left")
+    return rows.select(*(c for c in tx.columns if c != "_at"), *(F.coalesce(n, F.lit(0)).alias(n) if measures[n][0] in ("count", "distinct") else n for n in measures))
 
 
 def _zero(c) -> Column:
@@ -90,11 +167,12 @@ def payment_features(tx: DataFrame, resolution: str = "s") -> DataFrame:
     """Rolling features of payments by seconds (or microseconds), with exact distinct counterparties, senders and devices; hour of the day and night beside them."""
     unit = 1_000_000 if resolution == "s" else 1
     h = HOUR // unit
-    out = tx.select("transaction_id", "us", "sender", "recipient", "device_id", "amount", F.floor(F.col("us") / unit).cast("long").alias("at"))
-    out = history(out, ["sender"], "at", {"sender_tx_1h": ("count", None, h), "sender_tx_24h": ("count", None, DAY * h), "sender_amount_24h": ("sum", "amount", DAY * h), "sender_mean_amount_7d": ("mean", "amount", WEEK * h), "sender_unique_recipients_24h": ("distinct", "recipient", DAY * h)})
-    out = history(out, ["sender", "recipient"], "at", {"pair_tx_24h": ("count", None, DAY * h)})
-    out = history(out, ["recipient"], "at", {"recipient_fanin_24h": ("count", None, DAY * h), "recipient_unique_senders_24h": ("distinct", "sender", DAY * h)})
-    out = history(out, ["device_id"], "at", {"device_activity_24h": ("count", None, DAY * h), "device_unique_senders_24h": ("distinct", "sender", DAY * h)})
+    rows = tx.select("transaction_id", "us", "sender", "recipient", "device_id", "amount", F.expr(f"(us - pmod(us, {unit})) DIV {unit}").alias("at"))
+    split = may_crowd(rows)
+    out = history(rows, ["sender"], "at", {"sender_tx_1h": ("count", None, h), "sender_tx_24h": ("count", None, DAY * h), "sender_amount_24h": ("sum", "amount", DAY * h), "sender_mean_amount_7d": ("mean", "amount", WEEK * h), "sender_unique_recipients_24h": ("distinct", "recipient", DAY * h)}, rows, split)
+    out = history(out, ["sender", "recipient"], "at", {"pair_tx_24h": ("count", None, DAY * h)}, rows, split)
+    out = history(out, ["recipient"], "at", {"recipient_fanin_24h": ("count", None, DAY * h), "recipient_unique_senders_24h": ("distinct", "sender", DAY * h)}, rows, split)
+    out = history(out, ["device_id"], "at", {"device_activity_24h": ("count", None, DAY * h), "device_unique_senders_24h": ("distinct", "sender", DAY * h)}, rows, split)
     out = out.withColumn("sender_amount_24h", F.round(_zero("sender_amount_24h"), 4)).withColumn("sender_mean_amount_7d", F.round(F.coalesce("sender_mean_amount_7d", "amount"), 7))
     hour = F.expr("CAST(pmod(us DIV 3600000000, 24) AS INT)")
     return out.select("transaction_id", *PAYMENT_FEATURES, hour.alias("hour"), (hour <= 5).cast("int").alias("is_night"))
@@ -106,13 +184,13 @@ def _clip(c: Column, high: float) -> Column:
 
 def step_features(tx: DataFrame) -> DataFrame:
     """Features by hourly step: three keys, a time line each; scalar features beside them."""
-    s, r, n = ["sender"], ["recipient"], ("count", None)
+    s, r, n, split = ["sender"], ["recipient"], ("count", None), may_crowd(tx)
     out = history(tx, s, "step", {
         "sender_tx_1h": (*n, 1), "sender_tx_24h": (*n, DAY), "sender_tx_7d": (*n, WEEK), "sender_amount_24h": ("sum", "amount", DAY), "sender_amount_7d": ("sum", "amount", WEEK), "sender_mean_amount_7d": ("mean", "amount", WEEK),
         "sender_unique_recipients_7d": ("distinct", "recipient", WEEK),
-    })
-    out = history(out, [*s, *r], "step", {"pair_tx_7d": (*n, WEEK), "pair_amount_7d": ("sum", "amount", WEEK)})
-    out = history(out, r, "step", {"recipient_fanin_24h": (*n, DAY), "recipient_tx_7d": (*n, WEEK), "recipient_amount_24h": ("sum", "amount", DAY), "recipient_unique_senders_7d": ("distinct", "sender", WEEK)})
+    }, tx, split)
+    out = history(out, [*s, *r], "step", {"pair_tx_7d": (*n, WEEK), "pair_amount_7d": ("sum", "amount", WEEK)}, tx, split)
+    out = history(out, r, "step", {"recipient_fanin_24h": (*n, DAY), "recipient_tx_7d": (*n, WEEK), "recipient_amount_24h": ("sum", "amount", DAY), "recipient_unique_senders_7d": ("distinct", "sender", WEEK)}, tx, split)
     out = out.withColumns({c: _zero(c) for c in ("sender_amount_24h", "sender_amount_7d", "pair_amount_7d", "recipient_amount_24h")}).withColumn("sender_mean_amount_7d", F.coalesce("sender_mean_amount_7d", "amount"))
     return out.select(
         "*", F.log1p(F.greatest("amount", F.lit(0.0))).alias("log_amount"), (F.col("amount") / F.greatest("sender_mean_amount_7d", F.lit(1.0))).alias("amount_vs_7d_mean"),
@@ -127,8 +205,9 @@ def balance_features() -> list[Column]:
 
 
 def _recipients(tx: DataFrame) -> DataFrame:
-    f = history(tx, ["recipient"], "step", {"recipient_tx_24h": ("count", None, DAY), "recipient_amount_24h": ("sum", "amount", DAY), "recipient_tx_7d": ("count", None, WEEK), "unique_senders_7d": ("distinct", "sender", WEEK)})
-    f = history(f, ["recipient", "sender"], "step", {"pair_tx_7d": ("count", None, WEEK)})
+    split = may_crowd(tx)
+    f = history(tx, ["recipient"], "step", {"recipient_tx_24h": ("count", None, DAY), "recipient_amount_24h": ("sum", "amount", DAY), "recipient_tx_7d": ("count", None, WEEK), "unique_senders_7d": ("distinct", "sender", WEEK)}, tx, split)
+    f = history(f, ["recipient", "sender"], "step", {"pair_tx_7d": ("count", None, WEEK)}, tx, split)
     return f.withColumn("recipient_amount_24h", _zero("recipient_amount_24h"))
 
 
