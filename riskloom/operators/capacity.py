@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import priority, ratio
-from .metrics import alert_columns, average_ranks_auc, count, fraud, hard_caps, legit, value
-from .ranks import ranked
+from ..sources.transactions import unsigned
+from .metrics import alert_columns, average_ranks_auc, count, fraud, hard_caps, legit, SUMS, summed
+from .order import LARGEST, counted, firsts, joined, large, quantile, quantiles
 
 ALPHAS = (0.0, 0.25, 0.5, 0.75, 1.0)
 BUDGETS = (10, 25, 50, 100)
@@ -27,39 +28,60 @@ def _r9(c: Column) -> Column:
     return F.round(c, 9)
 
 
-def frontier(df: DataFrame, budgets=BUDGETS, score: str = "score", keys: tuple[str, ...] = (), tie: str = "transaction_id") -> DataFrame:
+def frontier(df: DataFrame, budgets=BUDGETS, score: str = "score", keys: tuple[str, ...] = (), tie: str | None = None) -> DataFrame:
     """Metrics of the floor(budget * n / 10,000) highest rows for each budget and group of ``keys``.
 
-    Rows are ranked once, range by range; all budgets are conditional sums of one pass, and a second one counts the
-    rows tied at each boundary. Negative budgets, empty tables and scores that aren't finite are errors.
+    Rows are summed by score, and the score at each budget's end is found among these sums; what lies above it is
+    conditional sums of them. Only of rows tied at an end that not all fit in, the key ``tie`` says which do: the unsigned
+    event_key where there is one, else transaction_id; it tells rows of one score apart. Negative budgets, empty tables and
+    scores that aren't finite are errors.
     """
     if any(b < 0 for b in budgets):
         raise ValueError("budgets must not be negative")
     n, bad = df.agg(F.count("*"), count(F.col(score).isNull() | F.isnan(score) | (F.abs(F.col(score)) == math.inf))).first()
     if not n or bad:
         raise ValueError("rows with finite scores are needed")
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("n"), count(fraud()).cast("long").alias("fraud_n"), count(legit()).cast("long").alias("legit_n"), value(fraud()).alias("fraud_value"))
-    rows = ranked(df, score, "r", keys, [F.asc(tie)])
-    rows = rows.join(F.broadcast(sizes), list(keys)) if keys else rows.crossJoin(F.broadcast(sizes))  # a row for each group
-    cells = []
-    for b in budgets:
-        k = F.floor(F.lit(float(b)) * F.first("n") / 10_000)
-        kept = F.col("r") <= F.floor(F.lit(float(b)) * F.col("n") / 10_000)
-        cells.append(F.struct(F.lit(float(b)).alias("budget"), k.cast("long").alias("capacity"), count(kept & fraud()).cast("long").alias("fraud_alerts"), count(kept & legit()).cast("long").alias("legit_alerts"), value(kept & fraud()).alias("_v"), F.min(F.when(kept, F.col(score))).alias("_b")))
-    each = rows.groupBy(*keys).agg(F.array(*cells).alias("c")).select(*keys, F.explode("c").alias("c")).select(*keys, "c.*")
-    each = each.join(F.broadcast(sizes), list(keys)) if keys else each.crossJoin(F.broadcast(sizes))
-    edges = F.broadcast(each.select(*keys, "budget", "_b"))  # groups times budgets
-    met = df.join(edges, list(keys)) if keys else df.crossJoin(edges)
-    ties = met.groupBy(*keys, "budget").agg(count(F.col(score) == F.col("_b")).cast("long").alias("boundary_tie_n"), count(F.col(score) > F.col("_b")).cast("long").alias("_above"))
-    alerts = F.col("fraud_alerts") + F.col("legit_alerts")
-    out = each.join(ties, [*keys, "budget"])
-    return out.select(
-        *keys, "budget", "capacity", alerts.alias("alerts"), F.round(ratio(alerts, F.col("n")) * 10_000, 6).alias("actual_alerts_per_10k"), _r9(ratio(F.col("fraud_alerts"), alerts)).alias("precision"), _r9(ratio(F.col("fraud_alerts"), F.col("fraud_n"))).alias("recall"),
-        _r9(ratio(F.col("legit_alerts"), F.col("legit_n"))).alias("legit_flag_rate"), F.round(ratio(F.col("legit_alerts"), F.col("legit_n")) * 10_000, 6).alias("legit_alerts_per_10k"), _r9(ratio(F.col("_v"), F.col("fraud_value"))).alias("fraud_value_recall"), "fraud_alerts", "legit_alerts",
-        _r9(F.col("_b")).alias("boundary_score"), "boundary_tie_n", F.when(F.col("capacity") > 0, F.col("capacity") - F.col("_above")).otherwise(0).cast("long").alias("boundary_tie_selected_n"), F.lit("stable_non_label_key").alias("tie_breaker"), "n", "fraud_n",
+    tie = tie or ("event_key" if "event_key" in df.columns else "transaction_id")
+    df = df.select(*keys, score, "is_fraud", "amount", (unsigned(tie) if tie == "event_key" else F.col(tie)).alias("_tie"))
+    rate = lambda a, b, digits=9, by="": f"round(CAST({a} AS DOUBLE) / nullif({b}, 0){by}, {digits})"
+    plan = ", ".join(f"struct({i} AS _i, {float(b)!r}D AS budget)" for i, b in enumerate(budgets))
+    out = (_selected if large(df) else _ranked)(df, f"inline(array({plan}))", score, list(keys)).selectExpr("*", "fraud_alerts + legit_alerts AS alerts")
+    return out.selectExpr(
+        *keys, "budget", "capacity", "CAST(alerts AS BIGINT) AS alerts", f"{rate('alerts', 'n', 6, ' * 10000')} AS actual_alerts_per_10k", f"{rate('fraud_alerts', 'alerts')} AS precision", f"{rate('fraud_alerts', 'fraud_n')} AS recall",
+        f"{rate('legit_alerts', 'legit_n')} AS legit_flag_rate", f"{rate('legit_alerts', 'legit_n', 6, ' * 10000')} AS legit_alerts_per_10k", f"{rate('_v', 'fraud_value')} AS fraud_value_recall", "CAST(fraud_alerts AS BIGINT) AS fraud_alerts", "CAST(legit_alerts AS BIGINT) AS legit_alerts",
+        "round(_b, 9) AS boundary_score", "CAST(coalesce(_at, 0) AS BIGINT) AS boundary_tie_n", "CAST(CASE WHEN capacity > 0 THEN capacity - _before ELSE 0 END AS BIGINT) AS boundary_tie_selected_n", "'stable_non_label_key' AS tie_breaker", "n", "fraud_n",
     )
 
 
+CAPACITY = "CAST(floor(budget * n / 10000) AS BIGINT) AS capacity"
+
+
+def _ranked(df: DataFrame, plan: str, score: str, keys: list[str]) -> DataFrame:
+    """Counts and values of each budget from rows ranked within their groups: one shuffle, for tables that a task can order."""
+    of = f"PARTITION BY {', '.join(keys)}" if keys else ""
+    alike = ", ".join([*keys, f"`{score}`"])
+    rows = df.selectExpr("*", f"row_number() OVER ({of} ORDER BY `{score}` DESC, _tie) AS _r", f"rank() OVER ({of} ORDER BY `{score}` DESC) - 1 AS _k", f"count(*) OVER (PARTITION BY {alike}) AS _c", f"count(*) OVER ({of}) AS n")
+    rows = rows.selectExpr("*", plan).selectExpr("*", CAPACITY)
+    add = lambda x, name, cond="_r <= capacity": F.expr(f"sum(CASE WHEN {cond} THEN {x} ELSE 0 END) AS {name}")
+    ends = (F.expr(f"max(CASE WHEN _r = capacity THEN {x} END) AS {name}") for x, name in ((f"`{score}`", "_b"), ("_c", "_at"), ("_k", "_before")))
+    return rows.groupBy(*keys, "budget", "capacity", "n").agg(add(SUMS["p"], "fraud_alerts"), add(SUMS["l"], "legit_alerts"), add(SUMS["v"], "_v"), add(SUMS["p"], "fraud_n", "true"), add(SUMS["l"], "legit_n", "true"), add(SUMS["v"], "fraud_value", "true"), *ends)
+
+
+def _selected(df: DataFrame, plan: str, score: str, keys: list[str]) -> DataFrame:
+    """The same without ranks: the score at each budget's end is found among rows summed by score, and what lies above is conditional sums of these."""
+    g = summed(df, score, tuple(keys))
+    each = g.groupBy(*keys).agg(*map(F.expr, ("sum(n) AS n", "sum(p) AS fraud_n", "sum(l) AS legit_n", "sum(v) AS fraud_value")))
+    each = each.selectExpr("*", plan).selectExpr("*", CAPACITY)
+    ends = firsts(df, score, each.where("capacity > 0").selectExpr(*keys, "_i", "capacity AS _n"), keys, "_tie", g)
+    edges = ends.selectExpr(*keys, "_i", "_v AS _b", "_t", "_at", "_before")
+    whole = f"`{score}` > _b OR (`{score}` = _b AND _t = {LARGEST})"
+    sums = joined(g, edges, keys).groupBy(*keys, "_i").agg(*(F.expr(f"sum(CASE WHEN {whole} THEN {c} ELSE 0 END) AS {c}_whole") for c in "plv"), *(F.expr(f"first({c}) AS {c}") for c in ("_b", "_at", "_before")))
+    some = edges.where(f"_t <> {LARGEST}").selectExpr(*keys, "_i", f"_b AS `{score}`", "_t")
+    tied = joined(df, some, [*keys, score]).where("_tie <= _t").groupBy(*keys, "_i").agg(*(F.expr(f"sum({x}) AS {c}_some") for c, x in SUMS.items()))
+    out = joined(joined(each, sums, [*keys, "_i"], "left"), tied, [*keys, "_i"], "left")
+    return out.selectExpr("*", *(f"coalesce({c}_whole, 0) + coalesce({c}_some, 0) AS {n}" for c, n in (("p", "fraud_alerts"), ("l", "legit_alerts"), ("v", "_v"))))
+
+
 def capacity_windows(df: DataFrame, per_10k: float = 50, n: int = 3, keys: tuple[str, ...] = (), score: str = "score") -> DataFrame:
     """The same capacity in each window of steps."""
     out = frontier(step_windows(df, n), (per_10k,), score, (*keys, "window", "step_min", "step_max"))
@@ -68,7 +90,8 @@ def capacity_windows(df: DataFrame, per_10k: float = 50, n: int = 3, keys: tuple
 
 def amount_scale(df: DataFrame) -> float:
     """Median of positive amounts, else 1."""
-    return df.agg(F.coalesce(F.median(F.when(F.col("amount") > 0, F.col("amount"))), F.lit(1.0))).first()[0]
+    found = quantile(df.where("amount > 0"), "amount", 0.5)
+    return 1.0 if found is None else found
 
 
 def with_priority(df: DataFrame) -> DataFrame:
@@ -108,7 +131,9 @@ def robust_profiles(summary: DataFrame) -> DataFrame:
 
 
 def _with_profiles(df: DataFrame, selected: DataFrame) -> DataFrame:
-    return with_priority(df.crossJoin(F.broadcast(selected.select("profile", "alpha", "amount_scale"))))  # three profiles
+    chosen = selected.select("profile", "alpha", "amount_scale").collect()  # three profiles
+    each = F.explode(F.array(*(F.struct(*(F.lit(r[c]).alias(c) for c in r.__fields__)) for r in chosen)))
+    return with_priority(df.withColumn("_p", each).select("*", "_p.*").drop("_p"))
 
 
 def evaluate_selected_profiles(selected: DataFrame, df: DataFrame, budgets=BUDGETS) -> DataFrame:
@@ -136,8 +161,9 @@ def signal_audit(validation: DataFrame, future: DataFrame, signals: list[str] =
     caps = hard_caps(long(validation), target, "v", ("signal",))
     cut = validation.sparkSession.createDataFrame([(s, t) for (s,), t in caps.items()], "signal string, t double")
     past = long(validation).join(F.broadcast(cut), "signal").groupBy("signal").agg(_r9(ratio(count(legit() & (F.col("v") >= F.col("t"))), count(legit()))).alias("validation_actual_legit_flag_rate"))
-    q = lambda cond, share: F.round(F.percentile(F.when(cond, F.col("v")), share), 6)
-    now = long(future).join(F.broadcast(cut), "signal").groupBy("signal").agg(
-        F.round(F.max("t"), 6).alias("validation_threshold"), F.lit(target).alias("target_validation_legit_flag_rate"), *alert_columns(F.col("v") >= F.col("t")), q(fraud(), 0.5).alias("future_fraud_median"), q(legit(), 0.5).alias("future_legit_median"), q(fraud(), 0.9).alias("future_fraud_p90"), q(legit(), 0.9).alias("future_legit_p90")
-    )
+    now = long(future).join(F.broadcast(cut), "signal").groupBy("signal").agg(F.round(F.max("t"), 6).alias("validation_threshold"), F.lit(target).alias("target_validation_legit_flag_rate"), *alert_columns(F.col("v") >= F.col("t")))
+    spread = quantiles(counted(long(future), "v", ("signal", "is_fraud")), "v", [0.5, 0.9], ("signal", "is_fraud"))
+    of = lambda y, i: F.round(F.max(F.when(F.col("is_fraud") == y, F.col("q")[i])), 6)
+    spread = spread.groupBy("signal").agg(of(1, 0).alias("future_fraud_median"), of(0, 0).alias("future_legit_median"), of(1, 1).alias("future_fraud_p90"), of(0, 1).alias("future_legit_p90"))
+    now = now.join(spread, "signal")
     return now.join(past, "signal").join(average_ranks_auc(long(future), "v", ("signal",)).withColumnRenamed("roc_auc", "future_auc"), "signal")

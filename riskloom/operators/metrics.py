@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import ratio
-from .ranks import ranked, running
+from .order import at_places, counted, joined, quantile, quantiles, running
 
 def fraud() -> Column:
     return F.col("is_fraud") == 1
@@ -35,8 +35,23 @@ def alert_columns(alert: Column) -> list[Column]:
     ]
 
 
+SUMS = {"p": "CASE WHEN is_fraud = 1 THEN 1 ELSE 0 END", "l": "CASE WHEN is_fraud = 0 THEN 1 ELSE 0 END", "v": "CASE WHEN is_fraud = 1 THEN amount ELSE 0.0D END"}
+
+
+def summed(df: DataFrame, column: str = "score", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Rows ``n``, frauds ``p``, others ``l`` and fraud value ``v`` at each score: all that metrics of a threshold need, ties in one row."""
+    return counted(df, column, keys, **SUMS)
+
+
+def alert_columns_of_sums(hit: Column) -> list[Column]:
+    """``alert_columns`` of rows summed by score."""
+    r = lambda a, b: F.round(ratio(a, b), 9)
+    of = lambda c: F.sum(F.when(hit, F.col(c)).otherwise(0))
+    return [of("n").cast("long").alias("alerts"), r(of("p"), of("n")).alias("precision"), r(of("p"), F.sum("p")).alias("recall"), r(of("l"), F.sum("l")).alias("legit_flag_rate"), r(of("v"), F.sum("v")).alias("fraud_value_recall")]
+
+
 def by_score(df: DataFrame, column: str = "score", keys: tuple[str, ...] = ()) -> DataFrame:
-    """Frauds and others at each score and from there up. Rows are summed by score before scores are ordered, range by range."""
+    """Frauds and others at each score and from there up. Rows are summed by score before scores are ordered."""
     g = df.groupBy(*keys, column).agg(count(fraud()).alias("p"), count(legit()).alias("n"))
     return running(g, column, {"tp": "p", "fp": "n"}, keys)
 
@@ -61,14 +76,20 @@ def brier_and_log_loss(df: DataFrame, eps: float = 1e-15) -> DataFrame:
     return df.agg(F.round(F.avg(F.pow(F.col("score") - F.col("is_fraud"), 2)), 9).alias("brier"), F.round(-F.avg(F.when(fraud(), F.log(p)).otherwise(F.log(1 - p))), 9).alias("log_loss"))
 
 
+def calibration_bin(p: Column, bins: int = 10) -> Column:
+    """Number of the bin that a probability lies in. Its edges are the doubles i * (1 / bins), so 0.3, 0.6 and 0.7 lie just below theirs; the last bin holds 1."""
+    return sum((p >= F.lit(i * (1 / bins))).cast("int") for i in range(1, bins))
+
+
 def calibration_error(df: DataFrame, bins: int = 10) -> DataFrame:
-    g = df.groupBy(F.least(F.floor(F.col("score") * bins), F.lit(bins - 1)).alias("bin")).agg(F.count("*").alias("n"), F.avg("score").alias("s"), F.avg("is_fraud").alias("y"))
+    g = df.groupBy(calibration_bin(F.col("score"), bins).alias("bin")).agg(F.count("*").alias("n"), F.avg("score").alias("s"), F.avg("is_fraud").alias("y"))
     return g.agg(F.round(F.sum(F.col("n") * F.abs(F.col("s") - F.col("y"))) / F.sum("n"), 9).alias("ece"))
 
 
 def psi(expected: DataFrame, actual: DataFrame, by: str | None = None, bins: int = 10) -> DataFrame:
     """Population stability of ``actual`` scores, for each value of ``by``, by quantile cuts of ``expected``; fewer than three cuts give 0."""
-    cuts = sorted(set(expected.agg(F.percentile("score", [i / bins for i in range(bins + 1)])).first()[0] or []))
+    found = quantiles(counted(expected, "score"), "score", [i / bins for i in range(bins + 1)]).first()
+    cuts = sorted(set(found["q"] if found else []))
     keys = [by] if by else []
     if len(cuts) < 3:
         return actual.groupBy(*keys).agg(F.lit(0.0).alias("psi"))
@@ -85,7 +106,7 @@ def psi(expected: DataFrame, actual: DataFrame, by: str | None = None, bins: int
 
 def threshold_at_fpr(df: DataFrame, target: float) -> float:
     """Linear quantile of the legitimate scores."""
-    return df.where(legit()).agg(F.percentile("score", 1 - target)).first()[0]
+    return quantile(df.where(legit()), "score", 1 - target)
 
 
 def hard_caps(df: DataFrame, target: float, column: str = "score", keys: tuple[str, ...] = ()) -> dict[tuple, float]:
@@ -96,25 +117,23 @@ def hard_caps(df: DataFrame, target: float, column: str = "score", keys: tuple[s
     """
     if not 0 <= target <= 1:
         raise ValueError("a target between 0 and 1 is needed")
-    rows = df.where(legit())
-    bad = count(F.col(column).isNull() | F.isnan(column) | (F.abs(F.col(column)) == math.inf))
-    ends = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(column).alias("low"), F.max(column).alias("high"), bad.alias("bad")).collect()  # a row for each group
-    if not ends or any(not r["n"] or r["bad"] for r in ends):
+    g = counted(df.where(legit()), column, keys)
+    bad = F.sum(F.when(F.col(column).isNull() | F.isnan(column) | (F.abs(F.col(column)) == math.inf), F.col("n")).otherwise(0))
+    ends = g.groupBy(*keys).agg(F.sum("n").alias("n"), F.min(column).alias("low"), F.max(column).alias("high"), bad.alias("bad"))
+    k = F.floor(F.lit(float(target)) * F.col("n")).cast("long")
+    at = at_places(g, column, ends.where(k > 0).select(*keys, F.lit(0).alias("_i"), (k - 1).alias("_r")), keys, descending=True)
+    found = joined(ends, at, list(keys), "left").collect()  # a row for each group
+    if not found or any(not r["n"] or r["bad"] for r in found):
         raise ValueError("legitimate rows with finite scores are needed")
-    k = {tuple(r[c] for c in keys): math.floor(target * r["n"]) for r in ends}
-    if target == 1:
-        return {tuple(r[c] for c in keys): r["low"] for r in ends}
-    out = {tuple(r[c] for c in keys): math.nextafter(r["high"], math.inf) for r in ends}
-    if not any(k.values()):
-        return out
-    counted = running(rows.groupBy(*keys, column).agg(F.count("*").alias("n")), column, {"upto": "n"}, keys)
-    most = F.lit(list(k.values())[0])
-    for group, many in k.items():
-        most = F.when(F.lit(True) if not keys else F.struct(*keys) == F.struct(*map(F.lit, group)), many).otherwise(most)
-    boundary = F.col("upto") - F.col("n") < F.col("_k")  # the k-th row lies at or above this value
-    at = counted.withColumn("_k", most).where((F.col("_k") > 0) & boundary & (F.col("upto") >= F.col("_k"))).select(*keys, column, "upto", "_k").collect()  # one row for each group
-    for r in at:
-        out[tuple(r[c] for c in keys)] = r[column] if r["upto"] <= r["_k"] else math.nextafter(r[column], math.inf)
+    out = {}
+    for r in found:
+        group = tuple(r[c] for c in keys)
+        if target == 1:
+            out[group] = r["low"]
+        elif r["_v"] is None:
+            out[group] = math.nextafter(r["high"], math.inf)
+        else:
+            out[group] = r["_v"] if r["_before"] + r["_at"] <= r["_r"] + 1 else math.nextafter(r["_v"], math.inf)
     return out
 
 
@@ -143,44 +162,55 @@ def model_metrics(name: str, df: DataFrame, threshold: float) -> DataFrame:
 
 def value_concentration(df: DataFrame, shares=(0.1, 0.25, 0.5)) -> DataFrame:
     """Share of fraud value in the largest fraud cases: of n cases the first ceil(share * n), at least one."""
-    cases = df.where(fraud()).select("amount", "transaction_id")
-    ks = cases.agg(F.count("*").alias("n"), F.sum("amount").alias("v"))
-    rows = ranked(cases, "amount", "r", then=[F.asc("transaction_id")]).crossJoin(ks)  # one row of sums
-    return rows.agg(*(F.round(F.sum(F.when(F.col("r") <= F.greatest(F.lit(1), F.ceil(F.col("n") * s)), F.col("amount")).otherwise(0.0)) / F.max("v"), 9).alias(f"top_{int(s * 100)}") for s in shares))
+    cases = running(counted(df.where(fraud()), "amount"), "amount", {"_upto": "n"})
+    cases = cases.crossJoin(F.broadcast(cases.agg(F.sum("n").alias("_n"), F.sum(F.col("n") * F.col("amount")).alias("_v"))))  # one row of sums
+    most = lambda s: F.greatest(F.lit(1), F.ceil(F.col("_n") * s))
+    taken = lambda s: F.greatest(F.lit(0), F.least(F.col("n"), most(s) - (F.col("_upto") - F.col("n"))))
+    return cases.agg(*(F.round(F.sum(taken(s) * F.col("amount")) / F.max("_v"), 9).alias(f"top_{int(s * 100)}") for s in shares))
 
 
-def locked_columns(threshold: float, target: float) -> list[Column]:
-    """Aggregates of a threshold fixed beforehand: size, alerts, the multiple of the alert budget, and quantiles of the score."""
+def locked(df: DataFrame, threshold: float, target: float, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Each group at a threshold fixed beforehand: size, alerts, the multiple of the alert budget, and quantiles of the score; ``_rate`` is the flag rate of the others.
+
+    Rows are summed by score once; sums and quantiles are made of that.
+    """
+    g = summed(df, keys=keys)
     r9 = lambda c: F.round(c, 9)
-    hit, q = F.col("score") >= threshold, F.percentile("score", [0.5, 0.9, 0.99, 0.999])
-    rate = ratio(count(hit & legit()), count(legit()))
-    return [
-        F.count("*").alias("n"), count(fraud()).cast("long").alias("fraud_n"), r9(F.avg("is_fraud")).alias("fraud_rate"), F.lit(threshold).alias("threshold"), *alert_columns(hit), r9(ratio(count(hit), F.count("*"))).alias("alert_rate"),
-        F.round(rate * 10_000, 6).alias("legit_alerts_per_10k"), F.round(rate / target if target else F.lit(None).cast("double"), 6).alias("budget_multiplier_vs_target"), *(r9(q[i]).alias(x) for i, x in enumerate(("score_p50", "score_p90", "score_p99", "score_p999"))),
-    ]
+    hit = F.col("score") >= threshold
+    rate = ratio(F.sum(F.when(hit, F.col("l")).otherwise(0)), F.sum("l"))
+    one = g.groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.sum("p").cast("long").alias("fraud_n"), r9(F.sum("p") / F.sum("n")).alias("fraud_rate"), F.lit(threshold).alias("threshold"), *alert_columns_of_sums(hit), r9(ratio(F.sum(F.when(hit, F.col("n")).otherwise(0)), F.sum("n"))).alias("alert_rate"),
+        F.round(rate * 10_000, 6).alias("legit_alerts_per_10k"), F.round(rate / target if target else F.lit(None).cast("double"), 6).alias("budget_multiplier_vs_target"), rate.alias("_rate"),
+    )
+    q = quantiles(g, "score", [0.5, 0.9, 0.99, 0.999], keys)
+    return joined(one, q, list(keys), "left").withColumns({x: r9(F.col("q")[i]) for i, x in enumerate(("score_p50", "score_p90", "score_p99", "score_p999"))}).drop("q")
 
 
 def threshold_drift(df: DataFrame, threshold: float, by: str = "period") -> DataFrame:
-    """Distribution of scores and amounts and performance at a locked threshold for each period."""
-    r9, q = lambda c: F.round(c, 9), F.percentile("score", [0.5, 0.9, 0.99])
-    hit = F.col("score") >= threshold
-    return df.groupBy(by).agg(
-        F.count("*").alias("n"), r9(F.avg("is_fraud")).alias("fraud_rate"), r9(F.avg("score")).alias("mean_score"), *(r9(q[i]).alias(x) for i, x in enumerate(("score_p50", "score_p90", "score_p99"))), F.round(F.percentile("amount", 0.99), 6).alias("amount_p99"),
-        count(hit).cast("long").alias("alerts"), r9(ratio(count(hit & fraud()), count(fraud()))).alias("recall_at_locked_threshold"), r9(ratio(count(hit & legit()), count(legit()))).alias("legit_flag_rate_at_locked_threshold"),
+    """Distribution of scores and amounts and performance at a locked threshold for each period; scores and amounts go through the same passes."""
+    both = F.explode(F.array(F.struct(F.lit(0).alias("_of"), F.col("score").alias("x")), F.struct(F.lit(1).alias("_of"), F.col("amount").alias("x"))))
+    g = counted(df.select(by, "is_fraud", both.alias("s")).select(by, "is_fraud", "s.*"), "x", (by, "_of"), p=SUMS["p"], l=SUMS["l"])
+    r9, hit = lambda c: F.round(c, 9), F.col("x") >= threshold
+    of = lambda c: F.sum(F.when(hit, F.col(c)).otherwise(0))
+    one = g.where("_of = 0").groupBy(by).agg(
+        F.sum("n").alias("n"), r9(F.sum("p") / F.sum("n")).alias("fraud_rate"), r9(F.sum(F.col("x") * F.col("n")) / F.sum(F.when(F.col("x").isNotNull(), F.col("n")))).alias("mean_score"),
+        of("n").cast("long").alias("alerts"), r9(ratio(of("p"), F.sum("p"))).alias("recall_at_locked_threshold"), r9(ratio(of("l"), F.sum("l"))).alias("legit_flag_rate_at_locked_threshold"),
     )
+    q = quantiles(g, "x", [0.5, 0.9, 0.99], (by, "_of")).groupBy(by).agg(*(F.max(F.when(F.col("_of") == i, F.col("q"))).alias(c) for i, c in enumerate(("_s", "_a"))))
+    named = {x: r9(F.col("_s")[i]) for i, x in enumerate(("score_p50", "score_p90", "score_p99"))} | {"amount_p99": F.round(F.col("_a")[2], 6)}
+    return joined(one, q, [by], "left").withColumns(named).drop("_s", "_a")
 
 
 def locked_threshold_drift(df: DataFrame, threshold: float, target: float = 0.001, by: str = "period", base: str = "validation") -> DataFrame:
     """Each period at the locked threshold, its flag rate also as a multiple of the base period's."""
-    rate = lambda cond: ratio(count((F.col("score") >= threshold) & legit() & cond), count(legit() & cond))
-    of_base = df.agg(rate(F.col(by) == base).alias("_base"))
-    out = df.groupBy(by).agg(*locked_columns(threshold, target), rate(F.lit(True)).alias("_rate")).crossJoin(of_base)  # one row
-    return out.withColumn("budget_multiplier_vs_validation_actual", F.when(F.col(by) == base, 1.0).otherwise(F.round(F.try_divide("_rate", "_base"), 6))).drop("_rate", "_base")
+    out = locked(df, threshold, target, (by,))
+    base_rate = F.max(F.when(F.col(by) == base, F.col("_rate"))).over(Window.partitionBy())  # a row for each period
+    return out.withColumn("budget_multiplier_vs_validation_actual", F.when(F.col(by) == base, 1.0).otherwise(F.round(F.try_divide("_rate", base_rate), 6))).drop("_rate")
 
 
 def posthoc_threshold_cap(df: DataFrame, target: float = 0.001) -> DataFrame:
     """The hard cap found on the rows themselves: a diagnostic after the fact."""
-    row = df.agg(*locked_columns(threshold_at_legit_rate(df, target), target))
+    row = locked(df, threshold_at_legit_rate(df, target), target).drop("_rate")
     return row.select(F.lit("future_test_posthoc_threshold_cap").alias("period"), "*", F.lit(True).alias("diagnostic_only"), F.lit(True).alias("may_underuse_budget_due_to_ties"))
 
 

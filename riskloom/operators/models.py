@@ -6,10 +6,8 @@ libraries; the meaning of each column doesn't.
 
 from __future__ import annotations
 
-from contextlib import contextmanager
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -18,22 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scoring import adjust_for_prior, ratio, two_proportion_sample_size
-from .metrics import average_precision, brier_and_log_loss, count, fraud, legit, model_metrics, threshold_at_fpr, value
-from .ranks import ranked
+from .metrics import average_precision, brier_and_log_loss, calibration_bin, count, fraud, legit, model_metrics, threshold_at_fpr, value
+from .order import among, counted, firsts, joined, kept, quantile, quantiles
 
 NOVEL = "novel_shared_device_microburst"
 
 
-@contextmanager
-def kept(df: DataFrame):
-    """The rows on the executors' disks while in use; lost parts are computed again."""
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        yield df
-    finally:
-        df.unpersist()
-
-
 def balanced(df: DataFrame) -> DataFrame:
     """Adds the weight ``_w`` that gives both classes half of the total."""
     n, f = df.agg(F.count("*"), F.sum("is_fraud")).first()
@@ -152,8 +140,10 @@ def delayed_label_retraining(df: DataFrame, features: list[str], calibration: tu
 
 def fit_tail(df: DataFrame, features: list[str]) -> dict[str, float]:
     """99th percentile of log1p of each feature, 1e-6 at least; no labels are used but to leave frauds out beforehand."""
-    q = df.agg(*(F.percentile(F.log1p(c), 0.99).alias(c) for c in features)).first()
-    return {c: max(q[c] or 0.0, 1e-6) for c in features}
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.log1p(c).alias("v")) for c in features)))
+    g = counted(df.select(each.alias("x")).select("x.*"), "v", ["feature"])
+    q = {r["feature"]: r["q"][0] for r in quantiles(g, "v", [0.99], ["feature"]).collect()}  # a row for each feature
+    return {c: max(q.get(c) or 0.0, 1e-6) for c in features}
 
 
 def tail_score(scales: dict[str, float]) -> Column:
@@ -182,7 +172,7 @@ def verification_bias(df: DataFrame, features: list[str], trigger: Column, days:
     rows = []
     with kept(df) as all_:
         train, validation, test = all_.where(F.col("day") < days[0]), all_.where(F.col("day").between(days[0], days[1] - 1)), all_.where(F.col("day") >= days[1])
-        cut, total = train.agg(F.percentile("amount", 0.97), F.count("*")).first()
+        cut, total = quantile(train, "amount", 0.97), train.count()
         for audit in audits:
             for seed in seeds:
                 draw = F.pmod(F.xxhash64(F.lit(seed), "transaction_id"), F.lit(1 << 30)) / float(1 << 30)  # the same rows whenever it is computed
@@ -205,7 +195,7 @@ def mean_and_sd(raw: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
 def prior_shift(scored: DataFrame, source: float, targets=(0.001, 0.0025, 0.005, 0.01, 0.02), repeats: int = 20) -> DataFrame:
     """Errors of probabilities, plain and adjusted, on the largest subsets that have the target share of fraud: one class whole, the other drawn.
 
-    Rows are ordered within each repeat and class by a hash, range by range; all subsets are one aggregation.
+    The rows drawn are those of the highest hashes of each repeat and class; all subsets are one aggregation.
     """
     rows = scored.select("transaction_id", "is_fraud", "score")
     n0, n1 = rows.agg(count(legit()), count(fraud())).first()
@@ -217,13 +207,16 @@ def prior_shift(scored: DataFrame, source: float, targets=(0.001, 0.0025, 0.005,
         drawn, size = (1, want) if want <= n1 else (0, min(n0, max(1, round(n1 * (1 - target) / target))))
         plans.append(F.struct(F.lit(target).alias("target_prevalence"), F.lit(drawn).alias("_drawn"), F.lit(size).alias("_size")))
     each = rows.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("_h", F.xxhash64("repeat", "transaction_id"))
-    each = ranked(each, "_h", "_r", ("repeat", "is_fraud"), [F.asc("transaction_id")])
-    each = each.withColumn("_p", F.explode(F.array(*plans))).select("repeat", "is_fraud", "score", "_r", "_p.*").where((F.col("is_fraud") != F.col("_drawn")) | (F.col("_r") <= F.col("_size")))
+    drawn = F.explode(F.array(*(F.struct(F.lit(i).alias("_i"), p["_drawn"].alias("is_fraud"), p["_size"].cast("long").alias("_n")) for i, p in enumerate(plans))))
+    wanted = scored.sparkSession.range(repeats).select(F.col("id").cast("int").alias("repeat"), drawn.alias("x")).select("repeat", "x.*")
+    ends = firsts(each, "_h", wanted, ("repeat", "is_fraud")).select("repeat", "_i", F.col("_v").alias("_end"), "_t")
+    each = each.withColumn("_p", F.explode(F.array(*(F.struct(F.lit(i).alias("_i"), p["target_prevalence"].alias("target_prevalence"), p["_drawn"].alias("_drawn")) for i, p in enumerate(plans))))).select("repeat", "transaction_id", "is_fraud", "score", "_h", "_p.*")
+    each = joined(each, ends, ["repeat", "_i"], "left").where((F.col("is_fraud") != F.col("_drawn")) | F.coalesce(among("_h", "_end", "transaction_id", "_t"), F.lit(False)))
     both = F.array(F.struct(F.lit("unadjusted").alias("method"), F.col("score").alias("p")), F.struct(F.lit("prior_adjusted").alias("method"), adjust_for_prior(F.col("score"), source, F.col("target_prevalence")).alias("p")))
     each = each.withColumn("_m", F.explode(both)).select("repeat", "target_prevalence", "is_fraud", "_m.*")
     q = F.least(F.greatest("p", F.lit(1e-15)), F.lit(1 - 1e-15))
     keys = ["target_prevalence", "repeat", "method"]
-    bins = each.groupBy(*keys, F.least(F.floor(F.col("p") * 10), F.lit(9)).alias("_bin")).agg(
+    bins = each.groupBy(*keys, calibration_bin(F.col("p")).alias("_bin")).agg(
         F.count("*").alias("n"), F.sum("is_fraud").alias("y"), F.sum("p").alias("s"), F.sum(F.pow(F.col("p") - F.col("is_fraud"), 2)).alias("q"), F.sum(-F.when(fraud(), F.log(q)).otherwise(F.log(1 - q))).alias("l")
     )
     n = F.sum("n")

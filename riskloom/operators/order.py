@@ -4,14 +4,15 @@ A value becomes a long number of the same order, and its bits are three digits.
 are one row and the caller's rows are shuffled once. Histograms of a digit say in which cell a place lies, or what comes
 before a cell; only then is the next digit looked at, within that cell. A task orders at most the cells of one digit,
 however many rows or equal values there are; no sample is drawn, nothing is counted beforehand, and all groups and places
-go through the same passes.
+go through the same passes. Where the optimizer expects no more than SMALL bytes of sums, they are ordered at once, by
+a window over each group; results are the same.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
+from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,14 +20,21 @@ from pyspark.sql import types as T
 #: Bits of the second and third digit; the first has the other 20.
 LOW, MASK = 22, (1 << 22) - 1
 LARGEST = (1 << 63) - 1
+#: So many expected bytes are one task's work.
+SMALL = 64 << 20
+
+
+def large(df: DataFrame) -> bool:
+    """Whether the optimizer expects more than SMALL bytes; no job is run to tell."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SMALL
 
 
 def joined(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """A join on equal columns where null equals null; the columns stay once. Without columns, ``right`` is one row for each of a few places."""
     if not on:
-        return left.crossJoin(F.broadcast(right))
+        return left.crossJoin(F.broadcast(right)) if how == "inner" else left.join(F.broadcast(right), F.lit(True), how)
     other = right.withColumnsRenamed({c: f"_on_{c}" for c in on})
-    return left.join(other, reduce(and_, (F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on)), how).drop(*(f"_on_{c}" for c in on))
+    return left.join(other, F.expr(" AND ".join(f"`{c}` <=> `_on_{c}`" for c in on)), how).drop(*(f"_on_{c}" for c in on))
 
 
 def sortable(df: DataFrame, column: str) -> Column:
@@ -51,41 +59,56 @@ def _digits(df: DataFrame, column: str, descending: bool) -> DataFrame:
     return out.withColumns({"_d1": F.shiftright(k, 2 * LOW).cast("int"), "_d2": F.shiftright(k, LOW).bitwiseAND(MASK).cast("int")})
 
 
-def counted(df: DataFrame, column: str, keys: tuple[str, ...] | list[str] = (), **sums: Column) -> DataFrame:
-    """A row for each value of the groups: ``n`` rows, and the sums asked for."""
-    return df.groupBy(*keys, column).agg(F.count("*").alias("n"), *(F.sum(x).alias(name) for name, x in sums.items()))
+def counted(df: DataFrame, column: str, keys: tuple[str, ...] | list[str] = (), **sums: str) -> DataFrame:
+    """A row for each value of the groups: ``n`` rows, and the sums asked for, in SQL."""
+    return df.groupBy(*keys, column).agg(F.expr("count(*) AS n"), *(F.expr(f"sum({x}) AS {name}") for name, x in sums.items()))
 
 
 def running(g: DataFrame, column: str, totals: dict[str, str], keys: tuple[str, ...] | list[str] = (), descending: bool = True) -> DataFrame:
-    """Adds, for each ``new: summed`` of totals, the sum over the rows of the group from its first value to this one. ``g`` has a row for each value."""
+    """Adds, for each ``new: summed`` of totals, the sum over the rows of the group from its first value to this one; nulls are the least. ``g`` has a row for each value."""
     keys, own = list(keys), list(totals.values())
+    if not large(g):
+        over = f"({f'PARTITION BY {chr(44).join(keys)}' if keys else ''} ORDER BY `{column}` {'DESC NULLS LAST' if descending else 'ASC NULLS FIRST'} ROWS UNBOUNDED PRECEDING)"
+        return g.selectExpr("*", *(f"sum(`{c}`) OVER {over} AS `{n}`" for n, c in totals.items()))
     rows = _digits(g, column, descending)
     so_far = lambda over: over.rowsBetween(Window.unboundedPreceding, -1)
     cells = rows.groupBy(*keys, "_d1", "_d2").agg(*(F.sum(c).alias(c) for c in own))
     inner = cells.select(*keys, "_d1", "_d2", *(F.coalesce(F.sum(c).over(so_far(Window.partitionBy(*keys, "_d1").orderBy("_d2"))), F.lit(0)).alias(f"_{n}2") for n, c in totals.items()))
     outer = cells.groupBy(*keys, "_d1").agg(*(F.sum(c).alias(c) for c in own))  # a group has 2^20 cells at most
-    outer = outer.select(*keys, "_d1", *(F.coalesce(F.sum(c).over(so_far(Window.partitionBy(*keys).orderBy("_d1"))), F.lit(0)).alias(f"_{n}1") for n, c in totals.items()))
+    end = F.asc_nulls_last("_d1") if descending else F.asc_nulls_first("_d1")
+    outer = outer.select(*keys, "_d1", *(F.coalesce(F.sum(c).over(so_far(Window.partitionBy(*keys).orderBy(end))), F.lit(0)).alias(f"_{n}1") for n, c in totals.items()))
     last = Window.partitionBy(*keys, "_d1", "_d2").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({f"_{n}3": F.sum(c).over(last) for n, c in totals.items()})
     rows = joined(joined(rows, inner, [*keys, "_d1", "_d2"]), outer, [*keys, "_d1"])
     return rows.select(*g.columns, *((F.col(f"_{n}1") + F.col(f"_{n}2") + F.col(f"_{n}3")).alias(n) for n in totals))
 
 
-def at_places(g: DataFrame, column: str, wanted: DataFrame, keys: tuple[str, ...] | list[str] = (), descending: bool = False, weight: str = "n") -> DataFrame:
+def at_places(g: DataFrame, column: str, wanted: DataFrame | None, keys: tuple[str, ...] | list[str] = (), descending: bool = False, weight: str = "n") -> DataFrame:
     """Values at places of the order: ``wanted`` has the keys, ``_i`` and a place ``_r`` from 0; the result these, the value ``_v``, and the rows before and at it, ``_before`` and ``_at``.
 
-    ``g`` has ``weight`` rows of each value; nulls have no place, places beyond the last row are left out.
+    ``g`` has ``weight`` rows of each value; nulls have no place, places beyond the last row are left out. Without
+    ``wanted``, ``g`` has a column ``_r``, one place for each group.
     """
     keys = list(keys)
-    rows = _digits(g.where(F.col(column).isNotNull()).select(*keys, F.col(column).alias("_v"), F.col(weight).alias("_w")), "_v", descending)
+    if wanted is None:
+        g, keys = g.withColumn("_i", F.lit(0)), [*keys, "_i", "_r"]
+    names = list(dict.fromkeys([*keys, "_i", "_r"]))
+    to = lambda df, on: df if wanted is None else joined(df, wanted.select(*names), on)
+    rows = g.where(f"`{column}` IS NOT NULL").selectExpr(*keys, f"`{column}` AS _v", f"`{weight}` AS _w")
+    if not large(g):
+        over = f"PARTITION BY {', '.join(keys)}" if keys else ""
+        rows = rows.selectExpr("*", f"sum(_w) OVER ({over} ORDER BY _v {'DESC' if descending else 'ASC'} ROWS UNBOUNDED PRECEDING) - _w AS _before")
+        return to(rows, keys).where("_r >= _before AND _r < _before + _w").selectExpr(*names, "_v", "_before", "_w AS _at")
+    rows = _digits(rows, "_v", descending)
     before = lambda on, digit: F.sum("_s").over(Window.partitionBy(*on).orderBy(digit).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_s")
     within = (F.col("_left") >= F.col("_b")) & (F.col("_left") < F.col("_b") + F.col("_s"))
     first = rows.groupBy(*keys, "_d1").agg(F.sum("_w").alias("_s")).withColumn("_b", before(keys, "_d1"))
-    at = joined(first, wanted.select(*keys, "_i", "_r", F.col("_r").alias("_left")), keys).where(within).select(*keys, "_d1", "_i", "_r", (F.col("_left") - F.col("_b")).alias("_left"))
-    second = joined(rows, at, [*keys, "_d1"]).groupBy(*keys, "_i", "_r", "_left", "_d1", "_d2").agg(F.sum("_w").alias("_s")).withColumn("_b", before([*keys, "_i"], "_d2"))
-    at = second.where(within).select(*keys, "_d1", "_d2", "_i", "_r", (F.col("_left") - F.col("_b")).alias("_left"))
-    third = joined(rows, at, [*keys, "_d1", "_d2"]).withColumn("_s", F.col("_w")).withColumn("_b", before([*keys, "_i"], "_k"))
-    return third.where(within).select(*keys, "_i", "_r", "_v", (F.col("_r") - F.col("_left") + F.col("_b")).alias("_before"), F.col("_s").alias("_at"))
+    at = to(first, keys).withColumn("_left", F.col("_r")).where(within).select(*names, "_d1", (F.col("_left") - F.col("_b")).alias("_left"))
+    group = list(dict.fromkeys([*keys, "_i"]))
+    second = joined(rows, at, [*keys, "_d1"]).groupBy(*names, "_left", "_d1", "_d2").agg(F.sum("_w").alias("_s")).withColumn("_b", before(group, "_d2"))
+    at = second.where(within).select(*names, "_d1", "_d2", (F.col("_left") - F.col("_b")).alias("_left"))
+    third = joined(rows, at, [*keys, "_d1", "_d2"]).withColumn("_s", F.col("_w")).withColumn("_b", before(group, "_k"))
+    return third.where(within).select(*names, "_v", (F.col("_r") - F.col("_left") + F.col("_b")).alias("_before"), F.col("_s").alias("_at"))
 
 
 def quantiles(g: DataFrame, column: str, shares: list[float], keys: tuple[str, ...] | list[str] = (), weight: str = "n") -> DataFrame:
@@ -105,6 +128,16 @@ def quantile(df: DataFrame, column: str | Column, share: float) -> float | None:
     return row["q"][0] if row else None
 
 
+@contextmanager
+def kept(df: DataFrame):
+    """The rows on the executors' disks while in use; lost parts are computed again."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield df
+    finally:
+        df.unpersist()
+
+
 def firsts(df: DataFrame, column: str, wanted: DataFrame, keys: tuple[str, ...] | list[str] = (), tie: str = "transaction_id", g: DataFrame | None = None) -> DataFrame:
     """Where the first rows of each group by falling ``column`` end: ``wanted`` has the keys, ``_i`` and a number of rows ``_n``, one at least.
 
@@ -113,13 +146,18 @@ def firsts(df: DataFrame, column: str, wanted: DataFrame, keys: tuple[str, ...]
     do, they are looked at, and ordered by ``tie`` in the same way. ``g``: rows counted by value, if the caller has them.
     """
     keys = list(keys)
+    if not large(df):
+        of = f"PARTITION BY {', '.join(keys)}" if keys else ""
+        alike = ", ".join([*keys, "_v"])
+        rows = df.selectExpr(*keys, f"`{column}` AS _v", f"CAST(`{tie}` AS BIGINT) AS _t").where("_v IS NOT NULL")
+        rows = rows.selectExpr("*", f"row_number() OVER ({of} ORDER BY _v DESC, _t) AS _place", f"rank() OVER ({of} ORDER BY _v DESC) - 1 AS _before", f"count(*) OVER (PARTITION BY {alike}) AS _at")
+        return joined(rows, wanted.select(*keys, "_i", "_n"), keys).where("_place = _n").selectExpr(*keys, "_i", "_n", "_v", "_before", "_at", f"CASE WHEN _before + _at = _n THEN {LARGEST} ELSE _t END AS _t")
     g = counted(df, column, keys) if g is None else g
-    ends = at_places(g, column, wanted.select(*keys, "_i", (F.col("_n") - 1).alias("_r")), keys, True).withColumn("_n", F.col("_r") + 1).drop("_r")
-    open_ = ends.where(F.col("_before") + F.col("_at") > F.col("_n")).select(*keys, "_i", "_v", (F.col("_n") - F.col("_before") - 1).alias("_r"))
-    rows = joined(df.select(*keys, F.col(column).alias("_v"), F.col(tie).cast("long").alias("_t")), open_, [*keys, "_v"]).groupBy(*keys, "_i", "_t").agg(F.count("*").alias("n"))
-    cut = at_places(rows.withColumnRenamed("_i", "_g"), "_t", open_.select(*keys, F.col("_i").alias("_g"), F.lit(0).alias("_i"), "_r"), [*keys, "_g"])
-    cut = cut.select(*keys, F.col("_g").alias("_i"), F.col("_v").alias("_t"))
-    return joined(ends, cut, [*keys, "_i"], "left").withColumn("_t", F.coalesce("_t", F.lit(LARGEST)))
+    ends = at_places(g, column, wanted.selectExpr(*keys, "_i", "_n - 1 AS _r"), keys, True).selectExpr(*keys, "_i", "_r + 1 AS _n", "_v", "_before", "_at")
+    open_ = ends.where("_before + _at > _n").selectExpr(*keys, "_i AS _end_of", "_v", "_n - _before - 1 AS _r")
+    rows = joined(df.selectExpr(*keys, f"`{column}` AS _v", f"CAST(`{tie}` AS BIGINT) AS _t"), open_, [*keys, "_v"])
+    cut = at_places(counted(rows, "_t", [*keys, "_end_of", "_r"]), "_t", None, [*keys, "_end_of"]).selectExpr(*keys, "_end_of AS _i", "_v AS _t")
+    return joined(ends, cut, [*keys, "_i"], "left").withColumn("_t", F.expr(f"coalesce(_t, {LARGEST})"))
 
 
 def among(column: str | Column, value: str | Column, tie: str | Column, last: str | Column) -> Column:
@@ -128,9 +166,9 @@ def among(column: str | Column, value: str | Column, tie: str | Column, last: st
     return (c > v) | ((c == v) & (t <= u))
 
 
-def average_place(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Adds the mean place, from the smallest value up, of all rows of a row's value, over the number of rows."""
-    up = running(counted(df, column), column, {"_upto": "n"}, descending=False)
-    total = up.agg(F.sum("n").alias("_all"))
-    share = up.crossJoin(F.broadcast(total)).select(column, ((F.col("_upto") - (F.col("n") - 1) / 2) / F.col("_all")).alias(name))  # one row
+def average_place(df: DataFrame, column: str, name: str, of: DataFrame | None = None) -> DataFrame:
+    """Adds the mean place, from the smallest value up, of all rows of a row's value, over the number of rows. ``of``: the rows that are placed, where ``df`` has other columns by now."""
+    g = counted(df if of is None else of, column)
+    up = running(g, column, {"_upto": "n"}, descending=False)
+    share = joined(up, g.agg(F.expr("sum(n) AS _all")), []).selectExpr(f"`{column}`", f"(_upto - (n - 1) / 2) / _all AS `{name}`")
     return joined(df, share, [column])

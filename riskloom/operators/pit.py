@@ -2,46 +2,33 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranks import ranked
+from .order import at_places, joined, kept, large, running
 
 HOUR = 3_600_000_000
 
 
 #: A key with more distinct times than PIECE has its time line cut into PARTS ranges of like numbers of them.
 PIECE, PARTS, COARSE = 1 << 16, 256, 16
-#: Lines are cut where more bytes of rows than this are expected.
-SMALL = 64 << 20
 #: Amounts are summed as whole numbers and two rests of so many bits each, so that what leaves a frame takes away just what it brought.
 REST = 1 << 26
 BEGIN = -(1 << 62)
 
 
-def _joined(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """A join on equal columns where null equals null; the columns stay once."""
-    other = right.withColumnsRenamed({c: f"_on_{c}" for c in on})
-    return left.join(other, reduce(and_, (F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on)), how).drop(*(f"_on_{c}" for c in on))
-
-
-def _exact(column: str) -> list[Column]:
-    """A finite amount as presence, whole number and two rests: long numbers whose sums are exact. Below 2^-52 it is cut; from 2^63 on it is an error."""
-    x = F.col(column).cast("double")
-    x = F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
-    whole = F.floor(x)
-    rest = (x - whole) * REST
-    return [x.isNotNull().cast("long"), whole.cast("long"), F.floor(rest).cast("long"), F.floor((rest - F.floor(rest)) * REST).cast("long")]
+def _exact(column: str) -> list[str]:
+    """SQL of a finite amount as presence, whole number and two rests: long numbers whose sums are exact. Below 2^-52 it is cut; from 2^63 on it is an error."""
+    x = f"CASE WHEN NOT isnan(`{column}`) AND abs(`{column}`) < double('inf') THEN CAST(`{column}` AS DOUBLE) END"
+    rest = f"({x} - floor({x})) * {REST}D"
+    return [f"CASE WHEN ({x}) IS NOT NULL THEN 1 ELSE 0 END", f"floor({x})", f"floor({rest})", f"floor(({rest} - floor({rest})) * {REST}D)"]
 
 
 def _cut_points(times: DataFrame, key: list[str]) -> DataFrame:
     """(key, _cuts, _coarse) of the keys with more than PIECE distinct times: times that part them evenly, all of them and every COARSE-th."""
     hot = times.groupBy(*key).agg(F.count("*").alias("_k")).where(F.col("_k") > PIECE).select(*key)
     at = F.percentile_approx("_at", [i / PARTS for i in range(1, PARTS)], 20 * PARTS)
-    return _joined(times.select(*key, "_at"), hot, key).groupBy(*key).agg(at.alias("_cuts")).withColumn("_coarse", F.expr(f"filter(_cuts, (x, i) -> (i + 1) % {COARSE} = 0)"))
+    return joined(times.select(*key, "_at"), hot, key).groupBy(*key).agg(at.alias("_cuts")).withColumn("_coarse", F.expr(f"filter(_cuts, (x, i) -> (i + 1) % {COARSE} = 0)"))
 
 
 def _piece(at: Column) -> Column:
@@ -50,13 +37,8 @@ def _piece(at: Column) -> Column:
     return F.when(F.col("_cuts").isNull(), 0).otherwise(k + F.size(F.filter(F.slice("_cuts", k + 1, COARSE - 1), lambda c: c <= at)))
 
 
-def may_crowd(rows: DataFrame) -> bool:
-    """Whether the optimizer expects more than SMALL bytes of rows. Below, the line of any key is a small task's work and isn't cut; no job is run to tell."""
-    return int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SMALL
-
-
 def _ranged(rows: DataFrame, cuts: DataFrame | None, key: list[str]) -> DataFrame:
-    return rows if cuts is None else _joined(rows, cuts, key, "left")
+    return rows if cuts is None else joined(rows, cuts, key, "left")
 
 
 def _sightings(base: DataFrame, cuts: DataFrame | None, key: list[str], value: str, back: int, name: str) -> DataFrame:
@@ -87,7 +69,7 @@ def history(tx: DataFrame, key: list[str], at: str, measures: dict[str, tuple[st
     """Adds measures of the key's rows in [at - back, at): name -> (count, sum, mean or distinct; column; back).
 
     ``of``: the rows that are measured, where ``tx`` has other features by now. ``split``: whether lines of crowded keys
-    are cut; without it the expected size of the rows says so.
+    are cut; without it the expected size of the rows says so (``order.large``).
 
     Rows are summed by key and time. Each time steps up on the key's line just after it and down ``back`` later, and so
     does each sighting of a distinct value; a row's measures are the sums of the steps before it, so cost doesn't grow with
@@ -103,15 +85,15 @@ def history(tx: DataFrame, key: list[str], at: str, measures: dict[str, tuple[st
     amounts = sorted({c for kind, c, _ in measures.values() if kind in ("sum", "mean")})
     distinct = {name: f"_d{i}" for i, (name, m) in enumerate(measures.items()) if m[0] == "distinct"}
     of = tx if of is None else of
-    split = may_crowd(of) if split is None else split
+    split = large(of) if split is None else split
     tx, base = (df.withColumn("_at", F.col(at).cast("long")) for df in (tx, of))
     base = base.where("_at is not null")
     parts = [f"_{p}{i}" for i in range(len(amounts)) for p in "vwml"]
-    times = base.groupBy(*key, "_at").agg(F.count("*").alias("_n"), *(F.coalesce(F.sum(x), F.lit(0)).alias(p) for p, x in zip(parts, (x for c in amounts for x in _exact(c)), strict=True)))
+    times = base.groupBy(*key, "_at").agg(F.expr("count(*) AS _n"), *(F.expr(f"coalesce(sum({x}), 0) AS {p}") for p, x in zip(parts, (x for c in amounts for x in _exact(c)), strict=True)))
     cuts, part = (_cut_points(times, key), ["_p"]) if split else (None, [])
-    steps = F.array(F.struct(F.col("_at"), F.lit(0).alias("_b"), F.lit(True).alias("_asks")), *(F.struct((F.col("_at") + b + 1).alias("_at"), F.lit(i + 1).alias("_b"), F.lit(False).alias("_asks")) for i, b in enumerate(backs)))
+    steps = ", ".join(["struct(_at, 0 AS _b, true AS _asks)", *(f"struct(_at + {b + 1}L AS _at, {i + 1} AS _b, false AS _asks)" for i, b in enumerate(backs))])
     ranges = [F.col("_cuts").isNotNull().alias("_hot"), _piece(F.col("_s._at")).alias("_p")] if split else []
-    line = _ranged(times, cuts, key).withColumn("_s", F.explode(steps)).select(*key, *ranges, "_s.*", "_n", *parts)
+    line = _ranged(times, cuts, key).withColumn("_s", F.expr(f"explode(array({steps}))")).select(*key, *ranges, "_s.*", "_n", *parts)
     for name, d in distinct.items():
         line = line.unionByName(_sightings(base, cuts, key, measures[name][1], measures[name][2], d), allowMissingColumns=True)
     if split:
@@ -122,21 +104,21 @@ def history(tx: DataFrame, key: list[str], at: str, measures: dict[str, tuple[st
         starts = [F.struct(F.lit(b).alias("_b"), *(F.sum(f"{p}_{b}").over(earlier).alias(p) for p in values), *((F.sum(d).over(earlier) if b == 0 else F.lit(None).cast("long")).alias(d) for d in distinct.values())) for b in every]
         starts = totals.withColumn("_s", F.array(*starts)).select(*key, "_p", F.explode("_s").alias("_s")).select(*key, F.lit(True).alias("_hot"), "_p", F.lit(BEGIN).cast("long").alias("_at"), F.lit(False).alias("_asks"), "_s.*")
         line = line.unionByName(starts)
-    before = Window.partitionBy(*key, *part).orderBy("_at", "_asks").rowsBetween(Window.unboundedPreceding, 0)
-    frame = lambda p, b: F.sum(F.when(F.col("_b") == 0, F.col(p)).when(F.col("_b") == backs.index(b) + 1, -F.col(p))).over(before) - F.col(p)
+    before = f"OVER (PARTITION BY {', '.join([*key, *part])} ORDER BY _at, _asks ROWS UNBOUNDED PRECEDING)"
+    frame = lambda p, b: f"(sum(CASE _b WHEN 0 THEN {p} WHEN {backs.index(b) + 1} THEN -{p} END) {before} - {p})"
     out = {}
     for name, (kind, column, back) in measures.items():
         if kind == "count":
             out[name] = frame("_n", back)
         elif kind == "distinct":
-            out[name] = F.coalesce(F.sum(distinct[name]).over(before), F.lit(0))
+            out[name] = f"coalesce(sum({distinct[name]}) {before}, 0)"
         else:
             n, whole, high, low = (frame(f"_{p}{amounts.index(column)}", back) for p in "vwml")
-            total = F.when(n > 0, whole + (high + low / float(REST)) / float(REST))
-            out[name] = total if kind == "sum" else total / n
-    found = line.select(*key, "_at", "_asks", *(x.alias(n) for n, x in out.items())).where("_asks").drop("_asks")
-    rows = _joined(tx, found, [*key, "_at"], "left")
-    return rows.select(*(c for c in tx.columns if c != "_at"), *(F.coalesce(n, F.lit(0)).alias(n) if measures[n][0] in ("count", "distinct") else n for n in measures))
+            total = f"CASE WHEN {n} > 0 THEN {whole} + ({high} + {low} / {REST}D) / {REST}D END"
+            out[name] = total if kind == "sum" else f"({total}) / {n}"
+    found = line.selectExpr(*key, "_at", "_asks", *(f"{x} AS {n}" for n, x in out.items())).where("_asks").drop("_asks")
+    rows = joined(tx, found, [*key, "_at"], "left")
+    return rows.selectExpr(*(f"`{c}`" for c in tx.columns if c != "_at"), *(f"coalesce({n}, 0) AS {n}" if measures[n][0] in ("count", "distinct") else n for n in measures))
 
 
 def _zero(c) -> Column:
@@ -168,7 +150,7 @@ def payment_features(tx: DataFrame, resolution: str = "s") -> DataFrame:
     unit = 1_000_000 if resolution == "s" else 1
     h = HOUR // unit
     rows = tx.select("transaction_id", "us", "sender", "recipient", "device_id", "amount", F.expr(f"(us - pmod(us, {unit})) DIV {unit}").alias("at"))
-    split = may_crowd(rows)
+    split = large(rows)
     out = history(rows, ["sender"], "at", {"sender_tx_1h": ("count", None, h), "sender_tx_24h": ("count", None, DAY * h), "sender_amount_24h": ("sum", "amount", DAY * h), "sender_mean_amount_7d": ("mean", "amount", WEEK * h), "sender_unique_recipients_24h": ("distinct", "recipient", DAY * h)}, rows, split)
     out = history(out, ["sender", "recipient"], "at", {"pair_tx_24h": ("count", None, DAY * h)}, rows, split)
     out = history(out, ["recipient"], "at", {"recipient_fanin_24h": ("count", None, DAY * h), "recipient_unique_senders_24h": ("distinct", "sender", DAY * h)}, rows, split)
@@ -184,7 +166,7 @@ def _clip(c: Column, high: float) -> Column:
 
 def step_features(tx: DataFrame) -> DataFrame:
     """Features by hourly step: three keys, a time line each; scalar features beside them."""
-    s, r, n, split = ["sender"], ["recipient"], ("count", None), may_crowd(tx)
+    s, r, n, split = ["sender"], ["recipient"], ("count", None), large(tx)
     out = history(tx, s, "step", {
         "sender_tx_1h": (*n, 1), "sender_tx_24h": (*n, DAY), "sender_tx_7d": (*n, WEEK), "sender_amount_24h": ("sum", "amount", DAY), "sender_amount_7d": ("sum", "amount", WEEK), "sender_mean_amount_7d": ("mean", "amount", WEEK),
         "sender_unique_recipients_7d": ("distinct", "recipient", WEEK),
@@ -205,7 +187,7 @@ def balance_features() -> list[Column]:
 
 
 def _recipients(tx: DataFrame) -> DataFrame:
-    split = may_crowd(tx)
+    split = large(tx)
     f = history(tx, ["recipient"], "step", {"recipient_tx_24h": ("count", None, DAY), "recipient_amount_24h": ("sum", "amount", DAY), "recipient_tx_7d": ("count", None, WEEK), "unique_senders_7d": ("distinct", "sender", WEEK)}, tx, split)
     f = history(f, ["recipient", "sender"], "step", {"pair_tx_7d": ("count", None, WEEK)}, tx, split)
     return f.withColumn("recipient_amount_24h", _zero("recipient_amount_24h"))
@@ -217,15 +199,35 @@ def recipient_investigation(tx: DataFrame) -> DataFrame:
 
 
 def recipient_concentration(tx: DataFrame, n: int = 100, shown: int = 10) -> DataFrame:
-    """Retrospective fraud in the first percentiles of the investigation order."""
-    f = _recipients(tx)
-    f = ranked(f, "recipient_amount_24h", "investigation_rank", then=[F.desc("unique_senders_7d"), F.desc("recipient_tx_24h"), F.asc("transaction_id")]).crossJoin(tx.agg(F.count("*").alias("_all")))  # one row
-    big, small, rank = F.col("_all") % n, F.floor(F.col("_all") / n), F.col("investigation_rank")
-    pct = F.when(rank <= big * (small + 1), F.ceil(rank / (small + 1))).otherwise(big + F.ceil((rank - big * (small + 1)) / F.greatest(small, F.lit(1))))
-    return f.withColumn("investigation_percentile", pct.cast("long")).where(F.col("investigation_percentile") <= shown).groupBy("investigation_percentile").agg(
-        F.count("*").alias("transactions"), F.round(F.avg("is_fraud"), 9).alias("fraud_rate"), F.round(F.sum(F.when(F.col("is_fraud") == 1, F.col("amount")).otherwise(0.0)), 4).alias("fraud_value"),
-        F.round(F.avg("recipient_tx_24h"), 6).alias("avg_recipient_tx_24h"), F.round(F.avg("unique_senders_7d"), 6).alias("avg_unique_senders_7d"), F.round(F.avg("pair_tx_7d"), 6).alias("avg_pair_tx_7d"),
-    )
+    """Retrospective fraud in the first percentiles of the investigation order: amount, senders and payments, most first, then transaction_id.
+
+    Rows are summed by the three numbers and placed by their running totals. Only where the end of a percentile falls among
+    rows equal in all three are these ordered by id, up to the last such end. The features are computed once and kept
+    meanwhile; the ``shown`` rows of the result are read.
+    """
+    order = ["recipient_amount_24h", "unique_senders_7d", "recipient_tx_24h"]
+    sums = {"y": F.col("is_fraud"), "v": F.when(F.col("is_fraud") == 1, F.col("amount")).otherwise(0.0), "t": F.col("recipient_tx_24h"), "u": F.col("unique_senders_7d"), "p": F.col("pair_tx_7d")}
+    add = lambda df: df.agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in sums))
+    with kept(_recipients(tx).select("transaction_id", *order, F.lit(1).cast("long").alias("n"), *(x.alias(c) for c, x in sums.items()))) as rows:
+        g = add(rows.groupBy(*order))
+        total = g.agg(F.sum("n")).first()[0] or 0
+        ends = [total // n * j + min(j, total % n) for j in range(1, shown + 1)]
+        amounts = running(g.groupBy(order[0]).agg(F.sum("n").alias("n")), order[0], {"_upto": "n"}).select(order[0], (F.col("_upto") - F.col("n")).alias("_more"))
+        below = Window.partitionBy(order[0]).orderBy(F.desc(order[1]), F.desc(order[2])).rowsBetween(Window.unboundedPreceding, -1)  # pairs of counts that an amount has
+        g = joined(g.withColumn("_start", F.coalesce(F.sum("n").over(below), F.lit(0))), amounts, order[:1]).withColumn("_start", F.col("_start") + F.col("_more")).where(F.col("_start") < ends[-1])
+        place = lambda at: sum((at > F.lit(e)).cast("int") for e in ends) + 1
+        g = g.withColumns({"_a": place(F.col("_start") + 1), "_z": place(F.col("_start") + F.col("n"))})
+        whole = add(g.where("_a = _z").groupBy(F.col("_a").alias("percentile")))
+        cut = g.where("_a < _z").select(*order, "_start", "_a")
+        inner = F.filter(F.array(*(F.struct(F.lit(j).alias("_i"), (F.lit(e).cast("long") - F.col("_start") - 1).alias("_r")) for j, e in enumerate(ends))), lambda x: x["_r"] >= 0)
+        wanted = cut.select(*order, F.explode(inner).alias("x")).select(*order, "x.*")
+        tied = joined(rows, cut, order)
+        places = at_places(tied, "transaction_id", wanted, order).groupBy(*order).agg(F.collect_list("_v").alias("_ends"))  # an id for each percentile's end
+        split = joined(tied, places, order).withColumn("percentile", F.col("_a") + F.size(F.filter("_ends", lambda e: e < F.col("transaction_id"))))
+        both = add(whole.unionByName(add(split.where(F.col("percentile") <= shown).groupBy("percentile"))).where(F.col("percentile") <= shown).groupBy("percentile"))
+        mean = lambda c, digits: F.round(F.col(c) / F.col("n"), digits)
+        out = both.select(F.col("percentile").cast("long").alias("investigation_percentile"), F.col("n").alias("transactions"), mean("y", 9).alias("fraud_rate"), F.round("v", 4).alias("fraud_value"), mean("t", 6).alias("avg_recipient_tx_24h"), mean("u", 6).alias("avg_unique_senders_7d"), mean("p", 6).alias("avg_pair_tx_7d"))
+        return tx.sparkSession.createDataFrame(out.collect(), out.schema)
 
 
 def candidate_queue(tx: DataFrame, high: float = 0.99) -> DataFrame:

@@ -51,11 +51,18 @@ def grid_thresholds() -> list[tuple[int, float, float]]:
 
 
 def grid_counts(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """For each pair of thresholds the counts and values that any cost model needs; rows are first summed by score."""
-    by = df.groupBy(*keys, "score").agg(F.count("*").alias("n"), count(legit()).alias("legit"), value(fraud()).alias("v"))
-    grid = df.sparkSession.createDataFrame(grid_thresholds(), "grid_id long, review_threshold double, block_threshold double")
-    x = by.crossJoin(F.broadcast(grid))  # 188 pairs of thresholds
-    block, review = F.col("score") >= F.col("block_threshold"), (F.col("score") >= F.col("review_threshold")) & (F.col("score") < F.col("block_threshold"))
+    """For each pair of thresholds the counts and values that any cost model needs.
+
+    The pairs share some thirty thresholds. Rows are summed by the number of thresholds they reach; a pair's sums are those
+    of the numbers from its own place on.
+    """
+    grid = grid_thresholds()
+    edges = sorted({t for _, *pair in grid for t in pair})
+    reached = F.expr(" + ".join(f"CASE WHEN score >= {t!r}D THEN 1 ELSE 0 END" for t in edges))
+    by = df.groupBy(*keys, reached.alias("_at")).agg(F.count("*").alias("n"), count(legit()).alias("legit"), value(fraud()).alias("v"))
+    pairs = ", ".join(f"struct({i}L AS grid_id, {r!r}D AS review_threshold, {b!r}D AS block_threshold, {edges.index(r)} AS _r, {edges.index(b)} AS _b)" for i, r, b in grid)
+    x = by.selectExpr("*", f"inline(array({pairs}))")  # thresholds times pairs
+    block, review = F.col("_at") > F.col("_b"), (F.col("_at") > F.col("_r")) & (F.col("_at") <= F.col("_b"))
     s = lambda cond, c: F.sum(F.when(cond, F.col(c)).otherwise(0))
     return x.groupBy(*keys, "grid_id", "review_threshold", "block_threshold").agg(
         s(block, "v").alias("v_block"), s(review, "v").alias("v_review"), F.sum("v").alias("v_all"), s(block, "legit").alias("l_block"), s(review, "legit").alias("l_review"), F.sum("legit").alias("l_all"), s(review, "n").alias("n_review"), s(block, "n").alias("n_block"), F.sum("n").alias("n_all")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import ratio
 from .metrics import count, fraud, legit, value
-from .ranks import ranked
+from .order import among, average_place, counted, firsts, joined, kept, quantiles
 
 NOVEL = "novel_shared_device_microburst"
 
@@ -21,17 +21,15 @@ def novel() -> Column:
 
 def percentile_rank(df: DataFrame, column: str, name: str) -> DataFrame:
     """Adds the average rank over the number of rows."""
-    return ranked(df, column, name, descending=False, average=True).withColumn(name, F.col(name) / df.count())
+    return average_place(df, column, name)
 
 
-def with_ranks(df: DataFrame) -> DataFrame:
-    """Adds the places of rows by model, anomaly and hybrid priority, ties by id. Hybrid: the larger percentile rank of score and anomaly, then amount."""
-    n, tie = df.count(), [F.asc("transaction_id")]
+def with_hybrid(df: DataFrame) -> DataFrame:
+    """Adds the hybrid priority: the larger percentile rank of score and anomaly, then amount."""
+    rows = df
     for c in ("score", "anomaly", "amount"):
-        df = ranked(df, c, f"{c}_rank", descending=False, average=True)
-    df = ranked(ranked(df, "score", "r_model", then=tie), "anomaly", "r_anomaly", then=tie)
-    df = df.withColumn("hybrid", F.greatest("score_rank", "anomaly_rank") / n + 1e-4 * F.col("amount_rank") / n)
-    return ranked(df, "hybrid", "r_hybrid", then=tie)
+        df = average_place(df, c, f"{c}_rank", rows)
+    return df.withColumn("hybrid", F.greatest("score_rank", "anomaly_rank") + 1e-4 * F.col("amount_rank"))
 
 
 def lanes_of(k: int, share: float) -> tuple[int, int]:
@@ -43,29 +41,54 @@ def lanes_of(k: int, share: float) -> tuple[int, int]:
 def two_lane(df: DataFrame, k: int, share: float = 0.2, model: str = "score", anomaly: str = "anomaly") -> DataFrame:
     """The k rows of review: most by model score, a fixed share of the others by anomaly. Ties by id."""
     exploit, explore = lanes_of(k, share)
-    df = ranked(df, model, "_m", then=[F.asc("transaction_id")])
-    rest = ranked(df.where(F.col("_m") > exploit), anomaly, "_x", then=[F.asc("transaction_id")]).where(F.col("_x") <= explore)
-    return df.where(F.col("_m") <= exploit).withColumn("lane", F.lit("exploit")).unionByName(rest.drop("_x").withColumn("lane", F.lit("explore"))).drop("_m")
+    taken = _first(df, model, exploit)
+    rest = joined(df, taken[0], [], "left").where(~taken[1])
+    lane = joined(df, taken[0], [], "left").where(taken[1]).select(*df.columns, F.lit("exploit").alias("lane"))
+    if not explore:
+        return lane
+    rest = rest.select(*df.columns)
+    more = _first(rest, anomaly, explore)
+    return lane.unionByName(joined(rest, more[0], [], "left").where(more[1]).select(*df.columns, F.lit("explore").alias("lane")))
+
+
+def _first(df: DataFrame, column: str, k: int) -> tuple[DataFrame, Column]:
+    """One row that says where the first ``k`` rows end, and the condition to be among them; all are if there aren't so many."""
+    wanted = df.sparkSession.createDataFrame([(0, k)], "_i int, _n long")
+    return firsts(df, column, wanted).select(F.col("_v").alias("_end"), F.col("_t").alias("_last")), F.col("_end").isNull() | among(column, "_end", "transaction_id", "_last")
 
 
 def _selections(df: DataFrame, plans: list[tuple[str, int, float, int, int]]) -> DataFrame:
-    """Metrics of each plan (queue, capacity, share, places by the queue's priority, places of exploration); rows need their ranks.
+    """Metrics of each plan (queue, capacity, share, places by the queue's priority, places of exploration).
 
-    A row explores if it is among the first by anomaly once those that the model takes are left out; only rows within
-    the whole capacity by anomaly can be.
+    No row is ranked: the last row that each plan takes is looked up among the rows summed by priority. A row explores
+    if it is among the first by anomaly once those that the model takes are left out; only rows within the whole capacity
+    by anomaly can be. The rows are kept on the executors meanwhile, and a row for each plan is read.
     """
-    p = F.explode(F.array(*(F.struct(F.lit(q).alias("queue"), F.lit(c).alias("capacity_per_10k"), F.lit(s).alias("exploration_share"), F.lit(e).alias("_e"), F.lit(x).alias("_x")) for q, c, s, e, x in plans)))
-    most = max(e + x for *_, e, x in plans)
-    near = df.where(F.least("r_model", "r_anomaly", "r_hybrid") <= most).select("*", p.alias("p")).select("*", "p.*").drop("p")
-    place = F.when(F.col("queue") == "hybrid", F.col("r_hybrid")).otherwise(F.col("r_model"))
-    taken = place <= F.col("_e")
-    asks = ~taken & (F.col("_x") > 0) & (F.col("r_anomaly") <= F.col("_e") + F.col("_x"))
-    order = F.row_number().over(Window.partitionBy("queue", "capacity_per_10k", "exploration_share", asks).orderBy("r_anomaly"))
-    near = near.withColumn("_in", taken | (asks & (order <= F.col("_x"))))
-    totals = df.agg(count(fraud()).alias("_f"), value(fraud()).alias("_v"), count(novel()).alias("_n"))
-    of = near.where("_in").groupBy("queue", "capacity_per_10k", "exploration_share").agg(F.count("*").alias("review_n"), count(fraud()).alias("_tf"), value(fraud()).alias("_tv"), count(novel()).alias("_tn")).crossJoin(totals)  # one row
-    r9 = lambda a, b: F.round(ratio(F.col(a), F.col(b)), 9)
-    return of.select("queue", "capacity_per_10k", "exploration_share", "review_n", r9("_tf", "review_n").alias("precision"), r9("_tf", "_f").alias("fraud_recall"), r9("_tv", "_v").alias("fraud_value_recall"), r9("_tn", "_n").alias("novel_fraud_recall"))
+    spark, hybrid = df.sparkSession, any(q == "hybrid" for q, *_ in plans)
+    number = lambda rows: spark.createDataFrame(rows, "_i int, _n long")
+    with kept((with_hybrid(df) if hybrid else df).select("transaction_id", "is_fraud", "fraud_type", "amount", "score", "anomaly", *["hybrid"] * hybrid)) as rows:
+        n, ends = rows.count(), {}
+        for column in ("score", "hybrid"):
+            wanted = [(i, min(e, n)) for i, (q, _, _, e, _) in enumerate(plans) if (q == "hybrid") == (column == "hybrid") and min(e, n)]
+            if wanted:
+                ends |= {r["_i"]: (column, r["_v"], r["_t"]) for r in firsts(rows, column, number(wanted)).collect()}
+        taken = {i: among(ends[i][0], F.lit(ends[i][1]), "transaction_id", F.lit(ends[i][2])) if i in ends else F.lit(False) for i in range(len(plans))}
+        exploring = [i for i, (*_, x) in enumerate(plans) if x]
+        if exploring:
+            last = firsts(rows, "anomaly", number([(0, min(n, max(plans[i][3] + plans[i][4] for i in exploring)))])).first()
+            near = rows.where(among("anomaly", F.lit(last["_v"]), "transaction_id", F.lit(last["_t"]))).select("transaction_id", "anomaly", F.explode(F.array_compact(F.array(*(F.when(~taken[i], F.lit(i)) for i in exploring)))).alias("_g"))
+            sizes = F.create_map(*(F.lit(v) for i in exploring for v in (i, plans[i][4])))
+            wanted = near.groupBy("_g").agg(F.count("*").alias("_c")).select("_g", F.lit(0).alias("_i"), F.least("_c", sizes[F.col("_g")]).cast("long").alias("_n"))
+            for r in firsts(near, "anomaly", wanted, ["_g"]).collect():
+                taken[r["_g"]] = taken[r["_g"]] | among("anomaly", F.lit(r["_v"]), "transaction_id", F.lit(r["_t"]))
+        r9 = lambda a, b: F.round(ratio(a, b), 9)
+        cells = []
+        for i, (queue, capacity, share, *_) in enumerate(plans):
+            of = lambda cond, i=i: count(taken[i] & cond)
+            names = {"queue": F.lit(queue), "capacity_per_10k": F.lit(capacity), "exploration_share": F.lit(share), "review_n": count(taken[i]).cast("long"), "precision": r9(of(fraud()), count(taken[i])), "fraud_recall": r9(of(fraud()), count(fraud())), "fraud_value_recall": r9(value(fraud() & taken[i]), value(fraud())), "novel_fraud_recall": r9(of(novel()), count(novel()))}
+            cells.append(F.struct(*(c.alias(name) for name, c in names.items())))
+        out = rows.agg(F.array(*cells).alias("a")).select(F.explode("a").alias("x")).select("x.*")
+        return spark.createDataFrame(out.collect(), out.schema)
 
 
 def _capacity(n: int, per_10k: float) -> int:
@@ -73,19 +96,19 @@ def _capacity(n: int, per_10k: float) -> int:
 
 
 def queue_metrics(df: DataFrame, capacities=(25, 50, 100, 200)) -> DataFrame:
-    """Model, hybrid and two-lane queues at each capacity, ceil(n * per10k / 10000): rows are ranked once for all."""
+    """Model, hybrid and two-lane queues at each capacity, ceil(n * per10k / 10000)."""
     n, plans = df.count(), []
     for c in capacities:
         k = _capacity(n, c)
         plans += [("model", c, 0.0, k, 0), ("hybrid", c, 0.0, k, 0), ("two_lane_80_20", c, 0.2, *lanes_of(k, 0.2))]
-    return _selections(with_ranks(df), plans).drop("exploration_share")
+    return _selections(df, plans).drop("exploration_share")
 
 
 def exploration_sensitivity(df: DataFrame, capacities=(100, 200), shares=(0.0, 0.1, 0.2, 0.3, 0.4)) -> DataFrame:
     """Two-lane queues for each capacity and share of exploration; share 0 is the model's queue."""
     n = df.count()
     plans = [("two_lane", c, float(s), *lanes_of(_capacity(n, c), s)) for c in capacities for s in shares]
-    return _selections(with_ranks(df), plans).select("capacity_per_10k", "exploration_share", "fraud_value_recall", "novel_fraud_recall", "precision")
+    return _selections(df, plans).select("capacity_per_10k", "exploration_share", "fraud_value_recall", "novel_fraud_recall", "precision")
 
 
 def lanes(df: DataFrame, review: float, block: float, anomaly: float) -> DataFrame:
@@ -153,7 +176,10 @@ def adaptive_routing(rows: DataFrame, capacity: float = 6.0, multipliers=(1.0, 1
     by_hour = chosen.groupBy("traffic_multiplier", "hour").agg(
         F.count("*").alias("n"), value(fraud()).alias("sv"), count(novel()).alias("sn"), count(legit()).alias("sl"), F.min(F.when(F.col("lane") == "exploit", F.col("score"))).alias("ce"), F.min(F.when(F.col("lane") == "explore", F.col("anomaly"))).alias("cx")
     )
-    got = by_hour.groupBy("traffic_multiplier").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.sum("sv").alias("sv"), F.sum("sn").alias("sn"), F.sum("sl").alias("sl"), F.median("ce").alias("ce"), F.median("cx").alias("cx"))
+    for c in ("ce", "cx"):  # a row for each hour
+        by_hour = by_hour.selectExpr("*", f"CASE WHEN {c} IS NOT NULL THEN row_number() OVER (PARTITION BY traffic_multiplier ORDER BY {c} NULLS LAST) END AS {c}_r", f"count({c}) OVER (PARTITION BY traffic_multiplier) AS {c}_n")
+    middle = lambda c: F.expr(f"avg(CASE WHEN {c}_r IN (({c}_n + 1) DIV 2, ({c}_n + 2) DIV 2) THEN {c} END) AS {c}")
+    got = by_hour.groupBy("traffic_multiplier").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.sum("sv").alias("sv"), F.sum("sn").alias("sn"), F.sum("sl").alias("sl"), middle("ce"), middle("cx"))
     x = every.join(got, "traffic_multiplier", "left").crossJoin(total).withColumn("n", F.coalesce("n", F.lit(0))).na.fill(0, ["sv", "sn", "sl", "most"])  # one row a multiplier
     r9, least = lambda c: F.round(c, 9), lambda c: F.greatest(F.col(c).cast("double"), F.lit(1e-12))
     one = lambda c: F.greatest(F.col(c).cast("double"), F.lit(1.0))
@@ -209,9 +235,11 @@ def investigation_queue(df: DataFrame, n: int = 100) -> DataFrame:
 
     Rows need the payment features that reasons name.
     """
-    q = df.agg(F.percentile("score", 0.99).alias("_qs"), F.percentile("anomaly", 0.99).alias("_qa"))
+    both = F.explode(F.array(*(F.struct(F.lit(i).alias("_of"), F.col(c).cast("double").alias("v")) for i, c in enumerate(("score", "anomaly")))))
+    q = quantiles(counted(df.select(both.alias("x")).select("x.*"), "v", ("_of",)), "v", [0.99], ("_of",)).agg(*(F.max(F.when(F.col("_of") == i, F.col("q")[0])).alias(c) for i, c in enumerate(("_qs", "_qa"))))
+    rows = df.select("score", "anomaly")
     for c in ("score", "anomaly"):
-        df = percentile_rank(df, c, f"{c}_rank")
+        df = average_place(df, c, f"{c}_rank", rows)
     top = df.withColumn("priority_percentile", F.greatest("score_rank", "anomaly_rank")).orderBy(F.desc("priority_percentile"), "transaction_id").limit(n).crossJoin(q)  # one row
     reasons = F.concat_ws(
         "|", F.when(F.col("score") >= F.col("_qs"), "HIGH_MODEL_RISK"), F.when(F.col("anomaly") >= F.col("_qa"), "BEHAVIOURAL_TAIL"), F.when(F.col("device_unique_senders_24h") >= 3, "SHARED_DEVICE"),

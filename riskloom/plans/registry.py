@@ -254,7 +254,7 @@ QUERIES = {
     "threshold_at_fpr": _fpr,
     "threshold_at_legit_rate": _legit_rate,
     "value_concentration": lambda s, d: metrics.value_concentration(evaluation(s, d)),
-    "budget_windows": lambda s, d: capacity.step_windows(fut(s, d)).groupBy(F.concat(F.lit("future_window_"), F.col("window").cast("string")).alias("period"), "step_min", "step_max").agg(*metrics.locked_columns(THRESHOLD, 0.01)),
+    "budget_windows": lambda s, d: metrics.locked(capacity.step_windows(fut(s, d)).withColumn("period", F.concat(F.lit("future_window_"), F.col("window").cast("string"))), THRESHOLD, 0.01, ("period", "step_min", "step_max")).drop("_rate"),
     "capacity_frontier": lambda s, d: capacity.frontier(fut(s, d)),
     "capacity_windows": lambda s, d: capacity.capacity_windows(fut(s, d)),
     "recipient_signal_audit": _signals,
@@ -319,6 +319,10 @@ QUERIES |= {
     "verification_bias": _verification,
 }
 
+#: Bin of a score by the edges i * 0.1, doubles as numpy's linspace gives them.
+BIN = "+".join(f"CASE WHEN score>={i * 0.1!r}::DOUBLE THEN 1 ELSE 0 END" for i in range(1, 10))
+
+
 def ratio_sql(a: str, b: str, digits: int = 9) -> str:
     return f"ROUND(CAST({a} AS DOUBLE)/NULLIF({b},0),{digits})"
 
@@ -453,7 +457,7 @@ SELECT transaction_id, step, sender, recipient, type, amount, recipient_tx_24h A
     "roc_auc": f", {CURVE} SELECT ROUND(SUM(n*(tp-p/2.0))/(SUM(p)*SUM(n)),9) AS roc_auc FROM c",
     "average_precision": f", {CURVE} SELECT ROUND(SUM(CAST(p AS DOUBLE)*tp/(tp+fp))/SUM(p),9) AS average_precision FROM c",
     "brier": "SELECT ROUND(AVG(POW(score-is_fraud,2)),9) AS brier, ROUND(-AVG(CASE WHEN is_fraud=1 THEN LN(LEAST(GREATEST(score,1e-15),1-1e-15)) ELSE LN(1-LEAST(GREATEST(score,1e-15),1-1e-15)) END),9) AS log_loss FROM eval",
-    "ece": ", g AS (SELECT LEAST(FLOOR(score*10),9) b, COUNT(*) n, AVG(score) s, AVG(is_fraud) y FROM eval GROUP BY 1) SELECT ROUND(SUM(n*ABS(s-y))/SUM(n),9) AS ece FROM g",
+    "ece": f", g AS (SELECT {BIN} b, COUNT(*) n, AVG(score) s, AVG(is_fraud) y FROM eval GROUP BY 1) SELECT ROUND(SUM(n*ABS(s-y))/SUM(n),9) AS ece FROM g",
     "psi": ", q AS (SELECT UNNEST(QUANTILE_CONT(score,[0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9])) c FROM val), d AS (SELECT DISTINCT c FROM q), e AS (SELECT b, COUNT(*)/SUM(COUNT(*)) OVER () x FROM (SELECT (SELECT COUNT(*) FROM d WHERE c<=score) b FROM val) z GROUP BY b), a AS (SELECT b, COUNT(*)/SUM(COUNT(*)) OVER () x FROM (SELECT (SELECT COUNT(*) FROM d WHERE c<=score) b FROM fut) z GROUP BY b) SELECT ROUND(SUM((GREATEST(COALESCE(a.x,0),1e-6)-GREATEST(COALESCE(e.x,0),1e-6))*LN(GREATEST(COALESCE(a.x,0),1e-6)/GREATEST(COALESCE(e.x,0),1e-6))),6) AS psi FROM e FULL JOIN a USING (b)",
     "threshold_at_fpr": ", t AS (SELECT QUANTILE_CONT(score,0.99) v FROM val WHERE is_fraud=0) SELECT ROUND(MAX(v),9) AS threshold, " + alerts("score>=v") + " FROM fut CROSS JOIN t",
     "value_concentration": ", r AS (SELECT amount, ROW_NUMBER() OVER (ORDER BY amount DESC, transaction_id) r, COUNT(*) OVER () n, SUM(amount) OVER () v FROM eval WHERE is_fraud=1) SELECT " + ", ".join(f"ROUND(SUM(CASE WHEN r<=GREATEST(1,CEIL(n*{s}::DOUBLE)) THEN amount ELSE 0 END)/MAX(v),9) AS top_{int(s * 100)}" for s in (0.1, 0.25, 0.5)) + " FROM r",

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom.functions import scoring
-from riskloom.operators import capacity, metrics, models, pit, policy, queues, ranks
+from riskloom.operators import capacity, metrics, models, pit, policy, queues
 from riskloom.plans import benchmark
 from riskloom.sources import transactions as src
 
@@ -112,12 +112,6 @@ def test_queues(spark):
     assert sorted({r["p"] for r in places.collect()}) == [6.5 / 24, 18.5 / 24]
 
 
-def test_ranges_give_the_same_ranks(spark):
-    df = spark.range(5000).withColumn("v", F.pmod(F.col("id") * 7919, F.lit(613)).cast("double"))
-    got = ranks.ranked(df, "v", "r", then=[F.asc("id")]).orderBy("r").collect()
-    assert [x["id"] for x in got] == [x["id"] for x in df.orderBy(F.desc("v"), "id").collect()] and [x["r"] for x in got] == list(range(1, 5001))
-
-
 def test_small_expressions(spark):
     kinds = spark.createDataFrame([("TRANSFER", math.e - 1), ("CASH_OUT", 0.0), ("DEBIT", 5.0)], "type string, amount double")
     assert [r[0] for r in kinds.select(scoring.rule_score()).collect()] == [pytest.approx(1), 0, -1e9]

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.operators import order
+from riskloom.operators import capacity, order
 
 VALUES = [0.0, -0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 1e-310, 1.0, math.nextafter(1.0, 2), math.nextafter(1.0, 0), 2.0, 3.0, 1e308, -1e308, float("inf"), float("-inf"), 0.1, 0.3, -7.25, 2.0**52 + 1, 1e15 + 0.25, 4.0, 8.0, 1 / 3]
 
@@ -26,6 +26,12 @@ def test_sortable_keeps_the_order(spark):
     assert [row[0] for row in whole.select(order.sortable(whole, "x")).collect()] == [-(2**63), 5, 2**63 - 1]
 
 
+@pytest.fixture(params=["window", "digits"], autouse=True)
+def path(request, monkeypatch):
+    """Both ways, whatever the size of the tables."""
+    monkeypatch.setattr(order, "SMALL", -1 if request.param == "digits" else 1 << 62)
+
+
 def rows(spark, n=3000):
     r = random.Random(4)
     data = [(i, r.choice(["a", "b", None]), r.choice(VALUES[:9] + VALUES[15:]) if r.random() < 0.6 else round(r.gauss(0, 100), 2)) for i in range(n)]
@@ -87,3 +93,18 @@ def test_equal_values_are_not_gathered(spark):
     assert order.counted(df, "v").count() == 401
     ends = order.firsts(df, "v", spark.createDataFrame([(0, 10_000)], "_i int, _n long")).first()
     assert (ends["_v"], ends["_before"], ends["_at"]) == (0.5, 399, ties) and df.where((F.col("v") == 0.5) & (F.col("transaction_id") <= ends["_t"])).count() == 10_000 - 399
+
+
+def test_capacity_by_selection_is_that_by_ranks(spark):
+    """Counts by sorting, with ties at every budget, in groups, whichever way the plan takes."""
+    r = random.Random(9)
+    data = [(i, r.choice("ab"), int(r.random() < 0.1), r.choice([0.1, 0.5, 0.5, 0.9, r.random()]), float(r.randint(1, 9))) for i in range(2000)]
+    df = spark.createDataFrame(data, "transaction_id long, k string, is_fraud int, score double, amount double")
+    for row in capacity.frontier(df, (0, 3, 700, 5000, 10_000), keys=("k",)).collect():
+        rows = sorted((x for x in data if x[1] == row["k"]), key=lambda x: (-x[3], x[0]))
+        first = rows[: int(row["budget"] * len(rows) / 10_000)]
+        assert (row["capacity"], row["alerts"], row["fraud_alerts"], row["n"]) == (len(first), len(first), sum(x[2] for x in first), len(rows))
+        assert row["fraud_value_recall"] == pytest.approx(sum(x[2] * x[4] for x in first) / sum(x[2] * x[4] for x in rows), abs=1e-8)
+        if first:
+            last = first[-1][3]
+            assert (row["boundary_score"], row["boundary_tie_n"], row["boundary_tie_selected_n"]) == (round(last, 9), sum(x[3] == last for x in rows), sum(x[3] == last for x in first))

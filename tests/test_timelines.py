@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from riskloom.operators import pit
+from riskloom.operators import order, pit
 
 MEASURES = {"n_short": ("count", None, 5), "n_long": ("count", None, 300), "total": ("sum", "amount", 300), "mean": ("mean", "amount", 40), "values": ("distinct", "v", 60), "long_values": ("distinct", "v", 900)}
 
@@ -30,7 +30,7 @@ def test_ranges_of_time(spark, monkeypatch):
     rows, df = made(spark)
     want = {r[0]: plain(rows, r[1], r[2]) for r in rows}
     monkeypatch.setattr(pit, "PIECE", 30)
-    assert pit.may_crowd(spark.range(10**9)) and not pit.may_crowd(spark.read.parquet("/root/testdata/sf0.001/events.parquet"))
+    assert order.large(spark.range(10**9)) and not order.large(spark.read.parquet("/root/testdata/sf0.001/events.parquet"))
     for split in (False, True):
         got = pit.history(df, ["k"], "t", MEASURES, split=split).collect()
         assert len(got) == len(rows)
