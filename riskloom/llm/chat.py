@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BUDGET, HISTORY = 1024, 256
-SAMPLE_SCHEMA = "conv_id long, sample long, formatted string, loss array<struct<start:int,stop:int>>, first_new int, part_new boolean"
 OPEN, CLOSE = "### ", " </turn>\n"
 #: A backslash before ``###``, ``</turn>`` or a backslash marks text that only looks like a control string.
 CONTROL = re.compile(r"\\|###|</turn>")
@@ -77,6 +76,8 @@ class Formatter:
         if role == "system" and self.system is None and not self.samples and not self.span:
             self.system = (tokens, role, text)
         if not self.span:
+            while self.past and fixed + self.total - self.past[0][0] + tokens > self.budget:
+                self.past.popleft()  # history gives way to a turn that needs the room
             self.began = self.total
         self.span.append((self.total, tokens, role, text))
         self.total += tokens

@@ -273,6 +273,7 @@ def score_batch(inputs: Projected, texts: list[str | None], most: int = 40_000)
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, limit: int) -> pd.DataFrame:
     """(text, y) of at most ``limit`` labelled texts of each class, those with the least hash; equal texts of a class count once."""
+    docs = docs.select("doc_id", "text")
     y = labels.where(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(column).alias("y"))
     rows = docs.where("text is not null and doc_id is not null").select("doc_id", F.xxhash64("text").alias("h"))
     rows = rows.join(y, "doc_id").select("doc_id", "y", "h")

@@ -65,11 +65,16 @@ def record(row: dict) -> bytes:
     return member(head.encode("utf-8", "surrogatepass"), block)
 
 
+#: Header names as they are written here, by their lower-case forms, in which other writers' are compared.
+NAMES = {name.lower(): name for name in (*HEADERS.values(), "Content-Length")}
+
+
 def parse_header(head: bytes) -> dict[str, str]:
     lines = head.decode("utf-8", "surrogatepass").split("\r\n")
     if not lines[0].startswith("WARC/"):
         raise ValueError("not a WARC record")
-    return dict(line.split(": ", 1) for line in lines[1:] if ": " in line)
+    said = (line.partition(":") for line in lines[1:] if ":" in line)
+    return {NAMES.get(name.lower(), name): value.strip(" \t") for name, _, value in said}
 
 
 def _value(name: str, value: str | None) -> str | None:
@@ -139,8 +144,10 @@ def records(data, wanted, payloads: bool) -> Iterator[tuple]:
         body, z = data.read(size - 24), zlib.decompressobj(-15)
         head, rest = b"", body
         while b"\r\n\r\n" not in head:
-            head += z.decompress(rest, 1024)
-            rest = z.unconsumed_tail
+            part = z.decompress(rest, 1024)
+            if not part and not z.unconsumed_tail:
+                raise ValueError("a record whose headers don't end")
+            head, rest = head + part, z.unconsumed_tail
         at = head.index(b"\r\n\r\n")
         row, length = _row(head[:at])
         if wanted(row):

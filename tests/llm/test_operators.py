@@ -443,3 +443,29 @@ def test_quality_learns_from_every_unlabelled_row(spark, awkward, empty):
     assert np.mean([(got[i] >= 0.5) == words[i % 2][1] for i in range(60, 200)]) > 0.95
     assert quality.fit(empty, labels) is None
     assert quality.fit(awkward, labels.limit(0)) is None
+
+
+def test_history_gives_way_within_the_budget():
+    f, out = chat.Formatter(300, 100), []
+    for n in (60, 60, 250, 20):
+        out += list(f.add("user", " ".join(["w"] * n)))
+    out.append(f.close())
+    sizes = [sum(len(text.split()) + 2 for _, text in chat.turns(formatted)) for _, formatted, _, _ in out]
+    assert max(sizes) <= 300 and sum(len(chat.turns(formatted)) - new for _, formatted, _, new in out) == 4
+
+
+def test_archive_of_a_damaged_record_is_an_error():
+    import io
+    import struct
+    import zlib
+
+    def member(head):
+        z = zlib.compressobj(9, zlib.DEFLATED, -15)
+        body = z.compress(head) + z.flush()
+        size = 24 + len(body) + 8
+        return b"\x1f\x8b\x08\x04" + b"\0" * 6 + struct.pack("<H2sHII", 12, b"sl", 8, size, len(head)) + body + b"\0" * 8
+
+    with pytest.raises(ValueError):
+        list(warc.records(io.BytesIO(member(b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\nabc")), lambda row: True, True))
+    got = warc.parse_header(b"WARC/1.1\r\ncontent-length:3\r\nWARC-TYPE:  response")
+    assert got["Content-Length"] == "3" and got["WARC-Type"] == "response"

@@ -27,3 +27,13 @@ def test_empty(spark):
         docs = stage(spark, docs, DATA)
     assert docs.count() == 0
     assert suffix.repeated_spans(spark.read.parquet(f"{DATA}/documents.parquet").limit(0)).count() == 0
+
+
+def test_columns_in_the_way_and_ids_of_two_texts(spark):
+    """Columns named as what stages make for themselves do no harm; another text of the same id isn't dropped."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(60)
+    extra = docs.selectExpr("*", "1 AS y", "2 AS h", "3 AS kept", "4 AS n_bytes", "5 AS n_removed", "6 AS n_spans", "7 AS _spans")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, extra, DATA).columns == docs.columns, name
+    two = spark.createDataFrame([(5, "one two three four five six", "en", "s", 1), (5, "six five four three two one", "en", "s", 1)] * 2, docs.schema)
+    assert corpus_pipeline.drop_near_duplicates(spark, two, DATA).count() == 2
