@@ -29,8 +29,19 @@ def decision(p: Column, review: float, block: float) -> Column:
 
 
 def priority(p: Column, amount: Column, alpha: Column, scale: Column) -> Column:
-    """Probability weighted by amount: alpha 0 leaves the probability as it is."""
-    return F.when(alpha == 0, p).otherwise(p * F.pow(F.greatest(amount, F.lit(0.0)) / scale, alpha))
+    """Probability weighted by amount: alpha 0 leaves the probability as it is, amounts below 0 count as 0.
+
+    Probabilities and alphas outside [0, 1], amounts that aren't finite and scales that aren't positive are errors of the
+    query that meets them.
+    """
+    finite = lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf"))
+    weighted = F.when(alpha == 0, p).otherwise(p * F.pow(F.greatest(amount, F.lit(0.0)) / scale, alpha))
+    wrong = lambda cond, said: F.when(cond, F.raise_error(F.lit(said)))
+    faults = [(finite(alpha) & alpha.between(0, 1), "alpha must lie in [0, 1]"), (finite(scale) & (scale > 0), "the scale must be positive and finite"), (finite(p) & p.between(0, 1), "probabilities must lie in [0, 1]"), (finite(amount), "amounts must be finite")]
+    out = weighted
+    for good, said in reversed(faults):
+        out = wrong(~good, said).otherwise(out)
+    return out
 
 
 def adjust_for_prior(p: Column, source: float, target: float) -> Column:

@@ -187,7 +187,7 @@ def locked(df: DataFrame, threshold: float, target: float, keys: tuple[str, ...]
 
 
 def threshold_drift(df: DataFrame, threshold: float, by: str = "period") -> DataFrame:
-    """Distribution of scores and amounts and performance at a locked threshold for each period; scores and amounts go through the same passes."""
+    """Distribution of scores and amounts and performance at a locked threshold for each period; scores and amounts go through the same passes. Periods come in the order of time."""
     both = F.explode(F.array(F.struct(F.lit(0).alias("_of"), F.col("score").alias("x")), F.struct(F.lit(1).alias("_of"), F.col("amount").alias("x"))))
     g = counted(df.select(by, "is_fraud", both.alias("s")).select(by, "is_fraud", "s.*"), "x", (by, "_of"), p=SUMS["p"], l=SUMS["l"])
     r9, hit = lambda c: F.round(c, 9), F.col("x") >= threshold
@@ -198,7 +198,8 @@ def threshold_drift(df: DataFrame, threshold: float, by: str = "period") -> Data
     )
     q = quantiles(g, "x", [0.5, 0.9, 0.99], (by, "_of")).groupBy(by).agg(*(F.max(F.when(F.col("_of") == i, F.col("q"))).alias(c) for i, c in enumerate(("_s", "_a"))))
     named = {x: r9(F.col("_s")[i]) for i, x in enumerate(("score_p50", "score_p90", "score_p99"))} | {"amount_p99": F.round(F.col("_a")[2], 6)}
-    return joined(one, q, [by], "left").withColumns(named).drop("_s", "_a")
+    in_time = F.expr(f"CASE `{by}` WHEN 'train' THEN 1 WHEN 'validation' THEN 2 ELSE 3 END")
+    return joined(one, q, [by], "left").withColumns(named).drop("_s", "_a").orderBy(in_time, by)
 
 
 def locked_threshold_drift(df: DataFrame, threshold: float, target: float = 0.001, by: str = "period", base: str = "validation") -> DataFrame:

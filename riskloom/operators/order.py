@@ -20,13 +20,14 @@ from pyspark.sql import types as T
 #: Bits of the second and third digit; the first has the other 20.
 LOW, MASK = 22, (1 << 22) - 1
 LARGEST = (1 << 63) - 1
-#: So many expected bytes are one task's work.
+#: So many bytes are one task's work.
 SMALL = 64 << 20
 
 
 def large(df: DataFrame) -> bool:
-    """Whether the optimizer expects more than SMALL bytes; no job is run to tell."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SMALL
+    """Whether the optimizer expects more than SMALL bytes of any table that ``df`` is made of; no job is run to tell."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return any(int(str(leaves.apply(i).stats().sizeInBytes())) > SMALL for i in range(leaves.size()))
 
 
 def joined(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
@@ -172,3 +173,22 @@ def average_place(df: DataFrame, column: str, name: str, of: DataFrame | None =
     up = running(g, column, {"_upto": "n"}, descending=False)
     share = joined(up, g.agg(F.expr("sum(n) AS _all")), []).selectExpr(f"`{column}`", f"(_upto - (n - 1) / 2) / _all AS `{name}`")
     return joined(df, share, [column])
+
+
+def percent_places(df: DataFrame, columns: dict[str, str], keys: list[str]) -> DataFrame:
+    """Adds, for each ``name: column``, the share of the other rows of a row's group that have a smaller value; 0 in a group of one row.
+
+    Values of large tables are counted by group, all columns in one pass, and placed by running totals, so a group of
+    very many rows isn't a task.
+    """
+    if not large(df):
+        of = f"PARTITION BY {', '.join(keys)}"
+        return df.selectExpr("*", *(f"percent_rank() OVER ({of} ORDER BY `{c}`) AS `{name}`" for name, c in columns.items()))
+    each = ", ".join(f"struct({i} AS _of, CAST(`{c}` AS DOUBLE) AS _x)" for i, c in enumerate(columns.values()))
+    g = counted(df.selectExpr(*keys, f"inline(array({each}))"), "_x", [*keys, "_of"])
+    share = joined(running(g, "_x", {"_upto": "n"}, [*keys, "_of"], False), g.groupBy(*keys, "_of").agg(F.expr("sum(n) AS _all")), [*keys, "_of"])
+    share = share.selectExpr(*keys, "_of", "_x", "CASE WHEN _all > 1 THEN (_upto - n) / (_all - 1) ELSE 0D END AS _share")
+    types = dict(df.dtypes)
+    for i, (name, c) in enumerate(columns.items()):
+        df = joined(df, share.where(f"_of = {i}").selectExpr(*keys, f"CAST(_x AS {types[c]}) AS `{c}`", f"_share AS `{name}`"), [*keys, c], "left")
+    return df

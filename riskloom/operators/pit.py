@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .order import at_places, joined, kept, large, running
+from .order import at_places, joined, kept, large, percent_places, running
 
 HOUR = 3_600_000_000
 
@@ -17,11 +17,12 @@ REST = 1 << 26
 BEGIN = -(1 << 62)
 
 
-def _exact(column: str) -> list[str]:
-    """SQL of a finite amount as presence, whole number and two rests: long numbers whose sums are exact. Below 2^-52 it is cut; from 2^63 on it is an error."""
-    x = f"CASE WHEN NOT isnan(`{column}`) AND abs(`{column}`) < double('inf') THEN CAST(`{column}` AS DOUBLE) END"
-    rest = f"({x} - floor({x})) * {REST}D"
-    return [f"CASE WHEN ({x}) IS NOT NULL THEN 1 ELSE 0 END", f"floor({x})", f"floor({rest})", f"floor(({rest} - floor({rest})) * {REST}D)"]
+def _exact(rows: DataFrame, columns: list[str], kept: list[str]) -> DataFrame:
+    """``kept`` and each finite amount i as presence _v, whole number _w and two rests _m and _l: long numbers whose sums are exact. Below 2^-52 it is cut; from 2^63 on it is an error."""
+    each = range(len(columns))
+    rows = rows.selectExpr(*kept, *(f"CASE WHEN NOT isnan(`{c}`) AND abs(`{c}`) < double('inf') THEN CAST(`{c}` AS DOUBLE) END AS _x{i}" for i, c in enumerate(columns)))
+    rows = rows.selectExpr("*", *(f"floor(_x{i}) AS _w{i}" for i in each)).selectExpr("*", *(f"(_x{i} - _w{i}) * {REST}D AS _r{i}" for i in each)).selectExpr("*", *(f"floor(_r{i}) AS _m{i}" for i in each))
+    return rows.selectExpr("*", *(f"floor((_r{i} - _m{i}) * {REST}D) AS _l{i}" for i in each), *(f"CASE WHEN _x{i} IS NOT NULL THEN 1 ELSE 0 END AS _v{i}" for i in each))
 
 
 def _cut_points(times: DataFrame, key: list[str]) -> DataFrame:
@@ -89,7 +90,7 @@ def history(tx: DataFrame, key: list[str], at: str, measures: dict[str, tuple[st
     tx, base = (df.withColumn("_at", F.col(at).cast("long")) for df in (tx, of))
     base = base.where("_at is not null")
     parts = [f"_{p}{i}" for i in range(len(amounts)) for p in "vwml"]
-    times = base.groupBy(*key, "_at").agg(F.expr("count(*) AS _n"), *(F.expr(f"coalesce(sum({x}), 0) AS {p}") for p, x in zip(parts, (x for c in amounts for x in _exact(c)), strict=True)))
+    times = _exact(base, amounts, [*key, "_at"]).groupBy(*key, "_at").agg(F.expr("count(*) AS _n"), *(F.expr(f"coalesce(sum({p}), 0) AS {p}") for p in parts))
     cuts, part = (_cut_points(times, key), ["_p"]) if split else (None, [])
     steps = ", ".join(["struct(_at, 0 AS _b, true AS _asks)", *(f"struct(_at + {b + 1}L AS _at, {i + 1} AS _b, false AS _asks)" for i, b in enumerate(backs))])
     ranges = [F.col("_cuts").isNotNull().alias("_hot"), _piece(F.col("_s._at")).alias("_p")] if split else []
@@ -231,10 +232,9 @@ def recipient_concentration(tx: DataFrame, n: int = 100, shown: int = 10) -> Dat
 
 
 def candidate_queue(tx: DataFrame, high: float = 0.99) -> DataFrame:
-    """Recipients scored by their percent ranks within the step, with reasons."""
+    """Recipients scored by their percent ranks within the step, with reasons; highest score first, then larger amounts."""
     f = _recipients(tx).withColumnsRenamed({"recipient_tx_24h": "recipient_fanin_24h", "unique_senders_7d": "recipient_unique_senders_7d"}).withColumn("recipient_amount_24h", F.round("recipient_amount_24h", 4))
-    pct = lambda c: F.percent_rank().over(Window.partitionBy("step").orderBy(c))
-    f = f.withColumns({"fanin_pct": pct("recipient_fanin_24h"), "amount_pct": pct("recipient_amount_24h"), "tx_pct": pct("recipient_tx_7d"), "senders_pct": pct("recipient_unique_senders_7d")})
+    f = percent_places(f, {"fanin_pct": "recipient_fanin_24h", "amount_pct": "recipient_amount_24h", "tx_pct": "recipient_tx_7d", "senders_pct": "recipient_unique_senders_7d"}, ["step"])
     reason = F.concat_ws("|", F.when(F.col("senders_pct") >= high, "MANY_PRIOR_SENDERS"), F.when(F.col("fanin_pct") >= high, "HIGH_PRIOR_FAN_IN"), F.when(F.col("amount_pct") >= high, "HIGH_PRIOR_RECIPIENT_VALUE"), F.when(F.col("pair_tx_7d") == 0, "NEW_SENDER_RECIPIENT_PAIR"))
     score = 0.25 * F.col("fanin_pct") + 0.25 * F.col("amount_pct") + 0.15 * F.col("tx_pct") + 0.35 * F.col("senders_pct")
-    return f.select("transaction_id", "step", "sender", "recipient", "type", "amount", "recipient_fanin_24h", "recipient_amount_24h", "recipient_tx_7d", "recipient_unique_senders_7d", "pair_tx_7d", F.round(score, 6).alias("investigation_score"), reason.alias("reasons"))
+    return f.select("transaction_id", "step", "sender", "recipient", "type", "amount", "recipient_fanin_24h", "recipient_amount_24h", "recipient_tx_7d", "recipient_unique_senders_7d", "pair_tx_7d", F.round(score, 6).alias("investigation_score"), reason.alias("reasons")).orderBy(F.desc("investigation_score"), F.desc("amount"), "transaction_id")

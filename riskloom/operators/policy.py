@@ -19,10 +19,10 @@ SCENARIOS = {
 
 
 def rule_backtest(tx: DataFrame, rules: list[tuple[str, str, float]]) -> DataFrame:
-    """Metrics of (name, type, least amount) rules; each row meets the rules given, a handful."""
+    """Metrics of (name, type, least amount) rules, most fraud value first, then fewest flags; each row meets the rules given, a handful."""
     r = F.explode(F.array(*(F.struct(F.lit(n).alias("rule_name"), F.lit(t).alias("tx_type"), F.lit(a).alias("min_amount")) for n, t, a in rules)))
     rows = tx.select("type", "amount", "is_fraud", r.alias("r")).select("*", "r.*")
-    return rows.groupBy("rule_name").agg(*alert_columns((F.col("type") == F.col("tx_type")) & (F.col("amount") >= F.col("min_amount"))))
+    return rows.groupBy("rule_name").agg(*alert_columns((F.col("type") == F.col("tx_type")) & (F.col("amount") >= F.col("min_amount")))).orderBy(F.desc_nulls_last("fraud_value_recall"), F.asc_nulls_last("legit_flag_rate"), "rule_name")
 
 
 def incrementality(tx: DataFrame, scores: DataFrame, rule_threshold: float, model_threshold: float, start: int) -> DataFrame:

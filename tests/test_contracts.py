@@ -89,6 +89,9 @@ def test_capacity_ties(spark):
 def test_profiles(spark):
     one = lambda alpha: scored(spark, [(1, 0.4, 50.0)]).select(scoring.priority(F.col("score"), F.col("amount"), F.lit(alpha), F.lit(100.0))).first()[0]
     assert (one(0.0), one(1.0)) == (0.4, pytest.approx(0.2))
+    for score, amount, alpha, scale in ((1.5, 1.0, 0.5, 1.0), (float("nan"), 1.0, 0.5, 1.0), (0.5, float("inf"), 0.0, 1.0), (0.5, 1.0, 2.0, 1.0), (0.5, 1.0, 0.5, 0.0)):
+        with pytest.raises(Exception, match="must"):
+            scored(spark, [(1, score, amount)]).select(scoring.priority(F.col("score"), F.col("amount"), F.lit(alpha), F.lit(scale))).collect()
     amounts = lambda *a: capacity.amount_scale(spark.createDataFrame([(float(x),) for x in a], "amount double"))
     assert (amounts(0, 10, 20, 100), amounts(0, 0)) == (20, 1)
     grid = spark.createDataFrame([(0.0, 0.5, 0.2, 0.3, 0.4), (0.5, 0.5, 0.3, 0.3, 0.4), (1.0, 0.4, 0.9, 0.9, 0.4)], "alpha double, recall double, precision double, fraud_value_recall double, balanced_hmean double")

@@ -95,6 +95,15 @@ def test_equal_values_are_not_gathered(spark):
     assert (ends["_v"], ends["_before"], ends["_at"]) == (0.5, 399, ties) and df.where((F.col("v") == 0.5) & (F.col("transaction_id") <= ends["_t"])).count() == 10_000 - 399
 
 
+def test_percent_places(spark):
+    data, df = rows(spark, 600)
+    got = order.percent_places(df.withColumn("w", F.expr("transaction_id % 7")), {"a": "v", "b": "w"}, ["k"]).collect()
+    assert len(got) == len(data)
+    for r in got:
+        vs = grouped(data)[r["k"]]
+        assert r["a"] == pytest.approx(sum(v < r["v"] for v, _ in vs) / (len(vs) - 1)) and r["b"] == pytest.approx(sum(i % 7 < r["w"] for _, i in vs) / (len(vs) - 1))
+
+
 def test_capacity_by_selection_is_that_by_ranks(spark):
     """Counts by sorting, with ties at every budget, in groups, whichever way the plan takes."""
     r = random.Random(9)
