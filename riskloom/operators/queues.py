@@ -54,7 +54,8 @@ def two_lane(df: DataFrame, k: int, share: float = 0.2, model: str = "score", an
 def _first(df: DataFrame, column: str, k: int) -> tuple[DataFrame, Column]:
     """One row that says where the first ``k`` rows end, and the condition to be among them; all are if there aren't so many."""
     wanted = df.sparkSession.createDataFrame([(0, k)], "_i int, _n long")
-    return firsts(df, column, wanted).select(F.col("_v").alias("_end"), F.col("_t").alias("_last")), F.col("_end").isNull() | among(column, "_end", "transaction_id", "_last")
+    ends = firsts(df, column, wanted).select(F.col("_v").alias("_end"), F.col("_t").alias("_last"))
+    return ends, F.col("_end").isNull() | among(column, "_end", "transaction_id", "_last") if k > 0 else F.lit(False)
 
 
 def _selections(df: DataFrame, plans: list[tuple[str, int, float, int, int]]) -> DataFrame:
@@ -73,7 +74,7 @@ def _selections(df: DataFrame, plans: list[tuple[str, int, float, int, int]]) ->
             if wanted:
                 ends |= {r["_i"]: (column, r["_v"], r["_t"]) for r in firsts(rows, column, number(wanted)).collect()}
         taken = {i: among(ends[i][0], F.lit(ends[i][1]), "transaction_id", F.lit(ends[i][2])) if i in ends else F.lit(False) for i in range(len(plans))}
-        exploring = [i for i, (*_, x) in enumerate(plans) if x]
+        exploring = [i for i, (*_, x) in enumerate(plans) if x and n]
         if exploring:
             last = firsts(rows, "anomaly", number([(0, min(n, max(plans[i][3] + plans[i][4] for i in exploring)))])).first()
             near = rows.where(among("anomaly", F.lit(last["_v"]), "transaction_id", F.lit(last["_t"]))).select("transaction_id", "anomaly", F.explode(F.array_compact(F.array(*(F.when(~taken[i], F.lit(i)) for i in exploring)))).alias("_g"))

@@ -111,6 +111,10 @@ def test_queues(spark):
     assert got == {1.0: 24, 2.0: 12}
     with pytest.raises(ValueError):
         queues.adaptive_routing(rows, 0.0)
+    few = scored(spark, [(i % 2, i / 10, 1.0) for i in range(6)]).withColumns({"anomaly": F.col("transaction_id") * -1.0, "fraud_type": F.lit("none")})
+    lanes = lambda k, share: sorted((r["lane"], r["transaction_id"]) for r in queues.two_lane(few, k, share).collect())
+    assert lanes(3, 0.34) == [("exploit", 4), ("exploit", 5), ("explore", 0)] and lanes(2, 1.0) == [("explore", 0), ("explore", 1)] and len(lanes(50, 0.2)) == 6
+    assert all(r["review_n"] in (0, None) for r in queues.queue_metrics(few.limit(0)).collect())
     places = queues.percentile_rank(df.withColumn("v", F.col("transaction_id") % 2), "v", "p")
     assert sorted({r["p"] for r in places.collect()}) == [6.5 / 24, 18.5 / 24]
 
