@@ -144,15 +144,15 @@ def segments(width: int):
                     known[i] = texts[text[i]][lo[i] : lo[i] + size[i]] == texts[text[j]][lo[j] : lo[j] + size[j]]
                 for i in range(0, len(seg), 1 << 17):
                     yield seg[i : i + (1 << 17)][~known[i : i + (1 << 17)]]
-                d, lo, hi = _merged(*(x.to_numpy(np.int64) for x in (seg["doc_id"][known], seg["lo"][known], (seg["lo"] + seg["len"])[known])))
-                none = pd.array([None] * len(d), dtype="Int64")
-                yield pd.DataFrame({"k": none, "s": none, "doc_id": d, "lo": lo, "len": (hi - lo).astype(np.int32)})
+                t, lo, hi = _merged(text[known].astype(np.int64), lo[known].astype(np.int64), (lo + size)[known].astype(np.int64))
+                s = [_digest(texts[i][a:b]) for i, a, b in zip(t.tolist(), lo.tolist(), hi.tolist(), strict=True)]
+                yield pd.DataFrame({"k": pd.array([None] * len(t), dtype="Int64"), "s": np.array(s, np.int64), "doc_id": ids[t], "lo": lo, "len": (hi - lo).astype(np.int32)})
 
     return run
 
 
 def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """From rows sorted by (k, s, doc_id): repeats as (doc_id, lo, len, null) and segments still to compare as (doc_id, lo, len, k).
+    """From rows sorted by (k, s, doc_id): repeats as (doc_id, lo, len, s, null) and segments still to compare as (doc_id, lo, len, s, k).
 
     Only the first document and segment of the anchor at hand, and its rows if all of them are of one document, are kept between batches.
     """
@@ -161,7 +161,7 @@ def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         known = pdf["k"].isna().to_numpy()
         if known.any():
-            yield pdf.loc[known, ["doc_id", "lo", "len"]].assign(k=pd.array([None] * int(known.sum()), dtype="Int64"))
+            yield pdf.loc[known, ["doc_id", "lo", "len", "s"]].assign(k=pd.array([None] * int(known.sum()), dtype="Int64"))
         pdf = pdf[~known]
         n = len(pdf)
         if not n:
@@ -173,7 +173,7 @@ def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         least = np.where(at_s >= 0, doc[at_s], now[2] if now else 0)
         repeat = doc > least
         if repeat.any():
-            yield pdf.loc[repeat, ["doc_id", "lo", "len"]].assign(k=pd.array([None] * int(repeat.sum()), dtype="Int64"))
+            yield pdf.loc[repeat, ["doc_id", "lo", "len", "s"]].assign(k=pd.array([None] * int(repeat.sum()), dtype="Int64"))
         at_k = np.maximum.accumulate(np.where(new_k, np.arange(n), -1))
         head = np.where(at_k >= 0, doc[at_k], now[3] if now else 0)
         group = np.cumsum(new_k)  # 0: the anchor carried over
@@ -184,7 +184,7 @@ def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if several[0]:
                 yield from waiting
             waiting = []
-        out = pdf.loc[~repeat, ["doc_id", "lo", "len", "k"]].astype({"k": "Int64"})
+        out = pdf.loc[~repeat, ["doc_id", "lo", "len", "s", "k"]].astype({"k": "Int64"})
         g = group[~repeat]
         if (ready := several[g]).any():
             yield out[ready]
@@ -309,12 +309,14 @@ def repeated_windows(snippets: list[bytes], anchor: np.ndarray, doc: np.ndarray,
     return out
 
 
-def _window_spans(hit: np.ndarray, doc: np.ndarray, lo: np.ndarray, windows: np.ndarray, width: int) -> pd.DataFrame:
+def _window_spans(hit: np.ndarray, doc: np.ndarray, lo: np.ndarray, snippets: list[bytes], width: int) -> pd.DataFrame:
+    windows = np.fromiter(map(len, snippets), np.int64, len(snippets)) - width + 1
     owner = np.repeat(np.arange(len(doc)), windows)
     within = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
     i = np.flatnonzero(hit)
-    d, a, b = _merged(doc[owner[i]], lo[owner[i]] + within[i], lo[owner[i]] + within[i] + width)
-    return pd.DataFrame({"doc_id": d, "lo": a, "len": (b - a).astype(np.int32)})
+    j, a, b = _merged(owner[i], within[i], within[i] + width)
+    s = [_digest(snippets[x][y:z]) for x, y, z in zip(j.tolist(), a.tolist(), b.tolist(), strict=True)]
+    return pd.DataFrame({"doc_id": doc[j], "lo": lo[j] + a, "len": (b - a).astype(np.int32), "s": np.array(s, np.int64)})
 
 
 def repeats(width: int, most: int = 4000):
@@ -327,8 +329,9 @@ def repeats(width: int, most: int = 4000):
             pdf = pd.concat(held, ignore_index=True)
             held.clear()
             doc, lo = pdf["doc_id"].to_numpy(np.int64), pdf["lo"].to_numpy(np.int64)
-            hit = repeated_windows(list(pdf["snippet"]), pdf["k"].to_numpy(np.int64), doc, width)
-            return _window_spans(hit, doc, lo, pdf["snippet"].map(len).to_numpy(np.int64) - width + 1, width)
+            snippets = list(pdf["snippet"])
+            hit = repeated_windows(snippets, pdf["k"].to_numpy(np.int64), doc, width)
+            return _window_spans(hit, doc, lo, snippets, width)
 
         for pdf in whole_groups(batches, ["k"]):
             held.append(pdf)
@@ -340,12 +343,23 @@ def repeats(width: int, most: int = 4000):
     return run
 
 
+def _digest(b: bytes) -> int:
+    """The 64-bit hash of a span's bytes as a signed number."""
+    return int.from_bytes(xxhash.xxh3_64_digest(b), "big", signed=True)
+
+
+def _is_at(text: bytes, span: dict) -> bool:
+    """Whether a text of the span's doc_id has the span's bytes there: texts that share an id don't share what they lack."""
+    part = text[span["lo"] : span["lo"] + span["len"]]
+    return len(part) == span["len"] and _digest(part) == span["s"]
+
+
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
         for doc, text, spots in zip(pdf["doc_id"], pdf["t"], pdf["spots"], strict=True):
             b = text.encode("utf-8", "surrogatepass")
-            rows += [(x["k"], doc, x["lo"], b[x["lo"] : x["lo"] + x["len"]]) for x in spots if x["lo"] + x["len"] <= len(b)]
+            rows += [(x["k"], doc, x["lo"], b[x["lo"] : x["lo"] + x["len"]]) for x in spots if _is_at(b, x)]
         yield pd.DataFrame(rows, columns=["k", "doc_id", "lo", "snippet"])
 
 
@@ -367,9 +381,9 @@ def _windows(width: int):
                     if doc == first:
                         places.append(lo + i)
                     elif doc > first:
-                        rows.append((None, doc, lo + i, None))
+                        rows.append((None, doc, lo + i, w))
                     else:
-                        rows += [(None, first, at, None) for at in places]
+                        rows += [(None, first, at, w) for at in places]
                         least[k, xxhash.xxh3_64_intdigest(w) % parts, w] = (doc, [lo + i])
             for (k, part, w), (doc, places) in least.items():
                 group = int.from_bytes(xxhash.xxh3_64_digest(k.to_bytes(8, "little", signed=True) + part.to_bytes(8, "little")), "little", signed=True)
@@ -379,28 +393,42 @@ def _windows(width: int):
     return run
 
 
+SPANS = "doc_id long, lo long, len int, s long"
+
+
+def _window_hashes(width: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "lo": pdf["lo"], "len": np.full(len(pdf), width, np.int32), "s": np.array([_digest(w) for w in pdf["snippet"]], np.int64)})
+
+    return run
+
+
 def repeated_spans(docs: DataFrame, width: int = 50) -> DataFrame:
-    """(doc_id, lo, len): spans whose every byte lies in a ``width``-byte string that also starts in a document with a smaller doc_id. Spans may overlap."""
+    """(doc_id, lo, len, s): spans whose every byte lies in a ``width``-byte string that also starts in a document with a smaller doc_id. Spans may overlap.
+
+    s is the hash of a span's bytes, which tells texts of one doc_id apart.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("t")).where("doc_id is not null and octet_length(t) >= %d" % width)
-    settled = rows.mapInPandas(segments(width), SEGMENTS).repartition(F.coalesce("k", F.xxhash64("doc_id"))).sortWithinPartitions("k", "s", "doc_id").mapInPandas(settle, "doc_id long, lo long, len int, k long")
+    settled = rows.mapInPandas(segments(width), SEGMENTS).repartition(F.coalesce("k", F.xxhash64("doc_id"))).sortWithinPartitions("k", "s", "doc_id").mapInPandas(settle, "doc_id long, lo long, len int, s long, k long")
     settled = materialise(settled, "settled")
     whole, open_ = settled.where("k is null").drop("k"), settled.where("k is not null")
-    spots = open_.groupBy("doc_id").agg(F.collect_list(F.struct("k", "lo", "len")).alias("spots"))  # as many as the document's own bytes allow
+    spots = open_.groupBy("doc_id").agg(F.collect_list(F.struct("k", "lo", "len", "s")).alias("spots"))  # as many as the document's own bytes allow
     snippets = materialise(rows.join(spots, "doc_id").mapInPandas(_cut, "k long, doc_id long, lo long, snippet binary"), "snippets")
     heavy = snippets.groupBy("k").agg(F.count("*").alias("rows"), F.sum(F.octet_length("snippet") - width + 1).alias("n")).where(F.col("rows") > GROUP)
     heavy = materialise(heavy.select("k", "n"), "heavy")
     if not heavy.isEmpty():  # no anchor's snippets meet in one group of any size: its windows are dealt by their bytes
         windows = materialise(snippets.join(heavy, "k").select("k", "n", "doc_id", "lo", "snippet").mapInPandas(_windows(width), "k long, doc_id long, lo long, snippet binary"), "windows")
-        whole = whole.unionByName(windows.where("k is null").select("doc_id", "lo", F.lit(width).alias("len")))
+        whole = whole.unionByName(windows.where("k is null").mapInPandas(_window_hashes(width), SPANS))
         snippets = snippets.join(heavy, "k", "left_anti").unionByName(windows.where("k is not null"))
-    return whole.unionByName(snippets.repartition("k").sortWithinPartitions("k").mapInPandas(repeats(width), "doc_id long, lo long, len int"))
+    return whole.unionByName(snippets.repartition("k").sortWithinPartitions("k").mapInPandas(repeats(width), SPANS))
 
 
 def without(text: bytes, spans) -> tuple[bytes, int]:
-    """What is left of a text, and the number of maximal runs removed."""
-    lo = np.array([x["lo"] for x in spans] if spans is not None else [], np.int64)
-    hi = lo + np.array([x["len"] for x in spans] if spans is not None else [], np.int64)
-    _, lo, hi = _merged(np.zeros(len(lo), np.int64), lo, np.minimum(hi, len(text)))
+    """What is left of a text without those spans whose bytes it has, and the number of maximal runs removed."""
+    own = [(x["lo"], x["lo"] + x["len"]) for x in spans if _is_at(text, x)] if spans is not None else []
+    lo, hi = np.array(own, np.int64).reshape(-1, 2).T
+    _, lo, hi = _merged(np.zeros(len(lo), np.int64), lo, hi)
     edges = [0, *np.stack([lo, hi], 1).ravel().tolist(), len(text)]
     return b"".join(text[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)), len(lo)
 
@@ -422,11 +450,11 @@ def _strip(texts: bool):
 def remove_repeats(docs: DataFrame, width: int = 50, texts: bool = True, with_columns: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): what is left of every row's text, without bytes of characters cut in two; or, without ``texts``, the SHA-256 of the bytes left.
 
-    ``with_columns`` keeps the columns of ``docs`` beside these. doc_id names a text: rows that repeat one are one
-    document, and rows of one doc_id with other texts share its spans. Null text counts as empty; a row with null doc_id
+    ``with_columns`` keeps the columns of ``docs`` beside these. Rows that repeat a doc_id and text are one
+    document, and of rows of one doc_id with other texts each loses what it itself repeats of smaller ids. Null text counts as empty; a row with null doc_id
     is kept whole and repeats nothing. Texts below ``width`` bytes stay. Empty tables give empty results.
     """
-    spans = repeated_spans(docs, width).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "len")).alias("_spans"))
+    spans = repeated_spans(docs, width).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "len", "s")).alias("_spans"))
     rows = docs.withColumn("doc_id", F.col("doc_id").cast("long")) if with_columns else docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.join(spans, "doc_id", "left")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_spans") + ", n_bytes long, n_removed long, n_spans long, kept string"

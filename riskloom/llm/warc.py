@@ -7,7 +7,7 @@ writers, whose members lack the sizes, are inflated as a stream.
 
 from __future__ import annotations
 
-import hashlib
+import json
 import struct
 import uuid
 import zlib
@@ -165,11 +165,17 @@ class Files(InputPartition):
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.payloads = options["path"], options.get("payloads", "true").lower() == "true"
-        self.tests: list[tuple[str, tuple]] = []
+        self.once = options.get("pushdown", "false").lower() == "true"
+        self.tests: list[tuple[str, tuple]] = [(k, tuple(v)) for k, v in json.loads(options.get("only", "{}")).items()]
+        if unknown := [k for k, _ in self.tests if k not in HEADERS]:
+            raise ValueError(f"not header columns: {unknown}")
 
     def pushFilters(self, filters: list[Filter]):
-        """Equality, membership and presence of header columns are taken; all else is left to Spark."""
+        """With ``pushdown``, equality, membership and presence of header columns are taken; all else is left to Spark."""
         for f in filters:
+            if not self.once:
+                yield f
+                continue
             name = f.attribute[0] if getattr(f, "attribute", None) and len(f.attribute) == 1 else None
             if name in HEADERS and isinstance(f, EqualTo):
                 self.tests.append((name, (f.value,)))
@@ -196,7 +202,7 @@ class WarcReader(DataSourceReader):
         store, _ = fs.FileSystem.from_uri(self.path)
 
         def wanted(row: dict) -> bool:
-            return all(row[k] is not None and (not values or row[k] in values) for k, values in self.tests)
+            return all(row[k] is not None and (not values or row[k] in values or str(row[k]) in values) for k, values in self.tests)
 
         for path in partition.paths:
             with store.open_input_stream(path, compression=None, buffer_size=1 << 20) as data:
@@ -253,7 +259,9 @@ class WarcWriter(DataSourceWriter):
 class Warc(DataSource):
     """``spark.read.format("warc").load(uri)`` and ``df.write.format("warc").mode("append").save(uri)``; option ``payloads=false`` leaves payloads null.
 
-    Load anew for each query: Spark keeps the reader of a loaded table, with the filters that its first query pushed down.
+    Spark keeps the reader of a loaded table, with the filters that a query pushed into it, for all queries of the table.
+    So predicates reach the reader by option ``only`` (see ``read``), which belongs to the load; filters that Spark finds
+    in a query are taken with ``pushdown=true`` alone, for a table that is loaded anew for each query.
     """
 
     @classmethod
@@ -275,6 +283,16 @@ def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
+def read(spark: SparkSession, path: str, payloads: bool = True, **only: str | list[str]) -> DataFrame:
+    """Records of the archives under ``path`` whose header columns have one of the values named, for instance ``record_type="response"``; an empty list asks that the header is there.
+
+    The reader parses headers, judges them, and inflates the payloads of these records only. The table may serve any number of queries.
+    """
+    register(spark)
+    tests = {k: [v] if isinstance(v, str) else [str(x) for x in v] for k, v in only.items()}
+    return spark.read.format("warc").option("payloads", str(payloads).lower()).option("only", json.dumps(tests)).load(path)
+
+
 def archive(pages: DataFrame, path: str, least: int = 100) -> None:
     """Write a record for each page: of equal payloads of ``least`` bytes or more, that of the smallest page_id is a response and the others revisit it.
 

@@ -149,6 +149,17 @@ def test_repeats_awkward(awkward, empty, monkeypatch):
     assert sorted(map(tuple, suffix.remove_repeats(awkward, texts=False).collect()), key=str) == got
 
 
+def test_texts_of_one_id_lose_only_what_they_repeat(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    a, b, c = ("".join(chr(97 + x) for x in r.integers(0, 26, n)) for n in (300, 40, 100))
+    inner = c + a[100:170] + c[::-1]
+    docs = spark.createDataFrame([(1, a), (2, a + b), (2, c), (2, inner), (2, inner)], "doc_id long, text string")
+    want = sorted([(1, a), (2, b), (2, c), (2, c + c[::-1]), (2, c + c[::-1])])
+    assert sorted((x["doc_id"], x["kept"]) for x in suffix.remove_repeats(docs).collect()) == want
+    monkeypatch.setattr(suffix, "GROUP", 1)
+    assert sorted((x["doc_id"], x["kept"]) for x in suffix.remove_repeats(docs.repartition(5)).collect()) == want
+
+
 def test_suffix_tree_scores(spark, awkward, empty):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     train = docs.where(~pst.held_out(10, 0))
@@ -246,7 +257,14 @@ def test_warc(spark, tmp_path):
     got = {r["record_id"]: (r["record_type"], r["refers_to"], r["target_uri"], None if r["payload"] is None else bytes(r["payload"]).decode()) for r in read.collect()}
     assert got == {"1": ("response", None, "u\n1", "x" * 200), "2": ("revisit", "1", None, None), "3": ("response", None, "u3", "short"), "4": ("response", None, "u4", "short"), "5": ("response", None, "u5", ""), "6": ("response", None, "ü", "é" * 90), None: ("response", None, "n", "x" * 200)}
     assert read.where("record_type = 'revisit'").count() == 1
-    reader = warc.WarcReader({"path": path})
+    # a loaded table serves any number of queries, in any order and side by side
+    assert [read.count(), read.where("record_type = 'response'").count(), read.where("record_type = 'revisit'").union(read).count(), read.count()] == [7, 6, 8, 7]
+    some = warc.read(spark, path, record_type="response", record_id=["1", "2", "3"])
+    assert [some.count(), some.where("record_id = '3'").count(), some.count()] == [2, 1, 2]
+    assert sorted(r["target_uri"] for r in warc.read(spark, path, target_uri=[], payload_length=["200", "5"], payloads=False).where("payload is null").collect()) == ["n", "u\n1", "u3", "u4"]
+    with pytest.raises(Exception, match="not header columns"):
+        warc.read(spark, path, payload="x").count()
+    reader = warc.WarcReader({"path": path, "pushdown": "true"})
     left = list(reader.pushFilters([warc.EqualTo(("record_type",), "revisit"), warc.EqualTo(("payload",), b"x")]))
     assert len(left) == 1 and reader.tests == [("record_type", ("revisit",))]
     assert [row[0] for part in reader.partitions() for row in reader.read(part)] == ["2"]
