@@ -1,7 +1,7 @@
-"""Models by Spark ML, their calibration, and studies that train them again under other labels.
+"""Models, their calibration, and studies that train them again under other labels.
 
-Each study keeps its input while it runs, and gives a table of a few rows. Scores differ from those of other boosting
-libraries; the meaning of each column doesn't.
+Each study keeps its input while it runs, bins its features once by rows that every fold may learn from, and gives a
+table of a few rows. Trees are those of ``boosting``; scores differ from other libraries' where these draw rows otherwise.
 """
 
 from __future__ import annotations
@@ -9,13 +9,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scoring import adjust_for_prior, ratio, two_proportion_sample_size
+from . import boosting
 from .metrics import average_precision, brier_and_log_loss, calibration_bin, count, fraud, legit, model_metrics, threshold_at_fpr, value
 from .order import among, counted, firsts, joined, kept, quantile, quantiles
 
@@ -48,15 +49,9 @@ def fit_logistic(df: DataFrame, features: list[str], c: float = 0.5) -> Pipeline
     return Pipeline(stages=[_vector(features), StandardScaler(withMean=True, inputCol="_x", outputCol="_z"), reg]).fit(df)
 
 
-def fit_trees(df: DataFrame, features: list[str], trees: int = 160, depth: int = 5, rate: float = 0.045, leaf: int = 80) -> PipelineModel:
-    """Balanced boosted trees."""
-    gbt = GBTClassifier(featuresCol="_x", weightCol="_w", maxIter=trees, maxDepth=depth, stepSize=rate, minInstancesPerNode=leaf, subsamplingRate=0.9, seed=42, labelCol="is_fraud", predictionCol="_l")
-    gbt = gbt.setProbabilityCol("_p").setRawPredictionCol("_r")
-    return Pipeline(stages=[_vector(features), gbt]).fit(balanced(df))
-
-
-def importances(model: PipelineModel, features: list[str]) -> list[tuple[str, float]]:
-    return sorted(zip(features, model.stages[-1].featureImportances.toArray().tolist(), strict=True), key=lambda r: (-r[1], r[0]))
+def fit_trees(df: DataFrame, features: list[str], trees: int = 160, edges: list[list[float]] | None = None) -> boosting.Boosted:
+    """Balanced boosted trees of at most 31 leaves."""
+    return boosting.fit(balanced(df), features, trees, weight="_w", edges=edges)
 
 
 def _logit(c: str) -> Column:
@@ -77,17 +72,27 @@ def calibrate(calibrator: PipelineModel, scored: DataFrame, column: str = "raw")
 class Detector:
     """A model, its calibration, and the threshold that flags ``fpr`` of the legitimate rows it was calibrated on."""
 
-    model: PipelineModel
+    model: boosting.Boosted
     calibrator: PipelineModel
     threshold: float
 
     def score(self, df: DataFrame) -> DataFrame:
-        return calibrate(self.calibrator, _scored(self.model.transform(df), "raw"))
+        return calibrate(self.calibrator, self.model.score(df, "raw"))
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Trees and threshold as one row of JSON, and the calibrator beside it, in any store that Spark writes to. What is there is replaced."""
+        spark.createDataFrame([(self.model.to_json(), self.threshold)], "model string, threshold double").coalesce(1).write.mode("overwrite").json(f"{path}/trees")
+        self.calibrator.write().overwrite().save(f"{path}/calibrator")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Detector:
+        row = spark.read.schema("model string, threshold double").json(f"{path}/trees").first()
+        return Detector(boosting.Boosted.from_json(row["model"]), PipelineModel.load(f"{path}/calibrator"), row["threshold"])
 
 
-def fit_detector(train: DataFrame, validation: DataFrame, features: list[str], trees: int = 160, fpr: float = 0.01) -> Detector:
-    model = fit_trees(train, features, trees)
-    raw = _scored(model.transform(validation), "raw")
+def fit_detector(train: DataFrame, validation: DataFrame, features: list[str], trees: int = 160, fpr: float = 0.01, edges: list[list[float]] | None = None) -> Detector:
+    model = fit_trees(train, features, trees, edges)
+    raw = model.score(validation, "raw")
     out = Detector(model, fit_sigmoid(raw), 0.0)
     out.threshold = threshold_at_fpr(calibrate(out.calibrator, raw), fpr)
     return out
@@ -116,11 +121,12 @@ def rolling_backtest(df: DataFrame, features: list[str], first_end: int, step: i
     """Folds of growing training days, ``step`` days to calibrate on and as many to test; folds that lack a class are left out."""
     rows = []
     with kept(df) as all_:
+        edges = boosting.edges_of(all_.where(F.col("day") < first_end), features)
         for end in range(first_end, first_end + folds * step, step):
             train, validation, test = (all_.where(F.col("day").between(a, b - 1)) for a, b in ((0, end), (end, end + step), (end + step, end + 2 * step)))
             if any(part.select("is_fraud").distinct().count() < 2 for part in (train, validation, test)):
                 continue
-            d = fit_detector(train, validation, features, trees)
+            d = fit_detector(train, validation, features, trees, edges=edges)
             rows.append({"train_end_day": end, "validation_days": f"{end}-{end + step - 1}", "test_days": f"{end + step}-{end + 2 * step - 1}", "threshold": d.threshold} | evaluate(d.score(test), d.threshold))
     return _table(df, rows, f"train_end_day int, validation_days string, test_days string, test_n long, test_fraud_rate double, threshold double, {METRICS}")
 
@@ -130,9 +136,10 @@ def delayed_label_retraining(df: DataFrame, features: list[str], calibration: tu
     rows = []
     with kept(df) as all_:
         validation, test = all_.where(F.col("day").between(calibration[0], calibration[1] - 1)), all_.where(F.col("day") >= start)
+        edges = boosting.edges_of(all_.where(F.col("day") < start - delay), features)
         for name, end in ((f"asof_{delay}d_delay", start - delay), ("oracle_instant_labels", start)):
             train = all_.where(F.col("day") < end)
-            d = fit_detector(train, validation, features, trees)
+            d = fit_detector(train, validation, features, trees, edges=edges)
             last = train.agg(F.max("day")).first()[0]
             rows.append({"training_view": name, "available_training_end_day": last, "test_start_day": start} | evaluate(d.score(test), d.threshold))
     return _table(df, rows, f"training_view string, available_training_end_day int, test_start_day int, {METRICS}")
@@ -159,10 +166,11 @@ def feedback_curve(df: DataFrame, features: list[str], tails: list[str], days: t
     with kept(df) as all_:
         base, validation, future = all_.where(F.col("day") < a), all_.where(F.col("day").between(a, b - 1)), all_.where(F.col("day") >= c)
         found = all_.where(F.col("day").between(b, c - 1)).withColumn("_tail", tail_score(fit_tail(base.where(legit()), tails)))
+        edges = boosting.edges_of(base, features)
         for budget in budgets:
             reviewed = found.orderBy(F.desc("_tail"), "transaction_id").limit(budget).drop("_tail")
             n = reviewed.agg(count(fraud()).alias("f"), count(F.col("fraud_type") == NOVEL).alias("n")).first()
-            d = fit_detector(base.unionByName(reviewed), validation, features, trees)
+            d = fit_detector(base.unionByName(reviewed), validation, features, trees, edges=edges)
             rows.append({"analyst_review_budget": budget, "feedback_fraud_n": n["f"] or 0, "feedback_novel_fraud_n": n["n"] or 0} | evaluate(d.score(future), d.threshold))
     return _table(df, rows, f"analyst_review_budget int, feedback_fraud_n int, feedback_novel_fraud_n int, {METRICS}")
 
@@ -172,19 +180,20 @@ def verification_bias(df: DataFrame, features: list[str], trigger: Column, days:
     rows = []
     with kept(df) as all_:
         train, validation, test = all_.where(F.col("day") < days[0]), all_.where(F.col("day").between(days[0], days[1] - 1)), all_.where(F.col("day") >= days[1])
+        edges = boosting.edges_of(train, features)
         cut, total = quantile(train, "amount", 0.97), train.count()
         for audit in audits:
             for seed in seeds:
                 draw = F.pmod(F.xxhash64(F.lit(seed), "transaction_id"), F.lit(1 << 30)) / float(1 << 30)  # the same rows whenever it is computed
                 seen = train.where(trigger | (F.col("amount") >= cut) | (draw < audit))
-                n, f = seen.agg(F.count("*"), F.sum("is_fraud")).first()
+                n, f, *kinds = seen.agg(F.count("*"), F.sum("is_fraud"), *(count(F.col("fraud_type") == t) for t in types)).first()
                 if not f or f == n:
                     continue
-                d = fit_detector(seen, validation, features, trees)
+                d = fit_detector(seen, validation, features, trees, edges=edges)
                 scored = d.score(test)
                 known = evaluate(scored.where(F.col("fraud_type") != NOVEL), d.threshold)
-                rows.append({"audit_rate": audit, "seed": seed, "labelled_train_n": n, "labelled_train_rate": n / total, "labelled_fraud_n": f, "labelled_fraud_rate": f / n, "known_test_pr_auc": known["pr_auc"]} | evaluate(scored, d.threshold, types))
-    extra = "".join(f", recall_{t} double" for t in types)
+                rows.append({"audit_rate": audit, "seed": seed, "labelled_train_n": n, "labelled_train_rate": n / total, "labelled_fraud_n": f, "labelled_fraud_rate": f / n, "known_test_pr_auc": known["pr_auc"]} | {f"labelled_{t}_n": k for t, k in zip(types, kinds, strict=True)} | evaluate(scored, d.threshold, types))
+    extra = "".join(f", labelled_{t}_n long, recall_{t} double" for t in types)
     return _table(df, rows, f"audit_rate double, seed int, labelled_train_n long, labelled_train_rate double, labelled_fraud_n long, labelled_fraud_rate double, known_test_pr_auc double, legit_flag_rate double{extra}")
 
 
