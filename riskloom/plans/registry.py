@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scoring
-from ..operators import capacity, isolation, metrics, models, pit, policy, queues
+from ..operators import capacity, isolation, metrics, models, pit, policy, queues, ranges
 from ..sources import transactions as src
 from . import benchmark
 
@@ -234,6 +234,7 @@ QUERIES = {
     "transaction_velocity": lambda s, d: pit.velocity(tx(s, d)),
     "recipient_fanin": lambda s, d: pit.fan_in(tx(s, d)),
     "device_activity": lambda s, d: pit.device_activity(tx(s, d)),
+    "parity_counts": lambda s, d: ranges.parity_counts(tx(s, d)),
     "pit_features": lambda s, d: pit.payment_features(tx(s, d)),
     "paysim_features": lambda s, d: _features_out(pit.step_features(tx(s, d))),
     "recipient_investigation": lambda s, d: pit.recipient_investigation(tx(s, d)).select("transaction_id", "recipient_tx_24h", F.round("recipient_amount_24h", 4).alias("recipient_amount_24h"), "unique_senders_7d", "pair_tx_7d"),
@@ -519,5 +520,7 @@ ORACLE_SQL |= {
     "fraud_typology": ", k AS (SELECT amount, CASE WHEN transaction_id%2=0 THEN 'novel_shared_device_microburst' WHEN transaction_id%3=0 THEN 'account_takeover' WHEN transaction_id%3=1 THEN 'transfer_burst' ELSE 'mule_cashout' END AS fraud_type FROM fut WHERE is_fraud=1) SELECT fraud_type, COUNT(*) AS transactions, ROUND(SUM(amount),4) AS fraud_value, ROUND(AVG(amount),4) AS mean_amount, ROUND(COUNT(*)/SUM(COUNT(*)) OVER (),9) AS transaction_share, ROUND(SUM(amount)/SUM(SUM(amount)) OVER (),9) AS value_share FROM k GROUP BY fraud_type",
     "experiment_design": ", band AS (SELECT COUNT(*) FILTER (WHERE score>=0.3 AND score<0.5) AS n, COALESCE(AVG(is_fraud) FILTER (WHERE score>=0.3 AND score<0.5), AVG(is_fraud)) AS p FROM val), t AS (SELECT n, p, GREATEST(1e-6, p*0.75::DOUBLE) AS q FROM band) SELECT n AS eligible_n, ROUND(p,9) AS baseline_fraud_rate, ROUND(q,9) AS target_fraud_rate, CAST(CEIL(POWER((1.959963984540054::DOUBLE*SQRT((p+q)*(1-(p+q)/2))+0.8416212335729143::DOUBLE*SQRT(p*(1-p)+q*(1-q)))/(p-q),2)) AS BIGINT) AS required_n_per_arm FROM t",
 }
+_EARLIER = lambda key, back, name: f"(SELECT COUNT(*) FROM s h WHERE h.{key}=t.{key} AND h.sec<t.sec AND h.sec>=t.sec-{back}) AS {name}"
+ORACLE_SQL["parity_counts"] = f", s AS (SELECT *, us // 1000000 AS sec FROM tx) SELECT transaction_id, {_EARLIER('sender', 3600, 'sender_tx_1h')}, {_EARLIER('sender', 86400, 'sender_tx_24h')}, {_EARLIER('recipient', 86400, 'recipient_fanin_24h')}, {_EARLIER('device_id', 86400, 'device_activity_24h')} FROM s t"
 RECURSIVE = {"adaptive_routing", "admitted_candidates", "queue_sla_stress"}
 ORACLE_SQL = {k: (TX.replace("WITH b", "WITH RECURSIVE b", 1) if k in RECURSIVE else TX) + v for k, v in ORACLE_SQL.items()}
