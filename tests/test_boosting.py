@@ -97,3 +97,20 @@ def test_detectors_come_back_from_their_files(spark, tmp_path):
     back = models.Detector.load(spark, str(tmp_path / "d"))
     assert back.threshold == d.threshold and back.model == d.model
     assert [r["score"] for r in back.score(df).collect()] == [r["score"] for r in d.score(df).collect()]
+
+
+def test_leaves_of_few_rows_are_grown_by_one_task(spark, monkeypatch):
+    """The same trees, whether leaves are grown by passes, by tasks of their own or by both, and a job or two a tree where all rows are few."""
+    df, _, _ = table(spark, 900, 3)
+    args = {"trees": 4, "leaves": 15, "rate": 0.3, "least": 5, "edges": boosting.edges_of(df, ["a", "b", "c"], 16)}
+    models_ = []
+    for few in (0, 60, 1 << 20):
+        monkeypatch.setattr(boosting, "FEW", few)
+        spark.sparkContext.setJobGroup(f"few {few}", "")
+        models_.append(boosting.fit(df, ["a", "b", "c"], **args))
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"few {1 << 20}"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 4 + 2 * 4
+    for m in models_[1:]:
+        assert [t.nodes for t in m.trees] == [t.nodes for t in models_[0].trees]
+        assert [v for t in m.trees for v in t.values] == pytest.approx([v for t in models_[0].trees for v in t.values])
