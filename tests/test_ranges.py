@@ -37,3 +37,23 @@ def test_empty_and_repeated(tables):
     assert ranges.range_join(e.limit(0), w, ["k"], "at", "lo", "hi", 10).count() == 0
     assert ranges.range_counts(e, w.limit(0), ["k"], "at", "lo", "hi", 10).count() == 0
     assert [r["n"] for r in ranges.range_counts(e.limit(0), w.unionAll(w), ["k"], "at", "lo", "hi", 10).collect()] == [0] * 2 * len(windows)
+
+
+def test_crowded_keys_make_no_pairs(spark):
+    """4000 events of one key in one bucket and a window up to each: no step of the plan makes more rows than a few for each event, where pairs would be 8 million."""
+    e = spark.range(4000).selectExpr("'hot' AS k", "id AS at")
+    got = ranges.range_counts(e, e.selectExpr("k", "at - 5000 AS lo", "at AS hi"), ["k"], "at", "lo", "hi", 10_000)
+    assert sorted(r["n"] for r in got.collect()) == list(range(4000))
+    made = []
+    nodes = [got._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            nodes.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            nodes.append(node.plan())
+        if node.metrics().contains("numOutputRows"):
+            made.append(node.metrics().apply("numOutputRows").value())
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    assert made and max(made) <= 5 * 4000
