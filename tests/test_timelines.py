@@ -49,3 +49,12 @@ def test_a_crowded_key_is_spread(spark, monkeypatch):
     assert len(sizes) > 200 and max(sizes) < 60 and cut.where("k <> 'hot' and p <> 0").count() == 0
     got = pit.history(df, ["k"], "t", {"n": ("count", None, 500)}, split=True)
     assert got.where("k = 'hot'").agg(F.sum("n")).first()[0] == pit.history(df, ["k"], "t", {"n": ("count", None, 500)}, split=False).where("k = 'hot'").agg(F.sum("n")).first()[0]
+
+
+def test_cuts_are_the_same_however_rows_are_dealt(spark):
+    """A plan may compute the cuts once for each use, and tasks end in any order: two versions of them would lose or repeat steps."""
+    times = spark.range(300_000).select(F.lit("hot").alias("k"), (F.col("id") * 7919 % 3_000_017).alias("_at"))
+    cuts = [pit._cut_points(df, ["k"]).first()["_cuts"] for df in (times, times.orderBy(F.desc("_at")).coalesce(3), times.repartition(7, F.xxhash64("_at")))]
+    assert cuts[0] == cuts[1] == cuts[2] and cuts[0] == sorted(cuts[0]) and len(cuts[0]) == pit.PARTS - 1
+    edges = [0, *cuts[0], 3_000_017]
+    assert max(b - a for a, b in zip(edges, edges[1:])) < 4 * 3_000_017 / pit.PARTS
