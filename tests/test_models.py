@@ -46,3 +46,24 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "p")).count() == 4
     sinks.write_summary({"a": float("nan"), "b": np.float64(1.5), "c": [float("inf")]}, str(tmp_path / "s.json"))
     assert json.loads((tmp_path / "s.json").read_text()) == {"a": None, "b": 1.5, "c": [None]}
+
+
+def test_drawn_rows_end_where_an_ordering_ends_them(spark):
+    """Bands that are too narrow widen until the end lies within; equal hashes are told apart by id."""
+    from pyspark.sql import functions as F
+
+    each = spark.range(3000).selectExpr("CAST(id % 3 AS INT) AS repeat", "CAST(id % 5 = 0 AS INT) AS is_fraud", "id AS transaction_id", "CASE WHEN id % 7 = 0 THEN 5L ELSE xxhash64(id) END AS _h")
+    rows = [tuple(r) for r in each.collect()]
+    sizes = [(0, 1), (0, 400), (1, 100), (1, 200)]
+    want = {}
+    for r in range(3):
+        for i, (y, k) in enumerate(sizes):
+            line = sorted((-h, t) for a, b, t, h in rows if (a, b) == (r, y))
+            want[r, i] = (-line[k - 1][0], line[k - 1][1])
+    for spread in (0.001, 8.0):
+        got = models._hash_ends(each, 3, sizes, {0: 800, 1: 200}, spread)
+        assert {(r["repeat"], r["_i"]): (r["_end"], r["_t"]) for r in got.collect()} == want
+    scored = spark.range(6000).select(F.col("id").alias("transaction_id"), (F.col("id") % 40 == 0).cast("int").alias("is_fraud"), ((F.col("id") * 7919 % 1000) / 1000).alias("score"))
+    out = models.prior_shift(scored, 0.025, repeats=2)
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()  # no whole class is ordered
+    assert {(r["target_prevalence"], r["n"]) for r in out.collect()} == {(0.001, 5856), (0.0025, 5865), (0.005, 5879), (0.01, 5909), (0.02, 5969)}
