@@ -117,3 +117,17 @@ def test_capacity_by_selection_is_that_by_ranks(spark):
         if first:
             last = first[-1][3]
             assert (row["boundary_score"], row["boundary_tie_n"], row["boundary_tie_selected_n"]) == (round(last, 9), sum(x[3] == last for x in rows), sum(x[3] == last for x in first))
+
+
+def test_kept_tables_have_partitions_by_size(spark):
+    before = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning")}
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    spark.conf.set("spark.sql.optimizer.canChangeCachedPlanOutputPartitioning", "false")
+    try:
+        with order.kept(spark.range(1000).groupBy((F.col("id") % 100).alias("k")).count()) as rows:
+            assert rows.count() == 100
+            assert rows.rdd.getNumPartitions() < 10
+            assert spark.conf.get("spark.sql.optimizer.canChangeCachedPlanOutputPartitioning") == "false"
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
