@@ -4,9 +4,11 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from riskloom.functions.scoring import two_proportion_sample_size
-from riskloom.operators import isolation, models
+from riskloom.operators import isolation, models, pit
+from riskloom.plans import registry
 from riskloom.sources import sinks
 
 
@@ -67,3 +69,14 @@ def test_drawn_rows_end_where_an_ordering_ends_them(spark):
     out = models.prior_shift(scored, 0.025, repeats=2)
     assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()  # no whole class is ordered
     assert {(r["target_prevalence"], r["n"]) for r in out.collect()} == {(0.001, 5856), (0.0025, 5865), (0.005, 5879), (0.01, 5909), (0.02, 5969)}
+
+
+def test_features_of_a_span_are_those_of_the_whole(spark):
+    d = "/root/testdata/sf0.001"
+    for features in (registry.TAILS, registry.FEATURES_ML):
+        whole = pit.step_features(registry.tx(spark, d)).select("transaction_id", "step", *features)
+        for low, high in ((None, 300), (500, None), (200, 400)):
+            got = registry._span(spark, d, low, high, features).select("transaction_id", "step", *features)
+            want = whole.where((F.col("step") >= (low or 0)) & (F.col("step") < (high or 1000)))
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert not any(c.startswith("pair_") for c in pit.step_features(registry.tx(spark, d), pairs=False).columns)
