@@ -80,3 +80,7 @@ def test_features_of_a_span_are_those_of_the_whole(spark):
             want = whole.where((F.col("step") >= (low or 0)) & (F.col("step") < (high or 1000)))
             assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert not any(c.startswith("pair_") for c in pit.step_features(registry.tx(spark, d), pairs=False).columns)
+
+
+def test_detectors_are_compared_while_their_rows_are_kept(spark):
+    assert registry.QUERIES["detector_comparison"](spark, "/root/testdata/sf0.001").inputFiles() == []  # nothing is computed again when the result is read
