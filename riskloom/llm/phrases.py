@@ -33,8 +33,8 @@ SPACES, BREAKS = b"\x20\x09", b".,;:!?\x0a\x0b\x0c\x0d"
 SEPARATOR = re.compile(rb"[\x20\x09.,;:!?\x0A-\x0D]")
 KIND = np.zeros(256, np.uint8)
 KIND[list(SPACES)], KIND[list(BREAKS)] = 1, 2
-#: Bytes of text of a shard; a longer text is read in windows. Entries of bitmaps extended at once.
-SHARD, CHUNK = 3 << 20, 1 << 17
+#: Bytes of text of a shard; a longer text is read in windows. Bytes hashed at once, and entries of bitmaps extended at once.
+SHARD, PIECE, CHUNK = 3 << 19, 1 << 18, 1 << 14
 #: Bits of a machine word of a bitmap. A block of so many positions is met by so many words at most.
 BITS = 16
 
@@ -48,12 +48,21 @@ class Reader:
 
     def _grow(self, n: int) -> None:
         if len(self.powers) < n:
-            n = max(n, SHARD + SHARD // 8)
+            n = max(n, PIECE + PIECE // 8)
             steps = lambda b: np.multiply.accumulate(np.append(np.uint64(1), np.full(n - 1, b, np.uint64)))
             self.powers, self.inverses = steps(self.base), steps(pow(self.base, -1, 1 << 64))
 
     def tokens(self, data: bytes, lang: np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Tokens of lower-cased ``data``, and where its words start and end. A word's hash is that of its bytes and the language alone."""
+        found, at = [], 0
+        while at < len(data) or not found:  # some bytes at a time, so that arrays of 8 bytes for each of them stay small
+            m = SEPARATOR.search(data, at + PIECE) if len(data) - at > PIECE else None
+            stop = m.end() if m else len(data)
+            found.append(self._tokens(data[at:stop], at, lang))
+            at = stop
+        return tuple(map(np.concatenate, zip(*found, strict=True)))
+
+    def _tokens(self, data: bytes, offset: int, lang: np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         x = np.frombuffer(data, np.uint8)
         self._grow(len(x))
         kind = KIND[x]
@@ -65,7 +74,7 @@ class Reader:
         hashes = mix(np.add.reduceat(value, start) * self.inverses[start] ^ lang) if len(start) else np.zeros(0, np.uint64)
         hashes[hashes == 0] = 1
         order = np.argsort(np.concatenate([start, breaks]), kind="stable")
-        return np.concatenate([hashes, np.zeros(len(breaks), np.uint64)])[order], start, end
+        return np.concatenate([hashes, np.zeros(len(breaks), np.uint64)])[order], start + offset, end + offset
 
 
 def language(lang: str) -> np.uint64:

@@ -2,12 +2,13 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import pandas as pd
 
-from riskloom.llm import phrases
+from riskloom.llm import phrases, pst
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id long, text string, lang string, phrase string, n int"
@@ -106,3 +107,25 @@ def test_large_counts_and_empty(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert phrases.top(phrases.collocations(docs)).count() == 0
     assert phrases.top(phrases.collocations(spark.createDataFrame([(1, "a", "en", "p", 1)], SCHEMA))).count() == 0
+
+
+def test_shards_are_read_and_counted_in_little_memory(monkeypatch):
+    """Arrays of eight bytes for each byte of a shard, or for each pair of entries of its bitmaps, are never held whole; tokens are the same wherever a shard is cut."""
+    r = np.random.default_rng(3)
+    words = np.array([f"w{i}" for i in range(60)])
+    data = " ".join(words[r.integers(0, 60, 700_000)]).encode() + b".\n"
+    every = np.full(1 << (pst.PREFIX - 6), np.uint64(2**64 - 1))
+    tracemalloc.start()
+    tokens, start, end = phrases.Reader(0).tokens(data, phrases.language("en"))
+    read = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    before = tracemalloc.get_traced_memory()[0]
+    found, n = phrases.Miner(tokens, [every, every]).run()
+    counted = tracemalloc.get_traced_memory()[1] - before
+    tracemalloc.stop()
+    assert n.sum() == 700_000 - 2 and len(found) > 200_000 * 0.5
+    assert read < 20 * len(data) and counted < 100 * len(tokens) + (60 << 20), (read / len(data), counted / len(tokens))
+    monkeypatch.setattr(phrases, "PIECE", 1000)
+    for a, b in zip(phrases.Reader(0).tokens(data, phrases.language("en")), (tokens, start, end), strict=True):
+        assert np.array_equal(a, b)
+    assert data[start[70] : end[70]] == data.split()[70]
