@@ -23,8 +23,8 @@ ROTATIONS = 4
 SAMPLE = 8192
 #: The radius holds all k true neighbours of this share of the sample's queries, each different vector counted once.
 ALL_FOUND = 0.9
-#: Vectors indexed at a time, and queries broadcast at a time.
-CHUNK, BLOCK = 8192, 4096
+#: Vectors indexed at a time, queries broadcast at a time, and queries that a task looks at together.
+CHUNK, BLOCK, ASKED = 8192, 4096, 128
 
 
 class Codes:
@@ -63,7 +63,7 @@ class Index:
     """For each byte of the codes and each value, a bitmap of the codes near the value in that byte."""
 
     def __init__(self, codes: np.ndarray, radius: int):
-        self.codes, self.radius, m = codes, radius, codes.shape[1] * 8
+        self.columns, self.radius, m = np.ascontiguousarray(codes.T), radius, codes.shape[1] * 8
         parts = np.ascontiguousarray(codes).view(np.uint8).reshape(len(codes), m)
         each = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)) <= radius // m
         self.lists = np.stack([np.packbits(each[:, parts[:, j]], axis=1) for j in range(m)])
@@ -72,8 +72,11 @@ class Index:
         """Places of all codes within the radius."""
         parts = code.view(np.uint8)
         some = np.bitwise_or.reduce(self.lists[np.arange(len(parts)), parts], axis=0)
-        at = np.flatnonzero(np.unpackbits(some, count=len(self.codes)))
-        return at[np.bitwise_count(self.codes[at] ^ code).sum(axis=1) <= self.radius]
+        at = np.flatnonzero(np.unpackbits(some, count=self.columns.shape[1]))
+        far = np.zeros(len(at), np.uint16)
+        for column, c in zip(self.columns, code, strict=True):
+            far += np.bitwise_count(column[at] ^ c)
+        return at[far <= self.radius]
 
 
 def inner(q: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -85,8 +88,16 @@ def _top(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -score))[:k]
 
 
+def _may_lead(product: np.ndarray, slack: np.ndarray, floor: np.ndarray, k: int) -> np.ndarray:
+    """Which of each row's products may be among its k largest and not below ``floor``, which rises to the k-th; -inf takes no part. What a product can't tell (overflow) stays."""
+    plain = np.where(np.isfinite(product), product, -np.inf)
+    if plain.shape[1] >= k:
+        np.maximum(floor, np.partition(plain, -k, axis=1)[:, -k] - slack, out=floor)
+    return ((plain >= floor[:, None] - slack[:, None]) & (plain > -np.inf)) | np.isnan(product) | (product == np.inf)
+
+
 def _search(shared, k: int, dims: int, exact: bool):
-    """Nearest of each query within each chunk of vectors."""
+    """Nearest of each query within each chunk of vectors. Matrix products say which rows may be among the k nearest of their chunk, and of those before it in the task; only these are scored one by one and ordered."""
 
     def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         ids, vecs = [], []
@@ -103,16 +114,23 @@ def _search(shared, k: int, dims: int, exact: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codes, qids, q = shared.value
         asked = codes.of(codes.lifted(q, query=True))
+        floor, lengths = np.full(len(qids), -np.inf), np.linalg.norm(q, axis=1)
         for ids, vecs in chunks(batches):
             index = None if exact else Index(codes.of(codes.lifted(vecs)), codes.radius)
-            rows = []
-            for i, qid in enumerate(qids):
-                at = np.arange(len(ids)) if exact else index.within(asked[i])
-                at = at[ids[at] != qid]
-                s = inner(q[i], vecs[at])
-                best = _top(s, ids[at], k)
-                rows.append((np.full(len(best), qid), ids[at][best], s[best]))
-            yield pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*rows, strict=True)), strict=True)))
+            slack = 1e-9 * lengths * np.linalg.norm(vecs, axis=1).max()  # far more than sums in another order differ by
+            for a in range(0, len(qids), ASKED):
+                some = slice(a, a + ASKED)
+                product = q[some] @ vecs.T
+                for i, code in enumerate([] if exact else asked[some]):
+                    beyond = np.ones(len(ids), bool)
+                    beyond[index.within(code)] = False
+                    product[i, beyond] = -np.inf
+                product[qids[some][:, None] == ids] = -np.inf
+                of, at = np.nonzero(_may_lead(product, slack[some], floor[some], k))
+                s = inner(q[some][of], vecs[at])
+                order = np.lexsort((ids[at], -s, of))
+                order = order[np.arange(len(of)) - np.searchsorted(of, of) < k]  # np.nonzero goes by rows, so ``of`` is in order
+                yield pd.DataFrame({"query_id": qids[some][of[order]], "vec_id": ids[at[order]], "score": s[order]})
 
     return run
 

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 import tiktoken
 
@@ -487,3 +488,29 @@ def test_archive_of_a_damaged_record_is_an_error():
         list(warc.records(io.BytesIO(member(b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\nabc")), lambda row: True, True))
     got = warc.parse_header(b"WARC/1.1\r\ncontent-length:3\r\nWARC-TYPE:  response")
     assert got["Content-Length"] == "3" and got["WARC-Type"] == "response"
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_few_rows_are_scored_one_by_one(monkeypatch, exact):
+    """Rows that can't be among a query's nearest aren't scored and ordered one by one; what is found is the same."""
+    r = np.random.default_rng(8)
+    v = r.normal(size=(3000, 16))
+    v[40:60] = v[40]
+    v[5] *= 1e120
+    v[7] = v[5]
+    ids, asked = np.arange(3000), np.arange(0, 3000, 20)
+    codes = mih.Codes(v[100:], float(np.linalg.norm(v[8:], axis=1).max()), 10)
+    scored, real = [], mih.inner
+    monkeypatch.setattr(mih, "inner", lambda q, x: scored.append(len(x)) or real(q, x))
+    monkeypatch.setattr(mih, "CHUNK", 1000)
+    frames = (pd.DataFrame({"vec_id": ids[i : i + 500], "v": list(v[i : i + 500])}) for i in range(0, 3000, 500))
+    got = pd.concat(mih._search(type("B", (), {"value": (codes, asked, v[asked])}), 10, 16, exact)(frames))
+    assert sum(scored) < 0.5 * len(asked) * 3000  # all of the first thousand, beside a vector of 1e120, and few of the others
+    index = mih.Index(codes.of(codes.lifted(v)), codes.radius)
+    for a in asked:
+        at = ids if exact else index.within(codes.of(codes.lifted(v[a : a + 1], query=True))[0])
+        at = at[at != a]
+        s = real(v[a], v[at])
+        best = np.lexsort((at, -s))[:10]
+        mine = got[got["query_id"] == a].sort_values(["score", "vec_id"], ascending=[False, True])[:10]
+        assert mine["vec_id"].tolist() == at[best].tolist() and mine["score"].tolist() == s[best].tolist()
