@@ -8,8 +8,9 @@ what precedes it.
 
 Since back-off multiplies, the log probability of a text is a sum of values looked up one by one: of its words, its pairs
 and its triples of words. The tree grows with the corpus and stays in tables. Values of the most frequent words and grams
-are broadcast; the other words and grams of a text are joined to theirs. A bitmap of hash prefixes, of one size whatever
-the input, spares the join most grams that aren't in the tree; it never hides one that is.
+are broadcast; the other words and grams of many texts go together, packed, to the range of hashes that holds theirs, and
+a task for each range sends back one sum a text. A bitmap of hash prefixes, of one size whatever the input, spares this
+most grams that aren't in the tree; it never hides one that is.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, WordHashes, drop, freed_shuffles, materialise
@@ -33,6 +34,8 @@ PRIOR = 0.5
 FREQUENT = 1 << 18
 #: At most so many of the most frequent grams are scored from a broadcast table; the rest are joined.
 FREQUENT_GRAMS = 1 << 20
+#: About so many rows of the tables of words and grams are held by a task that scores what isn't broadcast.
+RANGE = 1 << 20
 #: Bits of a hash that place a gram in the bitmap (16 MB).
 PREFIX = 27
 #: Words are 64-bit hashes; these stand for the root, and for what is before and after a text.
@@ -137,17 +140,17 @@ def level(grams: DataFrame, suffix: DataFrame, contexts: DataFrame) -> tuple[Dat
     ``backed``: log10 weight of the suffix's distribution. ``p``: probability in the longest retained suffix. ``e``: log10
     of what a gram's probability is beyond backed * q; 0 in contexts that aren't retained.
     """
-    left = grams.groupBy("c").agg(F.sum("n").alias("kept")).join(contexts, "c").select("c", "of", (F.col("of") - F.col("kept")).alias("left"))
-    known = materialise(grams.join(suffix, "w").select("c", "id", "n", "q").join(left, "c"), "known")
+    over = Window.partitionBy("c")  # a context's kept words; both joins and the sums over it shuffle a gram twice in all
+    known = grams.join(suffix, "w").join(contexts, "c").withColumn("left", F.col("of") - F.sum("n").over(over))
     back = (F.col("left") + PRIOR) / (F.col("of") + PRIOR)
     own = F.col("n") / (F.col("of") + PRIOR) + back * F.col("q")
-    gain = F.sum(F.col("n") * F.log(own / F.col("q"))) + F.first(F.col("left") * F.log(back))
-    states = materialise(known.groupBy("c").agg(gain.alias("gain"), F.first(F.log10(back)).alias("backed")).where(F.col("gain") >= GAIN).select("c", "backed"), "states")
-    of_state = F.col("backed").isNotNull()
-    p, e = F.when(of_state, own).otherwise(F.col("q")), F.when(of_state, F.log10(own / F.col("q")) - F.col("backed")).otherwise(0.0)
-    out = materialise(known.join(states, "c", "left").select("id", "n", p.alias("p"), e.alias("e")), "grams")
-    drop(known)
-    return states, out
+    known = known.select("c", "id", "n", "q", "left", back.alias("back"), own.alias("own"))
+    known = known.withColumn("gain", F.sum(F.col("n") * F.log(F.col("own") / F.col("q"))).over(over) + F.col("left") * F.log("back"))
+    of_state = F.col("gain") >= GAIN
+    p, e = F.when(of_state, F.col("own")).otherwise(F.col("q")), F.when(of_state, F.log10(F.col("own") / F.col("q")) - F.log10("back")).otherwise(0.0)
+    out = materialise(known.select("c", "id", "n", p.alias("p"), e.alias("e"), F.when(of_state, F.log10("back")).alias("backed")), "grams")
+    states = materialise(out.where("backed is not null").groupBy("c").agg(F.first("backed").alias("backed")), "states")
+    return states, out.select("id", "n", "p", "e")
 
 
 def fit(train: DataFrame) -> tuple[DataFrame, DataFrame, int, int, float]:
@@ -201,40 +204,100 @@ def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == keys if len(table) else np.zeros(len(keys), bool)
 
 
-def _score(frequent, n_all: int, distinct: int, start: float):
-    """Rows: one for each document (kind 0), one for each of its words (kind 1) and of its grams (kind 2) that the broadcast tables lack."""
-    schema = ["kind", "row", "doc_id", "n_tokens", "n_known", "base", "score", "w", "tf"]
+def _planes(x: np.ndarray) -> bytes:
+    """Whole numbers byte by byte, the lowest bytes of all first: what is zero in all of them is packed well."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
 
-    def lacking(kind: int, rows: np.ndarray, owner: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
-        kinds, which = np.unique(ids, return_inverse=True)
-        k, n = np.unique(owner * max(1, len(kinds)) + which, return_counts=True)
-        out = pd.DataFrame({"row": rows[k // max(1, len(kinds))], "w": kinds[k % max(1, len(kinds))].view(np.int64), "tf": n})
-        return out.assign(kind=kind, doc_id=pd.array([None] * len(k), dtype="Int64"), n_tokens=0, n_known=0, base=0.0, score=0.0)[schema]
+
+def _unplaned(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind)[:, 0]
+
+
+def _range(ids: np.ndarray, ranges: int) -> np.ndarray:
+    return ((ids >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
+
+
+def _range_of(column: str, ranges: int):
+    return F.shiftrightunsigned(F.shiftrightunsigned(column, 32) * F.lit(ranges), 32).cast("int")
+
+
+#: Texts that are read together: kind 0 has what is known of them so far (doc_ids, whether these aren't null, and four sums); 1 and 2 their words and grams that the broadcast tables lack, in a range of hashes. ``row`` is the first text's.
+PACKED = "range int, kind int, row long, ids binary, of binary, sums binary"
+SCORED = "row long, doc_id long, n_tokens long, n_known long, base double, score double"
+
+
+def _score(frequent, n_all: int, distinct: int, start: float, ranges: int):
+    """Texts to PACKED."""
+
+    def lacking(kind: int, row: int, owner: np.ndarray, ids: np.ndarray) -> Iterator[tuple]:
+        order = np.argsort(ids)
+        ids, owner = ids[order], owner[order].astype(np.uint32)
+        held, cut = np.unique(_range(ids, ranges), return_index=True)
+        for r, a, b in zip(held.tolist(), cut.tolist(), [*cut[1:].tolist(), len(ids)], strict=True):
+            yield r, kind, row, _planes(np.diff(ids[a:b], prepend=np.uint64(0))), _planes(owner[a:b]), None
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         (common, counts, backed), (held, values), bits = frequent.value
         log_counts, log_all = np.log10(counts + 0.1), np.log10(n_all + 0.1 * (distinct + 1))
         for pdf, w, first in _batches(frames):
-            rows, sizes = pdf["row"].to_numpy(np.int64), np.diff(np.append(first, len(w)))
-            owner = np.repeat(np.arange(len(rows)), sizes)
+            row, sizes = int(pdf["row"].iloc[0]), np.diff(np.append(first, len(w)))  # rows are numbered one by one
+            owner = np.repeat(np.arange(len(pdf)), sizes)
             at, found = _find(common, w)
-            base = np.bincount(owner[found], log_counts[at[found]], len(rows)) - sizes * log_all
-            known = np.bincount(owner[found], minlength=len(rows))
-            score = base + np.bincount(owner[found], backed[at[found]], len(rows)) + start
-            yield lacking(1, rows, owner[~found], w[~found])
+            base = np.bincount(owner[found], log_counts[at[found]], len(pdf)) - sizes * log_all
+            known = np.bincount(owner[found], minlength=len(pdf))
+            score = base + np.bincount(owner[found], backed[at[found]], len(pdf)) + start
+            out = [*lacking(1, row, owner[~found], w[~found])] if not found.all() else []
             pair = pairs(w, first)[1]
             later, _, triple = triples(pair, first)
+            rest = []
             for ids, of in ((pair, owner), (triple, owner[later])):
                 met = np.flatnonzero(may_hold(bits, ids))
                 ids, of = ids[met], of[met]
                 at, found = _find(held, ids)
-                score += np.bincount(of[found], values[at[found]], len(rows))
-                yield lacking(2, rows, of[~found], ids[~found])
-            yield pd.DataFrame({"kind": 0, "row": rows, "doc_id": pdf["doc_id"].to_numpy(), "n_tokens": sizes, "n_known": known, "base": base, "score": score, "w": 0, "tf": 0})[schema].astype({"doc_id": "Int64"})
+                score += np.bincount(of[found], values[at[found]], len(pdf))
+                rest.append((of[~found], ids[~found]))
+            of, ids = map(np.concatenate, zip(*rest, strict=True))
+            out += [*lacking(2, row, of, ids)] if len(ids) else []
+            out.append((row % ranges, 0, row, pdf["doc_id"].to_numpy(np.int64).tobytes(), pdf["has_id"].to_numpy(bool).tobytes(), np.stack([sizes.astype(float), known, base, score]).tobytes()))
+            yield pd.DataFrame(out, columns=["range", "kind", "row", "ids", "of", "sums"])
 
     return run
 
 
+def _looked_up(packed: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+    """One range: PACKED and the words (kind 1: id, n, v the weight of what follows) and grams (kind 2: id, v) there to SCORED, sums to be added up by row."""
+    words, grams = (_sorted(table[table["kind"] == kind], "id", "n", "v") for kind in (1, 2))
+    frames = [pd.DataFrame({"row": np.zeros(0, np.int64), "doc_id": pd.array([], "Int64"), "n_tokens": 0, "n_known": 0, "base": 0.0, "score": 0.0})]
+    for row, batch in packed.groupby("row"):
+        owners, base, known, score = [np.zeros(0, np.uint32)], [np.zeros(0)], [np.zeros(0)], [np.zeros(0)]
+        for kind, ids, of, sums in zip(batch["kind"], batch["ids"], batch["of"], batch["sums"], strict=True):
+            if kind == 0:
+                n_tokens, n_known, b, s = np.frombuffer(sums).reshape(4, -1)
+                doc_id = pd.array(np.frombuffer(ids, np.int64), "Int64")
+                doc_id[~np.frombuffer(of, bool)] = pd.NA
+                frames.append(pd.DataFrame({"row": row + np.arange(len(b)), "doc_id": doc_id, "n_tokens": n_tokens.astype(np.int64), "n_known": n_known.astype(np.int64), "base": b, "score": s}))
+                continue
+            ids, of = np.cumsum(_unplaned(ids, np.uint64)), _unplaned(of, np.uint32)
+            held, n, v = words if kind == 1 else grams
+            at, found = _find(held, ids)
+            if kind == 2:
+                of, at, n_of = of[found], at[found], 0.0
+                found = np.zeros(len(of), bool)
+                add = v[at]
+            else:
+                n_of = np.log10((np.where(found, n[at], 0.0) if len(held) else np.zeros(len(ids))) + 0.1)
+                add = n_of + (np.where(found, v[at], 0.0) if len(held) else 0.0)
+            owners.append(of)
+            base.append(np.zeros(len(of)) + n_of)
+            known.append(found.astype(float))
+            score.append(add)
+        mine, which = np.unique(np.concatenate(owners), return_inverse=True)
+        sums = [np.bincount(which, np.concatenate(x), len(mine)) for x in (known, base, score)]
+        frames.append(pd.DataFrame({"row": row + mine.astype(np.int64), "doc_id": pd.array([pd.NA] * len(mine), "Int64"), "n_tokens": 0, "n_known": sums[0].astype(np.int64), "base": sums[1], "score": sums[2]}))
+    return pd.concat(frames, ignore_index=True)
+
+
 def score_texts(docs: DataFrame, train: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs`` under a tree fitted to all of ``train``.
 
@@ -244,19 +307,13 @@ def score_texts(docs: DataFrame, train: DataFrame) -> DataFrame:
     sc = docs.sparkSession.sparkContext
     words, values, n_all, distinct, start = fit(train.select(F.col("text").alias("t")))
     frequent = sc.broadcast((_sorted(most_frequent(words, FREQUENT), "w", "n", "backed"), _sorted(most_frequent(values, FREQUENT_GRAMS), "id", "v"), bitmap(values)))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("t"))
-    out = materialise(rows.mapInPandas(_score(frequent, n_all, distinct, start), "kind int, row long, doc_id long, n_tokens long, n_known long, base double, score double, w long, tf long"), "scored")
-    rare = out.where("kind = 1").select("row", "w", "tf").join(words, "w", "left").groupBy("row").agg(
-        F.sum(F.col("tf") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.1))).alias("rare_base"), F.sum(F.when(F.col("n") > 0, F.col("tf")).otherwise(0)).alias("rare_known"),
-        F.sum(F.col("tf") * F.coalesce("backed", F.lit(0.0))).alias("rare_backed"),
-    )
-    lacked = out.where("kind = 2").select("row", F.col("w").alias("id"), "tf").join(values.select("id", "v"), "id").groupBy("row").agg(F.sum(F.col("tf") * F.col("v")).alias("rare_score"))
-    done = out.where("kind = 0").join(rare, "row", "left").join(lacked, "row", "left")
-    rare_base, zero = F.coalesce("rare_base", F.lit(0.0)), F.lit(0.0)
-    return done.select(
-        "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
-        (F.col("base") + rare_base).alias("base_score"), (F.col("score") + rare_base + F.coalesce("rare_backed", zero) + F.coalesce("rare_score", zero)).alias("score"),
-    )
+    tables = words.select(F.lit(1).alias("kind"), F.col("w").alias("id"), "n", F.col("backed").alias("v")).unionByName(values.select(F.lit(2).alias("kind"), "id", F.lit(0).cast("long").alias("n"), "v"))
+    ranges = -(-tables.count() // RANGE) or 1
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.col("doc_id").cast("long").isNotNull().alias("has_id"), F.col("text").alias("t"))
+    packed = rows.mapInPandas(_score(frequent, n_all, distinct, start, ranges), PACKED)
+    sums = packed.groupBy("range").cogroup(tables.withColumn("range", _range_of("id", ranges)).groupBy("range")).applyInPandas(_looked_up, SCORED)
+    done = sums.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")))
+    return done.select("doc_id", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
 
 
 def held_out(mod: int, rest: int):

@@ -228,6 +228,26 @@ def test_suffix_tree_scores_as_brute_force(spark, monkeypatch, most):
         assert got[i] == pytest.approx(sum(math.log10(p(ws[max(0, k - 2) : k], ws[k])) for k in range(1, len(ws))), rel=1e-9)
 
 
+def test_suffix_tree_packs_what_is_not_broadcast(spark, monkeypatch):
+    """Words and grams of many texts travel together, a row for each range of hashes; scores are the same in many ranges, and large ids stay what they are beside null ones."""
+    texts = [t for _, t in sorted(rows(spark.read.parquet(f"{DATA}/documents.parquet")))[:60]]
+    docs = spark.createDataFrame([((1 << 60) + i if i % 3 else None, t) for i, t in enumerate([*texts, None, ""])], "doc_id long, text string").coalesce(2)
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["score"])
+    want = sorted(pst.score_texts(docs, docs).collect(), key=key)
+    assert {r["doc_id"] for r in want} == {None} | {(1 << 60) + i for i in range(62) if i % 3}
+    for name, most in (("FREQUENT", 20), ("FREQUENT_GRAMS", 20), ("RANGE", 1000)):
+        monkeypatch.setattr(pst, name, most)
+    got = sorted(pst.score_texts(docs, docs).collect(), key=key)
+    assert len(got) == len(want) == 62
+    for a, b in zip(got, want, strict=True):
+        assert a[:4] == b[:4] and a[4:] == pytest.approx(b[4:], rel=1e-12)
+    none = (np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
+    shared = type("B", (), {"value": (none, none[:2], np.full(1 << (pst.PREFIX - 6), np.uint64(2**64 - 1)))})
+    frame = pd.DataFrame({"row": range(60), "doc_id": range(60), "has_id": True, "t": texts})
+    packed = pd.concat(pst._score(shared, 1, 1, 0.0, 5)(iter([frame])))
+    assert len(packed) == 11 and packed["of"][packed["kind"] == 1].map(len).sum() == 4 * sum(len(pst.canonical(t)) + 1 for t in texts)
+
+
 def test_suffix_tree_gains_on_held_out_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     test = pst.held_out(10, 0)
