@@ -224,7 +224,8 @@ def _range_of(column: str, ranges: int):
 
 #: Texts that are read together: kind 0 has what is known of them so far (doc_ids, whether these aren't null, and four sums); 1 and 2 their words and grams that the broadcast tables lack, in a range of hashes. ``row`` is the first text's.
 PACKED = "range int, kind int, row long, ids binary, of binary, sums binary"
-SCORED = "row long, doc_id long, n_tokens long, n_known long, base double, score double"
+SUMMED = "row long, kind int, ids binary, of binary, sums binary"
+SCORED = "doc_id long, n_tokens long, n_known long, base double, score double"
 
 
 def _score(frequent, n_all: int, distinct: int, start: float, ranges: int):
@@ -266,36 +267,47 @@ def _score(frequent, n_all: int, distinct: int, start: float, ranges: int):
 
 
 def _looked_up(packed: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-    """One range: PACKED and the words (kind 1: id, n, v the weight of what follows) and grams (kind 2: id, v) there to SCORED, sums to be added up by row."""
+    """One range: PACKED and the words (kind 1: id, n, v the weight of what follows) and grams (kind 2: id, v) there to SUMMED: what is known of texts as it came (kind 0), and a row of sums for all others of the texts read together (kind 1)."""
     words, grams = (_sorted(table[table["kind"] == kind], "id", "n", "v") for kind in (1, 2))
-    frames = [pd.DataFrame({"row": np.zeros(0, np.int64), "doc_id": pd.array([], "Int64"), "n_tokens": 0, "n_known": 0, "base": 0.0, "score": 0.0})]
+    out = []
     for row, batch in packed.groupby("row"):
         owners, base, known, score = [np.zeros(0, np.uint32)], [np.zeros(0)], [np.zeros(0)], [np.zeros(0)]
         for kind, ids, of, sums in zip(batch["kind"], batch["ids"], batch["of"], batch["sums"], strict=True):
             if kind == 0:
-                n_tokens, n_known, b, s = np.frombuffer(sums).reshape(4, -1)
-                doc_id = pd.array(np.frombuffer(ids, np.int64), "Int64")
-                doc_id[~np.frombuffer(of, bool)] = pd.NA
-                frames.append(pd.DataFrame({"row": row + np.arange(len(b)), "doc_id": doc_id, "n_tokens": n_tokens.astype(np.int64), "n_known": n_known.astype(np.int64), "base": b, "score": s}))
+                out.append((row, 0, ids, of, sums))
                 continue
             ids, of = np.cumsum(_unplaned(ids, np.uint64)), _unplaned(of, np.uint32)
             held, n, v = words if kind == 1 else grams
             at, found = _find(held, ids)
-            if kind == 2:
-                of, at, n_of = of[found], at[found], 0.0
-                found = np.zeros(len(of), bool)
-                add = v[at]
+            if kind == 1:
+                log_n, add = np.full(len(ids), -1.0), np.zeros(len(ids))  # log10(0.1) of unknown words
+                log_n[found], add[found] = np.log10(n[at[found]] + 0.1), v[at[found]]
             else:
-                n_of = np.log10((np.where(found, n[at], 0.0) if len(held) else np.zeros(len(ids))) + 0.1)
-                add = n_of + (np.where(found, v[at], 0.0) if len(held) else 0.0)
+                of, add = of[found], v[at[found]]
+                log_n, found = np.zeros(len(of)), np.zeros(len(of), bool)
             owners.append(of)
-            base.append(np.zeros(len(of)) + n_of)
+            base.append(log_n)
             known.append(found.astype(float))
-            score.append(add)
+            score.append(log_n + add)
         mine, which = np.unique(np.concatenate(owners), return_inverse=True)
-        sums = [np.bincount(which, np.concatenate(x), len(mine)) for x in (known, base, score)]
-        frames.append(pd.DataFrame({"row": row + mine.astype(np.int64), "doc_id": pd.array([pd.NA] * len(mine), "Int64"), "n_tokens": 0, "n_known": sums[0].astype(np.int64), "base": sums[1], "score": sums[2]}))
-    return pd.concat(frames, ignore_index=True)
+        if len(mine):
+            sums = np.stack([np.bincount(which, np.concatenate(x), len(mine)) for x in (known, base, score)])
+            out.append((row, 1, None, mine.astype(np.uint32).tobytes(), sums.tobytes()))
+    return pd.DataFrame(out, columns=["row", "kind", "ids", "of", "sums"])
+
+
+def _added_up(summed: pd.DataFrame) -> pd.DataFrame:
+    """SUMMED of texts read together to SCORED, a row for each text."""
+    first = summed[summed["kind"] == 0].iloc[0]
+    n_tokens, known, base, score = np.frombuffer(first["sums"]).reshape(4, -1).copy()
+    rest = summed[summed["kind"] == 1]
+    for of, sums in sorted(zip(rest["of"], rest["sums"], strict=True)):
+        at = np.frombuffer(of, np.uint32)
+        for total, part in zip((known, base, score), np.frombuffer(sums).reshape(3, -1), strict=True):
+            total[at] += part
+    doc_id = pd.array(np.frombuffer(first["ids"], np.int64), "Int64")
+    doc_id[~np.frombuffer(first["of"], bool)] = pd.NA
+    return pd.DataFrame({"doc_id": doc_id, "n_tokens": n_tokens.astype(np.int64), "n_known": known.astype(np.int64), "base": base, "score": score})
 
 
 def score_texts(docs: DataFrame, train: DataFrame) -> DataFrame:
@@ -311,8 +323,8 @@ def score_texts(docs: DataFrame, train: DataFrame) -> DataFrame:
     ranges = -(-tables.count() // RANGE) or 1
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.col("doc_id").cast("long").isNotNull().alias("has_id"), F.col("text").alias("t"))
     packed = rows.mapInPandas(_score(frequent, n_all, distinct, start, ranges), PACKED)
-    sums = packed.groupBy("range").cogroup(tables.withColumn("range", _range_of("id", ranges)).groupBy("range")).applyInPandas(_looked_up, SCORED)
-    done = sums.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")))
+    sums = packed.groupBy("range").cogroup(tables.withColumn("range", _range_of("id", ranges)).groupBy("range")).applyInPandas(_looked_up, SUMMED)
+    done = sums.groupBy("row").applyInPandas(_added_up, SCORED)
     return done.select("doc_id", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
 
 

@@ -246,6 +246,9 @@ def test_suffix_tree_packs_what_is_not_broadcast(spark, monkeypatch):
     frame = pd.DataFrame({"row": range(60), "doc_id": range(60), "has_id": True, "t": texts})
     packed = pd.concat(pst._score(shared, 1, 1, 0.0, 5)(iter([frame])))
     assert len(packed) == 11 and packed["of"][packed["kind"] == 1].map(len).sum() == 4 * sum(len(pst.canonical(t)) + 1 for t in texts)
+    table = pd.DataFrame({"kind": [1, 2], "id": [pst.END, 5], "n": [61, 0], "v": [0.5, 0.25]})
+    summed = pd.concat(pst._looked_up(part, table) for _, part in packed.groupby("range"))
+    assert len(summed) == 6 and len(pst._added_up(summed)) == 60  # a row for each range, not for each text there
 
 
 def test_suffix_tree_gains_on_held_out_texts(spark):
