@@ -114,3 +114,22 @@ def test_leaves_of_few_rows_are_grown_by_one_task(spark, monkeypatch):
     for m in models_[1:]:
         assert [t.nodes for t in m.trees] == [t.nodes for t in models_[0].trees]
         assert [v for t in m.trees for v in t.values] == pytest.approx([v for t in models_[0].trees for v in t.values])
+
+
+def test_what_a_task_is_told_does_not_grow_with_every_tree(spark, monkeypatch):
+    """Blocks are made from the rows anew after some trees, which are the same trees."""
+    df = spark.range(400).selectExpr("id AS transaction_id", "CAST(id % 7 IN (1, 3) AS INT) AS is_fraud", "CAST(id % 50 AS DOUBLE) AS a", "CAST(id * 37 % 100 AS DOUBLE) AS b")
+    args = {"trees": 12, "leaves": 4, "rate": 0.3, "least": 5, "edges": boosting.edges_of(df, ["a", "b"], 8)}
+    depth, grow = [], boosting._grow
+
+    def grown(blocks, *rest):
+        depth.append(blocks.toDebugString().count(b"PythonRDD"))
+        return grow(blocks, *rest)
+
+    monkeypatch.setattr(boosting, "_grow", grown)
+    whole = boosting.fit(df, ["a", "b"], **args)
+    monkeypatch.setattr(boosting, "CHAIN", 3)
+    depth.clear()
+    cut = boosting.fit(df, ["a", "b"], **args)
+    assert depth == depth[:3] * 4
+    assert [t.nodes for t in cut.trees] == [t.nodes for t in whole.trees] and [t.values for t in cut.trees] == [t.values for t in whole.trees]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.scoring import two_proportion_sample_size
 from riskloom.operators import isolation, models, pit
-from riskloom.plans import registry
+from riskloom.plans import benchmark, registry
 from riskloom.sources import sinks
 
 
@@ -84,3 +84,17 @@ def test_features_of_a_span_are_those_of_the_whole(spark):
 
 def test_detectors_are_compared_while_their_rows_are_kept(spark):
     assert registry.QUERIES["detector_comparison"](spark, "/root/testdata/sf0.001").inputFiles() == []  # nothing is computed again when the result is read
+
+
+def test_the_whole_study_grows_all_its_trees(spark, monkeypatch):
+    """The fixture's few trees are not those of ``full_benchmark``: its models have the study's 250."""
+    asked = []
+
+    def fit(train, validation, names, trees):
+        asked.append(trees)
+        raise InterruptedError
+
+    monkeypatch.setattr(benchmark.models, "fit_detector", fit)
+    with pytest.raises(InterruptedError):
+        registry.QUERIES["full_benchmark"](spark, "/root/testdata/sf0.001")
+    assert set(asked) == {250}
