@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from riskloom.operators import order, pit
+from riskloom.plans import registry
 
 MEASURES = {"n_short": ("count", None, 5), "n_long": ("count", None, 300), "total": ("sum", "amount", 300), "mean": ("mean", "amount", 40), "values": ("distinct", "v", 60), "long_values": ("distinct", "v", 900)}
 
@@ -58,3 +59,30 @@ def test_cuts_are_the_same_however_rows_are_dealt(spark):
     assert cuts[0] == cuts[1] == cuts[2] and cuts[0] == sorted(cuts[0]) and len(cuts[0]) == pit.PARTS - 1
     edges = [0, *cuts[0], 3_000_017]
     assert max(b - a for a, b in zip(edges, edges[1:])) < 4 * 3_000_017 / pit.PARTS
+
+
+def test_rows_that_take_part_in_the_line(spark, monkeypatch):
+    """What ``history`` gives, crowded keys and values included, with rows moved once."""
+    rows, df = made(spark)
+    want = {r[0]: plain(rows, r[1], r[2]) for r in rows}
+    for piece in (1 << 16, 30):
+        monkeypatch.setattr(pit, "PIECE", piece)
+        cuts, values = pit.crowds(df.withColumn("_at", F.col("t")), [["k"], ["k", "v"]])
+        assert (cuts is None) == (piece > 30) and (cuts is None or "hot" in {r["k"] for r in cuts.collect()})
+        for ranged in {False, values is not None}:
+            found = pit.followed(df, ["k"], "t", MEASURES, df, cuts, ranged)
+            assert found.columns == [*df.columns, *MEASURES]
+            got = found.collect()
+            assert len(got) == len(rows)
+            for r in got:
+                for a, b in zip((r[m] for m in MEASURES), want[r["id"]], strict=True):
+                    assert a == b or (a is not None and b is not None and abs(a - b) <= 1e-9 * max(1, abs(b))), (piece, ranged, r, want[r["id"]])
+
+
+def test_payment_features_move_rows_once_a_key(spark):
+    """Disk fails first: rows are moved by sender, recipient and device, and no copy of them is joined back."""
+    d = "/root/testdata/sf0.001"
+    df = pit.payment_features(registry.tx(spark, d))
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count(" Exchange hashpartitioning") == 3 and "Join" not in plan
