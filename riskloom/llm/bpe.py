@@ -17,7 +17,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 NEVER = 1 << 40
+#: Rows leave a task whenever their ids are so long as text, since ids of a whole batch take several times the memory of its texts.
+PIECE = 1 << 20
 
 
 class Vocabulary:
@@ -181,6 +185,21 @@ def vocabulary_file(name: str = "byte_bpe_50k.tiktoken") -> tuple[bytes, str]:
         return f.read(), public_tokenizers.PATTERN
 
 
+def encoded(encoder: Encoder, batches: Iterator[pd.DataFrame], ids: bool) -> Iterator[pd.DataFrame]:
+    """Rows (k, t) encoded, in frames of about PIECE characters of ids."""
+    for pdf in batches:
+        rows, first, size, keys = [], 0, 0, pdf["k"].to_numpy()
+        for n, t in enumerate(pdf["t"], 1):
+            line = encoder.encode(t or "")
+            back = encoder.decode(line)
+            row = (line.count(" ") + 1 if line else 0, hashlib.sha256(line.encode()).hexdigest(), hashlib.sha256(back).hexdigest())
+            rows.append((*row, line) if ids else row)
+            size += len(line)
+            if size > PIECE or n == len(keys):
+                yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * ids]).assign(k=keys[first:n])
+                rows, first, size = [], n, 0
+
+
 def encode(docs: DataFrame, *, key: str = "doc_id", text: str = "text", vocabulary: tuple[bytes, str] | None = None, ids: bool = True) -> DataFrame:
     """Encode every whole text; no shuffle, memory bounded by a batch of rows and the bounded caches.
 
@@ -192,15 +211,8 @@ def encode(docs: DataFrame, *, key: str = "doc_id", text: str = "text", vocabula
     shared = docs.sparkSession.sparkContext.broadcast(lines)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(shared.value, pattern)  # of this task: its caches go with it
-        for pdf in batches:
-            rows = []
-            for t in pdf["t"]:
-                line = encoder.encode(t or "")
-                back = encoder.decode(line)
-                row = (line.count(" ") + 1 if line else 0, hashlib.sha256(line.encode()).hexdigest(), hashlib.sha256(back).hexdigest())
-                rows.append((*row, line) if ids else row)
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * ids]).assign(k=pdf["k"].to_numpy())
+        give_back()
+        yield from encoded(Encoder(shared.value, pattern), batches, ids)  # an encoder of this task: its caches go with it
 
     spark: SparkSession = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()

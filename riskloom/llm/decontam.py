@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 RATIO, SHORTEST = 0.1, 20
 GRAM = 8
 #: Embeddings and sampled places of each: a window is a candidate if all sampled places of one embedding agree with the item's.
@@ -252,6 +254,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, ratio: float = RATIO) -
 def _clean(shared):
     @F.pandas_udf("boolean")
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        give_back()
         for texts in batches:
             ok = np.ones(len(texts), bool)
             for start, some in _parts(list(texts)):

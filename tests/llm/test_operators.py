@@ -72,6 +72,16 @@ def without_repeats(docs, width=50):
     return out
 
 
+def test_bpe_rows_leave_in_pieces():
+    """Ids of a batch of long texts aren't held all at once."""
+    text = "plain words of some length, and 12345 numbers. " * 6000
+    pdf = pd.DataFrame({"k": range(40), "t": [text, None] * 20})
+    frames = list(bpe.encoded(bpe.Encoder(*bpe.vocabulary_file()), iter([pdf, pdf.iloc[:0]]), True))
+    assert len(frames) > 3 and max(f["ids"].str.len().sum() for f in frames) < 2 * bpe.PIECE
+    rows = pd.concat(frames)
+    assert list(rows["k"]) == list(range(40)) and set(rows["ids"].str.len()) == {0, rows["ids"].str.len().max()}
+
+
 def test_bpe_is_exact(spark, awkward, empty):
     lines, pattern = bpe.vocabulary_file()
     encoder = bpe.Encoder(lines, pattern)
